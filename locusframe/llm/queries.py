@@ -15,6 +15,19 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -32,6 +45,28 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["license"])))
+    return found.select("doc_id", F.size("_matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("_matches", lambda m: m["containment"])), F.lit(0.0)).alias("best"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_kept").cast("long").alias("n_kept"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -45,6 +80,6 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op4_substring_dedup, op5_decontaminate, op9_mix_sources, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k)}
 
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op10_top_k": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op10_top_k": oracles.OP10}
