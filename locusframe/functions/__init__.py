@@ -1 +1 @@
-
+"""Column expressions on genotypes, sequences, distances and trees."""

@@ -1 +1 @@
-
+"""Readers and writers of VCF, sequence and table files."""
