@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EARTH_KM = 6378.137
 
@@ -17,7 +18,7 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Distance on the WGS84 ellipsoid by Vincenty's iteration; null inputs give null."""
     a, f = 6378.137, 1 / 298.257223563

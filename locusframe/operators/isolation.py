@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import measures as M
 
@@ -53,7 +54,7 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def slope_p(r2: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a regression's slope from R squared and the number of points."""
     return pd.Series([None if pd.isna(x) or m < 3 else 0.0 if x >= 1 else _beta(1 / (1 + x * (m - 2) / (1 - x) / (m - 2)), (m - 2) / 2, 0.5) for x, m in zip(r2, n)], dtype="float64")

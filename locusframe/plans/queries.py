@@ -768,9 +768,10 @@ def optimise(spark, d):
 @query(" select site_id, sample_idx::bigint as sample_idx, dosage::bigint as dosage, dp::bigint as dp from calls where site_id in (select site_id from sites)")
 def vcf_round_trip(spark, d):
     """Calls as VCF text and back."""
-    sites = V.parse_lines(FX.vcf_lines(spark, d).withColumnRenamed("site_id", "n")).withColumnRenamed("n", "site_id")
-    long = sites.select("site_id", F.posexplode("calls").alias("sample_idx", "c")).where(G.is_called(F.col("c.gt")))
-    return long.select("site_id", F.col("sample_idx").cast("long").alias("sample_idx"), G.dosage(F.col("c.gt")).cast("long").alias("dosage"), F.col("c.dp").cast("long").alias("dp"))
+    sites = V.parse_lines(FX.vcf_lines(spark, d).withColumnRenamed("site_id", "n"))
+    cells = F.transform("calls", lambda c, i: F.struct(i.cast("long").alias("sample_idx"), G.dosage(c["gt"]).cast("long").alias("dosage"), c["dp"].cast("long").alias("dp")))
+    # Deal the parsed rows out first, so that exploding does not repeat the parsing.
+    return sites.select(F.col("n").alias("site_id"), cells.alias("cells")).repartition("site_id").select("site_id", F.inline("cells")).where("dosage is not null")
 
 
 @query(" select site_id, 44::bigint as n_pl, count(*)::bigint as n_called from calls where site_id in (select site_id from sites) group by site_id")
@@ -780,7 +781,7 @@ def add_pl(spark, d):
 
 
 def _few(spark, d):
-    """Calls, samples and numbered sites of the first loci of each hundred, for the export formats."""
+    """Calls, samples and numbered sites, for the export formats."""
     calls = FX.coded(spark, d)
     sites = S.with_site_index(FX.sites(spark, d).select("site_id"), "site_id")
     return calls, FX.samples(spark, d), sites
@@ -858,7 +859,7 @@ def to_beagle(spark, d):
 
 
 @query(PAIRS + """, s as (select a, b, dist from pairs union all select b, a, dist from pairs), f as (select * from s union all select distinct a, a, 0.0::double from s)
-select a, concat(a, ' ', string_agg(printf('%.6f', dist), ' ' order by b)) as line from f group by a""")
+select a, concat(a, ' ', string_agg(printf('%.6f', round(dist, 6)), ' ' order by b)) as line from f group by a""")
 def to_nexus_distances(spark, d):
     return X.to_nexus_distances(PA.genotype_mismatch(FX.calls(spark, d)))
 
