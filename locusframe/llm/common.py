@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +73,36 @@ def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows, and bytes of all texts of a column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column).cast("long")).alias("b")).first()
     return row["n"], row["b"] or 0
+
+
+#: Bits of a map of hashes: 2**MAP_BITS / 8 bytes at most, whatever the input.
+MAP_BITS = 27
+#: Rows in which the map comes to the driver.
+MAP_PARTS = 256
+
+
+def hash_map(hashes: DataFrame, column: str) -> np.ndarray:
+    """A map of MAP_BITS bits with the leading bits of 64-bit hashes set, made by Spark.
+
+    Its size is fixed, so it may be broadcast; it has false positives only.
+    """
+    bit = hashes.select(F.shiftrightunsigned(column, 64 - MAP_BITS).alias("i")).selectExpr("i >> 6 as w", "shiftleft(1L, cast(i & 63 as int)) as b")
+    words = bit.groupBy("w").agg(F.bit_or("b").alias("b"))
+    size = (1 << (MAP_BITS - 6)) // MAP_PARTS
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.int64)
+        w = pdf.w.to_numpy(np.int64)
+        out[w % size] = pdf.b.to_numpy(np.int64)
+        return pd.DataFrame({"part": [w[0] // size], "bits": [out.tobytes()]})
+
+    out = np.zeros((MAP_PARTS, size), np.int64)
+    for r in words.groupBy(F.floor(F.col("w") / size)).applyInPandas(part, "part long, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.int64)
+    return out.ravel()
+
+
+def in_map(map_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash (unsigned) may be in the map."""
+    i = hashes >> np.uint64(64 - MAP_BITS)
+    return (map_[(i >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (i & np.uint64(63))) & np.uint64(1) == 1

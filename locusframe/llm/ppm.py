@@ -15,7 +15,7 @@ from .common import held_out, materialize, total_bytes
 #: Bytes of the longest context; contexts of two bytes and more lie in the shard of their last two.
 ORDER = 5
 #: Bytes of text that one task scores at a time, and positions of them that numpy holds at a time.
-CHUNK_BYTES, SLICE = 8 << 20, 3 << 20
+CHUNK_BYTES, SLICE = 8 << 20, 1 << 20
 #: Bytes that no UTF-8 text holds: before the first symbol, and the end of a text.
 PAD, END = b"\xfe", b"\xff"
 #: Discount of the counts; what it frees, for each distinct symbol, is the escape (method D).
@@ -59,6 +59,20 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts[order], at)
 
 
+def _packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as bytes: differences, if they rise, in the least type that holds them, deflated."""
+    if rising:
+        numbers = np.diff(numbers, prepend=0)
+    top = int(numbers.max(initial=0))
+    kind = next(i for i, bits in enumerate((8, 16, 32, 63)) if top < 1 << bits)
+    return bytes([kind]) + zlib.compress(numbers.astype(f"<u{1 << kind}").tobytes(), 1)
+
+
+def _unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
+    numbers = np.frombuffer(zlib.decompress(raw[1:]), f"<u{1 << raw[0]}").astype(np.int64)
+    return np.cumsum(numbers) if rising else numbers
+
+
 def _shard(gram: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of a gram by the last two bytes of its context."""
     return ((((gram >> 8) & 0xFFFF) * 40503 + 977) % 65521 % buckets).astype(np.int32)
@@ -76,8 +90,8 @@ def _chunk_parts(chunk: int, texts: list[bytes | None], train: np.ndarray, bucke
     shard = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
     order = np.argsort(shard, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(words) else []:
-        rows.append((KIND_WORD, int(shard[part[0]]), chunk, b" ".join([words[i] for i in part]), counts[part].tobytes()))
-    rows.append((KIND_STAT, 0, chunk, b"", np.array([sum(len(t) + 1 for t, x in zip(toks, train) if x), int(train.sum())], np.int64).tobytes()))
+        rows.append((KIND_WORD, int(shard[part[0]]), chunk, zlib.compress(b" ".join([words[i] for i in part]), 1), _packed(counts[part])))
+    rows.append((KIND_STAT, 0, chunk, b"", _packed(np.array([sum(len(t) + 1 for t, x in zip(toks, train) if x), int(train.sum())], np.int64))))
     del known, other, words
 
     symbols, lengths = _bodies(toks)
@@ -91,9 +105,9 @@ def _chunk_parts(chunk: int, texts: list[bytes | None], train: np.ndarray, bucke
     shard = _shard(key, buckets)
     order = np.argsort(shard, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(key) else []:
-        rows.append((KIND_GRAM, int(shard[part[0]]), chunk, key[part].tobytes(), n[part].tobytes()))
+        rows.append((KIND_GRAM, int(shard[part[0]]), chunk, _packed(key[part], True), _packed(n[part])))
     pair, m = _summed(key & 0xFFFF, n)
-    rows.append((KIND_PAIR, 0, chunk, pair.tobytes(), m.tobytes()))
+    rows.append((KIND_PAIR, 0, chunk, _packed(pair, True), _packed(m)))
     return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "body", "counts"])
 
 
@@ -154,41 +168,42 @@ def log_probabilities(wanted: np.ndarray, key: np.ndarray, count: np.ndarray, pa
     return out
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["kind", "chunk", "body", "values", "seen"])
+def _answer(pdf: pd.DataFrame, pairs: np.ndarray, chunks: int) -> pd.DataFrame:
+    """A shard's answers to each chunk: of its grams the log10 probability, of its words the count.
 
-
-def _answer(pdf: pd.DataFrame, pairs: np.ndarray) -> pd.DataFrame:
-    """A shard's answers to each chunk: of its grams the log10 probability, of its words the count."""
+    Each chunk also gets the number of the shard's distinct words in training texts.
+    """
     rows = []
     if pdf.kind.iat[0] == KIND_GRAM:
-        keys = [np.frombuffer(x, np.int64) for x in pdf.body]
-        key, count = _summed(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int64) for x in pdf.counts]))
-        values = log_probabilities(key, key, count, pairs)
-        for chunk, k in zip(pdf.chunk, keys):
-            rows.append((KIND_GRAM, int(chunk), k.tobytes(), values[np.searchsorted(key, k)].astype(np.float32).tobytes(), 0))
-        return _frame(rows)
-    total: dict[bytes, int] = {}
-    for body, counts in zip(pdf.body, pdf.counts):
-        for w, n in zip(body.split(b" "), np.frombuffer(counts, np.int64).tolist()):
-            total[w] = total.get(w, 0) + n
-    seen = sum(1 for n in total.values() if n)
-    for i, (chunk, body) in enumerate(zip(pdf.chunk, pdf.body)):
-        ws = body.split(b" ")
-        rows.append((KIND_WORD, int(chunk), body, np.fromiter(map(total.__getitem__, ws), np.int64, len(ws)).tobytes(), seen if not i else 0))
-    return _frame(rows)
-
-
-def _score(docs: pd.DataFrame, answers: pd.DataFrame, ends: int) -> pd.DataFrame:
+        keys = [_unpacked(x, True) for x in pdf.body]
+        key, count = _summed(np.concatenate(keys), np.concatenate([_unpacked(x) for x in pdf.counts]))
+        values = log_probabilities(key, key, count, pairs).astype(np.float32)
+        for chunk, body, k in zip(pdf.chunk, pdf.body, keys):
+            rows.append((int(chunk), KIND_GRAM, body, zlib.compress(values[np.searchsorted(key, k)].tobytes(), 1), 0))
+    else:
+        total: dict[bytes, int] = {}
+        for body, counts in zip(pdf.body, pdf.counts):
+            for w, n in zip(zlib.decompress(body).split(b" "), _unpacked(counts).tolist()):
+                total[w] = total.get(w, 0) + n
+        seen = sum(1 for n in total.values() if n)
+        answered = dict(zip(pdf.chunk, pdf.body))
+        for chunk in range(chunks):
+            body = answered.get(chunk)
+            ws = zlib.decompress(body).split(b" ") if body is not None else []
+            rows.append((chunk, KIND_WORD, body, _packed(np.fromiter(map(total.__getitem__, ws), np.int64, len(ws))), seen))
+    return pd.DataFrame(rows, columns=["chunk", "kind", "body", "values", "seen"])
+
+
+def _score(docs: pd.DataFrame, answers: pd.DataFrame, tokens: int, ends: int) -> pd.DataFrame:
     """Sums of a chunk's documents: tokens, known tokens, log10(count + 1), log10 probability."""
     count: dict[bytes, int] = {}
     keys, values = [], []
     for kind, body, v in zip(answers.kind, answers.body, answers["values"]):
-        if kind == KIND_WORD:
-            count.update(zip(body.split(b" "), np.frombuffer(v, np.int64).tolist()))
-        else:
-            keys.append(np.frombuffer(body, np.int64))
-            values.append(np.frombuffer(v, np.float32))
+        if kind == KIND_GRAM:
+            keys.append(_unpacked(body, True))
+            values.append(np.frombuffer(zlib.decompress(v), np.float32))
+        elif body is not None:
+            count.update(zip(zlib.decompress(body).split(b" "), _unpacked(v).tolist()))
     toks = [_tokens(t) for t in docs.text]
     n_known, base = np.zeros(len(toks), np.int64), np.zeros(len(toks))
     for i, t in enumerate(toks):
@@ -205,7 +220,8 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, ends: int) -> pd.DataFrame
     for gram, doc in _grams(symbols, lengths):
         codes, distinct = pd.factorize(gram)
         score += np.bincount(doc, weights=value[np.searchsorted(key, distinct)][codes], minlength=len(lengths))
-    return pd.DataFrame({"doc_id": docs.doc_id, "held_out": docs.held_out, "n_tokens": n_tokens, "n_known": n_known, "_base": base, "score": score})
+    base -= n_tokens * np.log10(tokens + int(answers.seen.sum()) + (ends > 0) + 1.0)
+    return pd.DataFrame({"doc_id": docs.doc_id, "held_out": docs.held_out, "n_tokens": n_tokens, "n_known": n_known, "train_tokens": tokens, "base_score": base, "score": score})
 
 
 def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
@@ -240,11 +256,11 @@ def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> Da
     def unpacked(batches):
         for pdf in batches:
             for body, counts in zip(pdf.body, pdf.counts):
-                yield pd.DataFrame({"pair": np.frombuffer(body, np.int64), "n": np.frombuffer(counts, np.int64)})
+                yield pd.DataFrame({"pair": _unpacked(body, True), "n": _unpacked(counts)})
 
     def stats(batches):
         for pdf in batches:
-            x = [np.frombuffer(c, np.int64) for c in pdf.counts]
+            x = [_unpacked(c) for c in pdf.counts]
             yield pd.DataFrame({"tokens": [int(sum(v[0] for v in x))], "docs": [int(sum(v[1] for v in x))]})
 
     pairs = np.zeros(65536, np.int64)
@@ -254,13 +270,11 @@ def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> Da
     train_tokens, ends = st["t"] or 0, st["d"] or 0
     table = docs.sparkSession.sparkContext.broadcast(pairs.reshape(256, 256))
 
-    answers = materialize(
+    answers = (
         parts.where(F.col("kind") <= KIND_WORD).repartition(2 * buckets, "kind", "bucket").groupBy("kind", "bucket")
-        .applyInPandas(lambda pdf: _answer(pdf, table.value), "kind int, chunk int, body binary, values binary, seen long")
+        .applyInPandas(lambda pdf: _answer(pdf, table.value, chunks), "chunk int, kind int, body binary, values binary, seen long")
     )
-    vocabulary = (answers.agg(F.sum("seen").alias("v")).first()["v"] or 0) + (ends > 0)
-    scored = src.groupBy("chunk").cogroup(answers.repartition(chunks, "chunk").groupBy("chunk")).applyInPandas(
-        lambda d, a: _score(d, a, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, _base double, score double"
+    return src.groupBy("chunk").cogroup(answers.repartition(chunks, "chunk").groupBy("chunk")).applyInPandas(
+        lambda d, a: _score(d, a, train_tokens, ends),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-    base = F.col("_base") - F.col("n_tokens") * F.log10(F.lit(float(train_tokens + vocabulary + 1)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
