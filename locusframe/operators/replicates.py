@@ -21,35 +21,41 @@ def replicate_pairs(samples: DataFrame, marker: str = "_R") -> DataFrame:
     return exact.select("sample_a", "sample_b").unionByName(unique.select("sample_a", "sample_b"))
 
 
-def paired_calls(calls: DataFrame, reps: DataFrame) -> DataFrame:
+def paired_calls(calls: DataFrame, reps: DataFrame, *by: str) -> DataFrame:
     """Both dosages of each replicate pair at each site that one of them has; null: missing."""
     long = reps.select("sample_a", "sample_b", F.explode(F.array(F.struct(F.col("sample_a").alias("sample"), F.lit(0).alias("side")), F.struct(F.col("sample_b").alias("sample"), F.lit(1).alias("side")))).alias("x")).select("sample_a", "sample_b", "x.*")
     hit = calls.join(F.broadcast(long), "sample")
     side = lambda i: F.max(F.when(F.col("side") == i, F.col("dosage")))
-    return hit.groupBy("sample_a", "sample_b", "locus", "site_id").agg(side(0).alias("da"), side(1).alias("db"))
+    return hit.groupBy(*by, "sample_a", "sample_b", "locus", "site_id").agg(side(0).alias("da"), side(1).alias("db"))
 
 
-def replicate_errors(calls: DataFrame, reps: DataFrame) -> DataFrame:
-    """Per pair: locus, allele and SNP error in percent.
+def replicate_errors(calls: DataFrame, reps: DataFrame, *by: str) -> DataFrame:
+    """Per pair (and further columns): locus, allele and SNP error in percent.
 
     Locus error: loci seen in one sample only, of those seen in either. Allele error: of the loci
     seen in both, those with a SNP that differs (missing in one only counts). SNP error: of the
     SNPs called in both, those that differ.
     """
-    site = paired_calls(calls, reps)
+    site = paired_calls(calls, reps, *by)
     both = F.col("da").isNotNull() & F.col("db").isNotNull()
-    locus = site.groupBy("sample_a", "sample_b", "locus").agg(
+    locus = site.groupBy(*by, "sample_a", "sample_b", "locus").agg(
         F.bool_or(F.col("da").isNotNull()).alias("in_a"), F.bool_or(F.col("db").isNotNull()).alias("in_b"),
         F.bool_or(~F.col("da").eqNullSafe(F.col("db"))).alias("differs"), F.count_if(both).alias("n_both"), F.count_if(both & (F.col("da") != F.col("db"))).alias("n_diff"),
     )
     shared = F.col("in_a") & F.col("in_b")
     pct = lambda a, b: 100 * a / F.nullif(b, F.lit(0))
-    return locus.groupBy("sample_a", "sample_b").agg(
+    return locus.groupBy(*by, "sample_a", "sample_b").agg(
         pct(F.count_if(~shared), F.count(F.lit(1))).alias("locus_error"), pct(F.count_if(shared & F.col("differs")), F.count_if(shared)).alias("allele_error"),
         pct(F.sum("n_diff"), F.sum("n_both")).alias("snp_error"),
     )
 
 
+def loci_overlap(calls: DataFrame, reps: DataFrame) -> DataFrame:
+    """Per pair: loci seen in the first sample only, in the second only, and in both."""
+    seen = paired_calls(calls, reps).groupBy("sample_a", "sample_b", "locus").agg(F.bool_or(F.col("da").isNotNull()).alias("a"), F.bool_or(F.col("db").isNotNull()).alias("b"))
+    return seen.groupBy("sample_a", "sample_b").agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"), F.count_if(F.col("a") & F.col("b")).alias("both"))
+
+
 def reproducibility(calls: DataFrame, reps: DataFrame, n_pairs: int) -> DataFrame:
     """Per SNP: 1 - (pairs that differ) / pairs; missing in one differs, missing in both agrees."""
     wrong = paired_calls(calls, reps).groupBy("site_id").agg(F.count_if(~F.col("da").eqNullSafe(F.col("db"))).alias("d"))

@@ -46,7 +46,5 @@ def optimise(calls: DataFrame, samples: DataFrame, reps: DataFrame) -> DataFrame
 
 
 def errors_by_param(calls: DataFrame, reps: DataFrame) -> DataFrame:
-    """Replicate errors of each parameter; `param` joins the locus key."""
-    keyed = calls.withColumn("locus", F.struct("param", "locus")).withColumn("site_id", F.struct("param", "site_id"))
-    params = [r["param"] for r in calls.select("param").distinct().collect()]  # values of the swept parameter
-    return tagged([(p, replicate_errors(keyed.where(F.col("param") == p), reps)) for p in sorted(params)])
+    """Replicate errors of each parameter value: `param` is one more key, all values at once."""
+    return replicate_errors(calls, reps, "param")

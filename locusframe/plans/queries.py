@@ -367,6 +367,12 @@ def filter_reproducibility(spark, d):
     return R.reproducibility(FX.calls(spark, d), FX.reps(spark), 4).where("rep_avg >= 0.75").select("site_id")
 
 
+@query(PAIRED + """, l as (select sample_a, sample_b, locus, bool_or(da is not null) as ia, bool_or(db is not null) as ib from j group by all)
+select sample_a, sample_b, count(*) filter (ia and not ib)::bigint as only_a, count(*) filter (ib and not ia)::bigint as only_b, count(*) filter (ia and ib)::bigint as both from l group by all""")
+def loci_overlap(spark, d):
+    return R.loci_overlap(FX.calls(spark, d), FX.reps(spark))
+
+
 REPD = PAIRS + ", rp as (select p.* from pairs p join reps r on (p.a = r.sample_a and p.b = r.sample_b) or (p.a = r.sample_b and p.b = r.sample_a))"
 
 
@@ -749,6 +755,27 @@ def sweep_box_summary(spark, d):
     return _rounded(SW.box_summary(S.snp_heterozygosity(_swept(spark, d), "param"), "het"))
 
 
+@query(SWEPT + """, j as (select param, r.sample_a, r.sample_b, c.locus, c.site_id, max(case when c.sample = r.sample_a then dosage end) as da, max(case when c.sample = r.sample_b then dosage end) as db
+  from sw c join reps r on c.sample = r.sample_a or c.sample = r.sample_b group by all),
+l as (select param, sample_a, sample_b, locus, bool_or(da is not null) as ia, bool_or(db is not null) as ib, bool_or(da is distinct from db) as df,
+  count(*) filter (da is not null and db is not null) as nb, count(*) filter (da <> db) as nd from j group by all)
+select param, sample_a, sample_b, round(100.0::double * count(*) filter (not (ia and ib)) / count(*), 6) as locus_error,
+  round(100.0::double * count(*) filter (ia and ib and df) / count(*) filter (ia and ib), 6) as allele_error, round(100.0::double * sum(nd) / sum(nb), 6) as snp_error from l group by all""")
+def errors_by_param(spark, d):
+    return _rounded(SW.errors_by_param(_swept(spark, d), FX.reps(spark)))
+
+
+@query(f""", d as (select x.sample as a, y.sample as b, sqrt(sum((x.dosage - y.dosage) ** 2)::double * (select count(distinct site_id) from calls) / count(*)) as v
+  from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all)
+select a, b, round(v / (select max(v) from d), 6) as dist from d""")
+def euclidean_scaled(spark, d):
+    """Euclidean distances divided by the greatest of them."""
+    calls = FX.calls(spark, d)
+    dist = PA.euclidean(calls, calls.agg(F.countDistinct("site_id").alias("n")).first()["n"])
+    top = dist.agg(F.max("dist").alias("top"))
+    return _rounded(dist.crossJoin(F.broadcast(top)).select("a", "b", (F.col("dist") / F.col("top")).alias("dist")))
+
+
 @query(SWEPT + f""", o as (select * from sw where sample not in (select sample_b from reps)), z as (select count(*) as size from samples where sample not in (select sample_b from reps)),
 sz as (select param, count(distinct locus) as loci, count(distinct site_id) as snps from o group by param),
 e as (select param, site_id, locus, count(*) as n, min(dosage) as lo, max(dosage) as hi from o group by all),
@@ -770,8 +797,8 @@ def vcf_round_trip(spark, d):
     """Calls as VCF text and back."""
     sites = V.parse_lines(FX.vcf_lines(spark, d).withColumnRenamed("site_id", "n"))
     cells = F.transform("calls", lambda c, i: F.struct(i.cast("long").alias("sample_idx"), G.dosage(c["gt"]).cast("long").alias("dosage"), c["dp"].cast("long").alias("dp")))
-    # Deal the parsed rows out first, so that exploding does not repeat the parsing.
-    return sites.select(F.col("n").alias("site_id"), cells.alias("cells")).repartition("site_id").select("site_id", F.inline("cells")).where("dosage is not null")
+    # Parsed rows are cached, so that exploding does not repeat the parsing in its filters.
+    return sites.select(F.col("n").alias("site_id"), cells.alias("cells")).cache().select("site_id", F.inline("cells")).where("dosage is not null")
 
 
 @query(" select site_id, 44::bigint as n_pl, count(*)::bigint as n_called from calls where site_id in (select site_id from sites) group by site_id")

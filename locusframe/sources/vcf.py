@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
@@ -39,6 +41,13 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return parse_lines(lines), names
 
 
+def read_sweep(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Sites of several (parameter value, path), tagged by `param`, and the sample names of each."""
+    read = [(p, *read_vcf(spark, path)) for p, path in files]
+    tagged = [sites.withColumn("param", F.lit(p)) for p, sites, _ in read]
+    return reduce(DataFrame.unionByName, tagged), {p: names for p, _, names in read}
+
+
 def require_ns(sites: DataFrame) -> DataFrame:
     """Adds ns from INFO (NS, else AN); a site with neither raises an error when it is read."""
     ns = G.info_number(F.col("info"))
