@@ -81,9 +81,9 @@ def distance(kind: str) -> Column:
 
 
 def block_distances(sites: DataFrame, samples: list[str], *kinds: str) -> DataFrame:
-    """Pair table (a, b and one column for each kind) by matrix blocks."""
+    """Pair table (a, b and one column for each kind) by matrix blocks. No shared site: no row."""
     names = F.array(*map(F.lit, samples))
-    return pair_sums(sites, len(samples)).select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), *[distance(k).alias(k) for k in kinds])
+    return pair_sums(sites, len(samples)).where("shared > 0").select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), *[distance(k).alias(k) for k in kinds])
 
 
 def dosage_divergence(calls: DataFrame) -> DataFrame:
