@@ -4,32 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hash_map, in_map, materialize
+from .tokens import Words, slices
 
 #: Words of a window and of a minimiser.
 WINDOW, MINI = 35, 8
-#: Bits of the map of repeated minimisers: at most 2**BITS / 8 bytes, at any size of input.
-BITS = 27
-#: Text bytes that numpy holds at a time, and rows of a bucket.
-SLICE_BYTES, BUCKET_ROWS = 2 << 20, 20_000
+#: Rows of a bucket.
+BUCKET_ROWS = 20_000
 #: A minimiser with more than this share of all super-k-mers is split by a second one.
 HOT_SHARE = 1 / 1000
 
 
-class _Hashes(dict):
-    """64-bit hash of each word; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -56,19 +44,16 @@ def _minimisers(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (least & np.uint64(0xFFFFFFF)).astype(np.int64)
 
 
-def super_kmers(texts: list[list[bytes]], hashes: _Hashes, hot: np.ndarray):
-    """(key, document, first word, last word) arrays of the texts' super-k-mers.
+def super_kmers(w: Words, hot: np.ndarray):
+    """(key, document, first word, last word) arrays of the texts' super-k-mers; words by their number.
 
     A super-k-mer is a longest run of consecutive windows with the same minimiser. The windows of a
     hot minimiser are split by a second one as well; equal windows have equal keys either way.
     """
-    n_words = np.fromiter(map(len, texts), np.int64, len(texts))
-    total = int(n_words.sum())
+    words, total = w.hash, len(w.hash)
     if total < WINDOW:
         return (np.zeros(0, np.int64),) * 4
-    words = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, total)
-    doc = np.repeat(np.arange(len(texts)), n_words)
-    first = np.cumsum(n_words) - n_words
+    doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     h, place = _minimisers(words, 1)
     starts = np.arange(total - WINDOW + 1)
     whole = doc[starts] == doc[starts + WINDOW - 1]
@@ -86,19 +71,7 @@ def super_kmers(texts: list[list[bytes]], hashes: _Hashes, hot: np.ndarray):
     at = np.flatnonzero(change)
     last = np.r_[at[1:], len(starts)] - 1
     d = doc[starts[at]]
-    return key[at].view(np.int64), d, starts[at] - first[d], starts[last] + WINDOW - 1 - first[d]
-
-
-def _slices(pdf: pd.DataFrame):
-    """Row ranges of about SLICE_BYTES of text."""
-    size, a = 0, 0
-    for i, t in enumerate(pdf.text):
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield a, i + 1
-            size, a = 0, i + 1
-    if a < len(pdf):
-        yield a, len(pdf)
+    return key[at].view(np.int64), d, starts[at], starts[last] + WINDOW - 1
 
 
 def _repeated_spans(packed: list[bytes], weight: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -106,7 +79,7 @@ def _repeated_spans(packed: list[bytes], weight: np.ndarray) -> list[list[tuple[
 
     Windows are sorted by a 64-bit hash of their words; equal neighbours are compared word by word.
     """
-    split = [p.split(b" ") for p in packed]
+    split = [p.split() for p in packed]
     ids, _ = pd.factorize(np.array([w for s in split for w in s], dtype=object))
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     first = np.cumsum(lengths) - lengths
@@ -154,44 +127,40 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"))
 
     def count(batches):
-        hashes = _Hashes()
         for pdf in batches:
-            for a, b in _slices(pdf):
-                key, *_ = super_kmers([t.split() for t in pdf.text[a:b]], hashes, np.zeros(0, np.uint64))
+            texts = list(pdf.text)
+            for a, b in slices(texts):
+                key, *_ = super_kmers(Words(texts[a:b], False), np.zeros(0, np.uint64))
                 if len(key):
                     k, n = np.unique(key, return_counts=True)
                     yield pd.DataFrame({"key": k, "n": n})
 
     counts = materialize(src.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    # At most 1 / HOT_SHARE rows, and at most 2**BITS / 64.
+    # At most 1 / HOT_SHARE rows.
     hot = np.array([r["key"] for r in counts.where(F.col("n") > max(1000.0, total * HOT_SHARE)).select("key").collect()], np.int64).view(np.uint64)
-    bits = counts.select(F.shiftrightunsigned("key", 64 - BITS).alias("i")).selectExpr("i >> 6 as w", "shiftleft(1L, cast(i & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    map_ = np.zeros(1 << (BITS - 6), np.int64)
-    map_[bits.w.to_numpy(np.int64)] = bits.b.to_numpy(np.int64)
-    repeated = spark.sparkContext.broadcast(map_)
+    repeated = spark.sparkContext.broadcast(hash_map(counts, "key"))
 
     def pack(batches):
-        hashes = _Hashes()
         for pdf in batches:
-            for a, b in _slices(pdf):
-                texts = [t.split() for t in pdf.text[a:b]]
-                key, d, s, e = super_kmers(texts, hashes, np.zeros(0, np.uint64))
-                i = key.view(np.uint64) >> np.uint64(64 - BITS)
-                keep = (repeated.value[(i >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (i & np.uint64(63))) & np.uint64(1) == 1
-                if len(hot):
+            all_texts = list(pdf.text)
+            for a, b in slices(all_texts):
+                w = Words(all_texts[a:b], False)
+                key, d, s, e = super_kmers(w, np.zeros(0, np.uint64))
+                keep = in_map(repeated.value, key.view(np.uint64))
+                if len(hot) and len(key):
                     wide = np.isin(key.view(np.uint64), hot)
-                    k2, d2, s2, e2 = super_kmers(texts, hashes, hot)
+                    k2, d2, s2, e2 = super_kmers(w, hot)
                     # Split super-k-mers lie inside those of a hot minimiser.
-                    inside = _inside(d2, s2, d[wide], s[wide], e[wide])
+                    inside = _inside(s2, s[wide], e[wide])
                     keep &= ~wide
                     key, d, s, e = (np.r_[x[keep], y[inside]] for x, y in ((key, k2), (d, d2), (s, s2), (e, e2)))
                 else:
                     key, d, s, e = key[keep], d[keep], s[keep], e[keep]
                 if not len(key):
                     continue
-                packed = [b" ".join(texts[i][p : q + 1]) for i, p, q in zip(d.tolist(), s.tolist(), e.tolist())]
-                yield pd.DataFrame({"key": key, "packed": packed, "doc_id": pdf.doc_id.to_numpy()[a:b][d], "text_key": pdf.text_key.to_numpy()[a:b][d], "start": s.astype(np.int32)})
+                packed = [w.blob[p:q] for p, q in zip(w.start[s].tolist(), w.end[e].tolist())]
+                yield pd.DataFrame({"key": key, "packed": packed, "doc_id": pdf.doc_id.to_numpy()[a:b][d], "text_key": pdf.text_key.to_numpy()[a:b][d], "start": (s - w.first[d]).astype(np.int32)})
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     found = materialize(src.mapInPandas(pack, f"key long, packed binary, doc_id {doc_type}, text_key long, start int").withColumn("string", F.xxhash64("packed")))
@@ -229,11 +198,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.decode("kept", "utf-8"))
 
 
-def _inside(d: np.ndarray, s: np.ndarray, hd: np.ndarray, hs: np.ndarray, he: np.ndarray) -> np.ndarray:
-    """Whether each (document, start) lies in the first windows of one of the sorted ranges."""
-    if not len(hd):
-        return np.zeros(len(d), bool)
-    at = np.searchsorted(hd * (1 << 32) + hs, d * (1 << 32) + s, side="right") - 1
-    ok = at >= 0
-    at = np.maximum(at, 0)
-    return ok & (hd[at] == d) & (s <= he[at] - WINDOW + 1)
+def _inside(starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each first word starts a window of one of the sorted ranges."""
+    if not len(first):
+        return np.zeros(len(starts), bool)
+    at = np.searchsorted(first, starts, side="right") - 1
+    return (at >= 0) & (starts <= last[np.maximum(at, 0)] - WINDOW + 1)
