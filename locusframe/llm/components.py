@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
+def star_pairs(rows: DataFrame, related: Column) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's members a with its pivot b.
 
-    `rows` has key, node and rank; the pivot is the member of the greatest rank. As many pairs as
-    rows at most, however large the bucket.
+    `rows` has key, node, meta and rank; the pivot is the member of the greatest rank. As many pairs
+    as rows at most, however large the bucket. `related` is a condition on x_meta and y_meta.
     """
-    pivots = rows.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("p"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
-    found = rows.select("key", F.col("node").alias("a")).join(pivots.select("key", F.col("p.node").alias("b")), "key")
-    return found.where("a != b").select("a", "b").distinct()
-
-
-def several(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more."""
-    keys = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    return rows.join(keys, "key", "left_semi")
+    pivots = rows.groupBy("key").agg(F.max(F.struct("rank", "node", "meta")).alias("p"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
+    found = rows.select("key", F.col("node").alias("a"), F.col("meta").alias("x_meta")).join(pivots.select("key", F.col("p.node").alias("b"), F.col("p.meta").alias("y_meta")), "key")
+    return found.where((F.col("a") != F.col("b")) & related).select("a", "b").distinct()
 
 
 def cross_pairs(rows: DataFrame, labels: DataFrame, related: Column) -> DataFrame:

@@ -10,52 +10,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hash_map, in_map, materialize
 from .components import components, cross_pairs, star_pairs
+from .tokens import Words, mixed as _mixed, slices
 
 #: Words of a shingle; two sets link when OF * common >= PART * union.
 SHINGLE, PART, OF = 5, 75, 100
 #: Token classes whose counts tell rare shingles from frequent ones: a table of fixed size.
 CLASS_BITS, SLICES = 20, 64
 #: Bytes of a hashed shingle in a packed set.
-PACK = 6
+PACK = 5
 #: Least documents per class that make a shingle frequent, whatever the mean.
 FREQUENT = 48
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Hashes(dict):
-    """64-bit hash of each word; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: bytes | None, hashes: _Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    if n < SHINGLE:
-        h = np.full(1, n, np.uint64)
-        for j in range(n):
-            h = h * _C[j] + w[j : j + 1]
-        return _mixed(h + np.uint64(n))
-    h = w[: n - SHINGLE + 1] * _C[0]
-    for j in range(1, SHINGLE):
-        h = h + w[j : n - SHINGLE + 1 + j] * _C[j] + (h >> np.uint64(37))
-    return np.unique(_mixed(h))
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    texts = [t or b"" for t in texts]
+    for a, b in slices(texts):
+        w = Words(texts[a:b], True)
+        n = len(w.hash) - SHINGLE + 1
+        if n > 0:
+            h = w.hash[:n] * _C[0]
+            for j in range(1, SHINGLE):
+                h = h + w.hash[j : n + j] * _C[j] + (h >> np.uint64(37))
+            h = _mixed(h)
+        for p, q in zip(w.first.tolist(), w.first[1:].tolist()):
+            if q - p >= SHINGLE:
+                yield np.unique(h[p : q - SHINGLE + 1])
+            elif q == p:
+                yield np.zeros(0, np.uint64)
+            else:
+                short = np.full(1, q - p, np.uint64)
+                for j in range(p, q):
+                    short = short * _C[j - p] + w.hash[j : j + 1]
+                yield _mixed(short + np.uint64(q - p))
 
 
 def _cls(h: np.ndarray) -> np.ndarray:
@@ -145,11 +135,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their word shingles.
 
     `docs`: doc_id (integer) and text. Lower-cased words; a set of the distinct shingles of
-    `SHINGLE` words, or the whole sequence if there are fewer. Documents of equal sets are collapsed
-    first. Prefixes of tokens, and combinations of frequent ones, are the index (`_keys`). Members
-    of a bucket are first compared with one pivot, the member of the most common shingles; what that
-    joins needs no further comparison. Then all pairs of a bucket that still lie in different
-    components are compared, so no link between different components is lost.
+    `SHINGLE` words, or the whole sequence if there are fewer. Documents of equal sets are one node,
+    named by a 64-bit hash of the set. Prefixes of tokens, and combinations of frequent ones, are
+    the index (`_keys`). Members of a bucket are first compared with one pivot, the member of the
+    most common shingles; what that joins needs no further comparison. Then all pairs of a bucket
+    that still lie in different components are compared, so no link between components is lost.
+    Texts are read where they lie, not shuffled: maps of fixed size tell the tasks which keys
+    several nodes have, and which documents' sets are to be compared.
 
     Null text, empty text or no words: empty set, linked with nothing. Null doc_id: n_shingles is
     given, component_id is null. Repeated rows come out as often; they link with each other under
@@ -160,89 +152,112 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
         load = np.zeros(1 << CLASS_BITS, np.int64)
         for pdf in batches:
-            n, s1, s2 = [], [], []
-            for text in pdf.text:
-                h = shingle_set(text, hashes)
-                raw = h.tobytes()
+            n, node = [], []
+            waiting: list[np.ndarray] = []
+            for h in shingle_sets(list(pdf.text)):
                 n.append(len(h))
-                s1.append(xxhash.xxh3_64_intdigest(raw, 1))
-                s2.append(xxhash.xxh3_64_intdigest(raw, 2))
-                np.add.at(load, _cls(h), 1)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "s1": np.array(s1, np.uint64).view(np.int64), "s2": np.array(s2, np.uint64).view(np.int64), "slice": -1, "load": None})
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                waiting.append(_cls(h))
+                if len(waiting) == 500:
+                    load += np.bincount(np.concatenate(waiting), minlength=len(load))
+                    waiting = []
+            if waiting:
+                load += np.bincount(np.concatenate(waiting), minlength=len(load))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "slice": -1, "load": None})
         for i, part in enumerate(np.split(load, SLICES)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": [0], "s1": [0], "s2": [0], "slice": [i], "load": [part.tobytes()]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "slice": [i], "load": [part.astype("<i4").tobytes()]}).astype({"doc_id": "Int64"})
 
-    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, slice int, load binary"))
+    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, slice int, load binary"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [pdf.slice.iat[0]], "load": [np.sum([np.frombuffer(x, np.int64) for x in pdf.load], axis=0).tobytes()]})
+        total = np.sum([np.frombuffer(x, "<i4").astype(np.int64) for x in pdf.load], axis=0)
+        return pd.DataFrame({"slice": [pdf.slice.iat[0]], "load": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
     # Added up in two steps, so that no group grows with the number of tasks.
     parts = measured.where("slice >= 0").select("slice", "load", F.pmod(F.monotonically_increasing_id(), F.lit(256)).alias("salt"))
-    slices = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, load binary").groupBy("slice").applyInPandas(add, "slice int, load binary")
-    load = np.zeros((SLICES, (1 << CLASS_BITS) // SLICES), np.int64)
-    for r in slices.collect():
-        load[r["slice"]] = np.frombuffer(r["load"], np.int64)
+    slices_ = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, load binary").groupBy("slice").applyInPandas(add, "slice int, load binary")
+    load = np.zeros((SLICES, (1 << CLASS_BITS) // SLICES), np.int32)
+    for r in slices_.collect():
+        load[r["slice"]] = np.frombuffer(r["load"], "<i4")
     load = load.ravel()
-    bound = FREQUENT + 2 * load.mean()
-    shared = spark.sparkContext.broadcast(np.minimum(load, 2**31 - 1).astype(np.int32))
+    bound = FREQUENT + 2 * float(load.mean())
+    shared_load = spark.sparkContext.broadcast(load)
+
+    sizes = measured.where("slice < 0").select("doc_id", "n", "node")
+    usable = sizes.where("n > 0 and doc_id is not null")
+    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least")))
+
+    def keyed(pdf: pd.DataFrame, done: set) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+        """Keys of each new set of a batch; copies of a set that this task has seen are skipped."""
+        for h in shingle_sets(list(pdf.text)):
+            node = int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+            if not len(h) or node in done:
+                continue
+            if len(done) > 1_000_000:
+                done.clear()
+            done.add(node)
+            key, small, rank = _keys(h, shared_load.value, bound)
+            # Rank, size and whether the key lies in the indexed prefix, in one number.
+            yield key, node, rank, (np.int64(rank) << 40) | (np.int64(len(h)) << 1) | small.astype(np.int64)
+
+    def keys_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set = set()
+        for pdf in batches:
+            out = [(k.view(np.int64), np.full(len(k), node)) for k, node, _, _ in keyed(pdf, done)]
+            for a in range(0, len(out), 2000):
+                yield pd.DataFrame(dict(zip(("key", "node"), map(np.concatenate, zip(*out[a : a + 2000])))))
 
-    sizes = measured.where("slice < 0").select("doc_id", "n", "s1", "s2")
-    nodes = sizes.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(nodes)
-    texts = src.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    live = src.where("doc_id is not null")
+    # Keys that one node alone has are the great majority: they end here.
+    several = live.mapInPandas(keys_only, "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    common = spark.sparkContext.broadcast(hash_map(several, "key"))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
+        done: set = set()
         for pdf in batches:
-            done = 0
-            out: list[tuple] = []
-            for node, text in zip(pdf.doc_id.tolist(), pdf.text):
-                h = shingle_set(text, hashes)
-                if not len(h):
-                    continue
-                key, small, rank = _keys(h, shared.value, bound)
-                # Rank, size and whether the key lies in the indexed prefix, in one number.
-                out.append((key.view(np.int64), np.full(len(key), node), (np.int64(rank) << 40) | (np.int64(len(h)) << 1) | small.astype(np.int64)))
-                done += len(key)
-                if done > 500_000:
-                    yield pd.DataFrame(dict(zip(("key", "node", "meta"), map(np.concatenate, zip(*out)))))
-                    out, done = [], 0
-            if out:
-                yield pd.DataFrame(dict(zip(("key", "node", "meta"), map(np.concatenate, zip(*out)))))
-
-    # Keys that one document alone has are the great majority: they end here. Both sides of the join
-    # read the same shuffle, so they need the same columns of it.
-    rows = texts.mapInPandas(index, "key long, node long, meta long").repartition("key")
-    alone = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("meta").alias("m")).where("lo != hi and m is not null").select("key")
-    rows = materialize(rows.join(alone, "key", "left_semi").distinct().withColumn("rank", F.shiftright("meta", 40)))
+            out = []
+            for key, node, _, meta in keyed(pdf, done):
+                keep = in_map(common.value, key)
+                if keep.any():
+                    out.append((key[keep].view(np.int64), np.full(int(keep.sum()), node), meta[keep]))
+            for a in range(0, len(out), 2000):
+                yield pd.DataFrame(dict(zip(("key", "node", "meta"), map(np.concatenate, zip(*out[a : a + 2000])))))
+
+    rows = materialize(live.mapInPandas(index, "key long, node long, meta long").distinct().withColumn("rank", F.shiftright("meta", 40)))
 
     size = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 40) - 1)), 1)
-    pairs = materialize(star_pairs(rows))
-    first = materialize(_linked(pairs, _sets(src, pairs)))
+    least, most = F.least(size("x_meta"), size("y_meta")), F.greatest(size("x_meta"), size("y_meta"))
+    pairs = materialize(star_pairs(rows, OF * least >= PART * most))
+    first = materialize(_linked(pairs, _sets(src, nodes, pairs)))
     labels = components(first)
     related = (F.col("x_meta").bitwiseAND(F.lit(1)) == 1) & (size("x_meta") <= size("y_meta")) & (OF * size("x_meta") >= PART * size("y_meta"))
     rest = cross_pairs(rows, labels, related)
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    labels = components(first.union(_linked(rest, _sets(src, rest))))
+    labels = components(first.union(_linked(rest, _sets(src, nodes, rest))))
 
-    named = labels.select(F.col("node").alias("_n"), "comp")
-    groups = nodes.join(named, F.col("node") == F.col("_n"), "left").select("s1", "s2", F.col("n").alias("_size"), F.coalesce("comp", "node").alias("comp"))
-    out = sizes.join(groups.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "_size", "comp"), (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")) & (F.col("n") == F.col("_size")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+    placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    groups = placed.select("node", "comp").join(named, "comp").select(F.col("node").alias("_n"), "component_id")
+    out = sizes.join(groups, F.col("node") == F.col("_n"), "left")
+    linked = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
 
 
-def _sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Packed sets of the documents that pairs name."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(src: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Packed sets of the nodes that pairs name, each from the document of the node's least id."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = nodes.join(named, "node", "left_semi").select(F.xxhash64("least").alias("h"))
+    wanted = src.sparkSession.sparkContext.broadcast(hash_map(ids, "h"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf.doc_id, "set": [_pack(shingle_set(t, hashes)) for t in pdf.text]})
+            pdf = pdf[in_map(wanted.value, pdf.h.to_numpy(np.int64).view(np.uint64))]
+            sets = [h for h in shingle_sets(list(pdf.text))]
+            rows = [(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), _pack(h)) for h in sets if len(h)]
+            yield pd.DataFrame(rows, columns=["node", "set"]).astype({"node": "int64"})
 
-    return materialize(src.join(wanted, "doc_id", "left_semi").mapInPandas(pack, "node long, set binary").dropDuplicates(["node"]))
+    found = src.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInPandas(pack, "node long, set binary")
+    return materialize(found.dropDuplicates(["node"]))
