@@ -160,8 +160,9 @@ def classify(found: list[dict]) -> list[bool]:
     First pass: blocks in side elements, blocks of links and notices are bad; blocks inside an
     article are good unless they are links; else length and the share of stop words decide: long and
     dense good, sparse bad, short ones undecided, those nearly good remembered. Second pass: an
-    undecided block takes the label of its nearest decided neighbours; between a good and a bad one
-    the nearly good are good, and with no decided neighbour it is bad.
+    undecided block takes the label of its nearest decided neighbours; between a good and a bad one,
+    or an end of the page, the nearly good are good and the short ones bad. Where no block at all is
+    decided, the nearly good are good.
     """
     label: list[str] = []
     whole = any(b["article"] and not b["side"] for b in found)
@@ -197,8 +198,8 @@ def classify(found: list[dict]) -> list[bool]:
         if x in ("good", "bad"):
             out.append(x == "good")
         else:
-            near = {before[i], after[i]} - {""}
-            out.append(near == {"good"} or x == "near" and ("good" in near or not near))
+            near = (before[i], after[i])
+            out.append(near == ("good", "good") or x == "near" and ("good" in near or near == ("", "")))
     return out
 
 
