@@ -180,11 +180,17 @@ class Pooler:
 def train(labelled: DataFrame, docs: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> Network | None:
     """A network fitted on a bounded sample of labelled rows (lang, text); None without labels.
 
-    The sample: the `docs` rows of least hash, the same in each run, and `words` of their words,
+    The sample: about `docs` rows by a hash of the text, the same in each run (twice as many at most,
+    where many rows are equal), and `words` of their words,
     as many of each label. Training runs on the driver; its data do not grow with the table.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = usable.select("lang", F.encode("text", "utf-8").alias("text"), F.xxhash64("text").alias("_h")).orderBy("_h").limit(docs).collect()
+    n = usable.count()
+    if not n:
+        return None
+    # Rows whose hash lies in the part of its range that holds about `docs` of all rows.
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int((1 << 31) * min(1.0, docs / n))
+    rows = usable.where(part).select("lang", F.encode("text", "utf-8").alias("text")).limit(2 * docs).collect()
     labels = sorted({r["lang"] for r in rows})
     rng = np.random.default_rng(4)
     sample, label = [], []
