@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialize
-from .components import components, cross_pairs, star_pairs
+from .components import components, cross_pairs
 
 #: Characters below which a line always stays, and characters of a shingle.
 LEAST_CHARS, CHARS = 20, 12
@@ -17,15 +18,15 @@ SIMILARITY = 0.75
 
 
 def _shingles(line: str) -> Column:
-    """Distinct hashes of the CHARS characters from each start of a word on."""
+    """Distinct 32-bit hashes of the CHARS characters from each start of a word on."""
     found = F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{CHARS - 1}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
 
 
 def _mask(i: int) -> int:
-    """A fixed 64-bit mask, signed; hashes are reordered by exclusive or with it."""
-    x = (i + 1) * 0x9E3779B97F4A7C15 * 0x2545F4914F6CDD1D % (1 << 64)
-    return x - (1 << 64) if x >> 63 else x
+    """A fixed 32-bit mask, signed; hashes are reordered by exclusive or with it."""
+    x = ((i + 1) * 0x9E3779B97F4A7C15 * 0x2545F4914F6CDD1D >> 24) % (1 << 32)
+    return x - (1 << 32) if x >> 31 else x
 
 
 def _bands(h: str) -> Column:
@@ -39,7 +40,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     `docs` has doc_id and text; its other columns pass through (but for _n_removed and _n_kept,
     which are added: lines removed and lines left). Lines end at a line feed. Equal lines are grouped
-    first. Distinct lines get MinHash signatures of their character shingles (`CHARS` characters
+    first, by a
+    64-bit hash. Distinct lines get MinHash signatures of their character shingles (`CHARS` characters
     from each start of a word on), bands find candidates, the exact Jaccard similarity of the
     shingle sets decides, and linked lines form components. Of each component the first line stays:
     that of the least (doc_id, place). In a bucket each line is compared with a pivot; then all
@@ -52,14 +54,17 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     key = F.xxhash64("text")
     src = docs.drop("_n_removed", "_n_kept").withColumn("_key", key)
     lines = src.where(F.col("text").isNotNull()).select("doc_id", F.col("_key").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= LEAST_CHARS).withColumn("node", F.unhex(F.md5(F.encode("line", "utf-8"))))
+    lines = lines.where(F.length("line") >= LEAST_CHARS).withColumn("node", F.xxhash64("line"))
     distinct = materialize(
-        lines.groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line"))
-        .withColumn("h", _shingles("line")).drop("line")
+        # The hashes travel, not the lines: they are less to shuffle.
+        lines.withColumn("h", _shingles("line")).groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("h").alias("h"))
     )
-    rows = distinct.where(F.size("h") > 0).select("node", F.size("h").cast("long").alias("meta"), F.explode(_bands("h")).alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("meta").alias("m")).where("lo != hi and m is not null").select("key")
-    rows = materialize(rows.join(shared, "key", "left_semi").withColumn("rank", F.col("meta")))
+    rows = distinct.where(F.size("h") > 0).select("node", F.size("h").alias("meta"), F.explode(_bands("h")).alias("key"))
+    # One shuffle for all that a bucket decides: whether it has several lines, and which is the pivot
+    # (that of most shingles). Large buckets spill; nothing is gathered in one row.
+    bucket = W.partitionBy("key")
+    rows = rows.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).withColumn("pivot", F.max(F.struct("meta", "node")).over(bucket)["node"])
+    rows = materialize(rows.where("lo != hi").select("key", "node", "meta", "pivot"))
 
     sets = distinct.select("node", "h")
     a, b = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
@@ -69,10 +74,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
     near = lambda x, y: x >= F.lit(similarity) * y
-    pairs = materialize(star_pairs(rows))
+    pairs = materialize(rows.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     first = materialize(linked(pairs))
     related = (F.col("x_node") < F.col("y_node")) & near(F.least("x_meta", "y_meta"), F.greatest("x_meta", "y_meta"))
-    rest = cross_pairs(rows, components(first), related)
+    rest = cross_pairs(rows.select("key", "node", "meta"), components(first), related)
     labels = components(first.union(linked(rest)))
 
     named = distinct.select("node", "first", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
