@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import mixed
+
 # Sentences by which texts name their license, with the license's SPDX name.
 TEMPLATES = {
     "Apache-2.0": [
@@ -41,9 +43,29 @@ _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
 _ODD = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(BANDS)], np.uint64)
 
 
+class _WordHashes(dict):
+    """64-bit hash of each word; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
 def _hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of SHINGLE words."""
     n = len(words) - SHINGLE + 1
-    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(max(0, n))], np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.zeros(n, np.uint64)
+    for j in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n + j]
+    return mixed(h)
 
 
 def _mins(h: np.ndarray) -> np.ndarray:
