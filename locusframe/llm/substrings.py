@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import hash_map, in_map, materialize
 from .tokens import Words, slices
@@ -117,7 +118,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        of all super-k-mers (at most 1 / HOT_SHARE of them) are split by a second minimiser.
     2. Those super-k-mers travel as one packed string each. Equal strings are counted before they
        meet their bucket, where sorting finds the windows that occur twice or more, exactly.
-    3. The spans go back to the documents that hold the string.
+    3. The spans go back to the documents that hold the string; the others are not shuffled.
 
     Null or empty text: no words. Texts shorter than a window stay. Repeated rows are documents of
     their own, and so each other's copies. Empty table: no rows. Other columns are ignored.
@@ -175,8 +176,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spanned = strings.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(spans, "key long, string long, a int, b int")
     cover = found.select("key", "string", "doc_id", "text_key", "start").join(spanned, ["key", "string"])
     by_doc = cover.select("doc_id", "text_key", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span")).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b"))
-    joined = src.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text_key", "text", "a", "b")
+    by_doc = materialize(by_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b")))
+    # Documents without a span, by a map of fixed size, stay where they are; the others meet theirs.
+    spanned_docs = spark.sparkContext.broadcast(hash_map(by_doc, "_k"))
+
+    @F.pandas_udf(BooleanType())
+    def has_span(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_map(spanned_docs.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    flagged = src.withColumn("flag", has_span("text_key"))
+    none = F.lit(None).cast("array<int>")
+    whole = flagged.where(~F.col("flag")).select("doc_id", "text_key", "text", none.alias("a"), none.alias("b"))
+    met = flagged.where("flag").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text_key", "text", "a", "b")
 
     def cut(batches):
         for pdf in batches:
@@ -194,8 +205,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(t))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "n_words": n, "n_removed": gone, "kept": kept})
 
-    out = joined.mapInPandas(cut, f"doc_id {doc_type}, text_key long, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.decode("kept", "utf-8"))
+    schema = f"doc_id {doc_type}, text_key long, n_words long, n_removed long, kept binary"
+    return whole.mapInPandas(cut, schema).unionByName(met.mapInPandas(cut, schema)).withColumn("kept", F.decode("kept", "utf-8"))
 
 
 def _inside(starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
