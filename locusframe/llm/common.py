@@ -30,17 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With it, a statement's shuffle files are removed when it ends; a written table does not need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it again.
 
-    This cuts the lineage, survives lost executors and gives later stages real sizes.
+    This cuts the lineage, survives lost executors and gives later stages real sizes. The shuffle
+    files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Empty the folder of a table from `materialize` that no later job reads."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in folders:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialize `df`, and mark it for broadcasting if its counted rows are at most `limit`."""
     df = materialize(df)
