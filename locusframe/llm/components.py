@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,53 @@ def star_pairs(rows: DataFrame, related: Column) -> DataFrame:
     return found.where((F.col("a") != F.col("b")) & related).select("a", "b").distinct()
 
 
-def cross_pairs(rows: DataFrame, labels: DataFrame, related: Column) -> DataFrame:
-    """Distinct pairs (a, b) of members of one bucket that lie in different components.
+def split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, meta, comp) of the buckets whose members lie in several components.
 
-    Buckets whose members all lie in one component are left out before anything is paired.
-    `labels`: node, comp; a node without a label is a component of its own. `related` is a condition
-    on the columns x_node, x_meta, y_node, y_meta of an ordered pair.
+    `labels`: node, comp; a node without a label is a component of its own.
     """
     named = labels.select(F.col("node").alias("_n"), "comp")
     placed = rows.join(named, F.col("node") == F.col("_n"), "left").select("key", "node", "meta", F.coalesce("comp", "node").alias("comp"))
     keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    placed = materialize(placed.join(keys, "key", "left_semi"))
-    x = placed.select("key", F.col("node").alias("x_node"), F.col("meta").alias("x_meta"), F.col("comp").alias("x_comp"))
-    y = placed.select(F.col("key").alias("_k"), F.col("node").alias("y_node"), F.col("meta").alias("y_meta"), F.col("comp").alias("y_comp"))
-    pairs = x.join(y, (F.col("key") == F.col("_k")) & (F.col("x_comp") != F.col("y_comp")) & related)
+    return materialize(placed.join(keys, "key", "left_semi"))
+
+
+def differing_bits(sketches: DataFrame) -> Column:
+    """Differing bits of two nodes' sketches, the x_ and y_ columns of all of `sketches` but node.
+
+    A sketch bit is the parity of the tokens hashed to it, so sets differ in at least as many tokens
+    as their sketches do in bits: a bound on the difference leaves out no pair below it.
+    """
+    parts = [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in sketches.columns if c != "node"]
+    return functools.reduce(lambda a, b: a + b, parts)
+
+
+def cross_pairs(placed: DataFrame, sketches: DataFrame, related: Column) -> DataFrame:
+    """Distinct pairs (a, b) of members of one bucket that lie in different components.
+
+    `placed` comes from `split_buckets`; `sketches` has node and whatever `related` compares. `related`
+    is a condition on the columns x_node, x_meta, y_node, y_meta and the sketches' of an ordered
+    pair; it holds within the join, so pairs that it rules out are not made.
+    """
+    wide = placed.join(sketches, "node")
+    x, y = (wide.select([F.col(c).alias(f"{side}_{c}") for c in wide.columns]) for side in "xy")
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & related)
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
+def pivot_pairs(placed: DataFrame, sketches: DataFrame, related: Column, pivots: int) -> DataFrame:
+    """Distinct pairs (a, b) of members a with `pivots` members b of their bucket, in other components.
+
+    Half of the pivots are drawn by hash among all members, half among the components first, so that
+    small ones are drawn too. At most `pivots` pairs a row.
+    """
+    drawn = [F.max(F.struct(F.xxhash64("comp" if i % 2 else "node", F.lit(i)).alias("c"), F.xxhash64("node", F.lit(i)).alias("h"), "node", "meta", "comp")).alias(f"p{i}") for i in range(pivots)]
+    few = placed.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[f"p{i}" for i in range(pivots)])).alias("p"))
+    few = few.select("key", "p.node", "p.meta", "p.comp").distinct().join(sketches, "node")
+    wide = placed.join(sketches, "node")
+    x = wide.select([F.col(c).alias(f"x_{c}") for c in wide.columns])
+    y = few.select([F.col(c).alias(f"y_{c}") for c in few.columns])
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & related)
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_map, in_map, materialize
-from .components import components, cross_pairs, star_pairs
+from .components import components, cross_pairs, differing_bits, split_buckets, star_pairs
 from .tokens import Words, mixed as _mixed, slices
 
 #: Words of a shingle; two sets link when OF * common >= PART * union.
@@ -20,6 +20,8 @@ SHINGLE, PART, OF = 5, 75, 100
 CLASS_BITS, SLICES = 20, 64
 #: Bytes of a hashed shingle in a packed set.
 PACK = 5
+#: 64-bit parts of the parity sketch that rules out pairs of sets before they are made.
+SKETCH = 8
 #: Least documents per class that make a shingle frequent, whatever the mean.
 FREQUENT = 48
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -104,6 +106,12 @@ def _keys(h: np.ndarray, load: np.ndarray, bound: float) -> tuple[np.ndarray, np
     return np.concatenate(keys), np.concatenate(small), rank
 
 
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens at each of 64 * SKETCH places."""
+    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _pack(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :PACK]).tobytes()
 
@@ -138,8 +146,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     `SHINGLE` words, or the whole sequence if there are fewer. Documents of equal sets are one node,
     named by a 64-bit hash of the set. Prefixes of tokens, and combinations of frequent ones, are
     the index (`_keys`). Members of a bucket are first compared with one pivot, the member of the
-    most common shingles; what that joins needs no further comparison. Then all pairs of a bucket
-    that still lie in different components are compared, so no link between components is lost.
+    most common shingles; what that joins needs no further comparison. Then the pairs of a bucket
+    that still lie in different components are compared, unless parity sketches prove that their
+    sets differ by too much, so no link between components is lost.
     Texts are read where they lie, not shuffled: maps of fixed size tell the tasks which keys
     several nodes have, and which documents' sets are to be compared.
 
@@ -151,26 +160,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
 
+    names = [f"s{i}" for i in range(SKETCH)]
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = np.zeros(1 << CLASS_BITS, np.int64)
         for pdf in batches:
-            n, node = [], []
+            n, node, sketch = [], [], []
             waiting: list[np.ndarray] = []
             for h in shingle_sets(list(pdf.text)):
                 n.append(len(h))
                 node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                sketch.append(_sketch(h))
                 waiting.append(_cls(h))
                 if len(waiting) == 500:
                     load += np.bincount(np.concatenate(waiting), minlength=len(load))
                     waiting = []
             if waiting:
                 load += np.bincount(np.concatenate(waiting), minlength=len(load))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "slice": -1, "load": None})
+            parts = dict(zip(names, np.reshape(sketch, (-1, SKETCH)).astype(np.int64).T))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "slice": -1, "load": None} | parts)
         for i, part in enumerate(np.split(load, SLICES)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "slice": [i], "load": [part.astype("<i4").tobytes()]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "slice": [i], "load": [part.astype("<i4").tobytes()]} | dict.fromkeys(names, 0)).astype({"doc_id": "Int64"})
 
-    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, slice int, load binary"))
+    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, slice int, load binary, " + ", ".join(f"{c} long" for c in names)))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, "<i4").astype(np.int64) for x in pdf.load], axis=0)
@@ -187,8 +200,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared_load = spark.sparkContext.broadcast(load)
 
     sizes = measured.where("slice < 0").select("doc_id", "n", "node")
-    usable = sizes.where("n > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least")))
+    usable = measured.where("slice < 0 and n > 0 and doc_id is not null")
+    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.max(c).alias(c) for c in names]))
 
     def keyed(pdf: pd.DataFrame, done: set) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
         """Keys of each new set of a batch; copies of a set that this task has seen are skipped."""
@@ -234,11 +247,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(_linked(pairs, _sets(src, nodes, pairs)))
     labels = components(first)
     related = (F.col("x_meta").bitwiseAND(F.lit(1)) == 1) & (size("x_meta") <= size("y_meta")) & (OF * size("x_meta") >= PART * size("y_meta"))
-    rest = cross_pairs(rows, labels, related)
+    sketches = nodes.select("node", *names)
+    related &= (OF + PART) * differing_bits(sketches) <= (OF - PART) * (size("x_meta") + size("y_meta"))
+    rest = cross_pairs(split_buckets(rows, labels), sketches, related)
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     labels = components(first.union(_linked(rest, _sets(src, nodes, rest))))
 
-    placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     groups = placed.select("node", "comp").join(named, "comp").select(F.col("node").alias("_n"), "component_id")
     out = sizes.join(groups, F.col("node") == F.col("_n"), "left")
