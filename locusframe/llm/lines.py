@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize
-from .components import components, cross_pairs
+from .common import drop, materialize
+from .components import components, cross_pairs, differing_bits, pivot_pairs, split_buckets
 
 #: Characters below which a line always stays, and characters of a shingle.
 LEAST_CHARS, CHARS = 20, 12
@@ -15,11 +15,17 @@ LEAST_CHARS, CHARS = 20, 12
 #: probability 1 - (1 - 0.75**3)**9 = 0.993, at 0.8 with 0.998, at 0.85 with 0.9998.
 BANDS, ROWS = 9, 3
 SIMILARITY = 0.75
+#: Rounds in which the members of a bucket still split are compared with some of its members, and how many.
+ROUNDS, PIVOTS = 2, 8
 
 
 def _shingles(line: str) -> Column:
-    """Distinct 32-bit hashes of the CHARS characters from each start of a word on."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{CHARS - 1}}}))"), F.lit(1))
+    """Distinct 32-bit hashes of the CHARS characters from each start of a word on.
+
+    A word over CHARS characters, as text without spaces has, gives those of its inner characters too
+    that have CHARS more behind them. The pattern steps from word to word, so it is tried twice a word.
+    """
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{CHARS - 1}}}))(?:[^ ](?=[^ ]{{{CHARS}}})|[^ ]+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
 
 
@@ -35,17 +41,23 @@ def _bands(h: str) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[least(ROWS * b + i) for i in range(ROWS)]) for b in range(BANDS)])
 
 
+def _sketch(h: str, part: int) -> Column:
+    """Parity of the number of hashes at each of 64 places, of those hashes that belong to the part."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)))
+    return F.aggregate(F.filter(h, lambda x: x.bitwiseAND(F.lit(1)) == part), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Documents without the lines that an earlier document or line has in equal or near-equal form.
 
     `docs` has doc_id and text; its other columns pass through (but for _n_removed and _n_kept,
     which are added: lines removed and lines left). Lines end at a line feed. Equal lines are grouped
     first, by a
-    64-bit hash. Distinct lines get MinHash signatures of their character shingles (`CHARS` characters
-    from each start of a word on), bands find candidates, the exact Jaccard similarity of the
+    64-bit hash. Distinct lines get MinHash signatures of their character shingles (`_shingles`), bands find candidates, the exact Jaccard similarity of the
     shingle sets decides, and linked lines form components. Of each component the first line stays:
-    that of the least (doc_id, place). In a bucket each line is compared with a pivot; then all
-    pairs of a bucket that lie in different components still.
+    that of the least (doc_id, place). In a bucket each line is compared with a pivot; where lines lie
+    in different components still, with some pivots more; then all such pairs but those whose parity
+    sketches prove that their sets differ by too much.
 
     Lines under `LEAST_CHARS` characters always stay. Null text stays null, empty text empty. Null
     doc_id sorts first. Documents equal in doc_id and text count as one and keep the same lines.
@@ -73,12 +85,19 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         common = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(a, "a").join(b, "b").where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
-    near = lambda x, y: x >= F.lit(similarity) * y
     pairs = materialize(rows.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = materialize(linked(pairs))
-    related = (F.col("x_node") < F.col("y_node")) & near(F.least("x_meta", "y_meta"), F.greatest("x_meta", "y_meta"))
-    rest = cross_pairs(rows.select("key", "node", "meta"), components(first), related)
-    labels = components(first.union(linked(rest)))
+    links = materialize(linked(pairs))
+    labels = components(links)
+    placed = split_buckets(rows.select("key", "node", "meta"), labels)
+    sketches = materialize(sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", _sketch("h", 0).alias("s0"), _sketch("h", 1).alias("s1")))
+    x, y = F.col("x_meta"), F.col("y_meta")
+    related = (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)) & (F.lit(1 + similarity) * differing_bits(sketches) <= F.lit(1 - similarity) * (x + y))
+    for _ in range(ROUNDS):
+        links = materialize(links.union(linked(pivot_pairs(placed, sketches, related, PIVOTS))))
+        labels = components(links)
+        placed = split_buckets(placed.select("key", "node", "meta"), labels)
+    rest = cross_pairs(placed, sketches, related & (F.col("x_node") < F.col("y_node")))
+    labels = components(links.union(linked(rest)))
 
     named = distinct.select("node", "first", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     grouped = named.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1).select("comp", "kept")
