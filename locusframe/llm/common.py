@@ -51,14 +51,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Empty the folder of a table from `materialize` that no later job reads."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in folders:
-        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialize `df`, and mark it for broadcasting if its counted rows are at most `limit`."""
     df = materialize(df)

@@ -386,3 +386,12 @@ def test_license_bands_against_every_window():
 
 def test_digest_of_kept_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 300, 3000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.r_[x[: n * 3 // 4], rng.integers(0, 2**63, n // 3).astype(np.uint64)])
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(ngram_join._sketch(x).view(np.uint64), ngram_join._sketch(y).view(np.uint64)))
+        assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
