@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines kept elsewhere; documents of which no line is left go; n_chars follows."""
-    left = dedup_lines(docs).where((F.col("_n_kept") > 0) | (F.col("_n_removed") == 0))
+    """Removes lines kept elsewhere, short ones too; documents that lose lines and keep no word go; n_chars follows."""
+    left = dedup_lines(docs, short=True).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

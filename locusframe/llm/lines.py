@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from .common import materialize
 from .components import components, cross_pairs, differing_bits, pivot_pairs, split_buckets
 
-#: Characters below which a line always stays, and characters of a shingle.
+#: Characters below which a line is never compared for near-equality, and characters of a shingle.
 LEAST_CHARS, CHARS = 20, 12
 #: Bands of ROWS MinHash values each: at a similarity of 0.75 a pair of lines shares a band with
 #: probability 1 - (1 - 0.75**3)**9 = 0.993, at 0.8 with 0.998, at 0.85 with 0.9998.
@@ -47,7 +47,7 @@ def _sketch(h: str, part: int) -> Column:
     return F.aggregate(F.filter(h, lambda x: x.bitwiseAND(F.lit(1)) == part), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """Documents without the lines that an earlier document or line has in equal or near-equal form.
 
     `docs` has doc_id and text; its other columns pass through (but for _n_removed and _n_kept,
@@ -59,17 +59,19 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     in different components still, with some pivots more; then all such pairs but those whose parity
     sketches prove that their sets differ by too much.
 
-    Lines under `LEAST_CHARS` characters always stay. Null text stays null, empty text empty. Null
+    Lines under `LEAST_CHARS` characters always stay, unless `short` is set: then equal ones are
+    removed too, but for blank ones (paragraphs' ends); they get no signature. Null text stays null, empty text empty. Null
     doc_id sorts first. Documents equal in doc_id and text count as one and keep the same lines.
     Empty table: no rows.
     """
     key = F.xxhash64("text")
     src = docs.drop("_n_removed", "_n_kept").withColumn("_key", key)
     lines = src.where(F.col("text").isNotNull()).select("doc_id", F.col("_key").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= LEAST_CHARS).withColumn("node", F.xxhash64("line"))
+    long = F.length("line") >= LEAST_CHARS
+    lines = lines.where(long | F.col("line").rlike(r"\S") if short else long).withColumn("node", F.xxhash64("line"))
     distinct = materialize(
         # The hashes travel, not the lines: they are less to shuffle.
-        lines.withColumn("h", _shingles("line")).groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("h").alias("h"))
+        lines.withColumn("h", F.when(long, _shingles("line")).otherwise(F.array().cast("array<int>"))).groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("h").alias("h"))
     )
     rows = distinct.where(F.size("h") > 0).select("node", F.size("h").alias("meta"), F.explode(_bands("h")).alias("key"))
     # One shuffle for all that a bucket decides: whether it has several lines, and which is the pivot

@@ -55,3 +55,11 @@ def test_empty(spark, folder):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_copies_with_short_and_blank_lines_leave_no_husk(spark, folder):
+    long = " ".join(vocabulary(30, 33))
+    rows = [(1, f"Haanth.\n\n{long}"), (2, f"Haanth.\n\n{long}"), (3, f"{long}\nits own"), (4, "\n"), (5, None), (6, f"{long}\n--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: r["text"] for r in C.line_stage(spark, docs, folder).collect()}
+    assert got == {1: rows[0][1], 3: "its own", 4: "\n", 5: None}
