@@ -63,7 +63,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_kept").cast("long").alias("n_kept"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, substrings, topk
+from locusframe.llm import decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, substrings, topk
 from locusframe.llm.components import components
 from locusframe.llm.tokens import Words
 
@@ -337,6 +337,14 @@ def test_lines(spark):
     assert lines.dedup_lines(df).count() == len(rows) and lines.dedup_lines(df.where("false")).count() == 0
 
 
+def test_equal_short_lines_are_removed_by_the_query(spark, tmp_path):
+    rows = [(1, "Menu\n\nMenu\nMenus"), (2, "Menu\n \nHome"), (3, "Menu")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_kept"], r["text_sha256"]) for r in rows_of(queries.op8_line_dedup(spark, str(tmp_path)))}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (1, 3, sha("Menu\n\nMenus")), 2: (1, 2, sha(" \nHome")), 3: (1, 0, sha(""))}
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
 <header><h2>Site</h2></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b>   text<br>goes on.<p>Second &lt;one&gt;</p><div class="ad">Buy</div>
