@@ -10,22 +10,21 @@ from .common import materialize
 from .components import components, cross_pairs, differing_bits, pivot_pairs, split_buckets
 
 #: Characters below which a line is never compared for near-equality, and characters of a shingle.
-LEAST_CHARS, CHARS = 20, 12
+LEAST_CHARS, CHARS = 20, 5
 #: Bands of ROWS MinHash values each: at a similarity of 0.75 a pair of lines shares a band with
-#: probability 1 - (1 - 0.75**3)**9 = 0.993, at 0.8 with 0.998, at 0.85 with 0.9998.
-BANDS, ROWS = 9, 3
+#: probability 1 - (1 - 0.75**5)**19 = 0.994, at 0.8 with 0.999, at 0.85 with 0.9999. Lines of one
+#: language share a tenth of such short shingles by chance; five values keep those out of buckets.
+BANDS, ROWS = 19, 5
 SIMILARITY = 0.75
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 #: Rounds in which the members of a bucket still split are compared with some of its members, and how many.
 ROUNDS, PIVOTS = 2, 8
 
 
 def _shingles(line: str) -> Column:
-    """Distinct 32-bit hashes of the CHARS characters from each start of a word on.
-
-    A word over CHARS characters, as text without spaces has, gives those of its inner characters too
-    that have CHARS more behind them. The pattern steps from word to word, so it is tried twice a word.
-    """
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{CHARS - 1}}}))(?:[^ ](?=[^ ]{{{CHARS}}})|[^ ]+)"), F.lit(1))
+    """Distinct 32-bit hashes of the CHARS characters at every place of a line."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))."), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
 
 
@@ -35,16 +34,24 @@ def _mask(i: int) -> int:
     return x - (1 << 32) if x >> 31 else x
 
 
-def _bands(h: str) -> Column:
-    """Array of band keys: each the hash of ROWS MinHash values and the band's number."""
-    least = lambda i: F.array_min(F.transform(h, lambda x: x.bitwiseXOR(F.lit(_mask(i)))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(ROWS * b + i) for i in range(ROWS)]) for b in range(BANDS)])
+def _least(i: int) -> Column:
+    """The i-th MinHash value of the hashes s of a group."""
+    return F.min(F.col("s").bitwiseXOR(F.lit(_mask(i))))
+
 
+def _signed(lines: DataFrame) -> DataFrame:
+    """node, meta (number of shingles), bands (keys, each the hash of ROWS MinHash values and the band's
+    number) and s0... (parities of the number of hashes at each place of the sketch), of (node, line).
 
-def _sketch(h: str, part: int) -> Column:
-    """Parity of the number of hashes at each of 64 places, of those hashes that belong to the part."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(F.lit(63)))
-    return F.aggregate(F.filter(h, lambda x: x.bitwiseAND(F.lit(1)) == part), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+    Shingles are rows here: aggregates over them are compiled, functions over arrays are not.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("s", 8).bitwiseAND(F.lit(63)))
+    part = F.col("s").bitwiseAND(F.lit(SKETCH - 1))
+    sketch = [F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    least = [_least(i).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    got = lines.select("node", F.explode(_shingles("line")).alias("s")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("meta"), *sketch, *least)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{ROWS * b + i}" for i in range(ROWS)]) for b in range(BANDS)])
+    return got.select("node", "meta", bands.alias("bands"), *[f"s{i}" for i in range(SKETCH)])
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
@@ -52,9 +59,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, short: bool = F
 
     `docs` has doc_id and text; its other columns pass through (but for _n_removed and _n_kept,
     which are added: lines removed and lines left). Lines end at a line feed. Equal lines are grouped
-    first, by a
-    64-bit hash. Distinct lines get MinHash signatures of their character shingles (`_shingles`), bands find candidates, the exact Jaccard similarity of the
-    shingle sets decides, and linked lines form components. Of each component the first line stays:
+    first, by a 64-bit hash. Distinct lines get MinHash signatures of their character shingles
+    (`_shingles`), bands find candidates, the exact Jaccard similarity of the shingle sets decides, and
+    linked lines form components. Of each component the first line stays:
     that of the least (doc_id, place). In a bucket each line is compared with a pivot; where lines lie
     in different components still, with some pivots more; then all such pairs but those whose parity
     sketches prove that their sets differ by too much.
@@ -69,31 +76,35 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, short: bool = F
     lines = src.where(F.col("text").isNotNull()).select("doc_id", F.col("_key").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     long = F.length("line") >= LEAST_CHARS
     lines = lines.where(long | F.col("line").rlike(r"\S") if short else long).withColumn("node", F.xxhash64("line"))
-    distinct = materialize(
-        # The hashes travel, not the lines: they are less to shuffle.
-        lines.withColumn("h", F.when(long, _shingles("line")).otherwise(F.array().cast("array<int>"))).groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("h").alias("h"))
-    )
-    rows = distinct.where(F.size("h") > 0).select("node", F.size("h").alias("meta"), F.explode(_bands("h")).alias("key"))
+    distinct = materialize(lines.groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line")))
+    signed = materialize(_signed(distinct.where(long & F.col("line").rlike(r"\S")).select("node", "line")))
+    rows = signed.select("node", "meta", F.explode("bands").alias("key"))
     # One shuffle for all that a bucket decides: whether it has several lines, and which is the pivot
     # (that of most shingles). Large buckets spill; nothing is gathered in one row.
     bucket = W.partitionBy("key")
-    rows = rows.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).withColumn("pivot", F.max(F.struct("meta", "node")).over(bucket)["node"])
+    rows = rows.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).withColumn("pivot", F.max(F.struct("meta", "node")).over(bucket))
     rows = materialize(rows.where("lo != hi").select("key", "node", "meta", "pivot"))
 
-    sets = distinct.select("node", "h")
-    a, b = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
+    x, y = F.col("x_meta"), F.col("y_meta")
+    near = F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    sketches = signed.drop("meta", "bands")
+    related = near & (F.lit(1 + similarity) * differing_bits(sketches) <= F.lit(1 - similarity) * (x + y))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sets are similar; each line is cut into shingles where its pairs are."""
+        a, b = (distinct.select(F.col("node").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("la").alias("ha"), _shingles("lb").alias("hb"))
         common = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(a, "a").join(b, "b").where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+        return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
-    pairs = materialize(rows.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    pairs = rows.select(F.col("node").alias("a"), F.col("meta").alias("x_meta"), F.col("pivot.node").alias("b"), F.col("pivot.meta").alias("y_meta")).where("a != b").where(near).distinct()
+    for c, side in ("a", "x"), ("b", "y"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(c), *[F.col(f"s{i}").alias(f"{side}_s{i}") for i in range(SKETCH)]), c)
+    pairs = materialize(pairs.where(related).select("a", "b"))
     links = materialize(linked(pairs))
     labels = components(links)
     placed = split_buckets(rows.select("key", "node", "meta"), labels)
-    sketches = materialize(sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", _sketch("h", 0).alias("s0"), _sketch("h", 1).alias("s1")))
-    x, y = F.col("x_meta"), F.col("y_meta")
-    related = (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)) & (F.lit(1 + similarity) * differing_bits(sketches) <= F.lit(1 - similarity) * (x + y))
+    sketches = materialize(sketches.join(placed.select("node").distinct(), "node", "left_semi"))
     for _ in range(ROUNDS):
         links = materialize(links.union(linked(pivot_pairs(placed, sketches, related, PIVOTS))))
         labels = components(links)

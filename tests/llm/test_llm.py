@@ -345,6 +345,20 @@ def test_equal_short_lines_are_removed_by_the_query(spark, tmp_path):
     assert got == {1: (1, 3, sha("Menu\n\nMenus")), 2: (1, 2, sha(" \nHome")), 3: (1, 0, sha(""))}
 
 
+def test_lines_with_one_changed_word_are_near(spark):
+    rng = np.random.default_rng(7)
+    words, rows = vocabulary(3000, 41), []
+    for i in range(40):
+        line = [str(w) for w in rng.choice(words, 20)]
+        near = [*line[:9], "changed", *line[10:]]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for _, t in rows]
+    near = {2 * i + 1 for i in range(40) if 4 * len(sets[2 * i] & sets[2 * i + 1]) >= 3 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = {r["doc_id"] for r in got.where("_n_removed > 0").collect()}
+    assert gone <= near and len(near) > 30 and len(gone) >= len(near) - 2
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
 <header><h2>Site</h2></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b>   text<br>goes on.<p>Second &lt;one&gt;</p><div class="ad">Buy</div>
