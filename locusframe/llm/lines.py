@@ -28,15 +28,9 @@ def _shingles(line: str) -> Column:
     return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
 
 
-def _mask(i: int) -> int:
-    """A fixed 32-bit mask, signed; hashes are reordered by exclusive or with it."""
-    x = ((i + 1) * 0x9E3779B97F4A7C15 * 0x2545F4914F6CDD1D >> 24) % (1 << 32)
-    return x - (1 << 32) if x >> 31 else x
-
-
 def _least(i: int) -> Column:
-    """The i-th MinHash value of the hashes s of a group."""
-    return F.min(F.col("s").bitwiseXOR(F.lit(_mask(i))))
+    """The i-th MinHash value of the hashes s of a group: each i mixes them anew."""
+    return F.min(F.hash(F.lit(i), "s"))
 
 
 def _signed(lines: DataFrame) -> DataFrame:

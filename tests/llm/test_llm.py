@@ -359,6 +359,37 @@ def test_lines_with_one_changed_word_are_near(spark):
     assert gone <= near and len(near) > 30 and len(gone) >= len(near) - 2
 
 
+def test_minhash_values_are_independent(spark):
+    """Pairs of sets with 6 of 8 hashes in common: agreeing values are as many, and spread as far, as by chance."""
+    rng = np.random.default_rng(12)
+    n, rows = lines.BANDS * lines.ROWS, []
+    for i in range(1000):
+        h = rng.integers(-(2**31), 2**31, 8).tolist()
+        rows += [(i, 0, x) for x in h] + [(i, 1, x) for x in h[:6]]
+    sets = spark.createDataFrame(rows, "pair int, side int, s int").groupBy("pair", "side").agg(F.array(*[lines._least(i) for i in range(n)]).alias("m"))
+    m = {(r["pair"], r["side"]): np.array(r["m"]) for r in sets.collect()}
+    agree = np.array([m[i, 0] == m[i, 1] for i in range(1000)])
+    count = agree.sum(1)
+    assert count.mean() / n == pytest.approx(0.75, abs=0.01)
+    assert count.var() < 1.3 * n * 0.75 * 0.25
+    bands = agree.reshape(1000, lines.BANDS, lines.ROWS).all(2).any(1)
+    assert bands.mean() > 0.985
+
+
+def test_bands_have_their_recall_at_every_size(spark):
+    """Pairs at a similarity of 0.75 exactly, 3 of 4 shingles and so on: the share with a common band."""
+    rng = np.random.default_rng(12)
+    letters, rows = np.array(list("abcdefghijklmnopqrstuvwxyz")), []
+    for n in (3, 6, 30, 150):
+        for i in range(2000 if n < 100 else 500):
+            text = "".join(rng.choice(letters, n * 4 // 3 + 4))
+            rows += [(f"{n} {i}", text), (f"{n} {i}", text[: n + 4])]
+    df = spark.createDataFrame([(j, k, t) for j, (k, t) in enumerate(rows)], "node long, pair string, line string")
+    found = lines._signed(df.select("node", "line")).join(df, "node").groupBy("pair").agg(F.max_by("bands", "node").alias("a"), F.min_by("bands", "node").alias("b"))
+    share = {r["n"]: r["x"] for r in found.groupBy(F.split("pair", " ")[0].alias("n")).agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("x")).collect()}
+    assert len(share) == 4 and all(x > 0.985 for x in share.values()), share
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
 <header><h2>Site</h2></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b>   text<br>goes on.<p>Second &lt;one&gt;</p><div class="ad">Buy</div>
