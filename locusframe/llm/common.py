@@ -21,10 +21,13 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Where the session names none (a local run, a test), a folder of this machine is set.
+    Where a local session names none, as in a test, a folder of this machine is set; on a cluster,
+    where executors do not see such a folder, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -91,14 +94,14 @@ MAP_BITS = 27
 MAP_PARTS = 256
 
 
-def hash_map(hashes: DataFrame, column: str) -> np.ndarray:
-    """A map of MAP_BITS bits with the leading bits of 64-bit hashes set, made by Spark.
+def hash_map(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of 2**bits bits with the leading bits of 64-bit hashes set, made by Spark.
 
     Its size is fixed, so it may be broadcast; it has false positives only.
     """
-    bit = hashes.select(F.shiftrightunsigned(column, 64 - MAP_BITS).alias("i")).selectExpr("i >> 6 as w", "shiftleft(1L, cast(i & 63 as int)) as b")
+    bit = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("i")).selectExpr("i >> 6 as w", "shiftleft(1L, cast(i & 63 as int)) as b")
     words = bit.groupBy("w").agg(F.bit_or("b").alias("b"))
-    size = (1 << (MAP_BITS - 6)) // MAP_PARTS
+    size = max(1, (1 << (bits - 6)) // MAP_PARTS)
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(size, np.int64)
@@ -106,7 +109,7 @@ def hash_map(hashes: DataFrame, column: str) -> np.ndarray:
         out[w % size] = pdf.b.to_numpy(np.int64)
         return pd.DataFrame({"part": [w[0] // size], "bits": [out.tobytes()]})
 
-    out = np.zeros((MAP_PARTS, size), np.int64)
+    out = np.zeros(((1 << (bits - 6)) // size, size), np.int64)
     for r in words.groupBy(F.floor(F.col("w") / size)).applyInPandas(part, "part long, bits binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.int64)
     return out.ravel()
@@ -114,5 +117,5 @@ def hash_map(hashes: DataFrame, column: str) -> np.ndarray:
 
 def in_map(map_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each 64-bit hash (unsigned) may be in the map."""
-    i = hashes >> np.uint64(64 - MAP_BITS)
+    i = hashes >> np.uint64(64 - (len(map_).bit_length() + 5))
     return (map_[(i >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (i & np.uint64(63))) & np.uint64(1) == 1

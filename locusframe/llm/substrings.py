@@ -6,17 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from .common import hash_map, in_map, materialize
 from .tokens import Words, slices
 
 #: Words of a window and of a minimiser.
 WINDOW, MINI = 35, 8
-#: Rows of a bucket.
-BUCKET_ROWS = 20_000
-#: A minimiser with more than this share of all super-k-mers is split by a second one.
-HOT_SHARE = 1 / 1000
+#: Distinct strings of a bucket, on average.
+BUCKET_ROWS = 4_000
+#: A minimiser with more super-k-mers than this is split by a second one, whatever the input.
+HOT_ROWS = 4_000
+#: Bits of the map of hot minimisers.
+HOT_BITS = 22
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,11 +46,11 @@ def _minimisers(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (least & np.uint64(0xFFFFFFF)).astype(np.int64)
 
 
-def super_kmers(w: Words, hot: np.ndarray):
+def super_kmers(w: Words, hot: np.ndarray | None):
     """(key, document, first word, last word) arrays of the texts' super-k-mers; words by their number.
 
     A super-k-mer is a longest run of consecutive windows with the same minimiser. The windows of a
-    hot minimiser are split by a second one as well; equal windows have equal keys either way.
+    hot minimiser (a map of hashes) are split by a second one as well; equal windows have equal keys either way.
     """
     words, total = w.hash, len(w.hash)
     if total < WINDOW:
@@ -63,10 +64,10 @@ def super_kmers(w: Words, hot: np.ndarray):
         return (np.zeros(0, np.int64),) * 4
     key = h[place]
     change = np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]
-    if len(hot):
+    if hot is not None:
         h2, place2 = _minimisers(words, 2)
         place2 = place2[whole]
-        is_hot = np.isin(key, hot)
+        is_hot = in_map(hot, key)
         key = np.where(is_hot, _mixed(key ^ _mixed(h2[place2])), key)
         change[1:] |= is_hot[1:] & (place2[1:] != place2[:-1])
     at = np.flatnonzero(change)
@@ -75,38 +76,45 @@ def super_kmers(w: Words, hot: np.ndarray):
     return key[at].view(np.int64), d, starts[at], starts[last] + WINDOW - 1
 
 
-def _repeated_spans(packed: list[bytes], weight: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each packed string the spans of words in windows that occur twice or more, all strings counted.
+def _repeated_spans(packed: list[bytes], weight: np.ndarray) -> list[tuple[int, int, int]]:
+    """(string, first word, last word) of the windows that occur twice or more, all packed strings counted.
 
-    Windows are sorted by a 64-bit hash of their words; equal neighbours are compared word by word.
+    Windows are sorted by a 64-bit hash of their words; equal neighbours are compared word by word, by
+    the words' own 64-bit hashes and lengths. Windows that touch are one span.
     """
-    split = [p.split() for p in packed]
-    ids, _ = pd.factorize(np.array([w for s in split for w in s], dtype=object))
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    first = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(len(split)), lengths)
-    word = _mixed(_mixed(ids.astype(np.uint64) + np.uint64(0x51ED27)))
-    n = len(ids) - WINDOW + 1
+    hashes, sizes, firsts, total = [], [], [0], 0
+    for a, b in slices(packed):
+        w = Words(packed[a:b], False)
+        hashes.append(w.hash)
+        sizes.append((w.end - w.start).astype(np.int32))
+        firsts += (w.first[1:] + total).tolist()
+        total += len(w.hash)
+    if total < WINDOW:
+        return []
+    word, size, first = np.concatenate(hashes), np.concatenate(sizes), np.array(firsts)
+    row = np.repeat(np.arange(len(packed)), np.diff(first))
+    n = total - WINDOW + 1
     h = np.zeros(n, np.uint64)
     for j in range(WINDOW):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + word[j : j + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += word[j : j + n]
     start = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
     order = start[np.argsort(h[start], kind="stable")]
+    if not len(order):
+        return []
     same = np.r_[False, h[order][1:] == h[order][:-1]]
     for j in range(WINDOW):
         pick = np.flatnonzero(same)
-        same[pick] = ids[order[pick] + j] == ids[order[pick - 1] + j]
+        x, y = order[pick] + j, order[pick - 1] + j
+        same[pick] = (word[x] == word[y]) & (size[x] == size[y])
     group = np.cumsum(~same) - 1
-    twice = np.bincount(group, weights=weight[row[order]])[group] >= 2
-    spans: list[list[tuple[int, int]]] = [[] for _ in split]
-    for s in np.sort(order[twice]).tolist():
-        r = row[s]
-        a = int(s - first[r])
-        if spans[r] and a <= spans[r][-1][1] + 1:
-            spans[r][-1] = (spans[r][-1][0], a + WINDOW - 1)
-        else:
-            spans[r].append((a, a + WINDOW - 1))
-    return spans
+    at = np.sort(order[np.bincount(group, weights=weight[row[order]])[group] >= 2])
+    if not len(at):
+        return []
+    # Starts at most a window apart in one string belong to one span.
+    cut = np.flatnonzero((row[at[1:]] != row[at[:-1]]) | (at[1:] > at[:-1] + WINDOW)) + 1
+    lo, hi = at[np.r_[0, cut]], at[np.r_[cut, len(at)] - 1]
+    return list(zip(row[lo].tolist(), (lo - first[row[lo]]).tolist(), (hi - first[row[hi]] + WINDOW - 1).tolist()))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -114,8 +122,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     1. Minimisers of all super-k-mers are counted (hashes only). Equal windows have equal
        minimisers, so only super-k-mers with a repeated one can hold a repeated window; a map of
-       fixed size, with false positives only, tells the tasks which. Minimisers with a large share
-       of all super-k-mers (at most 1 / HOT_SHARE of them) are split by a second minimiser.
+       fixed size, with false positives only, tells the tasks which. Minimisers with more than
+       HOT_ROWS super-k-mers, known by another such map, are split by a second minimiser.
     2. Those super-k-mers travel as one packed string each. Equal strings are counted before they
        meet their bucket, where sorting finds the windows that occur twice or more, exactly.
     3. The spans go back to the documents that hold the string; the others are not shuffled.
@@ -131,27 +139,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = list(pdf.text)
             for a, b in slices(texts):
-                key, *_ = super_kmers(Words(texts[a:b], False), np.zeros(0, np.uint64))
+                key, *_ = super_kmers(Words(texts[a:b], False), None)
                 if len(key):
                     k, n = np.unique(key, return_counts=True)
                     yield pd.DataFrame({"key": k, "n": n})
 
     counts = materialize(src.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    # At most 1 / HOT_SHARE rows.
-    hot = np.array([r["key"] for r in counts.where(F.col("n") > max(1000.0, total * HOT_SHARE)).select("key").collect()], np.int64).view(np.uint64)
-    repeated = spark.sparkContext.broadcast(hash_map(counts, "key"))
+    sc = spark.sparkContext
+    repeated = sc.broadcast(hash_map(counts, "key"))
+    hot = sc.broadcast(hash_map(counts.where(F.col("n") > HOT_ROWS), "key", HOT_BITS))
 
     def pack(batches):
         for pdf in batches:
             all_texts = list(pdf.text)
             for a, b in slices(all_texts):
                 w = Words(all_texts[a:b], False)
-                key, d, s, e = super_kmers(w, np.zeros(0, np.uint64))
+                key, d, s, e = super_kmers(w, None)
                 keep = in_map(repeated.value, key.view(np.uint64))
-                if len(hot) and len(key):
-                    wide = np.isin(key.view(np.uint64), hot)
-                    k2, d2, s2, e2 = super_kmers(w, hot)
+                wide = in_map(hot.value, key.view(np.uint64))
+                if wide.any():
+                    k2, d2, s2, e2 = super_kmers(w, hot.value)
                     # Split super-k-mers lie inside those of a hot minimiser.
                     inside = _inside(s2, s[wide], e[wide])
                     keep &= ~wide
@@ -165,48 +172,58 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     found = materialize(src.mapInPandas(pack, f"key long, packed binary, doc_id {doc_type}, text_key long, start int").withColumn("string", F.xxhash64("packed")))
+    repeated.destroy()
+    hot.destroy()
     buckets = max(1, -(-found.count() // BUCKET_ROWS))
     strings = found.groupBy("key", "string").agg(F.any_value("packed").alias("packed"), F.count(F.lit(1)).alias("n"))
 
     def spans(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _repeated_spans(list(pdf.packed), pdf.n.to_numpy(np.float64))
-        out = [(k, s, a, b) for k, s, x in zip(pdf.key, pdf.string, got) for a, b in x]
-        return pd.DataFrame(out, columns=["key", "string", "a", "b"]).astype({"key": "int64", "string": "int64", "a": "int32", "b": "int32"})
+        got = np.array(_repeated_spans(list(pdf.packed), pdf.n.to_numpy(np.float64)), np.int64).reshape(-1, 3)
+        i = got[:, 0]
+        return pd.DataFrame({"key": pdf.key.to_numpy()[i], "string": pdf.string.to_numpy()[i], "a": got[:, 1].astype(np.int32), "b": got[:, 2].astype(np.int32)})
 
     spanned = strings.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(spans, "key long, string long, a int, b int")
     cover = found.select("key", "string", "doc_id", "text_key", "start").join(spanned, ["key", "string"])
     by_doc = cover.select("doc_id", "text_key", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span")).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
     by_doc = materialize(by_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b")))
-    # Documents without a span, by a map of fixed size, stay where they are; the others meet theirs.
-    spanned_docs = spark.sparkContext.broadcast(hash_map(by_doc, "_k"))
-
-    @F.pandas_udf(BooleanType())
-    def has_span(keys: pd.Series) -> pd.Series:
-        return pd.Series(in_map(spanned_docs.value, keys.to_numpy(np.int64).view(np.uint64)))
+    # Documents without a span, by a map of fixed size, are cut where they lie; only the others meet their spans.
+    spanned_docs = sc.broadcast(hash_map(by_doc, "_k", HOT_BITS + 3))
+
+    def rows(pdf: pd.DataFrame, a, b) -> pd.DataFrame:
+        n, gone, kept = [], [], []
+        for text, x, y in zip(pdf.text, a, b):
+            t = text.split()
+            n.append(len(t))
+            if x is not None and len(x):
+                off = np.zeros(len(t) + 1, np.int32)
+                np.add.at(off, np.asarray(x), 1)
+                np.add.at(off, np.asarray(y) + 1, -1)
+                stay = np.cumsum(off)[:-1] == 0
+                t = [w for w, z in zip(t, stay.tolist()) if z]
+            gone.append(n[-1] - len(t))
+            kept.append(b" ".join(t))
+        return pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "n_words": n, "n_removed": gone, "kept": kept})
+
+    def has_span(pdf: pd.DataFrame) -> np.ndarray:
+        return in_map(spanned_docs.value, pdf.text_key.to_numpy(np.int64).view(np.uint64))
+
+    def whole(batches):
+        for pdf in batches:
+            pdf = pdf[~has_span(pdf)]
+            none = [None] * len(pdf)
+            yield rows(pdf, none, none)
 
-    flagged = src.withColumn("flag", has_span("text_key"))
-    none = F.lit(None).cast("array<int>")
-    whole = flagged.where(~F.col("flag")).select("doc_id", "text_key", "text", none.alias("a"), none.alias("b"))
-    met = flagged.where("flag").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text_key", "text", "a", "b")
+    def met(batches):
+        for pdf in batches:
+            yield pdf[has_span(pdf)]
 
     def cut(batches):
         for pdf in batches:
-            n, gone, kept = [], [], []
-            for text, a, b in zip(pdf.text, pdf.a, pdf.b):
-                t = text.split()
-                n.append(len(t))
-                if a is not None and len(a):
-                    off = np.zeros(len(t) + 1, np.int64)
-                    np.add.at(off, np.asarray(a), 1)
-                    np.add.at(off, np.asarray(b) + 1, -1)
-                    stay = np.cumsum(off)[:-1] == 0
-                    t = [w for w, x in zip(t, stay) if x]
-                gone.append(n[-1] - len(t))
-                kept.append(b" ".join(t))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "n_words": n, "n_removed": gone, "kept": kept})
+            yield rows(pdf, pdf.a, pdf.b)
 
     schema = f"doc_id {doc_type}, text_key long, n_words long, n_removed long, kept binary"
-    return whole.mapInPandas(cut, schema).unionByName(met.mapInPandas(cut, schema)).withColumn("kept", F.decode("kept", "utf-8"))
+    left = src.mapInPandas(met, src.schema).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text_key", "text", "a", "b")
+    return src.mapInPandas(whole, schema).unionByName(left.mapInPandas(cut, schema)).withColumn("kept", F.decode("kept", "utf-8"))
 
 
 def _inside(starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

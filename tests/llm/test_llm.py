@@ -127,9 +127,9 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("share", [1 / 1000, 0.0])
-def test_substring_dedup(docs, share, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_SHARE", share)
+@pytest.mark.parametrize("hot", [substrings.HOT_ROWS, 2])
+def test_substring_dedup(docs, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", hot)
     data = corpus()
     texts = [WORD.findall(r[1] or "") for r in data]
     kept = removed(texts)
@@ -144,8 +144,10 @@ def test_split_super_kmers_cover_the_same_windows():
     rng = np.random.default_rng(8)
     w = Words([" ".join(map(str, rng.integers(0, 30, 900))).encode() for _ in range(3)], False)
     windows = lambda x: sorted(i for s, e in zip(x[2].tolist(), x[3].tolist()) for i in range(s, e - 33))
-    plain = substrings.super_kmers(w, np.zeros(0, np.uint64))
-    hot = np.unique(plain[0])[::2].view(np.uint64)
+    plain = substrings.super_kmers(w, None)
+    hot = np.zeros(1 << 16, np.int64)  # a map of 22 bits
+    for i in (np.unique(plain[0])[::2].view(np.uint64) >> np.uint64(42)).tolist():
+        hot[i >> 6] |= np.uint64(1 << (i & 63)).view(np.int64)
     split = substrings.super_kmers(w, hot)
     assert windows(plain) == windows(split) and len(split[0]) > len(plain[0])
 
