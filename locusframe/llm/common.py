@@ -41,7 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it again.
 
     This cuts the lineage, survives lost executors and gives later stages real sizes. The shuffle
-    files behind the table go as soon as it is written.
+    files behind the table go as soon as it is written; `release` removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -51,7 +51,17 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` wrote and that no plan still to be run reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.materialized_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

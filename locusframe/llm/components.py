@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
+
+#: Members of a bucket that one task compares with each other, and rows that a task gets at a time.
+BLOCK, GROUP_ROWS = 1024, 4000
 
 
 def star_pairs(rows: DataFrame, related: Column) -> DataFrame:
@@ -21,54 +26,55 @@ def star_pairs(rows: DataFrame, related: Column) -> DataFrame:
     return found.where((F.col("a") != F.col("b")) & related).select("a", "b").distinct()
 
 
-def split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, meta, comp) of the buckets whose members lie in several components.
-
-    `labels`: node, comp; a node without a label is a component of its own.
-    """
-    named = labels.select(F.col("node").alias("_n"), "comp")
-    placed = rows.join(named, F.col("node") == F.col("_n"), "left").select("key", "node", "meta", F.coalesce("comp", "node").alias("comp"))
-    keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    return materialize(placed.join(keys, "key", "left_semi"))
-
-
-def differing_bits(sketches: DataFrame) -> Column:
-    """Differing bits of two nodes' sketches, the x_ and y_ columns of all of `sketches` but node.
-
-    A sketch bit is the parity of the tokens hashed to it, so sets differ in at least as many tokens
-    as their sketches do in bits: a bound on the difference leaves out no pair below it.
-    """
-    parts = [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in sketches.columns if c != "node"]
-    return functools.reduce(lambda a, b: a + b, parts)
-
-
-def cross_pairs(placed: DataFrame, sketches: DataFrame, related: Column) -> DataFrame:
-    """Distinct pairs (a, b) of members of one bucket that lie in different components.
+def split_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, node, comp, n) of the buckets whose n members lie in several components, equal buckets once.
 
-    `placed` comes from `split_buckets`; `sketches` has node and whatever `related` compares. `related`
-    is a condition on the columns x_node, x_meta, y_node, y_meta and the sketches' of an ordered
-    pair; it holds within the join, so pairs that it rules out are not made.
+    `labels`: node, comp; a node without a label is a component of its own. Many keys of two similar
+    sets have the same members: of buckets with as many members and equal 128-bit sums of their
+    hashes, one stays.
     """
-    wide = placed.join(sketches, "node")
-    x, y = (wide.select([F.col(c).alias(f"{side}_{c}") for c in wide.columns]) for side in "xy")
-    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & related)
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-
-
-def pivot_pairs(placed: DataFrame, sketches: DataFrame, related: Column, pivots: int) -> DataFrame:
-    """Distinct pairs (a, b) of members a with `pivots` members b of their bucket, in other components.
-
-    Half of the pivots are drawn by hash among all members, half among the components first, so that
-    small ones are drawn too. At most `pivots` pairs a row.
+    placed = rows.select("key", "node")
+    if labels is None:
+        placed = placed.withColumn("comp", F.col("node"))
+    else:
+        named = labels.select(F.col("node").alias("_n"), "comp")
+        placed = placed.join(named, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    keys = placed.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("lo != hi")
+    once = keys.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return materialize(placed.join(once, "key"))
+
+
+def compared(placed: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that `compare` finds among the members of each bucket.
+
+    `placed` comes from `split_buckets`; `payload` has node and what `compare` needs. Tasks get whole
+    buckets, about `GROUP_ROWS` rows at a time. A bucket of more than `BLOCK` members is dealt to
+    blocks, and each two of its blocks meet, so no task holds an unbounded bucket; pairs are compared
+    in the tasks, and only those that are found become rows. `compare` gets the rows and the bounds of
+    the buckets in them, and returns the numbers of rows that pair.
     """
-    drawn = [F.max(F.struct(F.xxhash64("comp" if i % 2 else "node", F.lit(i)).alias("c"), F.xxhash64("node", F.lit(i)).alias("h"), "node", "meta", "comp")).alias(f"p{i}") for i in range(pivots)]
-    few = placed.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[f"p{i}" for i in range(pivots)])).alias("p"))
-    few = few.select("key", "p.node", "p.meta", "p.comp").distinct().join(sketches, "node")
-    wide = placed.join(sketches, "node")
-    x = wide.select([F.col(c).alias(f"x_{c}") for c in wide.columns])
-    y = few.select([F.col(c).alias(f"y_{c}") for c in few.columns])
-    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & related)
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    total = placed.count()
+    groups = max(1, -(-total // GROUP_ROWS))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = placed.withColumn("_blocks", blocks).withColumn("_i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
+    large = dealt.where("_blocks > 1").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.where("_blocks = 1").withColumn("_j", F.lit(0)).unionByName(large)
+    dealt = dealt.select("key", "node", "comp", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
+    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("key", "_i", "_j"), F.lit(groups)))
+    out = np.dtype(np.int64)
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "_i", "_j", "node"], ignore_index=True)
+        new = (pdf[["key", "_i", "_j"]].to_numpy()[1:] != pdf[["key", "_i", "_j"]].to_numpy()[:-1]).any(1)
+        bounds = np.r_[0, np.flatnonzero(new) + 1, len(pdf)]
+        i, j = compare(pdf, bounds)
+        node = pdf.node.to_numpy()
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]).astype(out), "b": np.maximum(node[i], node[j]).astype(out)}).drop_duplicates()
+
+    return dealt.join(payload, "node").groupBy("_g").applyInPandas(find, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -80,12 +86,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a != b").select("a", "b")
     both = materialize(both.union(both.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    stored = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
+        labels = stored.select("node", "comp")
         ahead = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         near = labels.join(ahead, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("node").alias("_n"), F.col("comp").alias("far"))
         new = materialize(near.join(jump, F.col("comp") == F.col("_n")).select("node", "old", F.least("comp", "far").alias("comp")))
-        labels = new.select("node", "comp")
+        release(stored)
+        stored = new
         if new.where("comp != old").limit(1).count() == 0:
-            return labels
+            release(both)
+            return new.select("node", "comp")

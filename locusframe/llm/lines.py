@@ -1,120 +1,229 @@
-"""Line dedup: near-equal lines by MinHash, with DataFrame functions only."""
+"""Line dedup: near-equal lines by MinHash, banding, exact Jaccard and union-find."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import materialize
-from .components import components, cross_pairs, differing_bits, pivot_pairs, split_buckets
+from .common import hash_map, in_map, materialize, release
+from .components import compared, components, split_buckets
+from .tokens import mixed
 
-#: Characters below which a line is never compared for near-equality, and characters of a shingle.
-LEAST_CHARS, CHARS = 20, 5
+#: Characters of a shingle.
+CHARS = 5
 #: Bands of ROWS MinHash values each: at a similarity of 0.75 a pair of lines shares a band with
 #: probability 1 - (1 - 0.75**5)**19 = 0.994, at 0.8 with 0.999, at 0.85 with 0.9999. Lines of one
 #: language share a tenth of such short shingles by chance; five values keep those out of buckets.
 BANDS, ROWS = 19, 5
 SIMILARITY = 0.75
-#: 64-bit words of a parity sketch.
-SKETCH = 8
-#: Rounds in which the members of a bucket still split are compared with some of its members, and how many.
-ROUNDS, PIVOTS = 2, 8
-
-
-def _shingles(line: str) -> Column:
-    """Distinct 32-bit hashes of the CHARS characters at every place of a line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))."), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
-
-
-def _least(i: int) -> Column:
-    """The i-th MinHash value of the hashes s of a group: each i mixes them anew."""
-    return F.min(F.hash(F.lit(i), "s"))
+#: Characters that numpy holds at a time, and members of a bucket whose pairs are listed.
+SLICE, LISTED = 1 << 19, 32
+_CHAR = np.random.default_rng(41).integers(1, 2**63, CHARS).astype(np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(42).integers(0, 2**32, BANDS * ROWS).astype(np.uint32) | np.uint32(1)
+_GAP = "\0" * (CHARS - 1)
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """node, meta (number of shingles), bands (keys, each the hash of ROWS MinHash values and the band's
-    number) and s0... (parities of the number of hashes at each place of the sketch), of (node, line).
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the CHARS characters at every place of each line, one line after another, and how many each has.
 
-    Shingles are rows here: aggregates over them are compiled, functions over arrays are not.
+    A shorter line has one shingle, all of it.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("s", 8).bitwiseAND(F.lit(63)))
-    part = F.col("s").bitwiseAND(F.lit(SKETCH - 1))
-    sketch = [F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
-    least = [_least(i).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    got = lines.select("node", F.explode(_shingles("line")).alias("s")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("meta"), *sketch, *least)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{ROWS * b + i}" for i in range(ROWS)]) for b in range(BANDS)])
-    return got.select("node", "meta", bands.alias("bands"), *[f"s{i}" for i in range(SKETCH)])
-
-
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer((_GAP.join(lines) + _GAP).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code) - CHARS + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for j in range(CHARS):
+        h += (code[j : n + j].astype(np.uint64) + np.uint64(1)) * _CHAR[j]
+    count = np.maximum(1, size - CHARS + 1)
+    first = np.cumsum(size + CHARS - 1) - (size + CHARS - 1)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return mixed(h[at]), count
+
+
+def slices(lines: list[str]) -> Iterator[list[str]]:
+    """Lines in order, about SLICE characters at a time (a longer line alone)."""
+    part, size = [], 0
+    for x in lines:
+        part.append(x)
+        size += len(x)
+        if size >= SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """BANDS * ROWS MinHash values of each line: the least product, modulo 2**32, with each odd number."""
+    h, count = shingles(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum(count) - count
+    return np.stack([np.minimum.reduceat(h * odd, first) for odd in _ODD], axis=1)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """BANDS keys of each line: the hash of ROWS MinHash values and the band's number."""
+    out = [np.zeros((0, BANDS), np.uint64)]
+    for part in slices(lines):
+        m = signatures(part).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), m.shape[:2])
+        for i in range(ROWS):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
+        out.append(key)
+    return np.concatenate(out)
+
+
+class _Sets:
+    """Sets of shingles of distinct lines: tokens are numbers, equal ones for equal 64-bit hashes."""
+
+    def __init__(self, lines: list[str]):
+        found = [shingles(p) for p in slices(lines)]
+        h = np.concatenate([x for x, _ in found])
+        owner = np.repeat(np.arange(len(lines)), np.concatenate([c for _, c in found]))
+        distinct, token = np.unique(h, return_inverse=True)
+        both = np.unique((owner << 32) | token)
+        self.owner, self.token = both >> 32, both & 0xFFFFFFFF
+        self.size = np.bincount(self.owner, minlength=len(lines))
+        self.first = np.r_[0, np.cumsum(self.size)]
+        place = (distinct[self.token] & np.uint64(1023)).astype(np.int64)
+        odd = np.bincount(self.owner * 1024 + place, minlength=1024 * len(lines)) & 1
+        self.parity = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, 16)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.token[self.first[i] : self.first[i + 1]]
+
+    def bits(self, members: np.ndarray) -> np.ndarray:
+        """Rows of bits of the members' tokens that two of them have, at least."""
+        at = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in members.tolist()])
+        row = np.repeat(np.arange(len(members)), self.size[members])
+        _, token, count = np.unique(self.token[at], return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        keep = count[token] > 1
+        row, place = row[keep], place[token[keep]]
+        wide = int(place.max(initial=0)) // 64 + 1
+        out = np.zeros(len(members) * wide, np.uint64)
+        np.bitwise_or.at(out, row * wide + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        return out.reshape(len(members), wide)
+
+
+def line_links(pdf: pd.DataFrame, bounds: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket whose lines are similar, as many as join all that are (columns node, line).
+
+    Lines already joined, in whatever bucket of these rows, are not compared again. Small buckets list
+    their pairs, and parity sketches (`sketches.sketch`, here of 1024 places) rule most out; large ones
+    count common tokens on rows of bits.
+    """
+    code, nodes = pd.factorize(pdf.node)
+    row = np.zeros(len(nodes), np.int64)
+    row[code[::-1]] = np.arange(len(code))[::-1]
+    sets = _Sets([pdf.line.iat[i] for i in row])
+    root = np.arange(len(nodes))
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, js: np.ndarray) -> None:
+        old = np.unique(root[js])
+        old = old[old != root[i]]
+        for r in old.tolist():
+            out.append((row[i], row[js[root[js] == r][0]]))
+        if len(old):
+            root[np.isin(root, old)] = root[i]
+
+    near = lambda x, y, common: common * (1 + similarity) >= similarity * (x + y) - 1e-9
+    sizes = np.diff(bounds)
+    listed = [np.zeros((0, 2), np.int64)]
+    for m in range(2, LISTED + 1):
+        lo = bounds[:-1][sizes == m]
+        if len(lo):
+            i, j = np.triu_indices(m, 1)
+            listed.append(np.stack([code[(lo[:, None] + i).ravel()], code[(lo[:, None] + j).ravel()]], axis=1))
+    pairs = np.unique(np.sort(np.concatenate(listed), axis=1), axis=0)
+    x, y = sets.size[pairs[:, 0]], sets.size[pairs[:, 1]]
+    pairs = pairs[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9]
+    kept = []
+    for p in np.array_split(pairs, max(1, len(pairs) // 100_000)):
+        differ = np.bitwise_count(sets.parity[p[:, 0]] ^ sets.parity[p[:, 1]]).sum(1, dtype=np.int64)
+        kept.append(p[(1 + similarity) * differ <= (1 - similarity) * (sets.size[p[:, 0]] + sets.size[p[:, 1]]) + 1e-9])
+    for i, j in np.concatenate(kept).tolist():
+        if root[i] != root[j] and near(sets.size[i], sets.size[j], len(np.intersect1d(sets.of(i), sets.of(j), assume_unique=True))):
+            join(i, np.array([j]))
+    for lo, hi in zip(bounds[:-1][sizes > LISTED].tolist(), bounds[1:][sizes > LISTED].tolist()):
+        members = code[lo:hi]
+        bits = sets.bits(members)
+        for k, i in enumerate(members.tolist()):
+            rest = np.flatnonzero(root[members[k + 1 :]] != root[i]) + k + 1
+            if len(rest):
+                common = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
+                js = members[rest[near(sets.size[i], sets.size[members[rest]], common)]]
+                if len(js):
+                    join(i, js)
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Documents without the lines that an earlier document or line has in equal or near-equal form.
 
-    `docs` has doc_id and text; its other columns pass through (but for _n_removed and _n_kept,
-    which are added: lines removed and lines left). Lines end at a line feed. Equal lines are grouped
-    first, by a 64-bit hash. Distinct lines get MinHash signatures of their character shingles
-    (`_shingles`), bands find candidates, the exact Jaccard similarity of the shingle sets decides, and
-    linked lines form components. Of each component the first line stays:
-    that of the least (doc_id, place). In a bucket each line is compared with a pivot; where lines lie
-    in different components still, with some pivots more; then all such pairs but those whose parity
-    sketches prove that their sets differ by too much.
-
-    Lines under `LEAST_CHARS` characters always stay, unless `short` is set: then equal ones are
-    removed too, but for blank ones (paragraphs' ends); they get no signature. Null text stays null, empty text empty. Null
-    doc_id sorts first. Documents equal in doc_id and text count as one and keep the same lines.
+    `docs` has doc_id and text; other columns, whatever their names, pass through (but for _n_removed
+    and _n_kept, which are added: lines removed and lines left). Lines end at a line feed. Equal lines
+    are grouped first, by a 64-bit hash. Distinct lines get MinHash signatures of their shingles of
+    `CHARS` characters; bands put them in buckets; the exact Jaccard similarity of the sets (64-bit
+    hashes) decides within a bucket, in tasks that hold a bounded block of it; linked lines form
+    components. Of each component the first line stays: that of the least (doc_id, place).
+
+    Blank lines, ends of paragraphs, always stay. Lines under `CHARS` characters are near only where
+    they are equal. Null text stays null, empty text empty. Null doc_id sorts first. Documents equal
+    in doc_id and text count as one and keep the same lines. Very long lines are compared whole.
     Empty table: no rows.
     """
-    key = F.xxhash64("text")
-    src = docs.drop("_n_removed", "_n_kept").withColumn("_key", key)
-    lines = src.where(F.col("text").isNotNull()).select("doc_id", F.col("_key").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long = F.length("line") >= LEAST_CHARS
-    lines = lines.where(long | F.col("line").rlike(r"\S") if short else long).withColumn("node", F.xxhash64("line"))
+    columns = [c for c in docs.columns if c not in ("_n_removed", "_n_kept")]
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    src = src.withColumn("key", F.xxhash64("text"))
+    lines = src.where(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.where(F.col("line").rlike(r"\S")).withColumn("node", F.xxhash64("line"))
     distinct = materialize(lines.groupBy("node").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line")))
-    signed = materialize(_signed(distinct.where(long & F.col("line").rlike(r"\S")).select("node", "line")))
-    rows = signed.select("node", "meta", F.explode("bands").alias("key"))
-    # One shuffle for all that a bucket decides: whether it has several lines, and which is the pivot
-    # (that of most shingles). Large buckets spill; nothing is gathered in one row.
-    bucket = W.partitionBy("key")
-    rows = rows.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).withColumn("pivot", F.max(F.struct("meta", "node")).over(bucket))
-    rows = materialize(rows.where("lo != hi").select("key", "node", "meta", "pivot"))
-
-    x, y = F.col("x_meta"), F.col("y_meta")
-    near = F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    sketches = signed.drop("meta", "bands")
-    related = near & (F.lit(1 + similarity) * differing_bits(sketches) <= F.lit(1 - similarity) * (x + y))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets are similar; each line is cut into shingles where its pairs are."""
-        a, b = (distinct.select(F.col("node").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("la").alias("ha"), _shingles("lb").alias("hb"))
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
-
-    pairs = rows.select(F.col("node").alias("a"), F.col("meta").alias("x_meta"), F.col("pivot.node").alias("b"), F.col("pivot.meta").alias("y_meta")).where("a != b").where(near).distinct()
-    for c, side in ("a", "x"), ("b", "y"):
-        pairs = pairs.join(sketches.select(F.col("node").alias(c), *[F.col(f"s{i}").alias(f"{side}_s{i}") for i in range(SKETCH)]), c)
-    pairs = materialize(pairs.where(related).select("a", "b"))
-    links = materialize(linked(pairs))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = band_keys(list(pdf.line))
+            yield pd.DataFrame({"node": pdf.node, "keys": [k.tobytes() for k in keys]})
+
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf["keys"]), np.int64)})
+
+    signed = materialize(distinct.select("node", "line").mapInPandas(sign, "node long, keys binary"))
+    # Keys that one line alone has are the great majority: they end here.
+    several = signed.select("keys").mapInPandas(keys_of, "key long").groupBy("key").count().where("count > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(hash_map(several, "key"))
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, BANDS)
+            i, j = np.nonzero(in_map(shared.value, keys.ravel()).reshape(keys.shape))
+            yield pd.DataFrame({"key": keys[i, j].view(np.int64), "node": pdf.node.to_numpy()[i]})
+
+    placed = split_buckets(signed.mapInPandas(index, "key long, node long"), None)
+    shared.destroy()
+    release(signed)
+    links = materialize(compared(placed, distinct.select("node", "line"), lambda pdf, bounds: line_links(pdf, bounds, similarity)))
+    release(placed)
     labels = components(links)
-    placed = split_buckets(rows.select("key", "node", "meta"), labels)
-    sketches = materialize(sketches.join(placed.select("node").distinct(), "node", "left_semi"))
-    for _ in range(ROUNDS):
-        links = materialize(links.union(linked(pivot_pairs(placed, sketches, related, PIVOTS))))
-        labels = components(links)
-        placed = split_buckets(placed.select("key", "node", "meta"), labels)
-    rest = cross_pairs(placed, sketches, related & (F.col("x_node") < F.col("y_node")))
-    labels = components(links.union(linked(rest)))
 
     named = distinct.select("node", "first", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     grouped = named.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1).select("comp", "kept")
     repeated = materialize(named.select("node", "comp").join(grouped, "comp").select("node", "kept"))
+    release(distinct, links)
     gone = lines.select("node", "doc_id", "key", "pos").join(repeated, "node").where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("kept")))
-    by_doc = gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "gone")
-    by_doc = by_doc.withColumnRenamed("gone", "_gone")
-    out = src.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    n = F.coalesce(F.size("_gone"), F.lit(0))
-    text = F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    by_doc = materialize(gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "gone"))
+    release(repeated)
+    out = src.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
+    removed = F.coalesce(F.size("gone"), F.lit(0))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
     total = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    return out.withColumn("_n_removed", F.when(F.col("_gone").isNotNull(), n).otherwise(0)).withColumn("_n_kept", total - F.col("_n_removed")).withColumn("text", text).select(*src.drop("_key").columns, "_n_removed", "_n_kept")
+    kept = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns]
+    return out.select(*kept, removed.alias("_n_removed"), (total - removed).alias("_n_kept"))

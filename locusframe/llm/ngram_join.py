@@ -11,18 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_map, in_map, materialize
-from .components import components, cross_pairs, differing_bits, split_buckets, star_pairs
+from .components import compared, components, split_buckets, star_pairs
+from .sketches import may_link, sketch, sketched_pairs
 from .tokens import Words, mixed as _mixed, slices
 
 #: Words of a shingle; two sets link when OF * common >= PART * union.
 SHINGLE, PART, OF = 5, 75, 100
 #: Token classes whose counts tell rare shingles from frequent ones: a table of fixed size.
 CLASS_BITS, SLICES = 20, 64
-#: Bytes of a hashed shingle in a packed set.
-PACK = 5
-#: 64-bit parts of the parity sketch that rules out pairs of sets before they are made.
-SKETCH = 8
-#: Least documents per class that make a shingle frequent, whatever the mean.
+#: Documents above the noise of its class that make a shingle frequent.
 FREQUENT = 48
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -106,25 +103,19 @@ def _keys(h: np.ndarray, load: np.ndarray, bound: float) -> tuple[np.ndarray, np
     return np.concatenate(keys), np.concatenate(small), rank
 
 
-def _sketch(h: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens at each of 64 * SKETCH places."""
-    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _pack(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :PACK]).tobytes()
+def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the sizes and parity sketches of their sets do not rule out."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[may_link(pdf.na, list(pdf.sa), pdf.nb, list(pdf.sb), PART, OF), ["a", "b"]]
 
-def _unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, PACK)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :PACK] = raw
-    return out.view(np.uint64).ravel()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInPandas(keep, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sets link, by exact counts of common tokens."""
+    """Pairs whose sets link, by exact counts of common tokens (64-bit hashes)."""
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
 
@@ -132,8 +123,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf.sa, pdf.sb):
-                common = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
-                ok.append(OF * common >= PART * ((len(x) + len(y)) // PACK - common))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(OF * common >= PART * (len(x) + len(y) - common))
             yield pdf.loc[ok, ["a", "b"]]
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(verify, "a long, b long")
@@ -146,9 +138,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     `SHINGLE` words, or the whole sequence if there are fewer. Documents of equal sets are one node,
     named by a 64-bit hash of the set. Prefixes of tokens, and combinations of frequent ones, are
     the index (`_keys`). Members of a bucket are first compared with one pivot, the member of the
-    most common shingles; what that joins needs no further comparison. Then the pairs of a bucket
-    that still lie in different components are compared, unless parity sketches prove that their
-    sets differ by too much, so no link between components is lost.
+    most common shingles; what that joins needs no further comparison. Then tasks compare the members
+    of each bucket that lie in different components by parity sketches, which prove of most pairs that
+    their sets differ by too much; the other pairs are verified, so no link between components is lost.
     Texts are read where they lie, not shuffled: maps of fixed size tell the tasks which keys
     several nodes have, and which documents' sets are to be compared.
 
@@ -160,30 +152,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
 
-    names = [f"s{i}" for i in range(SKETCH)]
-
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = np.zeros(1 << CLASS_BITS, np.int64)
         for pdf in batches:
-            n, node, sketch = [], [], []
+            n, node, parity = [], [], []
             waiting: list[np.ndarray] = []
             for h in shingle_sets(list(pdf.text)):
                 n.append(len(h))
                 node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                sketch.append(_sketch(h))
+                parity.append(sketch(h))
                 waiting.append(_cls(h))
                 if len(waiting) == 500:
                     load += np.bincount(np.concatenate(waiting), minlength=len(load))
                     waiting = []
             if waiting:
                 load += np.bincount(np.concatenate(waiting), minlength=len(load))
-            parts = dict(zip(names, np.reshape(sketch, (-1, SKETCH)).astype(np.int64).T))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "slice": -1, "load": None} | parts)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "sketch": parity, "slice": -1, "load": None})
         for i, part in enumerate(np.split(load, SLICES)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "slice": [i], "load": [part.astype("<i4").tobytes()]} | dict.fromkeys(names, 0)).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "sketch": [None], "slice": [i], "load": [part.astype("<i4").tobytes()]}).astype({"doc_id": "Int64"})
 
-    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, slice int, load binary, " + ", ".join(f"{c} long" for c in names)))
+    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, sketch binary, slice int, load binary"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, "<i4").astype(np.int64) for x in pdf.load], axis=0)
@@ -196,12 +185,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for r in slices_.collect():
         load[r["slice"]] = np.frombuffer(r["load"], "<i4")
     load = load.ravel()
-    bound = FREQUENT + 2 * float(load.mean())
+    # What a class holds besides a token's own documents is about the median load, give or take its root.
+    noise = float(np.median(load))
+    bound = FREQUENT + noise + 6 * np.sqrt(noise)
     shared_load = spark.sparkContext.broadcast(load)
 
     sizes = measured.where("slice < 0").select("doc_id", "n", "node")
     usable = measured.where("slice < 0 and n > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.max(c).alias(c) for c in names]))
+    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
 
     def keyed(pdf: pd.DataFrame, done: set) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
         """Keys of each new set of a batch; copies of a set that this task has seen are skipped."""
@@ -243,14 +234,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     size = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 40) - 1)), 1)
     least, most = F.least(size("x_meta"), size("y_meta")), F.greatest(size("x_meta"), size("y_meta"))
-    pairs = materialize(star_pairs(rows, OF * least >= PART * most))
+    for shared in (shared_load, common):
+        shared.destroy()
+    pairs = materialize(_may_link(star_pairs(rows, OF * least >= PART * most), nodes))
     first = materialize(_linked(pairs, _sets(src, nodes, pairs)))
     labels = components(first)
-    related = (F.col("x_meta").bitwiseAND(F.lit(1)) == 1) & (size("x_meta") <= size("y_meta")) & (OF * size("x_meta") >= PART * size("y_meta"))
-    sketches = nodes.select("node", *names)
-    related &= (OF + PART) * differing_bits(sketches) <= (OF - PART) * (size("x_meta") + size("y_meta"))
-    rest = cross_pairs(split_buckets(rows, labels), sketches, related)
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    rest = compared(split_buckets(rows, labels), nodes.select("node", "n", "sketch"), lambda pdf, bounds: sketched_pairs(pdf, bounds, PART, OF))
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(rest.join(known, ["a", "b"], "left_anti"))
     labels = components(first.union(_linked(rest, _sets(src, nodes, rest))))
 
     placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -271,7 +262,7 @@ def _sets(src: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             pdf = pdf[in_map(wanted.value, pdf.h.to_numpy(np.int64).view(np.uint64))]
             sets = [h for h in shingle_sets(list(pdf.text))]
-            rows = [(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), _pack(h)) for h in sets if len(h)]
+            rows = [(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), h.tobytes()) for h in sets if len(h)]
             yield pd.DataFrame(rows, columns=["node", "set"]).astype({"node": "int64"})
 
     found = src.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInPandas(pack, "node long, set binary")

@@ -8,10 +8,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, substrings, topk
+from locusframe.llm import components as graph
+from locusframe.llm import decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, sketches, substrings, topk
 from locusframe.llm.components import components
 from locusframe.llm.tokens import Words
 
@@ -333,10 +335,66 @@ def test_lines(spark):
     near = common.replace("many", "most")
     other = "quite another sentence with nothing in common with the rest of them at all, as one can see, though it too has to have a good many words to be told apart from lines of its own kind"
     rows = [(3, f"{common}\nshort\n{other}"), (1, f"short\n{common}"), (2, f"{near}\nshort\n"), (4, None), (5, ""), (None, other + " indeed"), (6, f"{common}\n{common}"), (1, f"short\n{common}")]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _n_kept int")
-    got = {(r["doc_id"], r["text"], r["_n_removed"], r["_n_kept"]) for r in rows_of(lines.dedup_lines(df))}
-    assert got == {(3, "short", 2, 1), (1, f"short\n{common}", 0, 2), (2, "short\n", 1, 2), (4, None, 0, 0), (5, "", 0, 1), (None, other + " indeed", 0, 1), (6, "", 2, 0)}
-    assert lines.dedup_lines(df).count() == len(rows) and lines.dedup_lines(df.where("false")).count() == 0
+    clash = ("_n_kept", "_d", "_gone", "_key", "key", "row", "gone", "k", "_k", "pos", "line")
+    df = spark.createDataFrame([(*r, *[i] * len(clash)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *clash[1:], "_n_removed", "_n_kept"]
+    got = {(r["doc_id"], r["text"], r["_n_removed"], r["_n_kept"]) for r in rows_of(out)}
+    assert got == {(3, "", 3, 0), (1, f"short\n{common}", 0, 2), (2, "", 2, 1), (4, None, 0, 0), (5, "", 0, 1), (None, other + " indeed", 0, 1), (6, "", 2, 0)}
+    assert out.count() == len(rows) and {r["_key"] for r in rows_of(out)} == set(range(len(rows))) and lines.dedup_lines(df.where("false")).count() == 0
+
+
+def line_components(texts, similarity=0.75):
+    """Brute force: lines' components by the exact similarity of all pairs of sets."""
+    sets = [{t[k : k + 5] for k in range(max(1, len(t) - 4))} for t in texts]
+    top = list(range(len(texts)))
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for i, j in links:
+        a, b = sorted((top[i], top[j]))
+        top = [a if x == b else x for x in top]
+    return top, links
+
+
+def near_lines(seed, families, size):
+    """Families of lines with more and fewer characters changed, about the threshold and above."""
+    rng = np.random.default_rng(seed)
+    words, out = vocabulary(400, seed), []
+    for _ in range(families):
+        base = list(" ".join(rng.choice(words, rng.integers(1, 30))))
+        for _ in range(size):
+            t = list(base)
+            for p in rng.choice(len(t), rng.integers(0, max(2, len(t) // 20)), replace=False):
+                t[p] = "#"
+            out.append("".join(t))
+    return sorted(set(out), key=lambda t: hashlib.md5(t.encode()).digest())
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Recall of removed lines, and none removed that brute force keeps, over lines of 2 to 250 characters."""
+    texts = [*near_lines(51, 60, 6), "x" * 120_000, "x" * 119_990 + "y" * 20, "z", "é", "ab", "abcd"]
+    top, links = line_components(texts)
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    gone = {r["doc_id"] for r in got.where("_n_removed > 0").collect()}
+    want = {i for i, t in enumerate(top) if t != i}
+    assert len(want) > 100 and len(gone & want) >= 0.98 * len(want)
+    assert gone <= want
+
+
+@pytest.mark.parametrize("listed", [lines.LISTED, 1])
+def test_line_links_are_exact_within_buckets(listed, monkeypatch):
+    """All lines in one bucket, or in several: the links join just what brute force joins."""
+    monkeypatch.setattr(lines, "LISTED", listed)
+    texts = near_lines(52, 8, 4)[:30]
+    for cuts in ([0, len(texts)], [0, 2, 9, 10, len(texts)]):
+        pdf = pd.DataFrame({"node": range(100, 100 + len(texts)), "line": texts})
+        i, j = lines.line_links(pdf, np.array(cuts), 0.75)
+        parts = [line_components(texts[a:b])[0] for a, b in zip(cuts, cuts[1:])]
+        want = [t + a for a, p in zip(cuts, parts) for t in p]
+        got = list(range(len(texts)))
+        for a, b in zip(i.tolist(), j.tolist()):
+            p, q = sorted((got[a], got[b]))
+            got = [p if x == q else x for x in got]
+        assert got == want and len(i) == len(texts) - len(set(want))
 
 
 def test_equal_short_lines_are_removed_by_the_query(spark, tmp_path):
@@ -361,35 +419,30 @@ def test_lines_with_one_changed_word_are_near(spark):
     assert gone <= near and len(near) > 30 and len(gone) >= len(near) - 2
 
 
-def test_minhash_values_are_independent(spark):
+def test_minhash_values_are_independent(monkeypatch):
     """Pairs of sets with 6 of 8 hashes in common: agreeing values are as many, and spread as far, as by chance."""
     rng = np.random.default_rng(12)
-    n, rows = lines.BANDS * lines.ROWS, []
-    for i in range(1000):
-        h = rng.integers(-(2**31), 2**31, 8).tolist()
-        rows += [(i, 0, x) for x in h] + [(i, 1, x) for x in h[:6]]
-    sets = spark.createDataFrame(rows, "pair int, side int, s int").groupBy("pair", "side").agg(F.array(*[lines._least(i) for i in range(n)]).alias("m"))
-    m = {(r["pair"], r["side"]): np.array(r["m"]) for r in sets.collect()}
-    agree = np.array([m[i, 0] == m[i, 1] for i in range(1000)])
+    n, sets = lines.BANDS * lines.ROWS, []
+    for _ in range(1000):
+        h = rng.integers(0, 2**63, 8).astype(np.uint64)
+        sets += [h, h[:6]]
+    monkeypatch.setattr(lines, "shingles", lambda _: (np.concatenate(sets) << np.uint64(1), np.array(list(map(len, sets)))))
+    m = lines.signatures([])
+    agree = m[::2] == m[1::2]
     count = agree.sum(1)
     assert count.mean() / n == pytest.approx(0.75, abs=0.01)
     assert count.var() < 1.3 * n * 0.75 * 0.25
-    bands = agree.reshape(1000, lines.BANDS, lines.ROWS).all(2).any(1)
-    assert bands.mean() > 0.985
+    assert agree.reshape(1000, lines.BANDS, lines.ROWS).all(2).any(1).mean() > 0.985
 
 
-def test_bands_have_their_recall_at_every_size(spark):
+def test_bands_have_their_recall_at_every_size():
     """Pairs at a similarity of 0.75 exactly, 3 of 4 shingles and so on: the share with a common band."""
     rng = np.random.default_rng(12)
-    letters, rows = np.array(list("abcdefghijklmnopqrstuvwxyz")), []
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     for n in (3, 6, 30, 150):
-        for i in range(2000 if n < 100 else 500):
-            text = "".join(rng.choice(letters, n * 4 // 3 + 4))
-            rows += [(f"{n} {i}", text), (f"{n} {i}", text[: n + 4])]
-    df = spark.createDataFrame([(j, k, t) for j, (k, t) in enumerate(rows)], "node long, pair string, line string")
-    found = lines._signed(df.select("node", "line")).join(df, "node").groupBy("pair").agg(F.max_by("bands", "node").alias("a"), F.min_by("bands", "node").alias("b"))
-    share = {r["n"]: r["x"] for r in found.groupBy(F.split("pair", " ")[0].alias("n")).agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("x")).collect()}
-    assert len(share) == 4 and all(x > 0.985 for x in share.values()), share
+        texts = ["".join(rng.choice(letters, n * 4 // 3 + 4)) for _ in range(2000 if n < 100 else 500)]
+        a, b = lines.band_keys(texts), lines.band_keys([t[: n + 4] for t in texts])
+        assert (a == b).any(1).mean() > 0.985, n
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
@@ -448,5 +501,45 @@ def test_sketches_bound_the_difference_of_sets():
     for n in (1, 20, 300, 3000):
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.r_[x[: n * 3 // 4], rng.integers(0, 2**63, n // 3).astype(np.uint64)])
-        bits = sum(int(a ^ b).bit_count() for a, b in zip(ngram_join._sketch(x).view(np.uint64), ngram_join._sketch(y).view(np.uint64)))
+        size = min(len(sketches.sketch(x)), len(sketches.sketch(y)))
+        a, b = (sketches._matrix([sketches.sketch(h)], size)[0] for h in (x, y))
+        bits = int(np.bitwise_count(a ^ b).sum())
         assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
+
+
+def test_sketched_pairs_lose_no_link():
+    """Near copies of a few sets of many sizes, in buckets: every linked pair of two components is found."""
+    rng = np.random.default_rng(15)
+    sets = []
+    for n in (3, 14, 60, 250, 1500):
+        base = rng.integers(1, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.r_[base[rng.random(n) > rng.random() / 4], rng.integers(1, 2**63, int(n * rng.random() / 6)).astype(np.uint64)]) for _ in range(12)]
+    sets = [s for s in sets if len(s)]
+    pdf = pd.DataFrame({"n": list(map(len, sets)), "comp": rng.integers(0, 9, len(sets)), "sketch": list(map(sketches.sketch, sets))})
+    bounds = np.array([0, 1, 20, len(sets)])
+    found = set(map(tuple, np.sort(np.array(sketches.sketched_pairs(pdf, bounds, 75, 100)).T, axis=1).tolist()))
+    linked = 0
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        for i, j in combinations(range(lo, hi), 2):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if pdf.comp[i] != pdf.comp[j] and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                linked += 1
+                assert (i, j) in found
+                assert sketches.may_link([len(sets[i])], [pdf["sketch"][i]], [len(sets[j])], [pdf["sketch"][j]], 75, 100).all()
+    assert 20 < linked <= len(found) < 4 * linked
+
+
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    """Every pair of a bucket is compared, whatever the blocks; equal buckets are compared once."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "GROUP_ROWS", 10)
+    rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(40)] + [(3, 50), (4, 50), (4, 51)], "key long, node long")
+    placed = graph.split_buckets(rows, spark.createDataFrame([(i, 0) for i in range(5)], "node long, comp long"))
+    assert sorted(r["n"] for r in placed.select("key", "n").distinct().collect()) == [2, 40]
+
+    def compare(pdf, bounds):
+        pairs = [(i, j) for lo, hi in zip(bounds[:-1], bounds[1:]) for i, j in combinations(range(lo, hi), 2) if pdf.comp[i] != pdf.comp[j]]
+        return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+    found = {tuple(r) for r in graph.compared(placed, rows.select("node").distinct(), compare).collect()}
+    assert found == {(i, j) for i, j in combinations(range(40), 2) if j >= 5} | {(50, 51)}
