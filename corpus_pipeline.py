@@ -29,22 +29,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines kept elsewhere, short ones too; documents that lose lines and keep no word go; n_chars follows."""
-    left = dedup_lines(docs, short=True).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    """Removes lines kept elsewhere, short ones too; documents that lose lines and keep no word go; n_chars follows.
+
+    Rows equal in doc_id and text keep the same lines; null texts stay.
+    """
+    left = dedup_lines(docs).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each component of linked documents."""
-    keep = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select(docs.columns)
+    """Keeps one document, that of the smallest id, of each component of linked documents.
+
+    Rows of one id stay or go together; rows with a null id stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.alias("docs").join(gone.alias("by"), F.col("docs.doc_id") == F.col("by.gone"), "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words lies in benchmark passages."""
-    hit = contaminated_words(docs, table(spark, sf_dir, "benchmark")).withColumn("_n", n_hit())
-    bad = hit.where((F.col("_n") > 0) & (20 * F.col("_n") >= F.col("n_words"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti").select(docs.columns)
+    """Drops documents of which a twentieth or more of the words lies in benchmark passages.
+
+    Rows equal in doc_id and text stay or go together; null and empty texts stay.
+    """
+    hit = contaminated_words(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", n_hit())
+    bad = hit.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id", "text_key").distinct()
+    same = F.col("docs.doc_id").eqNullSafe(F.col("by.doc_id")) & (F.xxhash64("docs.text") == F.col("by.text_key"))
+    return docs.alias("docs").join(bad.alias("by"), same, "left_anti").select([F.col(f"docs.`{c}`") for c in docs.columns])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
