@@ -68,7 +68,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialize `df`, and mark it for broadcasting if its counted rows are at most `limit`."""
     df = materialize(df)
     fits = df.limit(limit + 1).count() <= limit
-    return (F.broadcast(df) if fits else df), fits
+    out = F.broadcast(df) if fits else df
+    out.materialized_at = df.materialized_at
+    return out, fits
 
 
 def lower_ascii(text: Column | str) -> Column:

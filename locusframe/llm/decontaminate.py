@@ -5,29 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, small
+from .common import LOWER, UPPER, materialize, release, small
 
-#: Words of a fingerprint; with windows of SPAN words, SPAN - GRAM + 1 fingerprints compete.
+#: Words of a window and of a fingerprint; in a window, SPAN - GRAM + 1 fingerprints compete.
 SPAN, GRAM = 13, 5
-#: A word of this operator: ASCII letters and digits, and everything beyond ASCII.
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words here: the ASCII characters but letters and digits. All else, beyond ASCII too, is of words.
+PARTING = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def _tokens(text: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(ALNUM), F.lit(0)), F.array().cast("array<string>"))
-
-
-def winnow(df: DataFrame, words: str, span: int, gram: int) -> DataFrame:
-    """Adds h and at: one row for each winnowed fingerprint of an array of words (hashed once)."""
-    idx = F.sequence(F.lit(1), F.size(words) - gram + 1)
-    hashed = df.where(F.size(words) >= span).withColumn("_h", F.transform(idx, lambda i: F.xxhash64(F.slice(words, i, gram))))
-    # Position of the least hash in each window: hash first, then place.
-    wide = span - gram + 1
-    least = F.transform(
-        F.sequence(F.lit(1), F.size("_h") - wide + 1),
-        lambda i: F.array_position(F.slice("_h", i, wide), F.array_min(F.slice("_h", i, wide))).cast("int") + i - 1,
-    )
-    return hashed.withColumn("at", F.explode(F.array_distinct(least))).withColumn("h", F.get("_h", F.col("at") - 1)).drop("_h")
+    """Words of a text, A-Z in lower case: one translation, then a split at single spaces."""
+    plain = F.translate(text, UPPER + PARTING, LOWER + " " * len(PARTING))
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
+
+
+def _shifted(df: DataFrame, name: str, left: str, right: str, by: int, f) -> DataFrame:
+    """Adds an array: f of each element of `left` and the one of `right` that lies `by` places after it."""
+    n = F.least(F.size(left), F.size(right) - by)
+    return df.withColumn(name, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(by + 1), n), f))
+
+
+def _runs(df: DataFrame, name: str, items: str, width: int, f) -> DataFrame:
+    """Adds an array: f folded over each `width` consecutive elements, by doubling.
+
+    Every step is a column of its own, used twice, so that it is computed once.
+    """
+    at, span = items, 1
+    while span < width:
+        by = min(span, width - span)
+        # Overlapping runs do for a minimum; for hashes the rest is added from single elements.
+        if by < span and f is _pair_hash:
+            while span < width:
+                df, at, span = _shifted(df, f"{name}_{span}x", at, items, span, f), f"{name}_{span}x", span + 1
+            break
+        df, at, span = _shifted(df, f"{name}_{span}", at, at, by, f), f"{name}_{span}", span + by
+    return df.withColumn(name, F.col(at))
+
+
+def _pair_hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def grams(df: DataFrame, words: str, gram: int) -> DataFrame:
+    """Adds _g: hashes of each `gram` consecutive words; every word is hashed once."""
+    return _runs(df.withColumn("_w", F.transform(words, lambda x: F.xxhash64(x))), "_g", "_w", gram, _pair_hash)
+
+
+def winnow(df: DataFrame, keys: list[str], words: str, span: int, gram: int) -> DataFrame:
+    """Winnowed fingerprints of an array of words: the columns `keys`, h, and at (from 1).
+
+    Of each window of `span` words the least hash of `gram` words stays, ordered by its upper 32
+    bits and then by its place, which are one number.
+    """
+    hashed = grams(df.where(F.size(words) >= span).select(*keys, words), words, gram)
+    numbered = hashed.withColumn("_p", F.transform("_g", lambda h, i: h.bitwiseAND(F.lit(-(1 << 32))).bitwiseOR((i + 1).cast("long"))))
+    least = _runs(numbered, "_m", "_p", span - gram + 1, _least)
+    at = F.transform(F.array_distinct("_m"), lambda m: m.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    found = least.select(*keys, F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("_g", i - 1).alias("h")))).alias("f"))
+    return found.select(*keys, "f.h", "f.at")
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -36,10 +75,11 @@ def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, gram
     `docs` has doc_id and text, `items` item_id and text. A window is `span` consecutive words of
     an item, or all words of a shorter one. Fingerprints are winnowed on both sides: the least
     hash of `gram` consecutive words in each window of `span`, so that every shared window shares
-    a fingerprint. Fingerprints are joined (the benchmark's are broadcast if their counted rows
-    are few, else both sides are shuffled) and each hit is extended word by word to the left and
-    right; runs of `span` words or more mark their words. Items shorter than a span are looked up
-    by the hash of all their words, and then compared.
+    a fingerprint. Distinct fingerprints of the benchmark are joined (broadcast if their counted rows
+    are few, else both sides are shuffled) with those of the documents; only hashes and places
+    travel. Each hit is extended to the windows that hold it, and these are compared with the
+    distinct windows of the benchmark, word by word. Items shorter than a span are looked up by the
+    hash of all their words in the same way. Items are met at the end, by the windows found.
 
     Returns doc_id, text_key (xxhash64 of the text), n_words, hits (array of struct(start, end),
     1-based and inclusive), items (sorted array). Null or empty texts: 0 words, no hits. Null
@@ -47,45 +87,41 @@ def contaminated_words(docs: DataFrame, items: DataFrame, span: int = SPAN, gram
     come out as often as they came in; repeated items count once per item_id. Empty tables:
     no rows, or no hits. Columns other than the named ones are ignored.
     """
-    key = F.xxhash64("text")
-    toks = docs.select("doc_id", key.alias("text_key"), _tokens("text").alias("w"))
-    bench = materialize(items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), _tokens("text").alias("iw")).where(F.size("iw") > 0).distinct())
-    reach = span - gram  # words to each side of a fingerprint that can complete a window
-
-    fp, _ = small(winnow(bench, "iw", span, gram).select("item_id", "h", F.greatest(F.lit(1), F.col("at") - reach).alias("i_from"), "at", "iw").select(
-        "item_id", "h", (F.col("at") - F.col("i_from")).alias("i_left"), F.slice("iw", F.col("i_from"), F.lit(gram + 2 * reach) - (F.lit(reach) - (F.col("at") - F.col("i_from")))).alias("i_ctx")).distinct())
-    d_from = F.greatest(F.lit(1), F.col("at") - reach)
-    seen = winnow(toks, "w", span, gram).join(fp, "h").select(
-        "doc_id", "text_key", "item_id", "at", "i_left", "i_ctx",
-        (F.col("at") - d_from).alias("d_left"), F.slice("w", d_from, F.col("at") - d_from + gram + reach).alias("d_ctx"),
-    )
-    # Extend: words equal to the left of the fingerprint, and from it to the right.
-    left = F.least("d_left", "i_left")
-    same_left = F.aggregate(
-        F.sequence(F.lit(1), F.lit(reach)),
-        F.lit(0),
-        lambda n, j: F.when((n == j - 1) & (j <= left) & (F.get("d_ctx", F.col("d_left") - j) == F.get("i_ctx", F.col("i_left") - j)), j).otherwise(n),
-    )
-    same_right = F.aggregate(
-        F.sequence(F.lit(1), F.lit(gram + reach)),
-        F.lit(0),
-        lambda n, j: F.when((n == j - 1) & F.coalesce(F.get("d_ctx", F.col("d_left") + j - 1) == F.get("i_ctx", F.col("i_left") + j - 1), F.lit(False)), j).otherwise(n),
-    )
-    runs = seen.withColumn("l", same_left).withColumn("r", same_right).where((F.col("r") >= gram) & (F.col("l") + F.col("r") >= span))
-    hits = runs.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r") - 1).alias("end"))
-
-    lengths = [r["n"] for r in bench.where(F.size("iw") < span).select(F.size("iw").alias("n")).distinct().collect()]  # at most span - 1
+    keys = ["doc_id", "text_key"]
+    src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    toks = src.select(*keys, _tokens("text").alias("w"))
+    bench = materialize(items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), _tokens("text").alias("w")).where(F.size("w") > 0).distinct())
+    wide = F.least(F.lit(span), F.size("w"))
+    starts = F.sequence(F.lit(1), F.size("w") - wide + 1)
+    windows, _ = small(bench.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, wide), " "))).alias("window")).distinct())
+    distinct, _ = small(windows.select("window").distinct())
+
+    # Places of shared fingerprints, with the first and last start of the windows that hold them.
+    prints, _ = small(winnow(bench, ["item_id"], "w", span, gram).select("h").distinct())
+    spots = winnow(toks, keys, "w", span, gram).join(prints, "h").select(*keys, F.lit(span).alias("width"), (F.col("at") - (span - gram)).alias("lo"), F.col("at").alias("hi"))
+    lengths = [r["n"] for r in bench.where(F.size("w") < span).select(F.size("w").alias("n")).distinct().collect()]  # at most span - 1
     for n in sorted(lengths):
-        short, _ = small(bench.where(F.size("iw") == n).select("item_id", F.xxhash64("iw").alias("h"), "iw"))
-        starts = toks.where(F.size("w") >= n).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)))
-        found = starts.withColumn("h", F.xxhash64(F.slice("w", "at", n))).join(short, "h").where(F.slice("w", "at", n) == F.col("iw"))
-        hits = hits.unionByName(found.select("doc_id", "text_key", "item_id", F.col("at").alias("start"), (F.col("at") + n - 1).alias("end")))
-
-    by_doc = hits.distinct().groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items")
-    ).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "hits", "items")
-    sizes = toks.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
-    return sizes.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").drop("_d", "_k")
+        whole, _ = small(grams(bench.where(F.size("w") == n), "w", n).select(F.col("_g")[0].alias("h")).distinct())
+        each = grams(toks.where(F.size("w") >= n), "w", n).select(*keys, F.posexplode("_g").alias("at", "h"))
+        spots = spots.unionByName(each.join(whole, "h").select(*keys, F.lit(n).alias("width"), (F.col("at") + 1).alias("lo"), (F.col("at") + 1).alias("hi")))
+    by_doc, _ = small(spots.groupBy(*keys).agg(F.collect_set(F.struct("width", "lo", "hi")).alias("spots")))
+
+    # Only documents with a shared fingerprint are split into words again.
+    same = F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.text_key") == F.col("b.text_key"))
+    met = src.alias("s").join(by_doc.alias("b"), same).select("s.doc_id", "s.text_key", _tokens("text").alias("w"), "spots")
+    n = F.size("w")
+    places = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.transform(
+        F.sequence(F.greatest(F.lit(1), s["lo"]), F.least(s["hi"], n - s["width"] + 1)), lambda i: F.struct(i.alias("start"), s["width"].alias("width"))))))
+    seen = met.select(*keys, F.explode(F.transform(places, lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["width"] - 1).alias("end"), F.array_join(F.slice("w", p["start"], p["width"]), " ").alias("window")))).alias("x"))
+    hits = materialize(seen.select(*keys, "x.start", "x.end", "x.window").join(distinct, "window", "left_semi").distinct())
+    release(by_doc)
+    marked = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"))
+    named = hits.select(*keys, "window").distinct().join(windows, "window").groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found, _ = small(marked.alias("m").join(named.alias("i"), F.col("m.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("m.text_key") == F.col("i.text_key"))).select(
+        F.col("m.doc_id").alias("d"), F.col("m.text_key").alias("k"), "hits", "items"))
+    release(hits, windows, distinct, prints, bench)
+    sizes = toks.select(*keys, F.size("w").cast("long").alias("n_words"))
+    return sizes.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
 
 
 def n_hit(hits: str = "hits") -> Column:

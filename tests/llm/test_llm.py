@@ -154,9 +154,11 @@ def test_split_super_kmers_cover_the_same_windows():
     assert windows(plain) == windows(split) and len(split[0]) > len(plain[0])
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark):
     data = corpus()
     long = data[18][1].split()
+    data += [(900, "\x00".join(long[3:30]) + "\x7f\x01zz", None, None, None, 1), (901, "Ünder_" + "-".join(long[4:30]).upper(), None, None, None, 1)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
     items = [("i2", " ".join(long[2:40])), ("i10", "a b c"), ("i1", data[3][1]), ("i3", None), (None, "a b"), ("i4", "..."), ("i5", data[22][1][40:300]), ("i2", " ".join(long[2:40]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
