@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of most operators: a run without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table that was counted first is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 50_000
 
@@ -79,8 +77,11 @@ def lower_ascii(text: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Array of the words of a text; null for null."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Array of the words of a text, runs without ASCII white space; null for null.
+
+    One translation and a split at single spaces, several times as fast as a pattern.
+    """
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), "")
 
 
 def held_out(doc_id: Column | str, divisor: int, remainder: int = 2) -> Column:

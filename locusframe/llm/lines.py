@@ -225,5 +225,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     removed = F.coalesce(F.size("gone"), F.lit(0))
     text = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
     total = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    kept = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns]
-    return out.select(*kept, removed.alias("_n_removed"), (total - removed).alias("_n_kept"))
+    # In a step of its own: a name inside the lambda must not meet a user's column of that name.
+    out = out.select("row", text.alias("left"), removed.alias("removed"), (total - removed).alias("kept"))
+    kept = [F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns]
+    return out.select(*kept, F.col("removed").alias("_n_removed"), F.col("kept").alias("_n_kept"))

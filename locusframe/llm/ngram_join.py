@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the index (`_keys`). Members of a bucket are first compared with one pivot, the member of the
     most common shingles; what that joins needs no further comparison. Then tasks compare the members
     of each bucket that lie in different components by parity sketches, which prove of most pairs that
-    their sets differ by too much; the other pairs are verified, so no link between components is lost.
+    their sets differ by too much; the other pairs are verified, the likeliest of each two components
+    first and then all between components still apart, so no link between components is lost.
     Texts are read where they lie, not shuffled: maps of fixed size tell the tasks which keys
     several nodes have, and which documents' sets are to be compared.
 
@@ -238,11 +239,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         shared.destroy()
     pairs = materialize(_may_link(star_pairs(rows, OF * least >= PART * most), nodes))
     first = materialize(_linked(pairs, _sets(src, nodes, pairs)))
-    labels = components(first)
-    rest = compared(split_buckets(rows, labels), nodes.select("node", "n", "sketch"), lambda pdf, bounds: sketched_pairs(pdf, bounds, PART, OF))
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(known, ["a", "b"], "left_anti"))
-    labels = components(first.union(_linked(rest, _sets(src, nodes, rest))))
+    links, known = first, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # The likeliest pair of each two components of a bucket, then all pairs of those still apart.
+    for best in (True, False):
+        placed = split_buckets(rows, components(links))
+        found = compared(placed, nodes.select("node", "n", "sketch"), lambda pdf, bounds, best=best: sketched_pairs(pdf, bounds, PART, OF, best))
+        found = materialize(found.join(known, ["a", "b"], "left_anti"))
+        links = materialize(links.union(_linked(found, _sets(src, nodes, found))))
+        known = known.union(found)
+    labels = components(links)
 
     placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = placed.groupBy("comp").agg(F.min("least").alias("component_id"))

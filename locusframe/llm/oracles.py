@@ -73,3 +73,47 @@ p as (
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 20
 """
+
+OP9 = rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id, text, source, cast(coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0) as bigint) as size from documents),
+m as (
+  select *, (cast(cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0 as u,
+         cast(floor(sqrt(cast(size as double)) * 1024) as bigint) as w
+  from d),
+s as (
+  select source, cast(sum(size) as double) as size, cast(sum(w * size) as double) as mass,
+         [3.0, 1.0, 2.0][((row_number() over (order by source is null, source) - 1) % 3) + 1]::double as weight
+  from m group by source),
+level(i, x) as (
+  select 0, (select 1.5 * sum(size) / sum(weight) from s)
+  union all
+  select i + 1, (select (1.5 * sum(s.size) - coalesce(sum(2 * s.size) filter (2 * s.size <= level.x * s.weight), 0)) / sum(s.weight) filter (2 * s.size > level.x * s.weight) from s)
+  from level where i < (select count(*) from s) and exists (select 1 from s where 2 * s.size > level.x * s.weight)),
+t as (select *, least(2 * size, (select max(x) from level) * weight) as target from s),
+p as (
+  select *, floor(case when size > 0 then least(2.0, target / size) else 0 end + 1e-9) as whole from t),
+q as (select *, greatest(0, floor(target - whole * size + 1e-6)) as due from p),
+k as (
+  select m.r, m.doc_id, m.text, m.source, m.size, q.due,
+         least(1 - 1e-9, greatest(1e-9, (case when q.mass > 0 then q.due / q.mass else 0 end) * m.w)) as inc, m.u
+  from m join q on m.source is not distinct from q.source where m.size > 0 and q.due > 0),
+o as (select *, (u / (1 - u)) / (inc / (1 - inc)) as odds from k),
+g as (
+  select source, doc_id, text, floor(odds / (1 + odds) * 4503599627370496.0) as place, sum(size) as words, any_value(size) as size, any_value(due) as due
+  from o group by source, doc_id, text, odds),
+n as (select *, row_number() over (partition by source order by place) as i from g),
+walk(source, doc_id, text, i, rest, most, round, taken) as (
+  select distinct source, cast(null as bigint), cast(null as varchar), 0, due, due, 1, false from n
+  union all
+  select n.source, n.doc_id, n.text, n.i,
+         case when n.size <= w.most and n.words <= w.rest then w.rest - n.words else w.rest end,
+         case when n.size <= w.most and n.words > w.rest then w.rest else w.most end,
+         case when n.size <= w.most and n.words > w.rest then w.round + 1 else w.round end,
+         n.size <= w.most and n.words <= w.rest and w.round <= 4
+  from walk w join n on n.source is not distinct from w.source and n.i = w.i + 1),
+x as (select * from walk where taken)
+select m.doc_id, m.size, cast(q.size as bigint) as source_size, q.target, cast(m.size * least(2, q.whole + (x.i is not null)::int) as bigint) as taken
+from m join q on m.source is not distinct from q.source
+left join x on x.source is not distinct from m.source and x.doc_id is not distinct from m.doc_id and x.text is not distinct from m.text
+"""

@@ -82,4 +82,4 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k)}
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op10_top_k": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op9_mix_sources": oracles.OP9, "op10_top_k": oracles.OP10}

@@ -6,14 +6,22 @@ import numpy as np
 import pandas as pd
 
 
+def places(n: int) -> int:
+    """Places of the sketch of n hashes, a power of two: 8 to 16 per hash of a small set, 2 to 4 of a large one.
+
+    It never falls with n, and sets whose sizes are at most a third apart are at most one power apart.
+    """
+    return max(64, 1 << max(min(12, int(8 * n - 1).bit_length()), int(2 * n - 1).bit_length()))
+
+
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the number of hashes at each of 2 to 4 places per hash (a power of two, 64 at least).
+    """Parity of the number of hashes at each of `places(len(h))` places.
 
     Two sets differ in as many members as their sketches do in bits, at least. A longer sketch is
     folded to a shorter one by exclusive-or of its halves.
     """
-    places = 1 << max(6, int(2 * len(h) - 1).bit_length())
-    odd = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    n = places(len(h))
+    odd = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -39,11 +47,15 @@ def may_link(nx: np.ndarray, x: list[bytes], ny: np.ndarray, y: list[bytes], par
     return ok
 
 
-def sketched_pairs(pdf: pd.DataFrame, bounds: np.ndarray, part: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket, in different components, whose sets may link: columns n, comp, sketch."""
+def sketched_pairs(pdf: pd.DataFrame, bounds: np.ndarray, part: int, of: int, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket, in different components, whose sets may link: columns n, comp, sketch.
+
+    With `best`, of each two components only the pair that differs least: most links are among these.
+    """
     n, comp, sketches = pdf.n.to_numpy(np.int64), pdf.comp.to_numpy(), list(pdf["sketch"])
     size = np.fromiter(map(len, sketches), np.int64, len(sketches))
     left, right = [], []
+    least: dict[tuple[int, int], tuple[float, int, int]] = {}
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if hi - lo < 2:
             continue
@@ -65,7 +77,18 @@ def sketched_pairs(pdf: pd.DataFrame, bounds: np.ndarray, part: int, of: int) ->
                     continue
                 j, other = j[near], m[rest][near]
                 bits = np.bitwise_count(other ^ m[k]).sum(1, dtype=np.int64)
-                j = j[(of + part) * bits <= (of - part) * (n[j] + n[i])]
+                ok = (of + part) * bits <= (of - part) * (n[j] + n[i])
+                j, bits = j[ok], bits[ok]
+                if best:
+                    share = bits / (n[j] + n[i])
+                    order = np.lexsort((share, comp[j]))
+                    for x in order[np.r_[True, comp[j][order][1:] != comp[j][order][:-1]]].tolist() if len(j) else ():
+                        pair = (min(comp[i], comp[j[x]]), max(comp[i], comp[j[x]]))
+                        least[pair] = min(least.get(pair, (9.0, 0, 0)), (float(share[x]), i, int(j[x])))
+                    continue
                 left.append(np.full(len(j), i))
                 right.append(j)
+    if best:
+        found = np.array([x[1:] for x in least.values()], np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2

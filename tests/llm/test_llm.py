@@ -207,14 +207,15 @@ def test_branch_and_bound_with_ties():
     assert i.tolist() == [0, 1, 2] and s.tolist() == [2, 2, 2] and set(o.tolist()) == {7}
 
 
-def test_mixing(docs):
-    got = rows_of(mixing.mix(docs))
-    again = rows_of(mixing.mix(docs.repartition(5)))
-    data = corpus()
-    size = Counter()
-    for r in data:
-        size[r[3]] += len(WORD.findall(r[1] or ""))
-    order = sorted(size, key=lambda s: (s is None, s or ""))
+def plain_mix(rows, weighed=True):
+    """Targets, and copies by walking each source's Pareto ranking: rows of (doc_id, text, source)."""
+    size, docs = Counter(), []
+    for doc_id, text, source in rows:
+        n = len(WORD.findall(text or ""))
+        size[source] += n
+        u = (int(hashlib.md5(f"17:{'' if doc_id is None else doc_id}:{text or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        docs.append((doc_id, text, source, n, u))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
     total, capped = 1.5 * sum(size.values()), set()
     while True:
@@ -225,25 +226,75 @@ def test_mixing(docs):
         if not over:
             break
         capped |= over
-    assert len(got) == len(data)
+    copies = {}
+    for s in order:
+        own = [d for d in docs if d[2] == s]
+        whole = math.floor(min(2.0, target[s] / size[s]) + 1e-9) if size[s] else 0
+        due = max(0, math.floor(target[s] - whole * size[s] + 1e-6))
+        mass = sum(math.floor(math.sqrt(d[3]) * 1024) * d[3] for d in own)
+        places = {}
+        for d in own:
+            copies[d[:3]] = whole
+            if d[3] and due:
+                p = min(1 - 1e-9, max(1e-9, due / mass * math.floor(math.sqrt(d[3]) * 1024)))
+                odds = d[4] / (1 - d[4]) / (p / (1 - p)) if weighed else d[4] / (1 - d[4])
+                places.setdefault((odds, d[:3]), []).append(d[3])
+        most, rounds = due, 0
+        for (_, d), n in sorted(places.items(), key=lambda x: x[0][0]):
+            if n[0] > most or rounds == 4:
+                continue
+            if sum(n) > due:
+                most, rounds = due, rounds + 1
+            else:
+                due -= sum(n)
+                copies[d] = min(2, whole + 1)
+    return size, target, copies
+
+
+def test_mixing(docs):
+    got = rows_of(mixing.mix(docs))
+    again = rows_of(mixing.mix(docs.repartition(5)))
+    data = [(r[0], r[1], r[3]) for r in corpus()]
+    size, target, copies = plain_mix(data)
     assert Counter((r["doc_id"], r["_copies"]) for r in got) == Counter((r["doc_id"], r["_copies"]) for r in again)
-    taken = Counter()
+    assert Counter((r["doc_id"], r["text"], r["source"], r["_copies"]) for r in got) == Counter((*d, copies[d]) for d in data)
     for r in got:
         assert r["_source_size"] == size[r["source"]] and r["_target"] == pytest.approx(target[r["source"]]) and 0 <= r["_copies"] <= 2
-        taken[r["source"]] += r["_copies"] * r["_size"]
-    largest = {s: max(r["_size"] for r in got if r["source"] == s) for s in order}
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + largest[s] / 2 for s in order)
     assert mixing.mix(docs.where("false")).count() == 0
 
 
-def test_mixing_comes_near_its_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "STRATUM_DOCS", 40)
+def sized_rows():
     rng = np.random.default_rng(2)
-    rows = [(i, "w " * int(n), f"s{min(i % 9, 4)}") for i, n in enumerate(rng.lognormal(4, 1, 1500))]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    by = got.groupBy("source").agg(F.first("_target").alias("t"), F.sum(F.col("_copies") * F.col("_size")).alias("k"), F.first("_source_size").alias("s")).collect()
-    assert sum(r["t"] for r in by) == pytest.approx(1.5 * sum(r["s"] for r in by))
-    assert all(abs(r["k"] - r["t"]) <= 0.01 * r["t"] for r in by)
+    return [(i, "w " * int(n), f"s{min(i % 9, 4)}") for i, n in enumerate(rng.lognormal(4, 1, 1500))]
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Also with a source most of whose words are in one document, and with columns of the names used inside."""
+    rows = [*sized_rows(), (9000, "w " * 30_000, "s1"), (9001, None, "s1"), (9002, "", None)]
+    clash = ("n", "take", "salts", "whole", "row", "size", "u", "tie", "rank", "left", "_s", "spans", "due", "_copies")
+    df = spark.createDataFrame([(*r, *[r[0]] * len(clash)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in clash))
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns[:-1], "_size", "_source_size", "_target", "_copies"]
+    got = rows_of(mixed)
+    assert all(r[c] == r["doc_id"] for r in got for c in clash[:-1])
+    _, target, copies = plain_mix(rows)
+    assert {(r["doc_id"], r["_copies"]) for r in got} == {(d[0], c) for d, c in copies.items()}
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["_copies"] * r["_size"]
+    assert sum(target.values()) == pytest.approx(1.5 * sum(len(r[1] or "") // 2 for r in rows))
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
+def test_inclusion_decides_the_sample(spark):
+    """Without the odds of inclusion another sample comes out; with them longer documents are likelier."""
+    rows = sized_rows()
+    got = {r["doc_id"]: r["_copies"] for r in rows_of(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
+    plain = {d[0]: c for d, c in plain_mix(rows, weighed=False)[2].items()}
+    assert sum(got[i] != plain[i] for i in got) > 50
+    open_ = [(len(r[1]), got[r[0]]) for r in rows if r[2] == "s4"]
+    cut = float(np.median([n for n, _ in open_]))
+    assert np.mean([c for n, c in open_ if n > cut]) > np.mean([c for n, c in open_ if n <= cut]) + 0.1
 
 
 def plain_ppm(texts, wanted):
@@ -529,6 +580,11 @@ def test_sketched_pairs_lose_no_link():
                 assert (i, j) in found
                 assert sketches.may_link([len(sets[i])], [pdf["sketch"][i]], [len(sets[j])], [pdf["sketch"][j]], 75, 100).all()
     assert 20 < linked <= len(found) < 4 * linked
+    best = np.sort(np.array(sketches.sketched_pairs(pdf, bounds, 75, 100, True)).T, axis=1).tolist()
+    apart = {frozenset((pdf.comp[i], pdf.comp[j])) for i, j in found}
+    assert set(map(tuple, best)) <= found and sorted(map(sorted, apart)) == sorted(sorted((pdf.comp[i], pdf.comp[j])) for i, j in best)
+    sizes = [sketches.places(n) for n in range(1, 20000)]
+    assert all(sizes[-(-3 * n // 4) - 1] in (sizes[n - 1], sizes[n - 1] // 2) for n in range(1, 20000))
 
 
 def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
