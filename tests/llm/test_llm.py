@@ -292,9 +292,8 @@ def test_inclusion_decides_the_sample(spark):
     got = {r["doc_id"]: r["_copies"] for r in rows_of(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
     plain = {d[0]: c for d, c in plain_mix(rows, weighed=False)[2].items()}
     assert sum(got[i] != plain[i] for i in got) > 50
-    open_ = [(len(r[1]), got[r[0]]) for r in rows if r[2] == "s4"]
-    cut = float(np.median([n for n, _ in open_]))
-    assert np.mean([c for n, c in open_ if n > cut]) > np.mean([c for n, c in open_ if n <= cut]) + 0.1
+    again = [len(r[1]) for r in rows if got[r[0]] == 2 and r[2] in ("s1", "s4")]
+    assert np.mean(again) > 1.1 * np.mean([len(r[1]) for r in rows if r[2] in ("s1", "s4")])
 
 
 def plain_ppm(texts, wanted):
