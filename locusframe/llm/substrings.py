@@ -62,7 +62,7 @@ def super_kmers(w: Words, hot: np.ndarray | None):
     starts, place = starts[whole], place[whole]
     if not len(starts):
         return (np.zeros(0, np.int64),) * 4
-    key = h[place]
+    key = _mixed(h[place] ^ np.uint64(0x2545F4914F6CDD1D))  # least hashes are small numbers; spread anew
     change = np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]
     if hot is not None:
         h2, place2 = _minimisers(words, 2)

@@ -45,19 +45,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words (runs without ASCII white space) of texts: their hashes, in order, and where they lie.
 
+    `lower`: whether A-Z count as a-z, or a table of the 256 bytes' numbers, 0 for what parts words.
     `hash`, `start`, `end`: one entry per word; `first`: number of the first word of each text, and
     the number of all words at its end; `blob`: all texts, each after a line feed.
     """
 
-    def __init__(self, texts: Sequence[bytes], lower: bool):
+    def __init__(self, texts: Sequence[bytes], lower: bool | np.ndarray):
         self.blob = b"\n" + b"\n".join(texts) + b"\n"
         raw = np.frombuffer(self.blob, np.uint8)
-        space = _SPACE[raw]
+        table = lower if isinstance(lower, np.ndarray) else _LOWER if lower else _SAME
+        space = (table == 0)[raw]
         edge = np.diff(space.astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
         up, down = _powers.get(len(raw))
         # Sums of byte * base**place; a word's difference, moved to place 0, does not depend on where it lies.
-        total = np.cumsum((_LOWER if lower else _SAME)[raw] * up)
+        total = np.cumsum(table[raw] * up)
         self.hash = mixed((total[self.end - 1] - total[self.start - 1]) * down[self.start] + (self.end - self.start).astype(np.uint64))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.r_[1, 1 + np.cumsum(lengths + 1)]
