@@ -515,33 +515,61 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
-def test_licenses(spark):
-    words = vocabulary(400, 5)
-    pad = " ".join(words)
-    rows = []
-    for i, (name, texts) in enumerate(licenses.TEMPLATES.items()):
-        for j, t in enumerate(texts):
-            rows.append((10 * i + j, f"{pad[: 37 * (i + j)]} {t.upper() if j else t} {pad}", name))
-    rows += [(500, pad, ""), (501, None, ""), (502, "", ""), (503, "license", ""), (None, "released under the mit license", "MIT")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, want string, _matches int")
-    for r in licenses.scan(df).collect():
-        found = {m["license"] for m in r["_matches"]}
-        assert (r["want"] in found) if r["want"] else not found
-        for m in r["_matches"]:
-            assert m["containment"] >= 0.8 and 0 <= m["start"] < m["end"] <= len(r["text"])
-    assert licenses.scan(df.where("false")).count() == 0
+def every_window(scanner, text):
+    """Matches without bands: each template against all shingles of the text, its words found by a pattern."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text or "")]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w, _, _ in words]
+    h = licenses._pairs(Words([" ".join(low).encode()], licenses._TABLE))
+    out = []
+    for t in scanner.templates:
+        own = np.flatnonzero(np.isin(h, t.own))
+        out += [(t.name, t.license, share, words[a][1], words[b + 1][2]) for a, b, share in t.occurrences(own, h[own])]
+    return sorted(out, key=lambda m: (m[3], m[0]))
 
 
-def test_license_bands_against_every_window():
-    scanner = licenses.Scanner()
-    words = vocabulary(200, 9)
+def license_texts():
+    """Each template whole, with a word changed, twice, and cut, among other words; also very long."""
     rng = np.random.default_rng(1)
-    for name, texts in licenses.TEMPLATES.items():
-        for t in texts:
-            for _ in range(4):
-                lead = " ".join(rng.choice(words, rng.integers(0, 80)))
-                assert name in {m[1] for m in scanner.scan(f"{lead} {t} {' '.join(rng.choice(words, 60))}")}
-    assert not scanner.scan(" ".join(rng.choice(words, 3000)))
+    common = "the of and to is under a software this or in license permission copy by any public".split()
+    words = [*vocabulary(200, 9), *common]
+    pad = lambda n: " ".join(rng.choice(words, n))
+    out = []
+    for name, t, _ in licenses.TEMPLATES:
+        w = t.split()
+        changed = list(w)
+        changed[len(w) // 2] = "other"
+        out += [(name, f"{pad(rng.integers(0, 80))} é {t.upper()}\n{pad(60)}"), (None, f"{pad(9)} {' '.join(changed)} {pad(200)} {t} {pad(3)} {t}"), (None, f"{pad(30)} {' '.join(w[: len(w) * 2 // 3])} {pad(30)}")]
+    return [*out, ("MIT", f"{pad(40_000)} released under the MIT license {pad(40_000)}"), (None, pad(3000)), (None, None), (None, ""), (None, "license")]
+
+
+def test_licenses_against_every_window():
+    scanner, data = licenses.Scanner(), license_texts()
+    got = scanner.scan([t for _, t in data])
+    for (name, text), found in zip(data, got):
+        assert found == every_window(scanner, text)
+        assert name is None or name in {m[1] for m in found}
+        assert all(m[2] >= 0.8 and 0 <= m[3] < m[4] <= len(text) for m in found)
+    assert sum(len(m) for m in got) > 3 * len(licenses.TEMPLATES)
+    for (_, t), one in zip(data, got):
+        assert scanner.scan([t]) == [one]  # alone or among others
+
+
+def test_licenses_are_told_apart():
+    found = lambda t: {m[1] for m in licenses.Scanner().scan([t])[0]}
+    assert found("It is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
+    assert found("Licensed under the MIT License") == found("released under the MIT license.") == {"MIT"}
+    assert found("Licensed under CC BY-NC 4.0.") == {"CC-BY-NC-4.0"} and found("under the BSD 2-Clause License") == {"BSD-2-Clause"}
+    three = [t for n, t, _ in licenses.TEMPLATES if n == "BSD"][0] + " " + [t for n, t, _ in licenses.TEMPLATES if n == "BSD-3-Clause"][0]
+    assert found(three) == {"BSD", "BSD-3-Clause"}
+    (match,) = licenses.Scanner().scan(["of the thing is under the MIT License"])[0]
+    assert match[3:] == (16, 37)
+
+
+def test_licenses(spark):
+    rows = [(1, "x released under the MIT License.", 0), (1, "x released under the MIT License.", 1), (2, None, 2), (None, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _matches int")
+    assert sorted([m["license"] for m in r["_matches"]] for r in licenses.scan(df).collect()) == [[], [], ["MIT"], ["MIT"]]
+    assert licenses.scan(df.where("false")).count() == 0
 
 
 def test_digest_of_kept_text():
