@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,6 +128,36 @@ def hash_map(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray
     return out.ravel()
 
 
+def repeated_map(packed: DataFrame, column: str, keys: int) -> np.ndarray:
+    """A map like that of `hash_map`, of the 64-bit hashes that occur more than once among the arrays packed in a binary column.
+
+    `keys`: about how many there are in all. They are dealt to tasks by their leading bits, packed, some
+    200000 to a group, and sorted there.
+    """
+    parts = 1 << max(4, min(20, int(keys // 200_000).bit_length()))
+    lead = np.uint64(64 - parts.bit_length() + 1)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = np.sort(np.frombuffer(b"".join(pdf[column]), np.uint64))
+            cuts = np.searchsorted(h >> lead, np.arange(parts + 1, dtype=np.uint64)).tolist()
+            found = [(p, h[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pd.DataFrame(found, columns=["part", "keys"])
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.sort(np.frombuffer(b"".join(pdf["keys"]), np.uint64))
+        bit = np.unique(h[1:][h[1:] == h[:-1]] >> np.uint64(64 - MAP_BITS))
+        out = pd.DataFrame({"w": (bit >> np.uint64(6)).astype(np.int64), "b": np.left_shift(np.uint64(1), bit & np.uint64(63)).view(np.int64)})
+        out = out.groupby("w", sort=True).b.agg(np.bitwise_or.reduce)
+        return pd.DataFrame({"w": [out.index.to_numpy(np.int64).tobytes()], "b": [out.to_numpy(np.int64).tobytes()]})
+
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    for r in packed.select(column).mapInPandas(deal, "part int, keys binary").groupBy("part").applyInPandas(mark, "w binary, b binary").toLocalIterator():
+        w = np.frombuffer(r["w"], np.int64)
+        out[w] |= np.frombuffer(r["b"], np.int64)
+    return out
+
+
 def in_map(map_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each 64-bit hash (unsigned) may be in the map."""
     i = hashes >> np.uint64(64 - (len(map_).bit_length() + 5))

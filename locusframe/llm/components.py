@@ -27,18 +27,17 @@ def star_pairs(rows: DataFrame, related: Column) -> DataFrame:
 
 
 def split_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, node, comp, n) of the buckets whose n members lie in several components, equal buckets once.
+    """The buckets of `rows` (key, node, further columns) whose n members lie in several components, equal buckets once.
 
-    `labels`: node, comp; a node without a label is a component of its own. Many keys of two similar
-    sets have the same members: of buckets with as many members and equal 128-bit sums of their
-    hashes, one stays.
+    `labels`: node, comp; a node without a label, or all without labels, is a component of its own. Many
+    keys of two similar sets have the same members: of buckets with as many members and equal 128-bit
+    sums of their hashes, one stays. Adds comp and n.
     """
-    placed = rows.select("key", "node")
     if labels is None:
-        placed = placed.withColumn("comp", F.col("node"))
+        placed = rows.withColumn("comp", F.col("node"))
     else:
-        named = labels.select(F.col("node").alias("_n"), "comp")
-        placed = placed.join(named, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        named = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+        placed = rows.join(named, F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
     keys = placed.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
@@ -47,34 +46,39 @@ def split_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(placed.join(once, "key"))
 
 
-def compared(placed: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that `compare` finds among the members of each bucket.
+def in_blocks(placed: DataFrame, payload: DataFrame | None, find: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Distinct rows that `find` makes of whole buckets, in tasks.
 
-    `placed` comes from `split_buckets`; `payload` has node and what `compare` needs. Tasks get whole
-    buckets, about `GROUP_ROWS` rows at a time. A bucket of more than `BLOCK` members is dealt to
-    blocks, and each two of its blocks meet, so no task holds an unbounded bucket; pairs are compared
-    in the tasks, and only those that are found become rows. `compare` gets the rows and the bounds of
-    the buckets in them, and returns the numbers of rows that pair.
+    `placed` comes from `split_buckets`; `payload` has node and what `find` needs besides. Tasks get
+    about `GROUP_ROWS` rows at a time. A bucket of more than `BLOCK` members is dealt to blocks, and each
+    two of its blocks meet, so no task holds an unbounded bucket; members are compared in the tasks, and
+    only what is found becomes rows. `find` gets the rows, by bucket, and the bounds of the buckets.
     """
-    total = placed.count()
-    groups = max(1, -(-total // GROUP_ROWS))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = placed.withColumn("_blocks", blocks).withColumn("_i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
+    groups = max(1, -(-placed.count() // GROUP_ROWS))
+    dealt = placed.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("_i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
     large = dealt.where("_blocks > 1").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.where("_blocks = 1").withColumn("_j", F.lit(0)).unionByName(large)
-    dealt = dealt.select("key", "node", "comp", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
-    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("key", "_i", "_j"), F.lit(groups)))
-    out = np.dtype(np.int64)
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "_i", "_j", "node"], ignore_index=True)
-        new = (pdf[["key", "_i", "_j"]].to_numpy()[1:] != pdf[["key", "_i", "_j"]].to_numpy()[:-1]).any(1)
-        bounds = np.r_[0, np.flatnonzero(new) + 1, len(pdf)]
+    dealt = dealt.where("_blocks = 1").withColumn("_j", F.lit(0)).unionByName(large).drop("_blocks", "n")
+    dealt = dealt.withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j")).drop("_i", "_j")
+    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("key", "_lo", "_hi"), F.lit(groups)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "_lo", "_hi", "node"], ignore_index=True)
+        part = pdf[["key", "_lo", "_hi"]].to_numpy()
+        return find(pdf, np.r_[0, np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1, len(pdf)])
+
+    dealt = dealt if payload is None else dealt.join(payload, "node")
+    return dealt.groupBy("_g").applyInPandas(run, schema).distinct()
+
+
+def compared(placed: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that `compare` finds, as numbers of rows, among the members of each bucket."""
+
+    def find(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         i, j = compare(pdf, bounds)
-        node = pdf.node.to_numpy()
-        return pd.DataFrame({"a": np.minimum(node[i], node[j]).astype(out), "b": np.maximum(node[i], node[j]).astype(out)}).drop_duplicates()
+        node = pdf.node.to_numpy(np.int64)
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
-    return dealt.join(payload, "node").groupBy("_g").applyInPandas(find, "a long, b long").distinct()
+    return in_blocks(placed, payload, find, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

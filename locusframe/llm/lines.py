@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_map, in_map, materialize, release
-from .components import compared, components, split_buckets
+from .common import in_map, materialize, release, repeated_map
+from .components import compared, components, in_blocks, split_buckets
 from .tokens import mixed
 
 #: Characters of a shingle.
@@ -65,16 +65,55 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(h * odd, first) for odd in _ODD], axis=1)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of each line: the hash of ROWS MinHash values and the band's number."""
-    out = [np.zeros((0, BANDS), np.uint64)]
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of each line, the hash of ROWS MinHash values and the band's number; and four bits of each value."""
+    out, short = [np.zeros((0, BANDS), np.uint64)], [np.zeros((0, BANDS * ROWS), np.uint8)]
     for part in slices(lines):
-        m = signatures(part).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        values = signatures(part)
+        short.append((mixed(values.astype(np.uint64)) >> np.uint64(60)).astype(np.uint8))
+        m = values.reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), m.shape[:2])
         for i in range(ROWS):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
         out.append(key)
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(short)
+
+
+def packed(short: np.ndarray) -> np.ndarray:
+    """Rows of four-bit numbers, two to a byte."""
+    even = np.pad(short, ((0, 0), (0, short.shape[1] % 2)))
+    return even[:, ::2] << 4 | even[:, 1::2]
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return np.stack([x >> 4, x & 15], axis=2).reshape(len(raw), -1)[:, : BANDS * ROWS]
+
+
+def promising(pdf: pd.DataFrame, bounds: np.ndarray, similarity: float) -> pd.DataFrame:
+    """The members (key, node) of buckets that agree with another in enough of the signature, in four bits of each value.
+
+    At the least similarity that links, J, values agree with probability J + (1 - J) / 16; a pair is left
+    out if it lies five deviations below the mean: one of three million such pairs is lost.
+    """
+    values = BANDS * ROWS
+    mean = similarity + (1 - similarity) / 16
+    least = values * mean - 5 * np.sqrt(values * mean * (1 - mean))
+    short, keep, sizes = unpacked(list(pdf.sig)), np.zeros(len(pdf), bool), np.diff(bounds)
+    for m in range(2, LISTED + 1):
+        lo = bounds[:-1][sizes == m]
+        i, j = np.triu_indices(m, 1)
+        for part in np.array_split(lo, max(1, len(lo) * len(i) // 50_000)):
+            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            near = (short[x] == short[y]).sum(1) >= least
+            keep[x[near]] = keep[y[near]] = True
+    for lo, hi in zip(bounds[:-1][sizes > LISTED].tolist(), bounds[1:][sizes > LISTED].tolist()):
+        for i in range(lo, hi - 1):
+            near = (short[i + 1 : hi] == short[i]).sum(1) >= least
+            if near.any():
+                keep[i] = True
+                keep[i + 1 : hi] |= near
+    return pdf.loc[keep, ["key", "node"]]
 
 
 class _Sets:
@@ -170,9 +209,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     `docs` has doc_id and text; other columns, whatever their names, pass through (but for _n_removed
     and _n_kept, which are added: lines removed and lines left). Lines end at a line feed. Equal lines
     are grouped first, by a 64-bit hash. Distinct lines get MinHash signatures of their shingles of
-    `CHARS` characters; bands put them in buckets; the exact Jaccard similarity of the sets (64-bit
-    hashes) decides within a bucket, in tasks that hold a bounded block of it; linked lines form
-    components. Of each component the first line stays: that of the least (doc_id, place).
+    `CHARS` characters; bands put them in buckets; there the signatures tell which lines can be near
+    another (`promising`), and of these the exact Jaccard similarity of the sets (64-bit hashes)
+    decides, in tasks that hold a bounded block of a bucket; linked lines form components. Of each component the first line stays: that of the least (doc_id, place).
 
     Blank lines, ends of paragraphs, always stay. Lines under `CHARS` characters are near only where
     they are equal. Null text stays null, empty text empty. Null doc_id sorts first. Documents equal
@@ -188,29 +227,27 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = band_keys(list(pdf.line))
-            yield pd.DataFrame({"node": pdf.node, "keys": [k.tobytes() for k in keys]})
-
-    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf["keys"]), np.int64)})
+            keys, short = band_keys(list(pdf.line))
+            yield pd.DataFrame({"node": pdf.node, "keys": [k.tobytes() for k in keys], "sig": [x.tobytes() for x in packed(short)]})
 
-    signed = materialize(distinct.select("node", "line").mapInPandas(sign, "node long, keys binary"))
+    signed = materialize(distinct.select("node", "line").mapInPandas(sign, "node long, keys binary, sig binary"))
     # Keys that one line alone has are the great majority: they end here.
-    several = signed.select("keys").mapInPandas(keys_of, "key long").groupBy("key").count().where("count > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(hash_map(several, "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_map(signed, "keys", BANDS * signed.count()))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, BANDS)
             i, j = np.nonzero(in_map(shared.value, keys.ravel()).reshape(keys.shape))
-            yield pd.DataFrame({"key": keys[i, j].view(np.int64), "node": pdf.node.to_numpy()[i]})
+            yield pd.DataFrame({"key": keys[i, j].view(np.int64), "node": pdf.node.to_numpy()[i], "sig": pdf.sig.to_numpy()[i]})
 
-    placed = split_buckets(signed.mapInPandas(index, "key long, node long"), None)
+    placed = split_buckets(signed.mapInPandas(index, "key long, node long, sig binary"), None)
     shared.destroy()
     release(signed)
-    links = materialize(compared(placed, distinct.select("node", "line"), lambda pdf, bounds: line_links(pdf, bounds, similarity)))
+    # Most lines of a bucket are there by chance; the others meet with their texts.
+    near = split_buckets(in_blocks(placed, None, lambda pdf, bounds: promising(pdf, bounds, similarity), "key long, node long"), None)
     release(placed)
+    links = materialize(compared(near, distinct.select("node", "line"), lambda pdf, bounds: line_links(pdf, bounds, similarity)))
+    release(near)
     labels = components(links)
 
     named = distinct.select("node", "first", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, known = first, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # The likeliest pair of each two components of a bucket, then all pairs of those still apart.
     for best in (True, False):
-        placed = split_buckets(rows, components(links))
+        placed = split_buckets(rows.select("key", "node"), components(links))
         found = compared(placed, nodes.select("node", "n", "sketch"), lambda pdf, bounds, best=best: sketched_pairs(pdf, bounds, PART, OF, best))
         found = materialize(found.join(known, ["a", "b"], "left_anti"))
         links = materialize(links.union(_linked(found, _sets(src, nodes, found))))

@@ -493,8 +493,16 @@ def test_bands_have_their_recall_at_every_size():
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     for n in (3, 6, 30, 150):
         texts = ["".join(rng.choice(letters, n * 4 // 3 + 4)) for _ in range(2000 if n < 100 else 500)]
-        a, b = lines.band_keys(texts), lines.band_keys([t[: n + 4] for t in texts])
+        (a, x), (b, y) = lines.band_keys(texts), lines.band_keys([t[: n + 4] for t in texts])
         assert (a == b).any(1).mean() > 0.985, n
+        sig = [r.tobytes() for r in lines.packed(np.concatenate([x, y]))]
+        assert (lines.unpacked(sig) == np.concatenate([x, y])).all()
+        rows = np.stack([np.arange(len(texts)), np.arange(len(texts)) + len(texts)], axis=1).ravel()
+        pdf = pd.DataFrame({"key": rows % len(texts), "node": rows, "sig": [sig[i] for i in rows]})
+        assert len(lines.promising(pdf, np.arange(0, len(rows) + 1, 2), 0.75)) >= 0.999 * len(rows)
+        (_, x), size = lines.band_keys(["".join(rng.choice(letters, 90)) for _ in range(200)]), 50
+        chance = pd.DataFrame({"key": np.arange(200) // size, "node": range(200), "sig": [r.tobytes() for r in lines.packed(x)]})
+        assert len(lines.promising(chance, np.arange(0, 201, size), 0.75)) == 0
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
