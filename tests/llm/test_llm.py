@@ -201,10 +201,27 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 5")).count() == 4
 
 
+def test_top_k_with_repeated_ids_and_other_lengths(spark, monkeypatch):
+    """Repeated ids: a query for each different vector; equal rows are one query and candidates each. Large numbers are exact."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 30)
+    monkeypatch.setattr(topk, "DATA_BLOCK", 3)
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (3, [5.0]), (40, [7.0]), (60, [3e7, 1.0]), (4, [4e7, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, k=3).collect())
+    want = []
+    for q, v in sorted(set((i, tuple(x)) for i, x in rows if i % 20 == 0)):
+        best = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, u)), i) for i, u in rows if i != q and len(u) == len(v))[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want) and max(r[3] for r in got) == 64 * 64 * (3 * 4 * 10**14 + 5)
+
+
 def test_branch_and_bound_with_ties():
-    v = np.array([[1, 0]] * 50 + [[0, 1]] * 5)
-    o, i, s = topk.search_block(np.array([7]), np.array([[2, 0]]), np.arange(55), v, 3, 1)
-    assert i.tolist() == [0, 1, 2] and s.tolist() == [2, 2, 2] and set(o.tolist()) == {7}
+    v = np.array([[1.0, 0]] * 50 + [[0.0, 1]] * 5)
+    o, i, s = topk.search_block(np.array([7]), np.array([[2.0, 0]]), np.array([-np.inf]), np.arange(55), v, 3, 1)
+    assert i.tolist() == [0, 1, 2] and s.tolist() == [2, 2, 2] and set(o.tolist()) == {0}
+    o, i, s = topk.search_block(np.array([7]), np.array([[2.0, 0]]), np.array([2.0]), np.arange(55), v, 3, 1)
+    assert i.tolist() == [0, 1, 2]
+    assert len(topk.search_block(np.array([7]), np.array([[2.0, 0]]), np.array([3.0]), np.arange(55), v, 3, 1)[0]) == 0
 
 
 def plain_mix(rows, weighed=True):
