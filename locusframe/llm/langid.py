@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import held_out
 
-#: Labelled documents that training sees at most, bytes of words of them, and labels.
-TRAIN_DOCS, TRAIN_WORDS = 3000, 60_000
-#: Units of each direction, size of a byte's vector, bytes that the network reads at a time.
-HIDDEN, EMBED, SPAN = 16, 12, 24
-#: Words that a task remembers the network's answers for.
-CACHE = 400_000
+#: Labelled documents of each language that training sees at most, places in each, and bytes at each place.
+TRAIN_DOCS, TRAIN_PLACES, TRAIN_BYTES = 1000, 12, 64
+#: Units of each direction, size of a byte's vector.
+HIDDEN, EMBED = 8, 8
+#: Bytes of a piece of text, bytes on either side of it that the network reads before and after, and pieces read at a time.
+SPAN, CONTEXT, LANES = 256, 32, 1024
 
 
 class Network:
     """Two gated recurrent layers, one from each side, and a softmax over labels at every byte.
 
-    It reads a word at a time: bytes of a word, 1 to `SPAN` of them (longer words are read in
-    pieces), between word boundaries. Weights are numpy arrays in `w`.
+    It reads bytes of text across words; what comes before and after a position, as far as the
+    given bytes go, forms the two states there. Weights are numpy arrays in `w`.
     """
 
     def __init__(self, labels: list[str], seed: int = 5):
@@ -40,29 +42,42 @@ class Network:
         return 0.5 * (1 + np.tanh(0.5 * x))
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
-        """States of one direction, (steps, words, units); `keep` also returns what training needs."""
+        """States of one direction, (steps, lanes, units); `keep` also returns what training needs."""
         h, (t, n) = HIDDEN, x.shape
-        table = self.w["E"] @ self.w[f"W{side}"] + self.w[f"b{side}"]
-        u = self.w[f"U{side}"]
-        state = np.zeros((n, h), np.float32)
-        out, memo = np.empty((t, n, h), np.float32), {}
+        # Gates are 0.5 + 0.5 tanh(x / 2): the half is in their weights already.
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(self.w["E"].dtype)
+        table = (self.w["E"] @ self.w[f"W{side}"] + self.w[f"b{side}"]) * half
+        first, last = np.ascontiguousarray(table[:, : 2 * h]), np.ascontiguousarray(table[:, 2 * h :])
+        gates, new_u = self.w[f"U{side}"][:, : 2 * h] * half[: 2 * h], np.ascontiguousarray(self.w[f"U{side}"][:, 2 * h :])
+        state = np.zeros((n, h), table.dtype)
+        out, memo, full = np.empty((t, n, h), table.dtype), {}, mask.all(1)
         for i in range(t) if side == "f" else range(t - 1, -1, -1):
-            a = table[x[i]]
-            zr = self._sigmoid(a[:, : 2 * h] + state @ u[:, : 2 * h])
+            zr = first.take(x[i], axis=0)
+            zr += state @ gates
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(a[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
-            new = np.where(mask[i][:, None], (1 - z) * state + z * c, state)
+            c = last.take(x[i], axis=0)
+            c += (r * state) @ new_u
+            np.tanh(c, out=c)
             if keep:
                 memo[i] = (state, z, r, c)
-            out[i] = state = new
+            new = c - state
+            new *= z
+            new += state
+            out[i] = state = new if full[i] else np.where(mask[i][:, None], new, state)
         return out, memo
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Label probabilities of every position, (steps, words, labels)."""
-        both = np.concatenate([self._run(x, mask, s, False)[0] for s in "fb"], axis=2)
-        y = both @ self.w["V"] + self.w["c"]
-        y = np.exp(y - y.max(2, keepdims=True))
-        return y / y.sum(2, keepdims=True)
+    def log_probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logarithm of the label probabilities of every position, (labels, steps, lanes)."""
+        v = self.w["V"].T
+        y = v[:, :HIDDEN] @ self._run(x, mask, "f", False)[0].reshape(-1, HIDDEN).T
+        y += v[:, HIDDEN:] @ self._run(x, mask, "b", False)[0].reshape(-1, HIDDEN).T
+        y += self.w["c"][:, None]
+        y -= y.max(0)
+        y -= np.log(np.exp(y).sum(0))
+        return y.reshape(-1, *x.shape)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[dict, float]:
         """Gradient of the mean cross entropy of all positions, by backpropagation through time."""
@@ -102,15 +117,17 @@ class Network:
             g["E"] += by_byte @ w[f"W{s}"].T
         return g, float(loss)
 
-    def fit(self, words: list[bytes], label: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, seed: int = 6) -> float:
-        """Adam over random batches of words; returns the mean loss of the last steps."""
+    def fit(self, pieces: list[bytes], label: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.02, seed: int = 6) -> float:
+        """Adam over random batches of pieces, as many of each label; returns the mean loss of the last steps."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         last = []
+        chance = 1 / np.bincount(label)[label]
+        chance /= chance.sum()
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(words), batch)
-            x, mask = padded([words[i][:SPAN] for i in pick])
+            pick = rng.choice(len(pieces), batch, p=chance)
+            x, mask = padded([pieces[i] for i in pick])
             g, loss = self.gradients(x, mask, label[pick])
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k in self.w:
@@ -129,82 +146,79 @@ def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.arange(steps)[:, None] < n
 
 
-class Pooler:
-    """Log probabilities of all positions of a text, summed; answers for words are remembered."""
-
-    def __init__(self, network: Network):
-        self.network, self.memory = network, {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        pieces = [(w, w[i : i + SPAN]) for w in words for i in range(0, len(w), SPAN)]
-        pieces.sort(key=lambda p: len(p[1]))
-        sums = {w: np.zeros(len(self.network.labels)) for w in words}
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            x, mask = padded([p for _, p in part])
-            logs = (np.log(self.network.probabilities(x, mask) + 1e-6) * mask[..., None]).sum(0)
-            for (w, _), s in zip(part, logs):
-                sums[w] += s
-        self.memory.update(sums)
-
-    def pool(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Best label and its pooled probability, of each text."""
-        best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < 2 << 20):
-                size += len(texts[b])
-                b += 1
-            split = [t.split() for t in texts[a:b]]
-            if len(self.memory) > CACHE:
-                self.memory.clear()
-            new = {w for t in split for w in t if w not in self.memory}
-            if new:
-                self._learn(list(new))
-            index = {w: i for i, w in enumerate({w for t in split for w in t})}
-            values = np.array([self.memory[w] for w in index]).reshape(len(index), -1)
-            for i, t in enumerate(split):
-                if not t:
-                    continue
-                ids = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-                mean = values[ids].sum(0) / sum(map(len, t))
-                # Geometric mean of the positions' probabilities, made to sum to one.
-                p = np.exp(mean - mean.max())
-                best[a + i] = int(p.argmax())
-                score[a + i] = float(p.max() / p.sum())
-            a = b
-        return best, score
-
-
-def train(labelled: DataFrame, docs: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> Network | None:
+def pool(network: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Best label and its pooled probability, of each text.
+
+    Every byte of a text gets label probabilities. Texts are read in pieces of SPAN bytes, each with
+    CONTEXT bytes before and after it that only form the states; pieces lie side by side in numpy. The
+    geometric mean of the positions' probabilities, made to sum to one, is the pooled probability.
+    """
+    pieces = [(i, a, min(a + SPAN, len(t))) for i, t in enumerate(texts) for a in range(0, len(t), SPAN)]
+    pieces.sort(key=lambda p: min(p[2] + CONTEXT, len(texts[p[0]])) - max(p[1] - CONTEXT, 0))
+    sums = np.zeros((len(texts), len(network.labels)))
+    for k in range(0, len(pieces), LANES):
+        part = pieces[k : k + LANES]
+        x, mask = padded([texts[i][max(a - CONTEXT, 0) : b + CONTEXT] for i, a, b in part])
+        before = np.array([min(a, CONTEXT) for _, a, _ in part])
+        own = before + np.array([b - a for _, a, b in part])
+        step = np.arange(len(x))[:, None]
+        logs = network.log_probabilities(x, mask)
+        logs *= (step >= before) & (step < own)
+        np.add.at(sums, [i for i, _, _ in part], logs.sum(1, dtype=np.float64).T)
+    mean = sums / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
+    p = np.exp(mean - mean.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    return p.argmax(1), p.max(1)
+
+
+def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in order, some two million bytes at a time (a longer text alone)."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= 2 << 20:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def places(text: bytes) -> list[bytes]:
+    """TRAIN_BYTES bytes at each of some places of a text, TRAIN_PLACES at most, the same for equal texts."""
+    rng = np.random.default_rng(zlib.crc32(text))
+    n = min(TRAIN_PLACES, max(1, len(text) // TRAIN_BYTES))
+    return [text[a : a + TRAIN_BYTES] for a in rng.integers(0, max(1, len(text) - TRAIN_BYTES), n).tolist()] if text else []
+
+
+def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Network | None:
     """A network fitted on a bounded sample of labelled rows (lang, text); None without labels.
 
-    The sample: about `docs` rows by a hash of the text, the same in each run (twice as many at most,
-    where many rows are equal), and `words` of their words,
-    as many of each label. Training runs on the driver; its data do not grow with the table.
+    Every language of the rows is learned, however rare. The sample: of each language the `docs`
+    different texts whose hashes are least, about, and some places of each (`places`). Rows equal in text
+    and language count once. Training runs on the driver; its data grow with the number of languages only.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    if not n:
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()}
+    if not counts:
         return None
-    # Rows whose hash lies in the part of its range that holds about `docs` of all rows.
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int((1 << 31) * min(1.0, docs / n))
-    rows = usable.where(part).select("lang", F.encode("text", "utf-8").alias("text")).limit(2 * docs).collect()
-    labels = sorted({r["lang"] for r in rows})
-    rng = np.random.default_rng(4)
-    sample, label = [], []
-    for i, name in enumerate(labels):
-        # Words of a text once each: repeated lines of one document count no more than others.
-        own = sorted({(j, w) for j, r in enumerate(rows) if r["lang"] == name for w in bytes(r["text"]).split()})
-        own = [w for _, w in own]
-        pick = rng.permutation(len(own))[: words // len(labels)]
-        sample += [own[j] for j in pick]
-        label += [i] * len(pick)
-    if not sample:
+    # Part of the range of hashes that holds a little more than `docs` of a language's texts.
+    top = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 62) * min(1.0, 1.5 * docs / max(1, n))))])
+    some = usable.where(F.pmod("h", F.lit(1 << 62)) <= top[F.col("lang")])
+    rank = F.dense_rank().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 62)), "h"))
+    few = some.dropDuplicates(["lang", "h"]).withColumn("rank", rank).where(F.col("rank") <= docs).select("lang", "h", F.encode("text", "utf-8").alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(lang, h, i, x) for lang, h, t in zip(pdf.lang, pdf.h, pdf.text) for i, x in enumerate(places(t))]
+            yield pd.DataFrame(found, columns=["lang", "h", "i", "piece"])
+
+    rows = sorted((r["lang"], r["h"], r["i"], bytes(r["piece"])) for r in few.mapInPandas(cut, "lang string, h long, i int, piece binary").collect())
+    if not rows:
         return None
+    labels = sorted({r[0] for r in rows})
     network = Network(labels)
-    network.fit(sample, np.array(label))
+    network.fit([r[3] for r in rows], np.array([labels.index(r[0]) for r in rows]))
     return network
 
 
@@ -212,9 +226,9 @@ def identify(docs: DataFrame, network: Network | None = None, divisor: int = 4)
     """Documents with their predicted language: columns of `docs`, _held_out, _lang_pred, _score.
 
     Without a network, one is trained on the documents whose crc32(doc_id as text) mod `divisor` is
-    not 2 and whose lang is known. The network labels every byte of every word of the whole text;
-    the label with the greatest sum of log probabilities wins, and _score is its share after the
-    geometric mean over positions. Words are read once per task and remembered.
+    not 2 and whose lang is known. The network labels every byte of the whole text (`pool`); the label
+    with the greatest sum of log probabilities wins, and _score is its share after the geometric mean
+    over positions. Very long texts are read whole, in pieces.
 
     Null text, empty text and text without a letter: `und`, score 0. No labelled rows: all `und`.
     Null doc_id: not held out. Repeated rows get the same answer; empty table: no rows. Columns of
@@ -230,9 +244,9 @@ def identify(docs: DataFrame, network: Network | None = None, divisor: int = 4)
 
     @F.pandas_udf("label string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pooler = Pooler(shared.value)
         for texts in batches:
-            best, score = pooler.pool(list(texts))
+            found = [pool(shared.value, p) for p in portions(list(texts))]
+            best, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
             yield pd.DataFrame({"label": np.array(shared.value.labels, dtype=object)[best], "score": score})
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -381,11 +381,49 @@ def test_language_gradients():
         assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, abs=2e-4), name
 
 
+def plain_pool(net, text, span, context):
+    """Mean log probabilities by one state after another, without arrays over lanes."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, total = langid.HIDDEN, np.zeros(len(net.labels))
+    for a in range(0, len(text), span):
+        b = min(a + span, len(text))
+        lo, hi = max(0, a - context), min(len(text), b + context)
+        states = {}
+        for side, order in (("f", range(lo, hi)), ("b", range(hi - 1, lo - 1, -1))):
+            s = np.zeros(h)
+            for p in order:
+                g = net.w["E"][text[p]] @ net.w[f"W{side}"] + net.w[f"b{side}"]
+                u = net.w[f"U{side}"]
+                z, r = sig(g[:h] + s @ u[:, :h]), sig(g[h : 2 * h] + s @ u[:, h : 2 * h])
+                s = (1 - z) * s + z * np.tanh(g[2 * h :] + (r * s) @ u[:, 2 * h :])
+                states[side, p] = s
+        for p in range(a, b):
+            y = np.r_[states["f", p], states["b", p]] @ net.w["V"] + net.w["c"]
+            total += y - np.log(np.exp(y).sum())
+    mean = np.exp(total / len(text))
+    return mean / mean.sum()
+
+
+def test_language_pooling_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(langid, "SPAN", 16)
+    monkeypatch.setattr(langid, "CONTEXT", 5)
+    monkeypatch.setattr(langid, "LANES", 7)
+    net = langid.Network(["a", "b", "c"], seed=3)
+    net.w = {k: x.astype(np.float64) for k, x in net.w.items()}
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 2, 15, 16, 17, 21, 40, 333)] + [b""]
+    best, score = langid.pool(net, texts)
+    for t, i, p in zip(texts[:-1], best, score):
+        want = plain_pool(net, t, 16, 5)
+        assert i == want.argmax() and p == pytest.approx(want.max(), abs=1e-9)
+    assert score[-1] == pytest.approx(1 / 3)
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(3)
     langs = {"aa": vocabulary(80, 21), "bb": [w.replace("a", "ö").replace("e", "ßu") + "k" for w in vocabulary(80, 22)]}
     rows = [(i, " ".join(rng.choice(langs[k], 30)), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
-    rows += [(500, None, "aa"), (501, "", "bb"), (502, "12 34 !!", None), (None, rows[0][1], None), (503, rows[1][1] * 40, None)]
+    rows += [(500, None, "aa"), (501, "", "bb"), (502, "12 34 !!", None), (None, rows[0][1], None), (503, rows[1][1] * 400, None)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, _score double")
     got = rows_of(langid.identify(df))
     assert len(got) == len(rows)
@@ -395,6 +433,7 @@ def test_language_id(spark):
         elif r["lang"]:
             assert r["_lang_pred"] == r["lang"] and 0.5 < r["_score"] <= 1
         assert r["_held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert next(r["_lang_pred"] for r in got if r["doc_id"] == 503) == "bb"
     assert {r["_lang_pred"] for r in rows_of(langid.identify(df.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
     assert langid.identify(df.where("false")).count() == 0
 
