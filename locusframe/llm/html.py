@@ -19,6 +19,7 @@ BLOCKS = frozenset(
 HIDDEN = frozenset("script style noscript template svg math canvas iframe object embed audio video map head title textarea select button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 ASIDE = frozenset("nav header footer aside form menu dialog search".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -39,6 +40,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+_MENU = re.compile(r"[|»›·•/]")
 
 #: Thresholds of the first pass.
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MAX = 70, 200, 0.30, 0.32, 0.2
@@ -66,23 +68,24 @@ def _aside(name: str, attributes: str) -> bool:
 def blocks(page: str) -> list[dict]:
     """Blocks of text in page order: text, chars in links, and where they stand.
 
-    Inline elements join the text around them; block elements and line breaks part it. `side` is
-    true inside an element that is no part of the main text, `article` inside article or main.
+    Inline elements join the text around them, as do line breaks; block elements part it. `side` is
+    true inside an element that is no part of the main text, `article` is the number of the article or
+    main that holds it (0: none), `element` the innermost block element. A header inside an article
+    is the article's own.
     """
     out: list[dict] = []
     stack: list[tuple[str, bool]] = []  # open block, side and article elements: name, side
     text: list[str] = []
-    linked = in_link = side = article = 0
+    linked = in_link = side = article = articles = 0
     pos = 0
-    heading = False
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if joined:
-            out.append({"text": joined, "linked": linked, "side": side > 0, "article": article > 0, "heading": heading})
+            out.append({"text": joined, "linked": linked, "side": side > 0, "article": articles if article else 0, "element": stack[-1][0] if stack else "body"})
         text.clear()
-        linked, heading = 0, False
+        linked = 0
 
     def add(part: str) -> None:
         nonlocal linked
@@ -126,8 +129,6 @@ def blocks(page: str) -> list[dict]:
             continue
         if name == "a":
             in_link = 0 if closing else 1
-            if not closing and _aside(name, m[3]):
-                pass
             continue
         if name in BLOCKS:
             flush()
@@ -138,11 +139,11 @@ def blocks(page: str) -> list[dict]:
                 if name == "p":
                     close("p") if stack and stack[-1][0] == "p" else None
                 if name not in VOID and not m[0].endswith("/>"):
-                    s = _aside(name, m[3])
+                    s = not (name == "header" and article) and _aside(name, m[3])
                     stack.append((name, s))
                     side += s
+                    articles += name in ("article", "main") and not article
                     article += name in ("article", "main")
-                heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
         elif not closing and name not in VOID and _aside(name, m[3]):
             flush()
             stack.append((name, True))
@@ -154,52 +155,63 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
+def _first(b: dict) -> str:
+    """good, bad, near (undecided, likely) or short (undecided), by the block alone."""
+    words = _WORD.findall(b["text"].lower())
+    dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    links, n = b["linked"] / max(1, len(b["text"])), len(b["text"])
+    if b["side"] or "©" in b["text"]:
+        return "bad"
+    if b["article"] and b["element"] in TEXTUAL:
+        # A paragraph or heading of an article: evidence that makes it likely, whatever its length.
+        if links > (0.9 if b["element"][0] != "h" else 1.0):
+            return "bad"
+        return "good" if n >= LENGTH_LOW and dense >= STOP_LOW and links <= 0.5 else "near"
+    if links > LINKS_MAX or len(_MENU.findall(b["text"])) * 2 >= max(1, len(words)):
+        return "bad"
+    if n < LENGTH_LOW:
+        return "bad" if links > 0 else "short"
+    if dense >= STOP_HIGH:
+        return "good" if n > LENGTH_HIGH else "near"
+    return "near" if dense >= STOP_LOW or n > LENGTH_HIGH else "bad"
+
+
 def classify(found: list[dict]) -> list[bool]:
     """Whether each block belongs to the main text.
 
-    First pass: blocks in side elements, blocks of links and notices are bad; blocks inside an
-    article are good unless they are links; else length and the share of stop words decide: long and
-    dense good, sparse bad, short ones undecided, those nearly good remembered. Second pass: an
-    undecided block takes the label of its nearest decided neighbours; between a good and a bad one,
-    or an end of the page, the nearly good are good and the short ones bad. Where no block at all is
-    decided, the nearly good are good.
+    First pass: blocks in side elements, of links and with a copyright sign are bad, and so are, but in
+    paragraphs and headings of an article, those of menu marks; of the others length and the share of stop words decide: long and dense good, sparse bad, short ones
+    undecided, those nearly good, and the paragraphs and headings of an article that are short or
+    sparse, remembered as near. Second pass: an undecided block takes the label of its nearest decided
+    neighbours. Between a good and a bad one, or an end of the page, the near are good and the short
+    ones bad; for the near ones of an article only neighbours in that article count, and without any
+    they are good. Where no block of the page is good, the near are, or else the undecided in
+    paragraphs and headings, or else all undecided.
     """
-    label: list[str] = []
-    whole = any(b["article"] and not b["side"] for b in found)
-    for b in found:
-        words = _WORD.findall(b["text"].lower())
-        dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        links = b["linked"] / max(1, len(b["text"]))
-        if b["side"] or whole and not b["article"]:
-            label.append("bad")
-        elif links > LINKS_MAX and not b["article"] or links > 0.9 and not b["heading"]:
-            label.append("bad")
-        elif b["article"]:
-            label.append("good")
-        elif "©" in b["text"] or "©" in b["text"]:
-            label.append("bad")
-        elif len(b["text"]) < LENGTH_LOW:
-            label.append("bad" if links > 0 else "short")
-        elif dense >= STOP_HIGH:
-            label.append("good" if len(b["text"]) > LENGTH_HIGH else "near")
-        else:
-            label.append("near" if dense >= STOP_LOW or len(b["text"]) > LENGTH_HIGH else "bad")
-    before, after = [""] * len(label), [""] * len(label)
-    last = ""
-    for i, x in enumerate(label):
-        before[i] = last
-        last = x if x in ("good", "bad") else last
-    last = ""
-    for i in range(len(label) - 1, -1, -1):
-        after[i] = last
-        last = label[i] if label[i] in ("good", "bad") else last
+    label = [_first(b) for b in found]
+    before, after = [0] * len(label), [0] * len(label)
+    for nearest, order, end in ((before, range(len(label)), -1), (after, range(len(label) - 1, -1, -1), len(label))):
+        last = end
+        for i in order:
+            nearest[i] = last
+            last = i if label[i] in ("good", "bad") else last
     out = []
-    for i, x in enumerate(label):
+    for i, (b, x) in enumerate(zip(found, label)):
         if x in ("good", "bad"):
             out.append(x == "good")
+            continue
+        near = [j for j in (before[i], after[i]) if 0 <= j < len(label)]
+        if x == "near" and b["article"] and b["element"] in TEXTUAL:
+            own = [label[j] for j in near if found[j]["article"] == b["article"] and not found[j]["side"]]
+            out.append(not own or "good" in own)
         else:
-            near = (before[i], after[i])
-            out.append(near == ("good", "good") or x == "near" and ("good" in near or near == ("", "")))
+            good = sum(label[j] == "good" for j in near)
+            out.append(good == 2 or good == 1 and x == "near")
+    if not any(out):
+        for chosen in (lambda b, x: x == "near", lambda b, x: x == "short" and b["element"] in TEXTUAL, lambda b, x: x == "short"):
+            out = [chosen(b, x) for b, x in zip(found, label)]
+            if any(out):
+                break
     return out
 
 
