@@ -6,12 +6,11 @@ samples x tasks travel, not of samples x sites.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from .packed import by_place
 
 
 def collect_by_sample(calls: DataFrame, code: Column, missing: str, samples: DataFrame, sites: DataFrame, sep: str = "", chunk: int = 2000) -> DataFrame:
@@ -19,10 +18,11 @@ def collect_by_sample(calls: DataFrame, code: Column, missing: str, samples: Dat
 
     `sites` has site_idx (consecutive) and site_id. Codes of `chunk` sites are joined first; the
     chunks of a sample then are put in order. Missing calls get `missing`; samples without any call
-    have a line of missing codes.
+    have a line of missing codes. Repeated calls: the least code stays.
     """
     at = calls.join(sites.select("site_id", "site_idx"), "site_id").select("sample_idx", "site_idx", code.alias("code"))
-    blocks = at.groupBy("sample_idx", F.floor(F.col("site_idx") / chunk).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("site_idx") % chunk).cast("int").alias("i"), "code"))).alias("m"))
+    at = at.withColumn("block", F.floor(F.col("site_idx") / chunk)).withColumn("i", (F.col("site_idx") % chunk).cast("int"))
+    blocks = by_place(at, ["sample_idx", "block"], "i", "code")
     widths = sites.groupBy(F.floor(F.col("site_idx") / chunk).alias("block")).agg(F.count(F.lit(1)).cast("int").alias("w"))
     grid = samples.select("sample_idx", "sample").crossJoin(F.broadcast(widths))  # samples x blocks: dimensions, not calls
     full = grid.join(blocks, ["sample_idx", "block"], "left")
@@ -36,11 +36,11 @@ def to_structure(calls: DataFrame, samples: DataFrame, sites: DataFrame, fast: b
 
     `fast`: five columns of the population before the sample's name.
     """
-    halves = []
-    for hap, allele in enumerate(("a1", "a2")):
-        got = collect_by_sample(calls, (F.col(allele) + 1).cast("string"), "-9", samples, sites, "\t")
-        halves.append(got.withColumn("hap", F.lit(hap)))
-    both = halves[0].unionByName(halves[1]).join(F.broadcast(samples.select("sample_idx", "pop")), "sample_idx")
+    # Both alleles go through one transpose, as pairs of codes that the two lines then take apart.
+    pair = F.concat((F.col("a1") + 1).cast("string"), F.lit("/"), (F.col("a2") + 1).cast("string"))
+    got = collect_by_sample(calls, pair, "-9/-9", samples, sites, "\t").join(F.broadcast(samples.select("sample_idx", "pop")), "sample_idx")
+    one = lambda i: F.regexp_replace("line", r"([-0-9]+)/([-0-9]+)", f"${i}")
+    both = got.select("sample_idx", "sample", "pop", F.posexplode(F.array(one(1), one(2))).alias("hap", "line"))
     head = F.concat_ws("\t", *["pop"] * 5, "sample") if fast else F.concat_ws("\t", "sample", "pop")
     return both.select("sample_idx", "hap", F.concat_ws("\t", head, "line").alias("line"))
 
@@ -88,8 +88,10 @@ def to_svdquartets(calls: DataFrame, samples: DataFrame, sites: DataFrame, mode:
     if mode == "seq":
         got = collect_by_sample(calls, G.iupac(_bases()), "?", samples, sites)
         return got.select("sample_idx", F.lit(0).alias("hap"), F.concat_ws("\t", name, "line").alias("line"))
-    rows = [collect_by_sample(calls, F.get(_bases(), F.lit(i)), "?", samples, sites).select("sample_idx", F.lit(i).alias("hap"), F.concat_ws("\t", F.concat(name, F.lit("_" + "AB"[i])), "line").alias("line")) for i in range(2)]
-    return reduce(DataFrame.unionByName, rows)
+    # Both haplotypes go through one transpose, as pairs of bases that the two rows then take apart.
+    got = collect_by_sample(calls, F.array_join(_bases(), ""), "??", samples, sites)
+    one = lambda i: F.struct(F.concat(name, F.lit("_" + "AB"[i])).alias("name"), F.regexp_replace("line", "(.)(.)", f"${i + 1}").alias("line"))
+    return got.select("sample_idx", F.posexplode(F.array(one(0), one(1))).alias("hap", "x")).select("sample_idx", "hap", F.concat_ws("\t", "x.name", "x.line").alias("line"))
 
 
 def taxon_sets(samples: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,11 @@ def strict_filter(
     return drop_samples_by_missing(sites.where(P.min_call_rate(min_coverage)), samples, max_missing)
 
 
+def union_ids(*lists: DataFrame) -> DataFrame:
+    """Ids (id) that are in any of the lists, each once; null ids are left out. No list at all is an error."""
+    return reduce(DataFrame.unionByName, [x.select("id") for x in lists]).where("id is not null").distinct()
+
+
 def drop_autapomorphic(calls: DataFrame) -> DataFrame:
     """Sites with over two genotypes, or with two that both occur in two populations or more."""
     key = F.array_sort(F.array("a1", "a2"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window as W
 
 from ..functions import measures as M
 
@@ -72,39 +71,26 @@ def ibd_regression_p(pairs: DataFrame) -> DataFrame:
 
 
 def mantel(x: DataFrame, y: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
-    """One row: r, p = (number of permuted r >= r, + 1) / (permutations + 1).
+    """One row: r, p = (number of permuted r >= r, + 1) / (permutations + 1), and n, the number of names.
 
-    Tables of pairs (a, b, dist) of populations or samples, joined; missing pairs are left out. The
-    matrices (names x names, not sites) are broadcast, permutations are spread over tasks.
+    Tables of pairs (a, b, dist) of populations or samples, joined; missing pairs are left out, repeated
+    ones count by their mean. A permutation numbers the names in the order of a hash of its number and
+    the name, and the pairs of y are renamed by it: permutations x pairs rows, spread over the tasks
+    and reduced to one correlation each. No pair: r is null.
     """
     spark = x.sparkSession
-    j = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").alias("x")).join(
-        y.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").alias("y")), ["a", "b"]
-    ).where("x is not null and y is not null").toPandas()
-    names = sorted(set(j.a) | set(j.b))
-    at = {s: i for i, s in enumerate(names)}
-    mx, my = (np.full((len(names),) * 2, np.nan) for _ in range(2))
-    for a, b, u, v in zip(j.a, j.b, j.x, j.y):
-        for p, q in ((at[a], at[b]), (at[b], at[a])):
-            mx[p, q], my[p, q] = u, v
-    low = np.tril_indices(len(names), -1)
-    shared = spark.sparkContext.broadcast((mx, my))
-
-    def r_of(m: np.ndarray, o: np.ndarray) -> float:
-        u, v = m[low], o[low]
-        ok = ~(np.isnan(u) | np.isnan(v))
-        return float(np.corrcoef(u[ok], v[ok])[0, 1]) if ok.sum() > 1 else float("nan")
-
-    real = r_of(mx, my)
-
-    def permuted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, o = shared.value
-        for pdf in batches:
-            hits = 0
-            for i in pdf.id:
-                s = np.random.default_rng([seed, int(i)]).permutation(len(m))
-                hits += r_of(m[s][:, s], o) >= real - 1e-12
-            yield pd.DataFrame({"hits": [int(hits)]})
-
-    got = spark.range(permutations).mapInPandas(permuted, "hits long").agg(F.sum("hits").alias("h"))
-    return got.select(F.lit(real).alias("r"), ((F.col("h") + 1) / F.lit(permutations + 1)).alias("p"), F.lit(len(names)).alias("n"))
+    pair = lambda df, c: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").alias(c)).where(f"{c} is not null").groupBy("a", "b").agg(F.avg(c).alias(c))
+    both = pair(x, "x").join(pair(y, "y"), ["a", "b"])
+    names = both.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    numbered = names.select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("i"))  # names, not pairs
+    place = lambda c, out: F.broadcast(numbered.select(F.col("name").alias(c), F.col("i").alias(out)))
+    at = both.join(place("a", "p"), "a").join(place("b", "q"), "b").select("p", "q", "x", "y")
+    trials = spark.range(permutations).select(F.col("id").alias("t"))
+    drawn = trials.crossJoin(F.broadcast(numbered)).withColumn("to", F.row_number().over(W.partitionBy("t").orderBy(F.xxhash64(F.lit(seed), "t", "i"), "i")) - 1)
+    image = drawn.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "to"))), lambda s: s["to"]).alias("to"))
+    moved = image.crossJoin(F.broadcast(at.select("p", "q", "y"))).select("t", F.get("to", F.col("p")).alias("u"), F.get("to", F.col("q")).alias("v"), "y")
+    met = moved.select("t", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"), "y").join(F.broadcast(at.select("p", "q", "x")), ["p", "q"])
+    per = met.groupBy("t").agg(F.corr("x", "y").alias("r"))
+    real = at.agg(F.corr("x", "y").alias("real"), F.count(F.lit(1)).alias("pairs"))
+    hits = per.crossJoin(F.broadcast(real)).agg(F.count(F.when(F.col("r") >= F.col("real") - 1e-12, 1)).alias("h"))
+    return real.crossJoin(hits).crossJoin(names.agg(F.count(F.lit(1)).alias("n"))).select(F.col("real").alias("r"), ((F.col("h") + 1) / F.lit(permutations + 1)).alias("p"), "n")

@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 
 
+def by_place(df: DataFrame, keys: list[str], place: str, value: str | Column) -> DataFrame:
+    """One row per group of `keys`: m, a map from place to value; of repeated places the least value stays. Null places are left out."""
+    value = F.col(value) if isinstance(value, str) else value
+    got = df.where(F.col(place).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("place"), value.alias("value")))).alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["place"] != x["place"]))
+    return got.select(*keys, F.map_from_entries(first).alias("m"))
+
+
 def to_packed(calls: DataFrame, n_samples: int) -> DataFrame:
-    """Packed sites from long calls: site_id, locus, pos, calls in the order of sample_idx."""
-    got = calls.groupBy("site_id", "locus", "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_idx", F.struct(F.array("a1", "a2").alias("gt"), "dp")))).alias("m")
-    )
+    """Packed sites from long calls: site_id, locus, pos, calls in the order of sample_idx.
+
+    Repeated calls of a sample at a site: the least one (alleles, then depth) stays.
+    """
+    got = by_place(calls, ["site_id", "locus", "pos"], "sample_idx", F.struct(F.array("a1", "a2").alias("gt"), "dp"))
     empty = F.struct(F.array(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("gt"), F.lit(None).cast("int").alias("dp"))
     return got.select("site_id", "locus", "pos", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty)).alias("calls"))
 
@@ -119,7 +128,7 @@ def min_mean_depth(d: float) -> Column:
 
 def mask_calls_by_depth(sites: DataFrame, lo: int, hi: int) -> DataFrame:
     """Calls whose depth lies outside [lo, hi] become missing; sites stay. No depth: missing."""
-    return sites.withColumn("calls", F.transform("calls", lambda c: F.when(F.coalesce(c["dp"].between(lo, hi), F.lit(False)), c).otherwise(F.struct(F.transform(c["gt"], lambda _: F.lit(None).cast("int")).alias("gt"), c["dp"].alias("dp")))))
+    return sites.withColumn("calls", F.transform("calls", lambda c: F.when(F.coalesce(c["dp"].between(lo, hi), F.lit(False)), c).otherwise(c.withField("gt", F.transform(c["gt"], lambda _: F.lit(None).cast("int"))))))
 
 
 def polymorphic(rule: str = "genotypes") -> Column:
@@ -150,7 +159,7 @@ def any_depth() -> Column:
 def keep_columns(sites: DataFrame, idx: list[int]) -> DataFrame:
     """Packed sites with the samples of the given places only, in their order."""
     keep = F.array(*map(F.lit, idx))
-    return sites.withColumn("calls", F.transform(keep, lambda i: F.get("calls", i)))
+    return sites.withColumns({x: F.transform(keep, lambda i, x=x: F.get(x, i)) for x in ("calls", "raw") if x in sites.columns})
 
 
 def site_stats() -> list[Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..sources.shared import written as _written
 
 #: Sites of a block of the matrix.
 BLOCK = 4096
@@ -175,17 +175,3 @@ def clone_groups(pairs: DataFrame, t: float = 0.02) -> DataFrame:
         labels = new.select("node", "label")
         if not new.where("old != label").limit(1).count():
             return labels.select(F.col("node").alias("sample"), F.col("label").alias("clone_group"))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df after a round trip through the shared folder, so that its lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

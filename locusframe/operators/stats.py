@@ -148,6 +148,12 @@ def random_per_pop(samples: DataFrame, n: int, order: Column) -> DataFrame:
     return samples.withColumn("_r", F.row_number().over(W.partitionBy("pop").orderBy(order, "sample"))).where(F.col("_r") <= n).drop("_r")
 
 
+def random_loci(df: DataFrame, share: float = 0.75, seed: int = 1) -> DataFrame:
+    """Rows of about `share` of all loci, by a repeatable number from the MD5 of seed and locus; all rows of a locus or none."""
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("locus").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return df.where(number < share)
+
+
 def downsample(sites: DataFrame, n: int, order: Column | None = None, seed: int = 1) -> DataFrame:
     """Exactly n sites (all, if fewer) in the order of a column; by default a hash of seed and id."""
     return sites.orderBy(F.xxhash64(F.lit(seed), "site_id") if order is None else order, "site_id").limit(n)

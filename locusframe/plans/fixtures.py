@@ -51,7 +51,7 @@ union all select 'ind2', 'ind42' union all select 'ind3', 'ind43'
 """
 RUNS_SQL = """
 select cast(o_custkey % 7 as int) + 1 as k, cast(o_orderkey as bigint) as run, cast(-o_totalprice as double) as likelihood
-from {orders} where o_orderkey % 20 = 0
+from {orders}
 """
 TAGS_SQL = """
 select locus, i, substr('ACGT', cast((case when i = locus % 69 and locus % 10 = 9 then v + 1 else v end) % 4 as int) + 1, 1) as base
@@ -124,7 +124,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = lambda a: F.when(F.col(a) == 0, F.col("ref")).otherwise(F.col("alt"))
     at = coded(spark, sf_dir).select("locus", "sample", "pop", "pos", iupac(F.array(base("a1"), base("a2"))).alias("c"))
-    got = at.groupBy("locus", "sample", "pop").agg(F.map_from_entries(F.collect_list(F.struct("pos", "c"))).alias("m"))
+    got = packed.by_place(at, ["locus", "sample", "pop"], "pos", "c")
     return got.select("locus", "sample", "pop", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("?"))), "").alias("seq"))
 
 

@@ -487,10 +487,9 @@ def pair_lines(spark, d):
     return T.pair_lines(PA.genotype_mismatch(FX.calls(spark, d)))
 
 
-@query(PAIRS + """, s as (select a, b, dist from pairs union all select b, a, dist from pairs)
-select a, round(max(dist) filter (b = 'ind0'), 6) as ind0, round(max(dist) filter (b = 'ind1'), 6) as ind1, round(max(dist) filter (b = 'ind40'), 6) as ind40 from s group by a""")
+@query(PAIRS + ", s as (select a, b, dist from pairs union all select b, a, dist from pairs) select a, " + ", ".join(f"round(max(dist) filter (b = '{x}'), 6) as {x}" for x in FX.names()) + " from s group by a")
 def distance_matrix(spark, d):
-    return _rounded(T.to_matrix(PA.genotype_mismatch(FX.calls(spark, d)), ["ind0", "ind1", "ind40"]))
+    return _rounded(T.to_matrix(PA.genotype_mismatch(FX.calls(spark, d)), FX.names()))
 
 
 # --- populations ---------------------------------------------------------------------------------
@@ -527,20 +526,21 @@ def gene_diversity_inbred(spark, d):
     return _rounded(PO.gene_diversity_inbred(PO.site_pop(FX.calls(spark, d))))
 
 
-@query(""", few as (select * from samples where sample_idx < 15), z as (select pop, count(*) as size from few group by pop),
-f0 as (select pop, site_id, count(*) as n from calls where sample in (select sample from few) group by pop, site_id),
+@query(""", few as (select sample, concat('grp', sample_idx % 15) as pop from samples), z as (select pop, count(*) as size from few group by pop),
+own as (select c.* replace (few.pop as pop) from calls c join few on c.sample = few.sample),
+f0 as (select pop, site_id, count(*) as n from own group by pop, site_id),
 f as (select f0.pop, site_id from f0 join z on z.pop = f0.pop where n = size),
-k as (select c.* from calls c join f on c.pop = f.pop and c.site_id = f.site_id where sample in (select sample from few)),
+k as (select c.* from own c join f on c.pop = f.pop and c.site_id = f.site_id),
 s as (select pop, locus, site_id, count(*) as n, avg((dosage = 1)::int) as ho, sum(dosage)::double / (2 * count(*)) as p from k group by all),
 g as (select pop, count(distinct locus) as loci, count(*) as snps, count(*) filter (p > 0 and p < 1) as variable, avg(ho) as ho, avg(2 * p * (1 - p)) as he,
   avg(ho) filter (p > 0 and p < 1) as hs, avg(2 * p * (1 - p) * 2 * n / (2 * n - 1)) filter (p > 0 and p < 1) as us from s group by pop),
-a as (select count(distinct locus) as l from calls where sample in (select sample from few))
+a as (select count(distinct locus) as l from own)
 select pop, loci::bigint as loci, snps::bigint as snps, variable::bigint as variable, round(ho * snps / (snps + loci::double / l * 300), 6) as ho_auto, round(he * snps / (snps + loci::double / l * 300), 6) as he_auto,
   round(hs, 6) as ho_snp, round(us, 6) as uhe_snp, round(1 - hs / us, 6) as fis from g, a""")
 def autosomal_heterozygosity(spark, d):
-    few = FX.samples(spark, d).where("sample_idx < 15")
-    calls = FX.calls(spark, d).join(F.broadcast(few.select("sample")), "sample", "left_semi")
-    return _rounded(PO.autosomal_heterozygosity(calls, few, 300))
+    """All samples, in groups small enough to have sites without a missing call."""
+    group = F.concat(F.lit("grp"), (F.col("sample_idx") % 15).cast("string"))
+    return _rounded(PO.autosomal_heterozygosity(FX.calls(spark, d).withColumn("pop", group), FX.samples(spark, d).withColumn("pop", group), 300))
 
 
 @query(SP + PP + """, f as (select *, (a1 / (2 * n1) - a2 / (2 * n2)) ** 2 - h1 / (2 * n1) - h2 / (2 * n2) as num from
@@ -656,20 +656,6 @@ def site_bases(spark, d):
     return at.groupBy("locus", F.col("pos").cast("long").alias("pos")).agg(F.countDistinct(F.when(plain, F.col("c"))).alias("plain"), F.bool_or(~plain).alias("any_het"))
 
 
-@query()
-def consensus(spark, d):
-    seqs = FX.sequences(spark, d).withColumn("seq", F.translate("seq", "?", "N")).withColumn("ord", F.col("sample"))
-    return L.consensus(seqs, "locus")
-
-
-@query()
-def extract_loci(spark, d):
-    seqs = FX.sequences(spark, d).withColumn("seq", F.translate("seq", "?", "N"))
-    ids = FX.sites(spark, d).where("locus % 2 = 0").select(F.col("locus").alias("id")).distinct()
-    one, counts = L.extract_loci(seqs, ids, min_samples=30)
-    return one.join(counts, ["locus", "sample"])
-
-
 # --- runs, trees, sweeps -------------------------------------------------------------------------
 
 
@@ -726,9 +712,9 @@ def mean_bootstrap_by_param(spark, d):
     return _rounded(o.select((F.col("o_custkey") % 5).alias("param"), M.mean_tree_support(tree).alias("s")).groupBy("param").agg(F.avg("s").alias("mean_support")))
 
 
-@query(" select o_orderkey % 7 as g, round(avg((o_orderkey % 90) + 0.5::double), 6) as scf, count(*)::bigint as n from orders where o_orderkey % 2 = 0 group by 1")
+@query(" select o_orderkey % 7 as g, round(avg((o_orderkey % 90) + 0.5::double), 6) as scf, count(*)::bigint as n from orders group by 1")
 def concordance_factors(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 2 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     k = (F.col("o_orderkey") % 90).cast("string")
     text = F.concat(F.lit('[&label="100",sCF/sDF1/sDF2="'), k, F.lit('.5/20/10"]'))
     f = M.concordance_factors(text)
@@ -896,3 +882,6 @@ select sample, 'table' as missing_from from h where sample not in (select sample
 def unmatched_samples(spark, d):
     have = FX.calls(spark, d).where("sample_idx < 42").select("sample").distinct()
     return V.unmatched(have, FX.samples(spark, d).where("sample_idx > 2").select("sample"))
+
+
+from . import file_queries  # noqa: E402, F401  (registers its queries)

@@ -19,10 +19,10 @@ def read_loci(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", "/locus=([^/]+)/", 1).alias("folder"))
     lines = F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != ""))
     rows = rows.withColumn("l", lines).where(F.size("l") > 1)
-    return rows.select("file", F.trim(F.get("l", F.lit(0))).alias("name"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.trim(x)), "").alias("seq"))
+    return rows.select("file", "folder", F.trim(F.get("l", F.lit(0))).alias("name"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.trim(x)), "").alias("seq"))
 
 
 def read_stacks_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +32,15 @@ def read_stacks_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(locus, sample, seq) of aligned FASTA files, one locus per file; codes in lower case."""
+    """(locus, sample, seq) of aligned FASTA files, one locus per file or folder `locus=...`; codes in lower case."""
     r = _records(spark, path)
-    return r.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("locus"), F.col("name").alias("sample"), F.lower("seq").alias("seq"))
+    return r.select(F.when(F.col("folder") != "", F.col("folder")).otherwise(F.regexp_replace("file", r"\.[^.]*$", "")).alias("locus"), F.col("name").alias("sample"), F.lower("seq").alias("seq"))
 
 
-def write_fasta(seqs: DataFrame, path: str) -> None:
-    """A folder of FASTA per locus."""
+def write_fasta(seqs: DataFrame, path: str, consensus: DataFrame | None = None) -> None:
+    """A folder of FASTA per locus; `consensus` (locus, seq) goes to one folder beside it, `<path>_consensus`."""
+    if consensus is not None:
+        consensus.select(F.concat(F.lit(">"), F.col("locus").cast("string"), F.lit("\n"), "seq").alias("value"), "locus").orderBy("locus").select("value").write.mode("overwrite").text(path.rstrip("/") + "_consensus")
     seqs.select("locus", F.concat(F.lit(">"), "sample", F.lit("\n"), "seq").alias("value")).repartition("locus").sortWithinPartitions("locus", "value").write.mode("overwrite").partitionBy("locus").text(path)
 
 

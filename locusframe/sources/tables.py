@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Pair table (a, b, dist) of a labelled space-delimited matrix: square or a triangle.
 
-    Both directions, no diagonal, NA left out; of two given values of a pair the first direction's.
+    Both directions, no diagonal, NA left out; of two given values of a pair the first direction's. The
+    header may name the column of labels, as `write_matrix` does, and stand in each of several files.
     """
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"))
     head = rows.first()["f"]
-    names = F.array(*map(F.lit, head))
+    corner = rows.where(F.size("f") == len(head)).limit(2).count() == 2 and rows.where((F.size("f") == len(head)) & (F.col("f") != F.array(*map(F.lit, head)))).limit(1).count() == 1
+    names = F.array(*map(F.lit, head[1:] if corner else head))
     cells = rows.where(F.size("f") > 1).where(F.col("f") != F.array(*map(F.lit, head)))
     long = cells.select(F.translate(F.get("f", F.lit(0)), '"', "").alias("a"), F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("i", "v"))
     one = long.select("a", F.translate(F.get(names, F.col("i")), '"', "").alias("b"), F.col("v").try_cast("double").alias("dist")).where("dist is not null and a != b")

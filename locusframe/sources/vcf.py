@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import genotype as G
 
@@ -13,32 +14,43 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Packed sites of VCF rows (value): site_id in file order if the lines carry `n`, else a hash.
+    """Packed sites of VCF rows (value), with the columns that the lines carry besides.
 
     Columns: chrom, locus, pos, snp_id, alleles, qual, filter, info (map), format, calls (array of
-    gt, phased, dp, pl). Missing numbers are null.
+    gt, phased, dp, pl), and raw (the text of each call) and info_text, with which `to_lines` writes
+    what was read. Missing numbers are null.
     """
-    f = F.split("value", r"\s+")
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", f)
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", r"\s+"))
     fmt = F.split(F.get("f", F.lit(8)), ":")
     pl = lambda c: F.transform(F.split(G.format_field(c, F.col("format"), "PL"), ","), lambda x: x.try_cast("double"))
     call = lambda c: F.struct(
         G.parse_gt(c).alias("gt"), F.split(c, ":")[0].contains("|").alias("phased"), G.format_field(c, F.col("format"), "DP").try_cast("int").alias("dp"), pl(c).alias("pl")
     )
     at = lambda i: F.get("f", F.lit(i))
-    keep = ["n"] if "n" in lines.columns else []
-    head = rows.select(*keep, at(0).alias("chrom"), at(1).cast("long").alias("pos"), at(2).alias("snp_id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"), at(5).alias("qual"), at(6).alias("filter"), F.str_to_map(at(7), F.lit(";"), F.lit("=")).alias("info"), fmt.alias("format"), F.slice("f", F.lit(10), F.size("f")).alias("raw"))
-    return head.withColumn("locus", F.col("chrom")).withColumn("calls", F.transform("raw", call)).drop("raw")
+    keep = [c for c in lines.columns if c != "value"]
+    head = rows.select(*keep, at(0).alias("chrom"), at(1).cast("long").alias("pos"), at(2).alias("snp_id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"), at(5).alias("qual"), at(6).alias("filter"),
+                       F.str_to_map(at(7), F.lit(";"), F.lit("=")).alias("info"), at(7).alias("info_text"), fmt.alias("format"), F.slice("f", F.lit(10), F.size("f")).alias("raw"))
+    return head.withColumn("locus", F.col("chrom")).withColumn("calls", F.transform("raw", call))
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(packed sites, sample names). Compressed files cannot be split: they are dealt out after reading."""
+    """(packed sites, sample names). site_id numbers the rows in the order of the files and their lines.
+
+    Numbers come from the counts of the parts in which the files are read. Compressed files cannot be
+    split: their rows are dealt out after they were numbered.
+    """
     lines = spark.read.text(path)
     head = lines.where(F.col("value").startswith("#CHROM")).first()
     names = head["value"].split()[9:] if head else []
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    # A part of a file, and the place of a row in it: rows of a part are read in their order.
+    rows = rows.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = sizes.select("part", "first", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each part of a file
+    numbered = rows.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("at") - F.col("first")).alias("site_id"))
     if path.endswith(".gz"):
-        lines = lines.repartition(spark.sparkContext.defaultParallelism)
-    return parse_lines(lines), names
+        numbered = numbered.repartition(spark.sparkContext.defaultParallelism)
+    return parse_lines(numbered), names
 
 
 def read_sweep(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -55,24 +67,49 @@ def require_ns(sites: DataFrame) -> DataFrame:
 
 
 def to_lines(sites: DataFrame, *order: str) -> DataFrame:
-    """Rows of VCF text in the given order: GT and DP (and PL, if FORMAT has it) of each call."""
+    """Rows of VCF text in the given order.
+
+    Sites that were read (with raw and info_text) come out as they were, all fields of FORMAT and INFO
+    in their order; of a call that was masked since, only the genotype becomes missing. Other sites get
+    GT and DP. PL is written where FORMAT has it and the text had not. A missing depth is a dot.
+    """
     sep = lambda c: F.when(F.coalesce(c["phased"], F.lit(False)), "|").otherwise("/")
     gt = lambda c: F.regexp_replace(F.array_join(F.transform(c["gt"], lambda a: F.coalesce(a.cast("string"), F.lit("."))), "/"), "/", sep(c))
-    has_pl = F.array_contains("format", "PL")
     pl = lambda c: F.coalesce(F.array_join(F.transform(c["pl"], lambda x: x.cast("string")), ","), F.lit("."))
-    call = lambda c: F.concat_ws(":", gt(c), F.coalesce(c["dp"].cast("string"), F.lit("0")), F.when(has_pl, pl(c)))
-    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    has_pl = F.array_contains("format", "PL")
+    if "raw" in sites.columns:
+        # A call shorter than FORMAT has lost trailing fields; new PL goes to the end, after dots for those.
+        fields = lambda t: F.split(t, ":")
+        longer = lambda t: F.concat(fields(t), F.array_repeat(F.lit("."), F.greatest(F.lit(0), F.size("format") - 1 - F.size(fields(t)))))
+        masked = lambda c, t: F.when(~G.is_called(c["gt"]) & G.is_called(G.parse_gt(t)), F.regexp_replace(t, r"^[^:]*", gt(c))).otherwise(t)
+        new_pl = has_pl & ~F.col("_pl_read")
+        call = lambda c, i: F.when(new_pl, F.concat_ws(":", longer(masked(c, F.get("raw", i))), pl(c))).otherwise(masked(c, F.get("raw", i)))
+        # PL was read if a call's text has as many fields as FORMAT.
+        sites = sites.withColumn("_pl_read", F.coalesce(F.exists("raw", lambda t: F.size(F.split(t, ":")) >= F.size("format")), F.lit(False)))
+        calls, info, fmt = F.transform("calls", call), F.col("info_text"), F.array_join("format", ":")
+    else:
+        call = lambda c: F.concat_ws(":", gt(c), F.coalesce(c["dp"].cast("string"), F.lit(".")), F.when(has_pl, pl(c)))
+        info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+        calls, fmt = F.transform("calls", call), F.when(has_pl, "GT:DP:PL").otherwise("GT:DP")
     alleles = (F.get("alleles", F.lit(0)), F.array_join(F.slice("alleles", F.lit(2), F.size("alleles")), ","))
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "snp_id", *alleles, "qual", "filter", info, F.when(has_pl, "GT:DP:PL").otherwise("GT:DP"), F.array_join(F.transform("calls", call), "\t"))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "snp_id", *alleles, "qual", "filter", info, fmt, F.array_join(calls, "\t"))
     return sites.select(*order, line.alias("value")).orderBy(*order) if order else sites.select(line.alias("value"))
 
 
 def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta: tuple[str, ...] = ("##fileformat=VCFv4.2",)) -> None:
-    """A folder of text: the header first, then the rows in order."""
+    """A folder of text: the header, then the rows, by default in the order of site_id.
+
+    Header and rows are dealt out by range together, so the header opens the first file and files sort
+    in the order of their rows.
+    """
     spark = sites.sparkSession
-    head = spark.createDataFrame([(x,) for x in [*meta, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]], "value string")
-    head.coalesce(1).write.mode("overwrite").text(path)
-    to_lines(sites, *order).select("value").write.mode("append").text(path)
+    order = order or (("site_id",) if "site_id" in sites.columns else ())
+    top = [*meta, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    head = spark.createDataFrame(list(enumerate(top, -len(top))), "_h long, value string")
+    for c in order:
+        head = head.withColumn(c, F.lit(None).cast(sites.schema[c].dataType))
+    rows = to_lines(sites, *order).withColumn("_h", F.lit(0).cast("long"))
+    head.unionByName(rows).orderBy("_h", *order).select("value").write.mode("overwrite").text(path)
 
 
 def add_pl(sites: DataFrame) -> DataFrame:

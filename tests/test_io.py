@@ -56,12 +56,19 @@ def test_write_vcf_round_trip(spark, vcf, tmp_path):
     again, names2 = V.read_vcf(spark, out)
     pick = lambda df: sorted((r["snp_id"], str([c["gt"] for c in r["calls"]])) for r in df.collect())
     assert names2 == names and pick(again) == pick(sites)
+    rows = [r for r in VCF.splitlines() if not r.startswith("#")]
+    for df in (sites, again):  # every field as it was, numbered in file order
+        assert [(r["site_id"], r["value"]) for r in V.to_lines(df, "site_id").collect()] == list(enumerate(rows))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).splitlines()[:2] == ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3"]
+    masked = V.to_lines(P.mask_calls_by_depth(sites, 10, 100), "site_id")
+    assert masked.collect()[1]["value"].endswith("1/2:20:0,10,10,0\t./.:7:0,0,0,0\t./1:20:0,0,20,0")
 
 
 def test_add_pl(spark, vcf):
     sites = V.add_pl(V.read_vcf(spark, vcf)[0])
     line = V.to_lines(sites).where("value like 'RAD_1\t5%'").first()["value"]
-    assert "GT:DP:PL" in line and line.endswith("1|1:20:0.0,0.0,0.0")
+    assert "GT:DP:CATG:PL" in line and line.endswith("1|1:20:0,0,20,0:0.0,0.0,0.0")
 
 
 def test_lists_and_unmatched(spark, tmp_path):
