@@ -159,7 +159,8 @@ def any_depth() -> Column:
 def keep_columns(sites: DataFrame, idx: list[int]) -> DataFrame:
     """Packed sites with the samples of the given places only, in their order."""
     keep = F.array(*map(F.lit, idx))
-    return sites.withColumns({x: F.transform(keep, lambda i, x=x: F.get(x, i)) for x in ("calls", "raw") if x in sites.columns})
+    pick = lambda c: F.transform(keep, lambda i: F.get(c, i))
+    return sites.withColumns({c: pick(c) for c in ("calls", "raw") if c in sites.columns})
 
 
 def site_stats() -> list[Column]:
