@@ -24,48 +24,102 @@ def sample_pairs(calls: DataFrame, *by: str) -> DataFrame:
 
 
 def genotype_mismatch(calls: DataFrame, *by: str) -> DataFrame:
-    """Share of sites called in both samples whose genotypes differ. No shared site: no row."""
-    return sample_pairs(calls, *by).groupBy(*by, "a", "b").agg(F.avg((F.col("da") != F.col("db")).cast("double")).alias("dist"))
+    """Share of sites called in both samples whose genotypes differ. No shared site: no row.
 
+    Over all calls by matrix blocks (`call_sums`); within groups of `by` by the join.
+    """
+    if by:
+        return sample_pairs(calls, *by).groupBy(*by, "a", "b").agg(F.avg((F.col("da") != F.col("db")).cast("double")).alias("dist"))
+    return call_sums(calls).select("a", "b", ((F.col("shared") - F.col("equal")) / F.col("shared")).alias("dist"))
 
-def pair_sums(sites: DataFrame, n: int) -> DataFrame:
-    """Sums over sites for each pair of samples, from packed biallelic sites.
 
-    Each task stacks blocks of sites to a matrix and adds up products of indicator matrices; one row
-    of arrays per sample and task is shuffled. Returns i, j (i < j), shared, equal, absdiff, sqdiff,
-    one_sided, and n_sites. For n up to a few thousand.
+_SUMS = ("shared", "equal", "absdiff", "sqdiff", "one_sided")
+
+
+def _block_sums(g: np.ndarray) -> np.ndarray:
+    """The five sums for each two columns of a block of dosages, sites x samples, -1 for missing."""
+    called = (g >= 0).astype(np.float32)
+    shared = called.T @ called
+    equal, apart = np.zeros_like(shared), np.zeros_like(shared)
+    for v in range(int(g.max(initial=0)) + 1):
+        one = (g == v).astype(np.float32)
+        equal += one.T @ one
+        if v:  # |x - y| is the number of steps v that lie between x and y
+            above = (g >= v).astype(np.float32)
+            below = called - above
+            apart += above.T @ below + below.T @ above
+    x = np.maximum(g, 0).astype(np.float32)
+    squares = (x * x).T @ called
+    own = called.sum(0)
+    return np.stack([shared, equal, apart, squares + squares.T - 2 * x.T @ x, own[:, None] + own[None, :] - 2 * shared])
+
+
+def _summed(blocks: DataFrame, column: str, matrix, n: int) -> DataFrame:
+    """(i, j, n_sites and the sums) over all blocks; `matrix` makes dosages of a column's values.
+
+    One row of arrays per sample and task is shuffled, and added up in two steps, so that no group
+    grows with the number of tasks.
     """
-    d = F.transform("calls", lambda c: F.coalesce(G.dosage(c["gt"]), F.lit(-1)).cast("tinyint"))
-    names = ("shared", "equal", "absdiff", "sqdiff", "one_sided")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, sites_seen = np.zeros((5, n, n)), 0
+        acc, seen = np.zeros((5, n, n)), 0
         for pdf in batches:
             for a in range(0, len(pdf), BLOCK):
-                g = np.stack(pdf.d.iloc[a : a + BLOCK].to_numpy()).astype(np.int8)
-                sites_seen += len(g)
-                one = [(g == v).astype(np.float32) for v in range(3)]
-                c = (g >= 0).astype(np.float32)
-                shared = c.T @ c
-                p = [[x.T @ y for y in one] for x in one]
-                acc[0] += shared
-                acc[1] += p[0][0] + p[1][1] + p[2][2]
-                near, far = p[0][1] + p[1][0] + p[1][2] + p[2][1], p[0][2] + p[2][0]
-                acc[2] += near + 2 * far
-                acc[3] += near + 4 * far
-                own = c.sum(0)
-                acc[4] += own[:, None] + own[None, :] - 2 * shared
-        yield pd.DataFrame({"i": np.arange(n), "n_sites": sites_seen, **{k: list(acc[x]) for x, k in enumerate(names)}})
-
-    cols = ", ".join(f"{k} array<double>" for k in names)
-    parts = sites.select(d.alias("d")).mapInPandas(sums, f"i int, n_sites long, {cols}")
+                g = matrix(pdf[column].iloc[a : a + BLOCK])
+                seen += len(g)
+                acc += _block_sums(g)
+        if seen:
+            yield pd.DataFrame({"i": np.arange(n), "n_sites": seen, **{k: list(acc[x]) for x, k in enumerate(_SUMS)}})
+
+    schema = "i int, n_sites long, " + ", ".join(f"{k} array<double>" for k in _SUMS)
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf.i.iloc[:1], "n_sites": [int(pdf.n_sites.sum())], **{k: [np.sum(np.stack(pdf[k].to_numpy()), axis=0)] for k in _SUMS}})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf.i.iat[0])
-        total = {k: np.sum(np.stack(pdf[k].to_numpy()), axis=0)[i + 1 :] for k in names}
+        total = {k: np.sum(np.stack(pdf[k].to_numpy()), axis=0)[i + 1 :] for k in _SUMS}
         return pd.DataFrame({"i": i, "j": np.arange(i + 1, n), "n_sites": int(pdf.n_sites.sum()), **total})
 
-    return parts.groupBy("i").applyInPandas(add, "i int, j int, n_sites long, " + ", ".join(f"{k} double" for k in names))
+    parts = blocks.mapInPandas(sums, schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    return parts.groupBy("i", "salt").applyInPandas(part, schema).groupBy("i").applyInPandas(add, "i int, j int, n_sites long, " + ", ".join(f"{k} double" for k in _SUMS))
+
+
+def pair_sums(sites: DataFrame, n: int) -> DataFrame:
+    """Sums over sites for each pair of samples, from packed sites.
+
+    Each task stacks blocks of sites to a matrix and adds up products of indicator matrices. Returns
+    i, j (i < j), n_sites, shared, equal, absdiff, sqdiff, one_sided. For n up to a few thousand.
+    """
+    d = F.transform("calls", lambda c: F.coalesce(G.dosage(c["gt"]), F.lit(-1)).cast("tinyint"))
+    return _summed(sites.select(d.alias("d")), "d", lambda x: np.stack(x.to_numpy()).astype(np.int8), n)
+
+
+def call_sums(calls: DataFrame) -> DataFrame:
+    """The sums of `pair_sums` from long calls: a, b, n_sites and the sums, for pairs with a shared site.
+
+    a comes before b in the order of sample_idx. Calls of a site are gathered once; no pairs of calls are
+    made. The samples' names, not their calls, pass through the driver. Of repeated calls of a sample
+    at a site the least dosage counts. Null dosages and samples are missing calls. No calls: no rows.
+    """
+    people = [r["sample"] for r in calls.where("sample is not null").groupBy("sample").agg(F.min("sample_idx").alias("i")).orderBy("i", "sample").collect()]
+    names = F.array(*map(F.lit, people)) if people else F.array().cast("array<string>")
+    known = calls.where("dosage is not null and sample is not null")
+    cells = known.groupBy("site_id").agg(F.collect_list(F.struct((F.array_position(names, F.col("sample")) - 1).cast("int").alias("i"), F.col("dosage").cast("int").alias("d"))).alias("c"))
+    cells = cells.select(F.array(F.transform("c", lambda x: x["i"]), F.transform("c", lambda x: x["d"])).alias("c"))
+    n = len(people)
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        parts = [(np.asarray(c[0]), np.asarray(c[1])) for c in column]
+        row = np.repeat(np.arange(len(parts)), [len(i) for i, _ in parts])
+        i, d = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(-d, kind="stable")  # the least is put last
+        g = np.full((len(parts), n), -1, np.int8)
+        g[row[order], i[order]] = d[order]
+        return g
+
+    got = _summed(cells, "c", matrix, n).where("shared > 0")
+    return got.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "n_sites", *_SUMS)
 
 
 def distance(kind: str) -> Column:
@@ -87,9 +141,8 @@ def block_distances(sites: DataFrame, samples: list[str], *kinds: str) -> DataFr
 
 
 def dosage_divergence(calls: DataFrame) -> DataFrame:
-    """Per pair: divergence, IBS and shared sites, by the join."""
-    diff = F.abs(F.col("da") - F.col("db"))
-    return sample_pairs(calls).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), (F.sum(diff) / (2 * F.count(F.lit(1)))).alias("divergence"), (1 - F.sum(diff) / (2 * F.count(F.lit(1)))).alias("ibs"))
+    """Per pair: divergence, IBS and shared sites."""
+    return call_sums(calls).select("a", "b", F.col("shared").cast("long").alias("shared"), distance("divergence").alias("divergence"), distance("ibs").alias("ibs"))
 
 
 def divergence_summary(pairs: DataFrame) -> DataFrame:
@@ -99,17 +152,12 @@ def divergence_summary(pairs: DataFrame) -> DataFrame:
 
 def euclidean(calls: DataFrame, n_sites: int) -> DataFrame:
     """Euclidean distance scaled up for missing sites: sqrt(sum of squares * all sites / shared)."""
-    sq = F.sum(F.pow(F.col("da") - F.col("db"), 2))
-    return sample_pairs(calls).groupBy("a", "b").agg(F.sqrt(sq * n_sites / F.count(F.lit(1))).alias("dist"))
+    return call_sums(calls).select("a", "b", F.sqrt(F.col("sqdiff") * n_sites / F.col("shared")).alias("dist"))
 
 
 def missing_mismatch(calls: DataFrame) -> DataFrame:
     """Sites called in exactly one of two samples, of those called in either."""
-    own = calls.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    shared = sample_pairs(calls).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
-    j = shared.join(F.broadcast(own.withColumnsRenamed({"sample": "a", "n": "na"})), "a").join(F.broadcast(own.withColumnsRenamed({"sample": "b", "n": "nb"})), "b")
-    one = F.col("na") + F.col("nb") - 2 * F.col("s")
-    return j.select("a", "b", (one / (one + F.col("s"))).alias("dist"))
+    return call_sums(calls).select("a", "b", distance("missing").alias("dist"))
 
 
 def _mask(a1: str, a2: str) -> Column:
