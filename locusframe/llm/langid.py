@@ -232,7 +232,7 @@ def identify(docs: DataFrame, network: Network | None = None, divisor: int = 4)
 
     Null text, empty text and text without a letter: `und`, score 0. No labelled rows: all `und`.
     Null doc_id: not held out. Repeated rows get the same answer; empty table: no rows. Columns of
-    `docs` that begin with an underscore and clash with the added ones are replaced.
+    `docs` of the added names, or of the name _lang_found, are replaced or dropped.
     """
     spark = docs.sparkSession
     if network is None:
@@ -250,5 +250,5 @@ def identify(docs: DataFrame, network: Network | None = None, divisor: int = 4)
             yield pd.DataFrame({"label": np.array(shared.value.labels, dtype=object)[best], "score": score})
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = out.withColumn("_p", predict(F.when(has_letter, F.encode("text", "utf-8")).otherwise(F.lit(b""))))
-    return out.withColumn("_lang_pred", F.when(has_letter, F.col("_p.label")).otherwise(F.lit("und"))).withColumn("_score", F.when(has_letter, F.col("_p.score")).otherwise(F.lit(0.0))).drop("_p")
+    out = out.withColumn("_lang_found", predict(F.when(has_letter, F.encode("text", "utf-8")).otherwise(F.lit(b""))))
+    return out.withColumn("_lang_pred", F.when(has_letter, F.col("_lang_found.label")).otherwise(F.lit("und"))).withColumn("_score", F.when(has_letter, F.col("_lang_found.score")).otherwise(F.lit(0.0))).drop("_lang_found")

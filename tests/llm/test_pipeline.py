@@ -63,3 +63,20 @@ def test_copies_with_short_and_blank_lines_leave_no_husk(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     got = {r["doc_id"]: r["text"] for r in C.line_stage(spark, docs, folder).collect()}
     assert got == {1: rows[0][1], 3: "its own", 4: "\n", 5: None}
+
+
+def test_stages_with_repeats_nulls_and_clashing_columns(spark, folder):
+    """Every stage takes repeated rows, nulls in any column and columns of the names used inside, and loses no clean row."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = [(None, None, None, None, None), (300, None, None, None, None), (301, "", None, None, 0), (301, "", None, None, 0)]
+    docs = docs.unionByName(docs.where("doc_id in (4, 5)")).unionByName(spark.createDataFrame(odd, docs.schema))
+    clash = ("_d", "_k", "_gone", "_key", "gone", "text_key", "n_hit", "hits", "row", "size_", "_lang_pred_", "_keep", "take", "whole", "key", "n_words")
+    docs = docs.withColumns({c: F.lit(7) for c in clash})
+    for name, stage in C.STAGES:
+        before, docs = docs, C.materialize(stage(spark, docs, folder))
+        assert docs.columns[: len(before.columns)] == before.columns
+        assert docs.where(" and ".join(f"`{c}` = 7" for c in clash)).count() == docs.count()
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "language_id":
+            assert {4, 5} < ids and not {300, 301, None} & ids and docs.where("doc_id = 4").count() == 2
+    assert docs.count() > 60
