@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Statements within leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it again.
 
@@ -43,12 +55,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with without_shuffle_files(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_at = path
     return out
@@ -123,7 +131,9 @@ def hash_map(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray
         return pd.DataFrame({"part": [w[0] // size], "bits": [out.tobytes()]})
 
     out = np.zeros(((1 << (bits - 6)) // size, size), np.int64)
-    for r in words.groupBy(F.floor(F.col("w") / size)).applyInPandas(part, "part long, bits binary").collect():
+    with without_shuffle_files(hashes.sparkSession):
+        rows = words.groupBy(F.floor(F.col("w") / size)).applyInPandas(part, "part long, bits binary").collect()
+    for r in rows:
         out[r["part"]] = np.frombuffer(r["bits"], np.int64)
     return out.ravel()
 
@@ -152,7 +162,9 @@ def repeated_map(packed: DataFrame, column: str, keys: int) -> np.ndarray:
         return pd.DataFrame({"w": [out.index.to_numpy(np.int64).tobytes()], "b": [out.to_numpy(np.int64).tobytes()]})
 
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for r in packed.select(column).mapInPandas(deal, "part int, keys binary").groupBy("part").applyInPandas(mark, "w binary, b binary").toLocalIterator():
+    with without_shuffle_files(packed.sparkSession):
+        rows = packed.select(column).mapInPandas(deal, "part int, keys binary").groupBy("part").applyInPandas(mark, "w binary, b binary").collect()
+    for r in rows:  # of fixed size together, about twice the map's
         w = np.frombuffer(r["w"], np.int64)
         out[w] |= np.frombuffer(r["b"], np.int64)
     return out

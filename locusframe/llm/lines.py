@@ -124,7 +124,8 @@ class _Sets:
         h = np.concatenate([x for x, _ in found])
         owner = np.repeat(np.arange(len(lines)), np.concatenate([c for _, c in found]))
         distinct, token = np.unique(h, return_inverse=True)
-        both = np.unique((owner << 32) | token)
+        both = np.sort((owner << 32) | token)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
         self.owner, self.token = both >> 32, both & 0xFFFFFFFF
         self.size = np.bincount(self.owner, minlength=len(lines))
         self.first = np.r_[0, np.cumsum(self.size)]
@@ -160,16 +161,13 @@ def line_links(pdf: pd.DataFrame, bounds: np.ndarray, similarity: float) -> tupl
     row = np.zeros(len(nodes), np.int64)
     row[code[::-1]] = np.arange(len(code))[::-1]
     sets = _Sets([pdf.line.iat[i] for i in row])
-    root = np.arange(len(nodes))
+    top = list(range(len(nodes)))
     out: list[tuple[int, int]] = []
 
-    def join(i: int, js: np.ndarray) -> None:
-        old = np.unique(root[js])
-        old = old[old != root[i]]
-        for r in old.tolist():
-            out.append((row[i], row[js[root[js] == r][0]]))
-        if len(old):
-            root[np.isin(root, old)] = root[i]
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
 
     near = lambda x, y, common: common * (1 + similarity) >= similarity * (x + y) - 1e-9
     sizes = np.diff(bounds)
@@ -187,18 +185,23 @@ def line_links(pdf: pd.DataFrame, bounds: np.ndarray, similarity: float) -> tupl
         differ = np.bitwise_count(sets.parity[p[:, 0]] ^ sets.parity[p[:, 1]]).sum(1, dtype=np.int64)
         kept.append(p[(1 + similarity) * differ <= (1 - similarity) * (sets.size[p[:, 0]] + sets.size[p[:, 1]]) + 1e-9])
     for i, j in np.concatenate(kept).tolist():
-        if root[i] != root[j] and near(sets.size[i], sets.size[j], len(np.intersect1d(sets.of(i), sets.of(j), assume_unique=True))):
-            join(i, np.array([j]))
+        p, q = find(i), find(j)
+        if p != q and near(sets.size[i], sets.size[j], len(np.intersect1d(sets.of(i), sets.of(j), assume_unique=True))):
+            top[q] = p
+            out.append((row[i], row[j]))
     for lo, hi in zip(bounds[:-1][sizes > LISTED].tolist(), bounds[1:][sizes > LISTED].tolist()):
         members = code[lo:hi]
-        bits = sets.bits(members)
+        bits, roots = sets.bits(members), np.array([find(i) for i in members.tolist()])
         for k, i in enumerate(members.tolist()):
-            rest = np.flatnonzero(root[members[k + 1 :]] != root[i]) + k + 1
+            rest = np.flatnonzero(roots[k + 1 :] != roots[k]) + k + 1
             if len(rest):
                 common = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
-                js = members[rest[near(sets.size[i], sets.size[members[rest]], common)]]
-                if len(js):
-                    join(i, js)
+                js = rest[near(sets.size[i], sets.size[members[rest]], common)]
+                others, first = np.unique(roots[js], return_index=True)
+                for q, j in zip(others.tolist(), js[first].tolist()):
+                    top[q] = int(roots[k])
+                    out.append((row[i], row[members[j]]))
+                roots[np.isin(roots, others)] = roots[k]
     found = np.array(out, np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
@@ -211,7 +214,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are grouped first, by a 64-bit hash. Distinct lines get MinHash signatures of their shingles of
     `CHARS` characters; bands put them in buckets; there the signatures tell which lines can be near
     another (`promising`), and of these the exact Jaccard similarity of the sets (64-bit hashes)
-    decides, in tasks that hold a bounded block of a bucket; linked lines form components. Of each component the first line stays: that of the least (doc_id, place).
+    decides, in tasks that hold a bounded block of a bucket; linked lines form components. Of each
+    component the first line stays: that of the least (doc_id, place).
 
     Blank lines, ends of paragraphs, always stay. Lines under `CHARS` characters are near only where
     they are equal. Null text stays null, empty text empty. Null doc_id sorts first. Documents equal
