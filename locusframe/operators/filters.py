@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import packed as P
 
 
@@ -47,9 +48,11 @@ def _present_enough(sites: DataFrame, keep: list[int], limit: float) -> list[int
     """Those of the places whose share of missing calls is under the limit; one count per sample reaches the driver."""
     if not keep:
         return []
-    flags = [F.sum(P.G.is_called(F.get("calls", F.lit(i))["gt"]).cast("int")).alias(f"s{i}") for i in keep]
-    row = sites.agg(F.count(F.lit(1)).alias("n"), *flags).first()
-    return [i for i in keep if row["n"] and 1 - (row[f"s{i}"] or 0) / row["n"] < limit]
+    # One row per sample and task is shuffled: partial counts of the places that are called, and -1 for each site.
+    called = F.filter(F.transform("calls", lambda c, i: F.when(P.G.is_called(c["gt"]), i)), lambda i: i.isNotNull())
+    have = {r["i"]: r["count"] for r in sites.select(F.explode(F.array_append(called, F.lit(-1))).alias("i")).groupBy("i").count().collect()}
+    n = have.get(-1, 0)
+    return [i for i in keep if n and 1 - have.get(i, 0) / n < limit]
 
 
 def drop_samples_by_missing(sites: DataFrame, samples: list[str], limit: float) -> tuple[DataFrame, list[str]]:
@@ -63,10 +66,10 @@ def iterative_filter(
 ) -> tuple[DataFrame, list[str]]:
     """Call-rate filter on sites and missingness filter on samples in turn, stricter each time.
 
-    The packed sites are cached and never rewritten: each step adds a predicate over the places of
-    the samples kept so far, and the columns are cut once at the end.
+    The packed sites are written once to the shared folder and read by each step, which adds a predicate
+    over the places of the samples kept so far; the columns are cut once at the end.
     """
-    sites, keep = sites.cache(), list(range(len(samples)))
+    sites, keep = written(sites), list(range(len(samples)))
     left = sites
     for rate, limit in zip(site_steps, sample_steps):
         left = left.where(F.size(_called_of(keep)) >= rate * len(keep))

@@ -35,10 +35,16 @@ def gram(sites: DataFrame, n: int, standardise: bool = False) -> np.ndarray:
         yield pd.DataFrame({"i": np.arange(n), "row": list(acc)})
 
     parts = sites.select(d.alias("d")).mapInPandas(sums, "i int, row array<double>")
-    rows = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf.i.iloc[:1], "row": [np.sum(np.stack(pdf.row.to_numpy()), axis=0)]})
+
+    # Added up in two steps, so that no group grows with the number of tasks; n rows come to the driver.
+    salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    rows = salted.groupBy("i", "salt").applyInPandas(add, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
     out = np.zeros((n, n))
-    for r in rows:
-        out[r["i"], r["j"]] = r["v"]
+    for r in rows.collect():
+        out[r["i"]] = r["row"]
     return out / n
 
 

@@ -113,6 +113,18 @@ def secondaries_report(calls: DataFrame) -> DataFrame:
     return calls.select("locus", "site_id").distinct().groupBy("locus").agg(F.count(F.lit(1)).alias("snps")).groupBy("snps").agg(F.count(F.lit(1)).alias("loci"))
 
 
+def secondaries_summary(calls: DataFrame, sites: DataFrame) -> DataFrame:
+    """One row: loci, those of them without variation (no called site with two alleles), and mean and mode of called sites per locus.
+
+    `sites` (locus) lists all loci; the mode of several is the least. No loci: zeros and nulls.
+    """
+    by = calls.groupBy("locus", "site_id").agg((F.min(F.least("a1", "a2")) != F.max(F.greatest("a1", "a2"))).alias("varies"))
+    by = by.groupBy("locus").agg(F.count(F.lit(1)).alias("snps"), F.bool_or("varies").alias("varies"))
+    all_ = sites.select("locus").distinct().join(by, "locus", "left").select(F.coalesce("snps", F.lit(0)).alias("snps"), F.coalesce("varies", F.lit(False)).alias("varies"))
+    per = all_.groupBy("snps").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("varies")).alias("invariant"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("loci"), F.coalesce(F.sum("invariant"), F.lit(0)).alias("invariant"), (F.sum(F.col("n") * F.col("snps")) / F.sum("n")).alias("mean"), F.max_by("snps", F.struct("n", -F.col("snps"))).alias("mode"))
+
+
 def dataset_size(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(F.countDistinct("locus").alias("loci"), F.countDistinct("site_id").alias("snps"), F.countDistinct("sample").alias("samples"))
 

@@ -195,3 +195,11 @@ def extract_loci(spark, d):
     ids = FX.sites(spark, d).select(F.col("locus").alias("id")).distinct()
     one, counts = L.extract_loci(seqs, ids, min_samples=30)
     return one.join(counts, ["locus", "sample"])
+
+
+@query(""", v as (select locus, site_id, min(least(a1, a2)) <> max(greatest(a1, a2)) as varies from calls group by all),
+l as (select locus, count(*) as snps, bool_or(varies) as varies from v group by locus),
+a as (select coalesce(snps, 0) as snps, coalesce(varies, false) as varies from (select distinct locus from sites) left join l using (locus))
+select count(*)::bigint as loci, (count(*) filter (not varies))::bigint as invariant, round(avg(snps), 6) as mean, (select snps from a group by snps order by count(*) desc, snps limit 1)::bigint as mode from a""")
+def secondaries_summary(spark, d):
+    return _rounded(S.secondaries_summary(FX.calls(spark, d), FX.sites(spark, d)))
