@@ -238,7 +238,8 @@ def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> Da
     the table of byte pairs, 65536 numbers at most, passes through the driver.
 
     Null or empty text: one token, the end. Repeated rows are scored, and learned from, as often as
-    they come. Empty table: no rows. Other columns are ignored. Returns doc_id, held_out, n_tokens,
+    they come; rows equal in id and text share a chunk, so a long run of them is one group. A text longer
+    than a chunk is one chunk. Empty table: no rows. Other columns are ignored. Returns doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score.
     """
     rows, size = total_bytes(docs, "text")
