@@ -96,7 +96,7 @@ def matrix_files(spark, d):
 
 
 @query(""", g as (select (select count(distinct site_id) from calls) as sites) select sample, count(*) filter (dosage = 0)::bigint as n0, count(*) filter (dosage = 1)::bigint as n1,
-  count(*) filter (dosage = 2)::bigint as n2, (max(sites) - count(*))::bigint as missing from calls, g group by sample""")
+  count(*) filter (dosage = 2)::bigint as n2, (max(sites) - count(*))::bigint as missing from calls, g where sample in (select sample from samples) group by sample""")
 def nexus012_files(spark, d):
     calls = FX.calls(spark, d)
     sites = S.with_site_index(calls.select("site_id").distinct(), "site_id")
@@ -105,7 +105,7 @@ def nexus012_files(spark, d):
     return rows.select("sample", n(0).alias("n0"), n(1).alias("n1"), n(2).alias("n2"), n(None).alias("missing"))
 
 
-@query(""", v as (select site_id from calls group by site_id having count(distinct dosage) > 1)
+@query(""", v as (select site_id from calls where sample in (select sample from samples) group by site_id having count(distinct dosage) > 1)
 select c.site_id::varchar as snp, c.sample, s.pop, round(s.lat, 6) as lat, round(s.lon, 6) as lon, c.dosage::bigint as dosage from calls c join samples s on c.sample = s.sample where c.site_id in (select site_id from v)""")
 def dart_files(spark, d):
     """A two-row table, a row for each allele of a SNP, and a table of the samples."""
