@@ -156,10 +156,13 @@ def repeated_map(packed: DataFrame, column: str, keys: int) -> np.ndarray:
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.sort(np.frombuffer(b"".join(pdf["keys"]), np.uint64))
-        bit = np.unique(h[1:][h[1:] == h[:-1]] >> np.uint64(64 - MAP_BITS))
-        out = pd.DataFrame({"w": (bit >> np.uint64(6)).astype(np.int64), "b": np.left_shift(np.uint64(1), bit & np.uint64(63)).view(np.int64)})
-        out = out.groupby("w", sort=True).b.agg(np.bitwise_or.reduce)
-        return pd.DataFrame({"w": [out.index.to_numpy(np.int64).tobytes()], "b": [out.to_numpy(np.int64).tobytes()]})
+        bit = h[1:][h[1:] == h[:-1]] >> np.uint64(64 - MAP_BITS)
+        if not len(bit):
+            return pd.DataFrame({"w": [b""], "b": [b""]})
+        word = bit >> np.uint64(6)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), bit & np.uint64(63)), first)
+        return pd.DataFrame({"w": [word[first].tobytes()], "b": [bits.tobytes()]})
 
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     with without_shuffle_files(packed.sparkSession):

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.llm import components as graph
-from locusframe.llm import decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, sketches, substrings, topk
+from locusframe.llm import common, decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, sketches, substrings, topk
 from locusframe.llm.components import components
 from locusframe.llm.tokens import Words
 
@@ -488,6 +488,15 @@ def test_line_dedup_against_brute_force(spark):
     assert gone <= want
 
 
+def test_map_of_repeated_hashes(spark):
+    rng = np.random.default_rng(23)
+    once, twice = (rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) for n in (3000, 500))
+    rows = [(h.tobytes(),) for h in np.array_split(rng.permutation(np.r_[once, twice, twice, twice[:100]]), 40)]
+    found = common.repeated_map(spark.createDataFrame(rows, "keys binary"), "keys", 4000)
+    assert common.in_map(found, twice).all() and common.in_map(found, once).mean() < 0.01
+    assert not common.repeated_map(spark.createDataFrame([(once.tobytes(),)], "keys binary"), "keys", 0).any()
+
+
 @pytest.mark.parametrize("listed", [lines.LISTED, 1])
 def test_line_links_are_exact_within_buckets(listed, monkeypatch):
     """All lines in one bucket, or in several: the links join just what brute force joins."""
