@@ -117,3 +117,29 @@ select m.doc_id, m.size, cast(q.size as bigint) as source_size, q.target, cast(m
 from m join q on m.source is not distinct from q.source
 left join x on x.source is not distinct from m.source and x.doc_id is not distinct from m.doc_id and x.text is not distinct from m.text
 """
+
+
+def _op12(rounds: int = 6) -> str:
+    """Lloyd rounds as a chain of assignments a0, a1, ... and codebooks b0, b1, ..."""
+    near = """{a} as materialized (select rid, p, arg_min(e, d * 16 + e) as e, min(d) as d from (
+  select c.rid, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) as d from part c join {b} b on b.p = c.p and b.j = c.j group by c.rid, c.p, b.e) group by rid, p)"""
+    mean = """{b} as materialized (select o.p, o.e, o.j, coalesce(m.x, o.x) as x from {old} o left join (
+  select a.p, a.e, c.j, (sum(c.x) - ((sum(c.x) % count(*)) + count(*)) % count(*)) // count(*) as x
+  from part c join {a} a on a.rid = c.rid and a.p = c.p group by a.p, a.e, c.j) m on m.p = o.p and m.e = o.e and m.j = o.j)"""
+    steps = [x for i in range(rounds) for x in (near.format(a=f"a{i}", b=f"b{i}"), mean.format(a=f"a{i}", b=f"b{i + 1}", old=f"b{i}"))]
+    steps.append(near.format(a="a", b=f"b{rounds}"))
+    return """with kept as materialized (select row_number() over () as rid, vec_id, label, embedding as v from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+part as materialized (select rid, vec_id, (j - 1) // (n // 8) as p, (j - 1) % (n // 8) as j, x
+  from (select rid, vec_id, unnest(range(1, len(v) + 1)) as j, len(v) as n, unnest(list_transform(v, x -> floor(4096 * x::double)::hugeint)) as x from kept)),
+firsts as (select rid, row_number() over (order by vec_id) - 1 as e from kept qualify e < 16),
+b0 as materialized (select p, e, j, x from part join firsts on firsts.rid = part.rid),
+%s,
+codes as (select rid, string_agg(printf('%%02x', e), '' order by p) as code, sum(d) as error from a group by rid),
+named as (select k.vec_id, k.label, c.code, c.error from kept k join codes c on c.rid = k.rid),
+tot as (select label, sum(error) as t from named group by label)
+select vec_id, code, error::bigint as error, t::bigint as label_error, (select sha256(string_agg(x::varchar, ',' order by p, e, j)) from b%d) as codebooks_sha256
+from named n join tot on tot.label is not distinct from n.label""" % (",\n".join(steps), rounds)
+
+
+OP12 = _op12()

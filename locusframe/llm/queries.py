@@ -80,6 +80,17 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op9_mix_sources": oracles.OP9, "op10_top_k": oracles.OP10}
+    found = compress(table(spark, sf_dir, "embeddings"))
+    # Sums of longs could leave 64 bits: they are made as decimals and held at the greatest long.
+    per_label = found.groupBy("label").agg(F.least(F.sum(F.col("_error").cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long").alias("label_error"))
+    per_label = per_label.withColumnRenamed("label", "_label")
+    joined = found.join(per_label, F.col("label").eqNullSafe(F.col("_label")))
+    return joined.select("vec_id", F.col("_code").alias("code"), F.col("_error").alias("error"), "label_error", F.col("_books").alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k, op12_vector_codes)}
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op9_mix_sources": oracles.OP9, "op10_top_k": oracles.OP10, "op12_vector_codes": oracles.OP12}
