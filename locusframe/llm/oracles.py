@@ -129,9 +129,9 @@ def _op12(rounds: int = 6) -> str:
     steps = [x for i in range(rounds) for x in (near.format(a=f"a{i}", b=f"b{i}"), mean.format(a=f"a{i}", b=f"b{i + 1}", old=f"b{i}"))]
     steps.append(near.format(a="a", b=f"b{rounds}"))
     return """with kept as materialized (select row_number() over () as rid, vec_id, label, embedding as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-part as materialized (select rid, vec_id, (j - 1) // (n // 8) as p, (j - 1) % (n // 8) as j, x
-  from (select rid, vec_id, unnest(range(1, len(v) + 1)) as j, len(v) as n, unnest(list_transform(v, x -> floor(4096 * x::double)::hugeint)) as x from kept)),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as materialized (select rid, vec_id, (j - 1) // (n // 8) as p, (j - 1) %% (n // 8) as j, x
+  from (select rid, vec_id, unnest(range(1, len(v) + 1)) as j, len(v) as n, unnest(list_transform(v, lambda x: floor(4096 * x::double)::hugeint)) as x from kept)),
 firsts as (select rid, row_number() over (order by vec_id) - 1 as e from kept qualify e < 16),
 b0 as materialized (select p, e, j, x from part join firsts on firsts.rid = part.rid),
 %s,
