@@ -143,3 +143,19 @@ from named n join tot on tot.label is not distinct from n.label""" % (",\n".join
 
 
 OP12 = _op12()
+
+_TERMS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = """with words as materialized (select row_number() over () as r, doc_id, unnest(%s) as t from documents where text is not null),
+tf as materialized (select r, any_value(doc_id) as doc_id, t, count(*) as tf from words group by r, t),
+size as materialized (select r, count(*) as n from words group by r),
+tot as materialized (select count(*) as docs, sum(n)::bigint as l from size),
+df as (select t, count(*) as df from tf group by t),
+w as materialized (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from df, tot),
+asked as (select row_number() over () as i, item_id, unnest(%s) as t from benchmark where text is not null),
+q as materialized (select i, any_value(item_id) as item_id, t, count(*) as k from asked group by i, t),
+m as materialized (select r, 25 + (75 * n * docs) // l as m from size, tot),
+s as (select i, any_value(q.item_id) as item_id, tf.r, any_value(tf.doc_id) as doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from q join w on w.t = q.t join tf on tf.t = q.t join m on m.r = tf.r group by i, tf.r)
+select item_id, rank::integer as rank, doc_id, score from (
+  select *, row_number() over (partition by i order by score desc, doc_id) as rank from s where score > 0) where rank <= 10""" % (_TERMS.format(t="text"), _TERMS.format(t="text"))
