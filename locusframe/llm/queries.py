@@ -97,6 +97,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", F.col("_code").alias("code"), F.col("_error").alias("error"), "label_error", F.col("_books").alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k, op11_lexical_search, op12_vector_codes)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_ngram_join, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_main_text, op7_license_scan, op8_line_dedup, op9_mix_sources, op10_top_k, op11_lexical_search, op12_vector_codes, op13_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op9_mix_sources": oracles.OP9, "op10_top_k": oracles.OP10, "op11_lexical_search": oracles.OP11, "op12_vector_codes": oracles.OP12}
