@@ -273,6 +273,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         shared.destroy()
         release(vectors)
     if found is None:
-        return spark.createDataFrame([], items.select("item_id").schema.add("rank", "int").add("doc_id", "long").add("score", "long"))
+        return asked.limit(0).select("item_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("score"))
     named = found.join(asked.select("item", "item_id"), "item")
     return named.select("item_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("has_id"), F.col("id")).alias("doc_id"), "score")
