@@ -1,125 +1,64 @@
-"""Comparisons of all pairs of samples: a join for few samples, matrix blocks for many."""
+"""Comparisons of all pairs of samples, by products of indicator matrices over planes of bits (`tiles`)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..sources.shared import written as _written
+from . import tiles
+from .tiles import Dosages, Table, set_table
 
-#: Sites of a block of the matrix.
-BLOCK = 4096
-
-
-def sample_pairs(calls: DataFrame, *by: str) -> DataFrame:
-    """Both dosages at each site that two samples share (for few samples; see `pair_sums`)."""
-    x = calls.select(*by, "site_id", F.col("sample").alias("a"), F.col("sample_idx").alias("ia"), F.col("dosage").alias("da"))
-    y = calls.select(*by, "site_id", F.col("sample").alias("b"), F.col("sample_idx").alias("ib"), F.col("dosage").alias("db"))
-    return x.join(y, [*by, "site_id"]).where("ia < ib")
-
-
-def genotype_mismatch(calls: DataFrame, *by: str) -> DataFrame:
-    """Share of sites called in both samples whose genotypes differ. No shared site: no row.
-
-    Over all calls by matrix blocks (`call_sums`); within groups of `by` by the join.
-    """
-    if by:
-        return sample_pairs(calls, *by).groupBy(*by, "a", "b").agg(F.avg((F.col("da") != F.col("db")).cast("double")).alias("dist"))
-    return call_sums(calls).select("a", "b", ((F.col("shared") - F.col("equal")) / F.col("shared")).alias("dist"))
-
-
-_SUMS = ("shared", "equal", "absdiff", "sqdiff", "one_sided")
-
-
-def _block_sums(g: np.ndarray) -> np.ndarray:
-    """The five sums for each two columns of a block of dosages, sites x samples, -1 for missing."""
-    called = (g >= 0).astype(np.float32)
-    shared = called.T @ called
-    equal, apart = np.zeros_like(shared), np.zeros_like(shared)
-    for v in range(int(g.max(initial=0)) + 1):
-        one = (g == v).astype(np.float32)
-        equal += one.T @ one
-        if v:  # |x - y| is the number of steps v that lie between x and y
-            above = (g >= v).astype(np.float32)
-            below = called - above
-            apart += above.T @ below + below.T @ above
-    x = np.maximum(g, 0).astype(np.float32)
-    squares = (x * x).T @ called
-    own = called.sum(0)
-    return np.stack([shared, equal, apart, squares + squares.T - 2 * x.T @ x, own[:, None] + own[None, :] - 2 * shared])
+#: GENPOFAD of two sets of alleles, and MATCHSTATES: each allele of one is matched with its like in the other.
+GENPOFAD = set_table(lambda a, b, both: 1 - both / max(a, b))
+MATCHSTATES = set_table(lambda a, b, both: 1 - (both / a + both / b) / 2)
 
 
-def _summed(blocks: DataFrame, column: str, matrix, n: int) -> DataFrame:
-    """(i, j, n_sites and the sums) over all blocks; `matrix` makes dosages of a column's values.
+def places(calls: DataFrame, names: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Calls with sample_idx as places 0, 1, ... of a list of names: of `names`, if given (in the order of sample_idx), else of the table's samples.
 
-    One row of arrays per sample and task is shuffled, and added up in two steps, so that no group
-    grows with the number of tasks.
+    Only names reach the driver. Null samples are left out.
     """
+    if names is not None:
+        return calls, names
+    known = calls.where("sample is not null")
+    people = [r["sample"] for r in known.groupBy("sample").agg(F.min("sample_idx").alias("i")).orderBy("i", "sample").collect()]
+    at = calls.sparkSession.createDataFrame([(s, i) for i, s in enumerate(people)], "sample string, _place int")
+    return known.join(F.broadcast(at), "sample").withColumn("sample_idx", F.col("_place")).drop("_place"), people
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, seen = np.zeros((5, n, n)), 0
-        for pdf in batches:
-            for a in range(0, len(pdf), BLOCK):
-                g = matrix(pdf[column].iloc[a : a + BLOCK])
-                seen += len(g)
-                acc += _block_sums(g)
-        if seen:
-            yield pd.DataFrame({"i": np.arange(n), "n_sites": seen, **{k: list(acc[x]) for x, k in enumerate(_SUMS)}})
 
-    schema = "i int, n_sites long, " + ", ".join(f"{k} array<double>" for k in _SUMS)
+def _named(sums: DataFrame, names: list[str]) -> DataFrame:
+    lookup = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return sums.withColumn("a", F.get(lookup, F.col("i"))).withColumn("b", F.get(lookup, F.col("j"))).drop("i", "j")
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf.i.iloc[:1], "n_sites": [int(pdf.n_sites.sum())], **{k: [np.sum(np.stack(pdf[k].to_numpy()), axis=0)] for k in _SUMS}})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf.i.iat[0])
-        total = {k: np.sum(np.stack(pdf[k].to_numpy()), axis=0)[i + 1 :] for k in _SUMS}
-        return pd.DataFrame({"i": i, "j": np.arange(i + 1, n), "n_sites": int(pdf.n_sites.sum()), **total})
+def genotype_mismatch(calls: DataFrame, *by: str, names: list[str] | None = None) -> DataFrame:
+    """Share of sites called in both samples whose genotypes differ, within groups of `by`. No shared site: no row."""
+    return call_sums(calls, *by, names=names).select(*by, "a", "b", distance("mismatch").alias("dist"))
 
-    parts = blocks.mapInPandas(sums, schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    return parts.groupBy("i", "salt").applyInPandas(part, schema).groupBy("i").applyInPandas(add, "i int, j int, n_sites long, " + ", ".join(f"{k} double" for k in _SUMS))
 
+def pair_sums(sites: DataFrame, n: int, tile: int | None = None) -> DataFrame:
+    """Sums over sites for each pair of samples, from packed sites: i, j (i < j), n_sites, shared, equal, absdiff, sqdiff, one_sided."""
+    kernel = Dosages()
+    words = lambda test: F.transform(F.sequence(F.lit(0), F.lit((n - 1) // 64)), lambda w: F.aggregate(F.slice(F.transform("calls", lambda c, i: F.when(F.coalesce(test(G.dosage(c["gt"])), F.lit(False)), tiles._bit(i % 64)).otherwise(F.lit(0).cast("long"))), w * 64 + 1, F.lit(64)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
+    rows = sites.select(words(lambda d: d.isNotNull()).alias("c"), *[words(lambda d, v=v: d < v).alias(f"b{v}") for v in range(1, kernel.top + 1)])
+    return tiles.pair_sums(rows, [], kernel, n, tile)
 
-def pair_sums(sites: DataFrame, n: int) -> DataFrame:
-    """Sums over sites for each pair of samples, from packed sites.
 
-    Each task stacks blocks of sites to a matrix and adds up products of indicator matrices. Returns
-    i, j (i < j), n_sites, shared, equal, absdiff, sqdiff, one_sided. For n up to a few thousand.
-    """
-    d = F.transform("calls", lambda c: F.coalesce(G.dosage(c["gt"]), F.lit(-1)).cast("tinyint"))
-    return _summed(sites.select(d.alias("d")), "d", lambda x: np.stack(x.to_numpy()).astype(np.int8), n)
-
-
-def call_sums(calls: DataFrame) -> DataFrame:
-    """The sums of `pair_sums` from long calls: a, b, n_sites and the sums, for pairs with a shared site.
+def call_sums(calls: DataFrame, *by: str, names: list[str] | None = None, tile: int | None = None, top: int = 2) -> DataFrame:
+    """The sums of `pair_sums` from long calls, within groups of `by`: a, b, n_sites and the sums, for pairs with a shared site.
 
-    a comes before b in the order of sample_idx. Calls of a site are gathered once; no pairs of calls are
-    made. The samples' names, not their calls, pass through the driver. Of repeated calls of a sample
-    at a site the least dosage counts. Null dosages and samples are missing calls. No calls: no rows.
+    a comes before b in the order of sample_idx. Calls of a site are gathered once, as bits; no pairs of calls are
+    made. Of repeated calls of a sample at a site the least dosage counts. Null dosages and samples
+    are missing calls; a dosage above `top` counts as `top`. `names`: samples in the order of sample_idx, if
+    known. No calls: no rows.
     """
-    people = [r["sample"] for r in calls.where("sample is not null").groupBy("sample").agg(F.min("sample_idx").alias("i")).orderBy("i", "sample").collect()]
-    names = F.array(*map(F.lit, people)) if people else F.array().cast("array<string>")
-    known = calls.where("dosage is not null and sample is not null")
-    cells = known.groupBy("site_id").agg(F.collect_list(F.struct((F.array_position(names, F.col("sample")) - 1).cast("int").alias("i"), F.col("dosage").cast("int").alias("d"))).alias("c"))
-    cells = cells.select(F.array(F.transform("c", lambda x: x["i"]), F.transform("c", lambda x: x["d"])).alias("c"))
-    n = len(people)
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        parts = [(np.asarray(c[0]), np.asarray(c[1])) for c in column]
-        row = np.repeat(np.arange(len(parts)), [len(i) for i, _ in parts])
-        i, d = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(-d, kind="stable")  # the least is put last
-        g = np.full((len(parts), n), -1, np.int8)
-        g[row[order], i[order]] = d[order]
-        return g
-
-    got = _summed(cells, "c", matrix, n).where("shared > 0")
-    return got.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "n_sites", *_SUMS)
+    kernel = Dosages(top)
+    at, people = places(calls, names)
+    rows = tiles.bit_rows(at.where("dosage is not null"), [*by, "site_id"], kernel.planes, len(people))
+    return _named(tiles.pair_sums(rows, list(by), kernel, len(people), tile).where("shared > 0"), people).select(*by, "a", "b", "n_sites", *kernel.names)
 
 
 def distance(kind: str) -> Column:
@@ -140,9 +79,14 @@ def block_distances(sites: DataFrame, samples: list[str], *kinds: str) -> DataFr
     return pair_sums(sites, len(samples)).where("shared > 0").select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), *[distance(k).alias(k) for k in kinds])
 
 
-def dosage_divergence(calls: DataFrame) -> DataFrame:
+def call_distances(calls: DataFrame, names: list[str] | None, *kinds: str) -> DataFrame:
+    """`block_distances` from long calls."""
+    return call_sums(calls, names=names).select("a", "b", *[distance(k).alias(k) for k in kinds])
+
+
+def dosage_divergence(calls: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Per pair: divergence, IBS and shared sites."""
-    return call_sums(calls).select("a", "b", F.col("shared").cast("long").alias("shared"), distance("divergence").alias("divergence"), distance("ibs").alias("ibs"))
+    return call_sums(calls, names=names).select("a", "b", F.col("shared").cast("long").alias("shared"), distance("divergence").alias("divergence"), distance("ibs").alias("ibs"))
 
 
 def divergence_summary(pairs: DataFrame) -> DataFrame:
@@ -150,34 +94,51 @@ def divergence_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg("divergence").alias("mean"), F.round(F.max("divergence") / 2, 4).alias("height"))
 
 
-def euclidean(calls: DataFrame, n_sites: int) -> DataFrame:
-    """Euclidean distance scaled up for missing sites: sqrt(sum of squares * all sites / shared)."""
-    return call_sums(calls).select("a", "b", F.sqrt(F.col("sqdiff") * n_sites / F.col("shared")).alias("dist"))
+def euclidean(calls: DataFrame, n_sites: int | None = None, names: list[str] | None = None) -> DataFrame:
+    """Euclidean distance scaled up for missing sites: sqrt(sum of squares * all sites / shared); by default all sites with a call."""
+    total = F.col("n_sites") if n_sites is None else F.lit(n_sites)
+    return call_sums(calls, names=names).select("a", "b", F.sqrt(F.col("sqdiff") * total / F.col("shared")).alias("dist"))
 
 
-def missing_mismatch(calls: DataFrame) -> DataFrame:
+def missing_mismatch(calls: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Sites called in exactly one of two samples, of those called in either."""
-    return call_sums(calls).select("a", "b", distance("missing").alias("dist"))
+    return call_sums(calls, names=names).select("a", "b", distance("missing").alias("dist"))
 
 
-def _mask(a1: str, a2: str) -> Column:
-    bit = lambda c: F.expr(f"shiftleft(1, {c})")
-    return bit(a1).bitwiseOR(bit(a2))
+def allele_set_distance(calls: DataFrame, *by: str, kind: Table = GENPOFAD, names: list[str] | None = None, tile: int | None = None) -> DataFrame:
+    """Distance between sets of alleles per pair, mean over the sites called in both, within groups of `by` (Joly et al. 2015).
 
+    GENPOFAD: 1 - |A and B| / max(|A|, |B|). MATCHSTATES: the share of the alleles of either that have no like in
+    the other, mean of both directions; A against AG gives (0 + 1/2) / 2 = 0.25. Up to four alleles, numbered
+    0 to 3; another number is an error. A call that lacks an allele is missing. No self-join.
+    """
+    at, people = places(calls, names)
+    rows = tiles.bit_rows(at, [*by, "site_id"], kind.planes, len(people))
+    got = _named(tiles.pair_sums(rows, list(by), kind, len(people), tile).where("shared > 0"), people)
+    return got.select(*by, "a", "b", (F.col("total") / F.col("shared")).alias("dist"))
 
-def allele_set_distance(calls: DataFrame, *by: str) -> DataFrame:
-    """GENPOFAD (Joly et al. 2015) per pair: mean of 1 - |A and B| / max(|A|, |B|) over shared sites.
 
-    Sets of alleles are bit masks, so any number of alleles works.
-    """
-    m = calls.withColumn("dosage", _mask("a1", "a2"))
-    common, most = F.bit_count(F.col("da").bitwiseAND(F.col("db"))), F.greatest(F.bit_count("da"), F.bit_count("db"))
-    return sample_pairs(m, *by).groupBy(*by, "a", "b").agg(F.avg(1 - common / most).alias("dist"))
+def _mean_total(sums: dict[str, np.ndarray], n_sites: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(sums["shared"] > 0, sums["total"] / sums["shared"], np.nan)
+
+
+def _scaled_root(sums: dict[str, np.ndarray], n_sites: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(sums["shared"] > 0, np.sqrt(sums["sqdiff"] * n_sites / sums["shared"]), np.nan)
 
 
-def locus_averaged(calls: DataFrame) -> DataFrame:
-    """GENPOFAD within each locus, then the plain mean over the loci that have data for the pair."""
-    return allele_set_distance(calls, "locus").groupBy("a", "b").agg(F.avg("dist").alias("dist"), F.count(F.lit(1)).alias("loci"))
+def locus_averaged(calls: DataFrame, method: str = "genpofad", names: list[str] | None = None, hot_sites: int = 100_000) -> DataFrame:
+    """(a, b, dist, loci): a distance within each locus, then the plain mean over the loci that have data for the pair.
+
+    genpofad and matchstates: see `allele_set_distance`. euclidean: of dosages, scaled up for a locus' sites
+    (those with a call) that a pair does not share. Half calls have no dosage.
+    """
+    at, people = places(calls, names)
+    kernel: Dosages | Table = {"genpofad": GENPOFAD, "matchstates": MATCHSTATES, "euclidean": Dosages()}[method]
+    rows = tiles.bit_rows(at.where("dosage is not null") if method == "euclidean" else at, ["locus", "site_id"], kernel.planes, len(people))
+    got = _named(tiles.locus_means(rows, kernel, len(people), _scaled_root if method == "euclidean" else _mean_total, hot_sites), people)
+    return got.select("a", "b", (F.col("total") / F.col("loci")).alias("dist"), "loci")
 
 
 def mean_by_pop_pairs(pairs: DataFrame, samples: DataFrame, min_samples: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packed
+from ..operators import planes as bits
 
 N_SAMPLES = 44
 
@@ -103,6 +104,11 @@ def packed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.to_packed(calls(spark, sf_dir), N_SAMPLES)
 
 
+def planes(spark: SparkSession, sf_dir: str, depth: tuple[int, int] | None = None) -> bits.Planes:
+    """Calls of all samples as planes of bits; the view has one call for a sample and site."""
+    return bits.from_calls(calls(spark, sf_dir), N_SAMPLES, unique=True, depth=depth)
+
+
 def names() -> list[str]:
     """Samples in the order of the packed calls."""
     return [f"ind{i}" for i in range(N_SAMPLES)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..operators import replicates as R
 from ..operators import runs as RU
 from ..operators import stats as S
 from ..operators import sweep as SW
+from ..operators.planes import Planes
 from ..sources import tables as T
 from ..sources import vcf as V
 from . import fixtures as FX
@@ -73,35 +75,37 @@ select site_id, locus, ns::bigint as ns, n_ref::bigint as n_ref, n_alt::bigint a
   round(het, 6) as freq_hets from ok where r = 1""")
 def filtered_single_snp(spark, d):
     """Call rate, allele counts, variation; one SNP per locus by samples called; its statistics."""
-    kept = FX.packed_sites(spark, d).where(P.min_call_rate(0.45) & P.min_mac(3) & P.polymorphic())
-    best = S.one_snp_per_locus(kept.withColumn("ns", P.n_called()), F.col("ns"))
-    return _rounded(best.select("site_id", "locus", "ns", *P.site_stats()).select("site_id", "locus", "ns", "n_ref", "n_alt", "maf", "freq_hets"))
+    p = FX.planes(spark, d)
+    p = p.where(p.min_call_rate(0.45) & p.min_mac(3) & p.polymorphic()).with_column("ns", p.n_called())
+    best = replace(p, sites=S.one_snp_per_locus(p.sites, F.col("ns")))
+    return _rounded(best.sites.select("site_id", "locus", "ns", *best.site_stats()).select("site_id", "locus", "ns", "n_ref", "n_alt", "maf", "freq_hets"))
 
 
-def _packed_filter(name: str, predicate: Callable[[], Column], having: str) -> None:
+def _plane_filter(name: str, predicate: Callable[[Planes], Column], having: str) -> None:
     """A query of the ids of sites that a predicate keeps; `having` is its SQL over grouped calls."""
 
     def run(spark, d):
-        return FX.packed_sites(spark, d).where(predicate()).select("site_id", P.n_called().cast("long").alias("n_called"))
+        p = FX.planes(spark, d)
+        return p.sites.where(predicate(p)).select("site_id", p.n_called().cast("long").alias("n_called"))
 
     query(f" select site_id, count(*)::bigint as n_called from calls group by site_id having {having}", name)(run)
 
 
-_packed_filter("min_call_rate", lambda: P.min_call_rate(0.5), "count(*) >= 22")
-_packed_filter("min_mac", lambda: P.min_mac(5), "sum(dosage) >= 5 and 2 * count(*) - sum(dosage) >= 5")
-_packed_filter("min_maf", lambda: P.min_maf(0.2), "least(sum(dosage), 2 * count(*) - sum(dosage)) / (2.0 * count(*))::double >= 0.2::double")
-_packed_filter("max_depth", lambda: P.max_depth(95), "max(dp) <= 95")
-_packed_filter("min_depth", lambda: P.min_depth(4), "min(dp) >= 4")
-_packed_filter("max_mean_depth", lambda: P.max_mean_depth(27), "avg(case when dp > 0 then dp end) <= 27")
-_packed_filter("min_mean_depth", lambda: P.min_mean_depth(25), "avg(case when dp > 0 then dp end) >= 25")
-_packed_filter("require_pops", lambda: P.require_pops(FX.pops(), ["pop0", "pop3"]), "count(*) filter (pop = 'pop0') > 0 and count(*) filter (pop = 'pop3') > 0")
-_packed_filter("min_per_pop", lambda: P.min_per_pop(FX.pops(), 3), " and ".join(f"count(*) filter (pop = 'pop{i}') >= 3" for i in range(5)))
-_packed_filter("min_pops", lambda: P.min_pops(FX.pops(), 5), "count(distinct pop) >= 5")
-_packed_filter("drop_monomorphic_genotypes", lambda: P.polymorphic("genotypes"), "count(distinct dosage) > 1")
-_packed_filter("drop_monomorphic_states", lambda: P.polymorphic("all_states"), "count(distinct dosage) > 1")
-_packed_filter("drop_monomorphic_alleles", lambda: P.polymorphic("alleles"), "sum(dosage) > 0 and sum(dosage) < 2 * count(*)")
-_packed_filter("filter_all_na", P.any_called, "count(*) > 0")
-_packed_filter("drop_no_depth", P.any_depth, "max(dp) > 0")
+_plane_filter("min_call_rate", lambda p: p.min_call_rate(0.5), "count(*) >= 22")
+_plane_filter("min_mac", lambda p: p.min_mac(5), "sum(dosage) >= 5 and 2 * count(*) - sum(dosage) >= 5")
+_plane_filter("min_maf", lambda p: p.min_maf(0.2), "least(sum(dosage), 2 * count(*) - sum(dosage)) / (2.0 * count(*))::double >= 0.2::double")
+_plane_filter("max_depth", lambda p: p.max_depth(95), "max(dp) <= 95")
+_plane_filter("min_depth", lambda p: p.min_depth(4), "min(dp) >= 4")
+_plane_filter("max_mean_depth", lambda p: p.max_mean_depth(27), "avg(case when dp > 0 then dp end) <= 27")
+_plane_filter("min_mean_depth", lambda p: p.min_mean_depth(25), "avg(case when dp > 0 then dp end) >= 25")
+_plane_filter("require_pops", lambda p: p.require_pops(FX.pops(), ["pop0", "pop3"]), "count(*) filter (pop = 'pop0') > 0 and count(*) filter (pop = 'pop3') > 0")
+_plane_filter("min_per_pop", lambda p: p.min_per_pop(FX.pops(), 3), " and ".join(f"count(*) filter (pop = 'pop{i}') >= 3" for i in range(5)))
+_plane_filter("min_pops", lambda p: p.min_pops(FX.pops(), 5), "count(distinct pop) >= 5")
+_plane_filter("drop_monomorphic_genotypes", lambda p: p.polymorphic("genotypes"), "count(distinct dosage) > 1")
+_plane_filter("drop_monomorphic_states", lambda p: p.polymorphic("all_states"), "count(distinct dosage) > 1")
+_plane_filter("drop_monomorphic_alleles", lambda p: p.polymorphic("alleles"), "sum(dosage) > 0 and sum(dosage) < 2 * count(*)")
+_plane_filter("filter_all_na", Planes.any_called, "count(*) > 0")
+_plane_filter("drop_no_depth", Planes.any_depth, "max(dp) > 0")
 
 
 @query(" select site_id, n_alleles::bigint as n_alleles from sites where n_alleles = 2")
@@ -112,7 +116,8 @@ def biallelic(spark, d):
 
 @query(" select site_id, count(*) filter (dp between 15 and 60)::bigint as n_called from calls group by site_id")
 def mask_calls_by_depth(spark, d):
-    return P.mask_calls_by_depth(FX.packed_sites(spark, d), 15, 60).select("site_id", P.n_called().cast("long").alias("n_called"))
+    p = FX.planes(spark, d, (15, 60))
+    return p.sites.select("site_id", p.n_called().cast("long").alias("n_called"))
 
 
 @query(""" select site_id, count(*)::bigint as n_called from calls where sample not in ('ind1', 'ind7') group by site_id""")
@@ -124,7 +129,8 @@ def drop_samples(spark, d):
 @query(""" select site_id, count(*)::bigint as n_called from calls where sample in ('ind1', 'ind7', 'ind9') group by site_id having count(distinct dosage) > 1""")
 def keep_samples(spark, d):
     """Listed samples only; sites that vary among them."""
-    return P.keep_columns(FX.packed_sites(spark, d), [1, 7, 9]).where(P.polymorphic()).select("site_id", P.n_called().cast("long").alias("n_called"))
+    p = FX.planes(spark, d).keep([1, 7, 9])
+    return p.sites.where(p.polymorphic()).select("site_id", p.n_called().cast("long").alias("n_called"))
 
 
 @query(""", n as (select count(distinct site_id) as t from calls),
@@ -207,7 +213,8 @@ def select_loci(spark, d):
   round(least(sum(dosage), 2 * count(*) - sum(dosage)) / (2.0 * count(*))::double, 6) as maf, round(avg((dosage = 1)::int), 6) as freq_hets,
   round(avg((dosage = 0)::int), 6) as freq_hom_ref, round(avg((dosage = 2)::int), 6) as freq_hom_snp, round(avg(dp), 1) as mean_depth from calls group by site_id""")
 def site_stats(spark, d):
-    return _rounded(FX.packed_sites(spark, d).select("site_id", *P.site_stats()))
+    p = FX.planes(spark, d)
+    return _rounded(p.sites.select("site_id", *p.site_stats()))
 
 
 @query(""" select site_id, count(*)::bigint as n_called, sum(dosage)::bigint as n_alt, round(avg((dosage = 1)::int), 6) as freq_hets from calls group by site_id""")
@@ -379,7 +386,7 @@ REPD = PAIRS + ", rp as (select p.* from pairs p join reps r on (p.a = r.sample_
 @query(REPD + """ select round(avg(dist), 6) as mean, round(min(dist), 6) as least, round(max(dist), 6) as greatest, round(2 * avg(dist), 6) as double_mean,
   round(avg(dist) + 2 * stddev_pop(dist), 6) as two_sd, round(quantile_cont(dist, 0.75) + 1.5 * (quantile_cont(dist, 0.75) - quantile_cont(dist, 0.25)), 6) as outlier from rp""")
 def rep_distance_thresholds(spark, d):
-    return _rounded(R.rep_distance_thresholds(PA.genotype_mismatch(FX.calls(spark, d)), FX.reps(spark)))
+    return _rounded(R.rep_distance_thresholds(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.reps(spark)))
 
 
 CLASSES = PAIRS + """, c as (select least(a, b) as a, greatest(a, b) as b, dist, case when exists (select 1 from reps where (a = sample_a and b = sample_b) or (a = sample_b and b = sample_a))
@@ -390,24 +397,24 @@ CLASSES = PAIRS + """, c as (select least(a, b) as a, greatest(a, b) as b, dist,
 
 @query(CLASSES.format(t="0.05").replace("0.5 and", "0.05 and") + " select class, count(*)::bigint as n, round(min(dist), 6) as least, round(max(dist), 6) as greatest from c group by class")
 def clone_report(spark, d):
-    return _rounded(R.clone_report(PA.genotype_mismatch(FX.calls(spark, d)), FX.reps(spark), 0.05))
+    return _rounded(R.clone_report(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.reps(spark), 0.05))
 
 
 @query(CLASSES.format(t="0.05").replace("0.5 and", "0.05 and") + " select a, b, round(dist, 6) as dist, class from c")
 def classify_pairs(spark, d):
-    return _rounded(R.classify_pairs(PA.genotype_mismatch(FX.calls(spark, d)), FX.reps(spark), 0.05))
+    return _rounded(R.classify_pairs(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.reps(spark), 0.05))
 
 
 @query(CLASSES.format(t="0.05").replace("0.5 and", "0.05 and") + " select a, b, round(dist, 6) as dist, class from c where class = 'high' order by c.dist, a, b limit 5")
 def lowest_high(spark, d):
-    return _rounded(R.lowest(PA.genotype_mismatch(FX.calls(spark, d)), FX.reps(spark), 0.05))
+    return _rounded(R.lowest(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.reps(spark), 0.05))
 
 
 @query(PAIRS + """, e as (select a, b from pairs where dist < 0.42 union select b, a from pairs where dist < 0.42),
 reach(x, y) as (select a, a from e union select reach.x, e.b from reach join e on reach.y = e.a)
 select x as sample, min(y) as clone_group from reach group by x""")
 def clone_groups(spark, d):
-    return PA.clone_groups(PA.genotype_mismatch(FX.calls(spark, d)), 0.42)
+    return PA.clone_groups(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), 0.42)
 
 
 # --- pairs of samples ----------------------------------------------------------------------------
@@ -415,7 +422,7 @@ def clone_groups(spark, d):
 
 @query(PAIRS + " select a, b, round(dist, 6) as dist from pairs")
 def genotype_mismatch(spark, d):
-    return _rounded(PA.genotype_mismatch(FX.calls(spark, d)))
+    return _rounded(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()))
 
 
 @query(PAIRS + """, q as (select x.sample as a, y.sample as b, count(*) as s, sum(abs(x.dosage - y.dosage)) as ad, sum((x.dosage - y.dosage) ** 2) as sq
@@ -426,33 +433,32 @@ select q.a, q.b, round(pairs.dist, 6) as mismatch, round(ad / (2.0 * s)::double,
 from q join pairs on q.a = pairs.a and q.b = pairs.b join o x on x.sample = q.a join o y on y.sample = q.b, t""")
 def block_distances(spark, d):
     """All distances at once by matrix blocks."""
-    return _rounded(PA.block_distances(FX.packed_sites(spark, d), FX.names(), "mismatch", "divergence", "ibs", "missing", "euclidean"))
+    return _rounded(PA.call_distances(FX.calls(spark, d), FX.names(), "mismatch", "divergence", "ibs", "missing", "euclidean"))
 
 
 @query(""" select x.sample as a, y.sample as b, count(*)::bigint as shared, round(sum(abs(x.dosage - y.dosage)) / (2.0 * count(*))::double, 6) as divergence,
   round(1 - sum(abs(x.dosage - y.dosage)) / (2.0 * count(*))::double, 6) as ibs from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all""")
 def dosage_divergence(spark, d):
-    return _rounded(PA.dosage_divergence(FX.calls(spark, d)))
+    return _rounded(PA.dosage_divergence(FX.calls(spark, d), FX.names()))
 
 
 @query(""", q as (select sum(abs(x.dosage - y.dosage)) / (2.0 * count(*))::double as v from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by x.sample, y.sample)
 select round(avg(v), 6) as mean, round(max(v) / 2, 4) as height from q""")
 def divergence_summary(spark, d):
-    return _rounded(PA.divergence_summary(PA.dosage_divergence(FX.calls(spark, d))))
+    return _rounded(PA.divergence_summary(PA.dosage_divergence(FX.calls(spark, d), FX.names())))
 
 
 @query(""" select x.sample as a, y.sample as b, round(sqrt(sum((x.dosage - y.dosage) ** 2)::double * (select count(distinct site_id) from calls) / count(*)), 6) as dist
   from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all""")
 def euclidean(spark, d):
-    calls = FX.calls(spark, d)
-    return _rounded(PA.euclidean(calls, calls.agg(F.countDistinct("site_id").alias("n")).first()["n"]))
+    return _rounded(PA.euclidean(FX.calls(spark, d), names=FX.names()))
 
 
 @query(""", o as (select sample, count(*) as n from calls group by sample),
 q as (select x.sample as a, y.sample as b, count(*) as s from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all)
 select a, b, round((x.n + y.n - 2 * s)::double / (x.n + y.n - s), 6) as dist from q join o x on x.sample = a join o y on y.sample = b""")
 def missing_mismatch(spark, d):
-    return _rounded(PA.missing_mismatch(FX.calls(spark, d)))
+    return _rounded(PA.missing_mismatch(FX.calls(spark, d), FX.names()))
 
 
 POFAD = "avg(1 - (case when x.dosage = y.dosage then case when x.dosage = 1 then 2 else 1 end when x.dosage = 1 or y.dosage = 1 then 1 else 0 end)::double / (case when x.dosage = 1 or y.dosage = 1 then 2 else 1 end))"
@@ -460,13 +466,13 @@ POFAD = "avg(1 - (case when x.dosage = y.dosage then case when x.dosage = 1 then
 
 @query(f" select x.sample as a, y.sample as b, round({POFAD}, 6) as dist from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all")
 def genpofad(spark, d):
-    return _rounded(PA.allele_set_distance(FX.calls(spark, d)))
+    return _rounded(PA.allele_set_distance(FX.calls(spark, d), names=FX.names()))
 
 
 @query(f""", l as (select x.locus, x.sample as a, y.sample as b, {POFAD} as v from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all)
 select a, b, round(avg(v), 10) as dist, count(*)::bigint as loci from l group by all""")
 def locus_averaged_distance(spark, d):
-    return _rounded(PA.locus_averaged(FX.calls(spark, d)), 10)
+    return _rounded(PA.locus_averaged(FX.calls(spark, d), names=FX.names()), 10)
 
 
 @query(PAIRS + """, j as (select least(x.pop, y.pop) as pop_a, greatest(x.pop, y.pop) as pop_b, dist from pairs join samples x on x.sample = a join samples y on y.sample = b),
@@ -474,22 +480,22 @@ z as (select pop, count(*) as size from samples group by pop)
 select pop_a, pop_b, count(*)::bigint as n, round(min(dist), 6) as least, round(avg(dist), 6) as mean, round(max(dist), 6) as greatest
 from j join z on pop = pop_a where pop_a <> pop_b or size >= 3 group by all""")
 def mean_by_pop_pairs(spark, d):
-    return _rounded(PA.mean_by_pop_pairs(PA.genotype_mismatch(FX.calls(spark, d)), FX.samples(spark, d)))
+    return _rounded(PA.mean_by_pop_pairs(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.samples(spark, d)))
 
 
 @query(PAIRS + " select a, b, round(dist, 6) as dist from pairs union all select b, a, round(dist, 6) from pairs")
 def symmetrise(spark, d):
-    return _rounded(PA.symmetrise(PA.genotype_mismatch(FX.calls(spark, d))))
+    return _rounded(PA.symmetrise(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names())))
 
 
 @query(PAIRS + " select concat(a, chr(9), b, chr(9), printf('%.8f', dist)) as value from pairs")
 def pair_lines(spark, d):
-    return T.pair_lines(PA.genotype_mismatch(FX.calls(spark, d)))
+    return T.pair_lines(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()))
 
 
 @query(PAIRS + ", s as (select a, b, dist from pairs union all select b, a, dist from pairs) select a, " + ", ".join(f"round(max(dist) filter (b = '{x}'), 6) as {x}" for x in FX.names()) + " from s group by a")
 def distance_matrix(spark, d):
-    return _rounded(T.to_matrix(PA.genotype_mismatch(FX.calls(spark, d)), FX.names()))
+    return _rounded(T.to_matrix(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.names()))
 
 
 # --- populations ---------------------------------------------------------------------------------
@@ -573,7 +579,7 @@ KM = PAIRS + """, geo as (select a, b, dist, 2 * 6378.137 * asin(least(1.0, sqrt
 
 
 def _geo(spark, d, ellipsoid: bool = False) -> DataFrame:
-    return I.with_km(PA.genotype_mismatch(FX.calls(spark, d)), FX.samples(spark, d).select(F.col("sample").alias("id"), "lat", "lon"), ellipsoid)
+    return I.with_km(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()), FX.samples(spark, d).select(F.col("sample").alias("id"), "lat", "lon"), ellipsoid)
 
 
 @query(KM + " select a, b, round(km, 4) as km from geo")
@@ -756,8 +762,7 @@ def errors_by_param(spark, d):
 select a, b, round(v / (select max(v) from d), 6) as dist from d""")
 def euclidean_scaled(spark, d):
     """Euclidean distances divided by the greatest of them."""
-    calls = FX.calls(spark, d)
-    dist = PA.euclidean(calls, calls.agg(F.countDistinct("site_id").alias("n")).first()["n"])
+    dist = PA.euclidean(FX.calls(spark, d), names=FX.names())
     top = dist.agg(F.max("dist").alias("top"))
     return _rounded(dist.crossJoin(F.broadcast(top)).select("a", "b", (F.col("dist") / F.col("top")).alias("dist")))
 
@@ -874,7 +879,7 @@ def to_beagle(spark, d):
 @query(PAIRS + """, s as (select a, b, dist from pairs union all select b, a, dist from pairs), f as (select * from s union all select distinct a, a, 0.0::double from s)
 select a, concat(a, ' ', string_agg(printf('%.6f', round(dist, 6)), ' ' order by b)) as line from f group by a""")
 def to_nexus_distances(spark, d):
-    return X.to_nexus_distances(PA.genotype_mismatch(FX.calls(spark, d)))
+    return X.to_nexus_distances(PA.genotype_mismatch(FX.calls(spark, d), names=FX.names()))
 
 
 @query(""", h as (select distinct sample from calls where sample_idx < 42), t as (select sample from samples where sample_idx > 2)
