@@ -168,12 +168,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     waiting = []
             if waiting:
                 load += np.bincount(np.concatenate(waiting), minlength=len(load))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "sketch": parity, "slice": -1, "load": None})
+            yield pd.DataFrame({"doc_id": pdf.id, "n": n, "node": np.array(node, np.uint64).view(np.int64), "sketch": parity, "slice": -1, "load": None})
         for i, part in enumerate(np.split(load, SLICES)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "sketch": [None], "slice": [i], "load": [part.astype("<i4").tobytes()]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": [None], "n": [0], "node": [0], "sketch": [None], "slice": [i], "load": [part.astype("<i4").tobytes()]})
 
-    measured = materialize(src.mapInPandas(measure, "doc_id long, n long, node long, sketch binary, slice int, load binary"))
+    # Ids go through Python as text: a batch with a null id would turn long ones to doubles.
+    measured = src.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(measure, "doc_id string, n long, node long, sketch binary, slice int, load binary")
+    measured = materialize(measured.withColumn("doc_id", F.col("doc_id").cast("long")))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, "<i4").astype(np.int64) for x in pdf.load], axis=0)

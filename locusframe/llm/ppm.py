@@ -245,8 +245,9 @@ def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> Da
     rows, size = total_bytes(docs, "text")
     chunks = max(1, -(-(size + 16 * rows) // CHUNK_BYTES))
     buckets = max(4, min(4096, -(-chunks // 2)))
-    src = docs.select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"), held_out("doc_id", divisor, remainder).alias("held_out"))
-    src = src.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks)).cast("int"))
+    # Ids go through Python as text: a batch with a null id would turn long ones to doubles.
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"), held_out("doc_id", divisor, remainder).alias("held_out"))
+    src = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     src = src.repartition(chunks, "chunk")
 
     def tell(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +276,8 @@ def score_documents(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> Da
         parts.where(F.col("kind") <= KIND_WORD).repartition(2 * buckets, "kind", "bucket").groupBy("kind", "bucket")
         .applyInPandas(lambda pdf: _answer(pdf, table.value, chunks), "chunk int, kind int, body binary, values binary, seen long")
     )
-    return src.groupBy("chunk").cogroup(answers.repartition(chunks, "chunk").groupBy("chunk")).applyInPandas(
+    scored = src.groupBy("chunk").cogroup(answers.repartition(chunks, "chunk").groupBy("chunk")).applyInPandas(
         lambda d, a: _score(d, a, train_tokens, ends),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

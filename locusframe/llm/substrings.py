@@ -133,7 +133,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Returns doc_id, text_key, n_words, n_removed, kept (the words left, joined by one space).
     """
     spark = docs.sparkSession
-    src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"))
+    # Ids go through Python as text: a batch with a null id would turn long ones to doubles.
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"))
 
     def count(batches):
         for pdf in batches:
@@ -170,8 +171,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 packed = [w.blob[p:q] for p, q in zip(w.start[s].tolist(), w.end[e].tolist())]
                 yield pd.DataFrame({"key": key, "packed": packed, "doc_id": pdf.doc_id.to_numpy()[a:b][d], "text_key": pdf.text_key.to_numpy()[a:b][d], "start": (s - w.first[d]).astype(np.int32)})
 
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(src.mapInPandas(pack, f"key long, packed binary, doc_id {doc_type}, text_key long, start int").withColumn("string", F.xxhash64("packed")))
+    found = materialize(src.mapInPandas(pack, "key long, packed binary, doc_id string, text_key long, start int").withColumn("string", F.xxhash64("packed")))
     repeated.destroy()
     hot.destroy()
     buckets = max(1, -(-found.count() // BUCKET_ROWS))
@@ -221,9 +221,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield rows(pdf, pdf.a, pdf.b)
 
-    schema = f"doc_id {doc_type}, text_key long, n_words long, n_removed long, kept binary"
+    schema = "doc_id string, text_key long, n_words long, n_removed long, kept binary"
     left = src.mapInPandas(met, src.schema).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text_key", "text", "a", "b")
-    return src.mapInPandas(whole, schema).unionByName(left.mapInPandas(cut, schema)).withColumn("kept", F.decode("kept", "utf-8"))
+    out = src.mapInPandas(whole, schema).unionByName(left.mapInPandas(cut, schema))
+    return out.withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "kept": F.decode("kept", "utf-8")})
 
 
 def _inside(starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ from .common import materialize, release
 QUERY_BYTES, DATA_BLOCK, QUERY_BLOCK, DIMS = 8 << 20, 4096, 128, 16
 #: Inner products are summed in doubles where they surely stay below this, else as whole numbers.
 EXACT = 2.0**52
+#: The ends of the longs, at which greater scores are held.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -26,9 +28,10 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     are rows without a vec_id.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double") * scale) < F.lit(float("inf"))))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("q")
+        # A floor of a double beyond the longs would stop there; from 2**52 on doubles are whole.
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.when(F.abs(v * scale) < 2.0**52, F.floor(v * scale).cast("double")).otherwise(v * scale)).alias("q")
     )
 
 
@@ -70,7 +73,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndar
                     part = part + blocks[i][alive] @ q[j, cuts[i] : cuts[i + 1]]
             if not whole:  # sums beyond the doubles' whole numbers: Python's are exact
                 own = [int(x) for x in q[j]]
-                exact = np.array([sum(x * int(y) for x, y in zip(own, v[i])) for i in alive.tolist()], dtype=object)
+                exact = [min(max(sum(x * int(y) for x, y in zip(own, v[i])), LEAST), MOST) for i in alive.tolist()]
                 best = sorted(range(len(alive)), key=lambda i: (-exact[i], vid[alive[i]]))[:k]
                 scores += [exact[i] for i in best]
             else:
@@ -89,7 +92,7 @@ def _kept(owner: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int, floor:
     keep = place < k
     last = place == k - 1
     floor = floor.copy()
-    floor[owner[last]] = np.maximum(floor[owner[last]], score[last])
+    floor[owner[last]] = np.maximum(floor[owner[last]], np.where(score[last] == LEAST, -np.inf, score[last]))
     return owner[keep], vid[keep], score[keep], floor
 
 
@@ -127,7 +130,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     different vector: each comes out, the ranks of each from 1, told apart by nothing but their
     scores; equal rows are one query. Repeated rows are candidates each. Vectors of another length
     than the query's are not compared. Null or non-finite vectors take no part. Scores are exact;
-    one beyond 64 bits fails. Empty table: no rows. Returns query_id, rank, vec_id, score.
+    one beyond 64 bits counts as the nearest long. Empty table: no rows. Returns query_id, rank, vec_id, score.
     """
     data = materialize(quantized(vectors, scale))
     spark, rows = data.sparkSession, data.count()
@@ -150,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             first = materialize(_search(data.where(few), shared, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
             at = first.where(F.col("rank") == k).select("query", "score").toPandas()
             place = pd.Index(number).get_indexer(at["query"])
-            floor[place] = at.score.to_numpy(np.float64)
+            floor[place] = np.where(at.score == LEAST, -np.inf, at.score.to_numpy(np.float64))
             shared.destroy()
             shared = spark.sparkContext.broadcast((number, qid, q, floor))
             rest = materialize(_search(data.where(~few), shared, k))

@@ -275,3 +275,35 @@ def test_windows_tell_quotation_from_abuse():
     plain, quoted, told = of("you flummoxer go away"), of('he wrote "flummoxer" there'), of("the word flummoxer is an insult")
     assert plain > 3 * quoted and plain > told > quoted
     assert of('"a" flummoxer "b"') > 3 * quoted and of("« flummoxer »") < plain / 3 and of('"\nflummoxer\n"') > 3 * quoted
+
+
+# --- ids and numbers at the ends of their types ---
+
+
+def test_ids_next_to_the_ends_of_longs(spark):
+    from locusframe.llm import ngram_join, ppm, substrings
+
+    long_text = " ".join(f"w{i}" for i in range(80))
+    rows = [(2**53 + 1, "a b c d e f g"), (None, "a b c"), (2**63 - 1, long_text), (2**63 - 3, long_text), (-(2**63), "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for f in (ppm.score_documents, ngram_join.near_duplicates, substrings.remove_repeats):
+        assert sorted((r["doc_id"] for r in f(docs).collect()), key=str) == sorted((i for i, _ in rows), key=str)
+    joined = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    assert joined[2**63 - 1] == 2**63 - 3
+
+
+def test_join_stage_keeps_the_smallest_of_large_ids(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(2**63 - 1, text), (2**53 + 1, text), (2**53 + 2, "other words here"), (None, text)], "doc_id long, text string").coalesce(1)
+    assert sorted((r["doc_id"] for r in corpus_pipeline.join_stage(spark, docs, "").collect()), key=str) == sorted([2**53 + 1, 2**53 + 2, None], key=str)
+
+
+def test_scores_beyond_longs(spark):
+    from locusframe.llm import topk
+
+    rows = [(0, [3e38, 1.0]), (1, [3e38, -1.0]), (2, [-3e38, 0.0]), (3, [1.0, 1.0]), (20, [0.5, 0.5])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0, 1] == (1, 2**63 - 1) and got[0, 4] == (2, -(2**63)) and len(got) == 8
+    assert got[20, 1] == (0, 2**63 - 1) and got[20, 2] == (1, 2**63 - 1) and got[20, 3] == (3, 2 * 64 * 32)
