@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.llm import components as graph
-from locusframe.llm import common, decontaminate, html, langid, licenses, lines, mixing, ngram_join, ppm, queries, sketches, substrings, topk
+from locusframe.llm import common, decontaminate, langid, licenses, lines, mixing, ngram_join, ppm, queries, sketches, substrings, topk
 from locusframe.llm.components import components
 from locusframe.llm.tokens import Words
 
@@ -570,68 +570,6 @@ def test_bands_have_their_recall_at_every_size():
         assert len(lines.promising(chance, np.arange(0, 201, size), 0.75)) == 0
 
 
-PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>x";</script></head><body>
-<header><h2>Site</h2></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
-<article><h1>Head &amp; line</h1><p>First <b>bold</b>   text<br>goes on.<p>Second &lt;one&gt;</p><div class="ad">Buy</div>
-<form><input><p>Sign up</p></form><aside>side</aside><p hidden>no</p></article>
-<section id="comments"><p>Great post, thanks!</p></section><footer>&copy; x</footer></body></html>"""
-
-
-def test_html(spark):
-    assert html.main_text(PAGE) == "Head & line First bold text goes on. Second <one>"
-    long = "The length of this block and the share of its words that are frequent is what the rules look at, and so it is the one that they take for the text of the page. " * 2
-    page = f"<body><div>Menu</div><div><a href=1>one</a> <a href=2>two</a></div><div>{long}</div><div>Short but inside.</div><div>{long}</div><div>End</div></body>"
-    assert html.main_text(page) == f"{long.strip()} Short but inside. {long.strip()}"
-    assert html.main_text("<p>broken <b") == "broken" and html.main_text(None) == "" and html.main_text("<script>x") == ""
-    story = "<p>The story of the day is that it is the one that they had in the paper, and it was long enough to be read by all of us.</p>"
-    bare = story[3:-4]
-    assert html.main_text(f"<main><div>Home | News | Sport</div><div>We value your privacy, accept all</div>{story}</main>") == bare
-    assert html.main_text("<nav>Menu</nav><p>One short line.</p><footer>End</footer>") == "One short line."
-    assert html.main_text("<div>Just a text</div>") == "Just a text" and html.main_text("<main><div>Home / News</div></main>") == ""
-    assert html.main_text(f"<article><header><h1>Title</h1></header>{story}<p>Kurz.</p><p><a href=x>All stories</a></p></article><p>Read on</p><div>x</div>") == f"Title {bare} Kurz."
-    large = html.main_text("<article>" + story * 20_000 + "</article>")
-    assert large == " ".join([bare] * 20_000)
-    df = spark.createDataFrame([(1, PAGE, "z"), (1, PAGE, "z"), (2, None, None), (None, "", "y")], "page_id long, html string, _text string")
-    assert [len(r["_text"]) for r in html.extract(df).orderBy(F.desc_nulls_last("page_id")).collect()] == [0, 49, 49, 0]
-    assert html.extract(df.where("false")).count() == 0
-
-
-def plain_classes(found):
-    """The second pass spelled out: from each undecided block step by step to its nearest decided neighbours."""
-    label = [html._first(b) for b in found]
-    decided = lambda order: next((j for j in order if label[j] in ("good", "bad")), None)
-    out = []
-    for i, b in enumerate(found):
-        if label[i] in ("good", "bad"):
-            out.append(label[i] == "good")
-            continue
-        both = [decided(range(i - 1, -1, -1)), decided(range(i + 1, len(found)))]
-        if label[i] == "near" and b["article"] and b["element"] in html.TEXTUAL:
-            both = [j for j in both if j is not None and found[j]["article"] == b["article"] and not found[j]["side"]]
-            out.append(both == [] or any(label[j] == "good" for j in both))
-        else:
-            good = [j is not None and label[j] == "good" for j in both]
-            out.append(all(good) if label[i] == "short" else any(good))
-    if not any(out):
-        ranks = [0 if x == "near" else 1 if x == "short" and b["element"] in html.TEXTUAL else 2 if x == "short" else 9 for x, b in zip(label, found)]
-        out = [r == min(ranks) < 9 for r in ranks]
-    return out
-
-
-def test_html_classes_against_plain_rules():
-    rng = np.random.default_rng(17)
-    texts = ["Menu", "a | b | c", "© 2020", "The short of it", "no stops here whatsoever: " + "xyz " * 20, "The length and the words of it are what they are, and that is that for the one of us. ", "word " * 60]
-    labels = Counter()
-    for _ in range(400):
-        found = []
-        for _ in range(rng.integers(0, 12)):
-            t = texts[rng.integers(len(texts))] * int(rng.integers(1, 4))
-            found.append({"text": t, "linked": int(len(t) * rng.choice([0, 0, 0, 0.1, 0.95])), "side": bool(rng.random() < 0.15), "article": int(rng.integers(0, 3)), "element": str(rng.choice(["div", "p", "h1", "li", "body"]))})
-        assert html.classify(found) == plain_classes(found)
-        labels.update(html._first(b) for b in found)
-    assert min(labels[x] for x in ("good", "bad", "near", "short")) > 50
-
-
 def every_window(scanner, text):
     """Matches without bands: each template against all shingles of the text, its words found by a pattern."""
     words = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text or "")]
