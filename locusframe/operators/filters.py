@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import packed as P
+from .stats import with_site_index
 
 
 def keep_samples(calls: DataFrame, ids: DataFrame) -> DataFrame:
@@ -126,21 +127,91 @@ def complete_sites_in_pop(calls: DataFrame, samples: DataFrame) -> DataFrame:
     return have.join(size, "pop").where("n = size").select("pop", "site_id")
 
 
-def filter_hamming(tags: DataFrame, threshold: float = 0.15, skip: int = 5, length: int = 69) -> DataFrame:
-    """Tags left when of each pair within the threshold the later locus is dropped.
+#: Tags that share a segment up to which they are paired at once; beyond, they must share a second segment too.
+HOT_TAGS = 64
 
-    `tags`: locus, seq. The first `skip` bases do not count. k = floor(threshold * bases) mismatches
-    leave one of k + 1 segments equal, so a join on (segment, content) finds every such pair; only
-    candidate pairs are compared. Pairs are judged on the input: a tag near an earlier one goes
-    even if that one goes as well.
+
+def near_tags(tags: DataFrame, k: int, skip: int, length: int) -> DataFrame:
+    """(a, b): numbers (`i`) of each two tags (i, seq) within k mismatches, a < b.
+
+    k mismatches leave one of k + 1 segments equal, so tags meet by (segment, content). Where more than HOT_TAGS
+    tags share one, k + 1 segments of the other bases leave one of those equal as well, and tags meet by
+    both; so also by a third. Only tags that meet are compared.
+    """
+
+    def cuts(places: list[int]) -> list[list[int]]:
+        return [places[len(places) * j // (k + 1) : len(places) * (j + 1) // (k + 1)] for j in range(k + 1)]
+
+    def content(places: list[int]) -> Column:
+        runs, out = [], []
+        for p in places:  # places that follow each other are read at once
+            if runs and runs[-1][-1] + 1 == p:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        for r in runs:
+            out.append(F.substring("seq", r[0] + 1, len(r)))
+        return F.concat(F.lit(""), *out)
+
+    def meeting(rows: DataFrame, places: list[int], level: int) -> DataFrame:
+        """Pairs of `rows` (key, i, seq), which meet within their key."""
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        few = rows.join(sizes.where(F.col("n") <= HOT_TAGS) if level < 3 else sizes, "key", "left_semi")
+        found = few.select("key", F.col("i").alias("a"), F.col("seq").alias("x")).join(few.select("key", F.col("i").alias("b"), F.col("seq").alias("y")), "key").where("a < b").select("a", "b", "x", "y")
+        if level == 3 or len(places) < 2 * (k + 1):
+            return found if level == 3 else found.unionByName(_all(rows.join(sizes.where(F.col("n") > HOT_TAGS), "key", "left_semi")))
+        many = written(rows.join(sizes.where(F.col("n") > HOT_TAGS), "key", "left_semi"))
+        if not many.limit(1).count():
+            return found
+        for own in cuts(places):
+            again = many.withColumn("key", F.concat_ws("|", "key", F.lit(str(own[0])), content(own)))
+            found = found.unionByName(meeting(again, [p for p in places if p not in own], level + 1))
+        return found
+
+    def _all(rows: DataFrame) -> DataFrame:
+        return rows.select("key", F.col("i").alias("a"), F.col("seq").alias("x")).join(rows.select("key", F.col("i").alias("b"), F.col("seq").alias("y")), "key").where("a < b").select("a", "b", "x", "y")
+
+    usable = list(range(skip, length))
+    found = None
+    for own in cuts(usable):
+        first = tags.select(F.concat_ws("|", F.lit(str(own[0])), content(own)).alias("key"), "i", "seq")
+        got = meeting(first, [p for p in usable if p not in own], 1)
+        found = got if found is None else found.unionByName(got)
+    pairs = found.dropDuplicates(["a", "b"])
+    differ = F.size(F.filter(F.sequence(F.lit(skip + 1), F.lit(length)), lambda j: F.substring("x", j, F.lit(1)) != F.substring("y", j, F.lit(1))))
+    return pairs.where(differ <= k).select("a", "b")
+
+
+def filter_hamming(tags: DataFrame, threshold: float = 0.15, skip: int = 5, length: int = 69, rule: str = "order") -> DataFrame:
+    """Tags left when of each pair within the threshold one is dropped.
+
+    `tags`: locus, seq and, if known, rep_avg. The first `skip` bases do not count; k = floor(threshold * bases)
+    mismatches are allowed. order: tags are taken in the order of reproducibility (greatest first, if there is
+    rep_avg) and locus; a tag is dropped if one that is kept is near, so a tag near a dropped one only
+    stays. It is a greedy independent set, made in rounds: of the undecided tags, those before all their
+    neighbours are kept and their neighbours dropped; each round is written. input: a tag near any earlier locus goes, even if
+    that one goes as well. Tags with equal bases are one; null and shorter sequences are compared as far as they go.
     """
     usable = length - skip
     k = int(threshold * usable)
-    cuts = [skip + usable * i // (k + 1) for i in range(k + 2)]
-    seg = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("seq", a + 1, b - a).alias("s")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]))
-    parts = tags.select("locus", "seq", seg.alias("g")).select("locus", "seq", "g.i", "g.s")
-    other = parts.select(F.col("locus").alias("first"), F.col("seq").alias("seq1"), "i", "s")
-    pairs = parts.join(other, ["i", "s"]).where("first < locus").select("first", "locus", "seq1", "seq").distinct()
-    differ = F.size(F.filter(F.sequence(F.lit(skip + 1), F.lit(length)), lambda j: F.substring("seq", j, F.lit(1)) != F.substring("seq1", j, F.lit(1))))
-    near = pairs.where(differ <= k).select("locus").distinct()
-    return tags.join(near, "locus", "left_anti")
+    rank = [F.desc("rep_avg")] if rule == "order" and "rep_avg" in tags.columns else []
+    body = F.coalesce(F.substring("seq", skip + 1, usable), F.lit(""))
+    # Of tags with equal bases the first decides: it is near all the others, and has the same neighbours.
+    order = F.struct(*([-F.coalesce("rep_avg", F.lit(float("-inf")))] if rank else []), F.col("locus"))
+    classes = tags.withColumn("_body", body).groupBy("_body").agg(F.min(order).alias("o"), F.min_by("seq", order).alias("seq"), F.min_by("locus", order).alias("locus"))
+    numbered = written(with_site_index(classes.select("o", "seq", "locus"), "o").select("locus", F.col("site_idx").alias("i"), "seq"))
+    pairs = written(near_tags(numbered.select("i", "seq"), k, skip, length))
+    if rule == "input":
+        gone = pairs.select(F.col("b").alias("i")).distinct()
+        return tags.join(numbered.join(gone, "i", "left_anti").select("locus"), "locus", "left_semi")
+    kept, live = None, pairs
+    while live.limit(1).count():
+        # A tag that is no later one of an undecided pair is before all its undecided neighbours.
+        first = live.select(F.col("a").alias("i")).distinct().join(live.select(F.col("b").alias("i")).distinct(), "i", "left_anti")
+        lost = live.join(first, F.col("a") == F.col("i")).select(F.col("b").alias("i")).distinct()
+        decided = written(first.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False))))
+        kept = decided if kept is None else kept.unionByName(decided)
+        gone = decided.select("i")
+        live = written(live.join(gone, F.col("a") == F.col("i"), "left_anti").join(gone, F.col("b") == F.col("i"), "left_anti"))
+    dropped = kept.where("not kept").select("i") if kept is not None else numbered.select("i").limit(0)
+    return tags.join(numbered.join(dropped, "i", "left_anti").select("locus"), "locus", "left_semi")

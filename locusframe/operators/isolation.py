@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from ..functions import measures as M
+from ..sources.shared import written
 
 
 def with_km(pairs: DataFrame, places: DataFrame, ellipsoid: bool = False) -> DataFrame:
@@ -70,27 +74,65 @@ def ibd_regression_p(pairs: DataFrame) -> DataFrame:
     return ibd_regression(pairs).withColumn("p", slope_p("r2", "n"))
 
 
+#: Names up to which the two matrices travel to the tasks (8 bytes a pair and matrix: 256 MB together); beyond, pairs are joined.
+MANTEL_NAMES = 4096
+
+
+def permuted(seed: int, trial: int, n: int) -> np.ndarray:
+    """A permutation of n places: their order by the MD5 of seed, trial and place as text, which SQL can repeat."""
+    return np.array(sorted(range(n), key=lambda i: hashlib.md5(f"{seed}:{trial}:{i}".encode()).hexdigest()), np.int64)
+
+
 def mantel(x: DataFrame, y: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
     """One row: r, p = (number of permuted r >= r, + 1) / (permutations + 1), and n, the number of names.
 
     Tables of pairs (a, b, dist) of populations or samples, joined; missing pairs are left out, repeated
-    ones count by their mean. A permutation numbers the names in the order of a hash of its number and
-    the name, and the pairs of y are renamed by it: permutations x pairs rows, spread over the tasks
-    and reduced to one correlation each. No pair: r is null.
+    ones count by their mean. Names are numbered in their order; permutation t puts name i in the place of the
+    i-th name in the order of MD5(seed:t:i) (`permuted`), and the pairs of y are renamed by it.
+
+    Both matrices are gathered once, for names up to MANTEL_NAMES, and broadcast; tasks take permutation
+    numbers, gather y by the permuted places and return one correlation each, so there is no row for a
+    permutation and pair. With more names, permutations and pairs are joined by shuffles. No pair: r is null.
     """
     spark = x.sparkSession
-    pair = lambda df, c: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").alias(c)).where(f"{c} is not null").groupBy("a", "b").agg(F.avg(c).alias(c))
-    both = pair(x, "x").join(pair(y, "y"), ["a", "b"])
+    pair = lambda df, c: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").alias(c)).where(f"{c} is not null and a != b").groupBy("a", "b").agg(F.avg(c).alias(c))
+    both = written(pair(x, "x").join(pair(y, "y"), ["a", "b"]))
     names = both.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    n = names.count()
     numbered = names.select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("i"))  # names, not pairs
-    place = lambda c, out: F.broadcast(numbered.select(F.col("name").alias(c), F.col("i").alias(out)))
+    place = lambda c, out: numbered.select(F.col("name").alias(c), F.col("i").alias(out))
     at = both.join(place("a", "p"), "a").join(place("b", "q"), "b").select("p", "q", "x", "y")
-    trials = spark.range(permutations).select(F.col("id").alias("t"))
-    drawn = trials.crossJoin(F.broadcast(numbered)).withColumn("to", F.row_number().over(W.partitionBy("t").orderBy(F.xxhash64(F.lit(seed), "t", "i"), "i")) - 1)
-    image = drawn.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "to"))), lambda s: s["to"]).alias("to"))
-    moved = image.crossJoin(F.broadcast(at.select("p", "q", "y"))).select("t", F.get("to", F.col("p")).alias("u"), F.get("to", F.col("q")).alias("v"), "y")
-    met = moved.select("t", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"), "y").join(F.broadcast(at.select("p", "q", "x")), ["p", "q"])
-    per = met.groupBy("t").agg(F.corr("x", "y").alias("r"))
-    real = at.agg(F.corr("x", "y").alias("real"), F.count(F.lit(1)).alias("pairs"))
+    real = at.agg(F.corr("x", "y").alias("real"))
+    trials = spark.range(permutations, numPartitions=max(1, min(permutations, spark.sparkContext.defaultParallelism))).select(F.col("id").alias("t"))
+    if n <= MANTEL_NAMES:
+        pairs = at.toPandas()  # n * n / 2 of them at most
+        given, wanted = np.full((n, n), np.nan), np.full((n, n), np.nan)
+        for m, c in ((given, "x"), (wanted, "y")):
+            m[pairs.p, pairs.q] = m[pairs.q, pairs.p] = pairs[c]
+        shared = spark.sparkContext.broadcast((given, wanted))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            xs, ys = shared.value
+            upper = np.arange(n)[:, None] < np.arange(n)[None, :]
+            for pdf in batches:
+                out = []
+                for t in pdf.t.tolist():
+                    back = np.empty(n, np.int64)
+                    back[permuted(seed, t, n)] = np.arange(n)
+                    moved = ys[np.ix_(back, back)]
+                    ok = upper & ~np.isnan(xs) & ~np.isnan(moved)
+                    u, v = xs[ok], moved[ok]
+                    u, v = u - u.mean() if len(u) else u, v - v.mean() if len(v) else v
+                    below = math.sqrt(float(u @ u) * float(v @ v))
+                    out.append(float(u @ v) / below if below > 0 else None)
+                yield pd.DataFrame({"r": pd.Series(out, dtype="float64")})
+
+        per = trials.mapInPandas(run, "r double")
+    else:
+        drawn = trials.crossJoin(numbered.select("i")).withColumn("to", F.row_number().over(W.partitionBy("t").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"), F.col("i").cast("string"))))) - 1)
+        image = drawn.select("t", F.col("to").alias("old"), F.col("i").alias("new"))
+        moved = at.select("p", "q", "y").join(image.select("t", F.col("old").alias("p"), F.col("new").alias("u")), "p").join(image.select("t", F.col("old").alias("q"), F.col("new").alias("v")), ["t", "q"])
+        met = moved.select("t", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"), "y").join(at.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "x"), ["p", "q"])
+        per = met.groupBy("t").agg(F.corr("x", "y").alias("r"))
     hits = per.crossJoin(F.broadcast(real)).agg(F.count(F.when(F.col("r") >= F.col("real") - 1e-12, 1)).alias("h"))
-    return real.crossJoin(hits).crossJoin(names.agg(F.count(F.lit(1)).alias("n"))).select(F.col("real").alias("r"), ((F.col("h") + 1) / F.lit(permutations + 1)).alias("p"), "n")
+    return real.crossJoin(hits).select(F.col("real").alias("r"), ((F.col("h") + 1) / F.lit(permutations + 1)).alias("p"), F.lit(n).cast("long").alias("n"))

@@ -209,12 +209,12 @@ class Planes:
 
     def called_per_sample(self) -> tuple[list[int], int]:
         """Called sites of each sample, and all sites. Tasks add up bits; one row of counts for each of some salts reaches the driver."""
-        n = self.n
+        n, names = self.n, [f"p{a}" for a in range(self.alleles)]
 
         def run(batches):
             acc, rows = np.zeros(n, np.int64), 0
             for pdf in batches:
-                acc += (dosages(pdf, n, [f"p{a}" for a in range(self.alleles)], half=False) >= 0).sum(0)
+                acc += (dosages(pdf, n, names, half=False) >= 0).sum(0)
                 rows += len(pdf)
             yield pd.DataFrame({"rows": [rows], "n": [acc]})
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .select import quantiles, smallest
+
 
 def call_stats(calls: DataFrame) -> DataFrame:
     """Per site: n_called, n_alt and freq_hets, by one aggregation of the long form."""
@@ -20,9 +22,11 @@ def sample_missing(calls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """min, q1, median, mean, q3, max of a column."""
-    q = lambda p: F.percentile(column, F.lit(p))
-    return df.groupBy(*by).agg(F.min(column).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(column).alias("mean"), q(0.75).alias("q3"), F.max(column).alias("max"))
+    """min, q1, median, mean, q3, max of a column; quartiles by counting ranges, so no task holds a group's values."""
+    ends = df.groupBy(*by).agg(F.min(column).alias("min"), F.avg(column).alias("mean"), F.max(column).alias("max"))
+    q = quantiles(df, column, by, (0.25, 0.5, 0.75)).select(*[F.col(c).alias(f"_{c}") for c in by], "q")
+    got = ends.join(q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True), "left")
+    return got.select(*by, "min", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median"))], "mean", F.get("q", F.lit(2)).alias("q3"), "max")
 
 
 def site_missing(calls: DataFrame, n_samples: int) -> DataFrame:
@@ -135,11 +139,6 @@ def locus_length_stats(tags: DataFrame) -> DataFrame:
     return tags.agg(F.count(F.lit(1)).alias("n"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("greatest"), F.stddev_pop(n).alias("sd"))
 
 
-def paralog_proportion(flags: DataFrame) -> DataFrame:
-    """Share of flagged loci, by parameter; `flags`: param, flagged, total."""
-    return flags.select("param", (F.col("flagged") / F.nullif("total", F.lit(0))).alias("proportion"))
-
-
 def genotype_codes(calls: DataFrame) -> DataFrame:
     """Distinct sorted genotypes of the data."""
     return calls.select(F.array_join(F.array_sort(F.array("a1", "a2")), "").alias("code")).distinct()
@@ -167,8 +166,8 @@ def random_loci(df: DataFrame, share: float = 0.75, seed: int = 1) -> DataFrame:
 
 
 def downsample(sites: DataFrame, n: int, order: Column | None = None, seed: int = 1) -> DataFrame:
-    """Exactly n sites (all, if fewer) in the order of a column; by default a hash of seed and id."""
-    return sites.orderBy(F.xxhash64(F.lit(seed), "site_id") if order is None else order, "site_id").limit(n)
+    """Exactly n sites (all, if fewer), the least in the order of a column of longs, ties by site_id; by default a hash of seed and id. No sort."""
+    return smallest(sites, n, F.xxhash64(F.lit(seed), "site_id") if order is None else order, F.col("site_id"))
 
 
 def with_site_index(sites: DataFrame, *order: str) -> DataFrame:

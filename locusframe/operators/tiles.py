@@ -93,7 +93,8 @@ def bit_rows(calls: DataFrame, keys: list[str], planes: dict[str, Column], n: in
         return got.select(*keys, *[F.array(*[f"{k}_{i}" for i in range(w)]).alias(k) for k in planes])
     parts = rows.groupBy(*keys, "_w").agg(*[F.bit_or(F.when(F.col(k), F.col("_b")).otherwise(zero)).alias(k) for k in planes])
     got = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_w", F.struct(*planes)))).alias("_m"))
-    return got.select(*keys, *[F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda i, k=k: F.coalesce(F.try_element_at("_m", i)[k], zero)).alias(k) for k in planes])
+    line = lambda k: F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda i: F.coalesce(F.try_element_at("_m", i)[k], zero))
+    return got.select(*keys, *[line(k).alias(k) for k in planes])
 
 
 def unpacked(pdf: pd.DataFrame, names: list[str], n: int) -> Bits:

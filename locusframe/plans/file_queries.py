@@ -105,8 +105,8 @@ def nexus012_files(spark, d):
     return rows.select("sample", n(0).alias("n0"), n(1).alias("n1"), n(2).alias("n2"), n(None).alias("missing"))
 
 
-@query(""", v as (select site_id from calls where sample in (select sample from samples) group by site_id having count(distinct dosage) > 1)
-select c.site_id::varchar as snp, c.sample, s.pop, round(s.lat, 6) as lat, round(s.lon, 6) as lon, c.dosage::bigint as dosage from calls c join samples s on c.sample = s.sample where c.site_id in (select site_id from v)""")
+@query(""", known as (select c.site_id, c.sample, s.pop, s.lat, s.lon, c.dosage, min(c.dosage) over (partition by c.site_id) as lo, max(c.dosage) over (partition by c.site_id) as hi from calls c join samples s on c.sample = s.sample)
+select site_id::varchar as snp, sample, pop, round(lat, 6) as lat, round(lon, 6) as lon, dosage::bigint as dosage from known where lo <> hi""")
 def dart_files(spark, d):
     """A two-row table, a row for each allele of a SNP, and a table of the samples."""
     snps, meta = shared_path(spark), shared_path(spark)
@@ -203,3 +203,74 @@ a as (select coalesce(snps, 0) as snps, coalesce(varies, false) as varies from (
 select count(*)::bigint as loci, (count(*) filter (not varies))::bigint as invariant, round(avg(snps), 6) as mean, (select snps from a group by snps order by count(*) desc, snps limit 1)::bigint as mode from a""")
 def secondaries_summary(spark, d):
     return _rounded(S.secondaries_summary(FX.calls(spark, d), FX.sites(spark, d)))
+
+
+@query(""" select locus::varchar as chrom, site_id as pos, round(avg(dp), 6) as mean_depth, round(1 - count(*) / 44.0::double, 6) as f_miss from calls group by locus, site_id""")
+def vcftools_sites(spark, d):
+    """The tables of sites, joined."""
+    prefix, calls = shared_path(spark), FX.calls(spark, d)
+    for end, c in (("idepth", "MEAN_DEPTH"), ("imiss", "F_MISS"), ("het", "F")):
+        calls.groupBy(F.col("sample").alias("INDV")).agg(F.avg("dp").alias(c)).write.csv(f"{prefix}.{end}", sep="\t", header=True)
+    site = calls.groupBy(F.col("locus").alias("CHROM"), F.col("site_id").alias("POS")).agg(F.avg("dp").alias("MEAN_DEPTH"), (1 - F.count(F.lit(1)) / FX.N_SAMPLES).alias("F_MISS"))
+    site.select("CHROM", "POS", "MEAN_DEPTH").write.csv(f"{prefix}.ldepth.mean", sep="\t", header=True)
+    site.select(F.col("CHROM").alias("CHR"), "POS", "F_MISS").write.csv(f"{prefix}.lmiss", sep="\t", header=True)
+    return _rounded(T.read_vcftools_tables(spark, prefix)[1])
+
+
+@query(""" select 'P' || (site_id % 2)::varchar as param, count(distinct site_id)::bigint as sites, count(*)::bigint as calls, sum(dosage)::bigint as alt from calls where site_id in (select site_id from sites) group by 1""")
+def sweep_files(spark, d):
+    """VCF text of two parameter values, each in its folder, read as one table."""
+    lines, files = FX.vcf_lines(spark, d), []
+    for k in (0, 1):
+        files.append((f"P{k}", shared_path(spark)))
+        head = spark.createDataFrame([("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *FX.names()]),)], "value string")
+        head.unionByName(lines.where(F.col("site_id") % 2 == k).select("value")).write.text(files[-1][1])
+    sites, _ = V.read_sweep(spark, files)
+    called = F.filter(F.transform("calls", lambda c: G.dosage(c["gt"])), lambda x: x.isNotNull())
+    per = sites.select("param", F.size(called).alias("n"), F.aggregate(called, F.lit(0), lambda s, x: s + x).alias("a"))
+    return _rounded(per.groupBy("param").agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("calls"), F.sum("a").alias("alt")))
+
+
+STATS = """, t as (select *, site_id % 3 as k from calls), per as (select 'P' || k as param, sample, count(*) as clusters, count(*) filter (dosage = 2) as over_, round(avg((dosage = 1)::int), 6) as het, round(avg(dp) / 1000, 6) as err from t group by all)"""
+
+
+def _stats_files(spark, d) -> str:
+    """Statistics of three assemblies as text in sections: filters, samples, and estimates, each in a file of its folder."""
+    root = shared_path(spark)
+    calls = FX.calls(spark, d).withColumn("k", F.concat(F.lit("P"), (F.col("site_id") % 3).cast("string")))
+    per = calls.groupBy("k", "sample").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("dosage") == 2).alias("o"), F.round(F.avg((F.col("dosage") == 1).cast("double")), 6).alias("h"), F.round(F.avg("dp") / 1000, 6).alias("e"))
+    row = lambda *c: F.concat_ws("   ", *[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
+    joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "\n")
+    texts = per.groupBy("k").agg(joined(row("sample", F.lit("7"), "c", F.lit("1"), F.lit("2"), "o", F.lit("5"), "h")).alias("five"), joined(row("sample", F.lit("0.01"), "e")).alias("four"))
+    sums = calls.groupBy("k").agg(F.countDistinct("locus").alias("l"), F.countDistinct("site_id").alias("s"), F.count_if(F.col("dosage") == 1).alias("f"))
+    both = texts.join(sums, "k")
+    final = F.concat(
+        F.lit("## The number of loci caught by each filter.\n## ipa counts\n\n                           total_filters  applied_order  retained_loci\ntotal_prefiltered_loci    0   0   "), F.col("l") + 5,
+        F.lit("\nfiltered_by_max_shared_het   9   "), "f", F.lit("   "), "s", F.lit("\ntotal_filtered_loci   9   9   "), "l", F.lit("\n\n## Alignment matrix statistics:\nsnps matrix size: ("), F.lit(44), F.lit(", "), "s", F.lit("), 12.5% missing sites.\n"),
+    )
+    heads = {"run_stats.txt": final, "s5_consens_stats.txt": F.concat(F.lit("     state  clusters_total  filtered_by_depth  filtered_by_maxH  filtered_by_maxAlleles  nsites  heterozygosity\n"), "five"), "s4_joint_estimate.txt": F.concat(F.lit("          hetero_est  error_est\n"), "four")}
+    for name, text in heads.items():
+        both.select(F.concat(F.lit("clust_"), "k").alias("p"), text.alias("value")).repartition("p").write.mode("append").partitionBy("p").text(f"{root}/{name}")
+    return root
+
+
+@query(STATS + """ select 'P' || k as param, (count(*) filter (dosage = 1))::double as flagged, count(distinct site_id)::double as retained, round((count(*) filter (dosage = 1))::double / count(distinct site_id), 6) as paralogs,
+  count(distinct locus)::double as loci, count(distinct site_id)::double as snps from t group by k""")
+def assembly_summary(spark, d):
+    root = _stats_files(spark, d)
+    return _rounded(T.assembly_summary(T.read_stats(spark, [f"{root}/{x}/*" for x in ("run_stats.txt", "s5_consens_stats.txt", "s4_joint_estimate.txt")])))
+
+
+@query(STATS + """ select param, sample, clusters::double as clusters, over_::double as over, het as heterozygosity, err as error, round(over_::double / clusters, 6) as paralogs from per where sample in (select sample from samples)""")
+def assembly_by_sample(spark, d):
+    root = _stats_files(spark, d)
+    stats = T.read_stats(spark, [f"{root}/{x}/*" for x in ("run_stats.txt", "s5_consens_stats.txt", "s4_joint_estimate.txt")])
+    return _rounded(T.assembly_by_sample(stats, FX.samples(spark, d)))
+
+
+@query(STATS + """ select param, round(min(over_::double / clusters), 6) as min, round(quantile_cont(over_::double / clusters, 0.25), 6) as q1, round(quantile_cont(over_::double / clusters, 0.5), 6) as median, round(avg(over_::double / clusters), 6) as mean,
+  round(quantile_cont(over_::double / clusters, 0.75), 6) as q3, round(max(over_::double / clusters), 6) as max from per group by param""")
+def paralogs_by_param(spark, d):
+    """Shares of paralogous loci over samples, by parameter."""
+    root = _stats_files(spark, d)
+    return _rounded(S.summary(T.assembly_by_sample(T.read_stats(spark, f"{root}/s5_consens_stats.txt/*")), "paralogs", "param"))

@@ -124,14 +124,16 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", "ref", "alt"), "site_id")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(locus, sample, seq): the SNPs of a locus as a short alignment of IUPAC codes, ? for missing."""
+def sequences(spark: SparkSession, sf_dir: str, by: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(locus, sample, pop, seq): the SNPs of a locus as a short alignment of IUPAC codes, ? for missing. `rows`: other calls, with a column `by`."""
     from ..functions.genotype import iupac
 
+    at = coded(spark, sf_dir) if rows is None else rows.join(sites(spark, sf_dir).select("site_id", "ref", "alt"), "site_id")
+    keys = ["locus", "sample", "pop", *([by] if by else [])]
     base = lambda a: F.when(F.col(a) == 0, F.col("ref")).otherwise(F.col("alt"))
-    at = coded(spark, sf_dir).select("locus", "sample", "pop", "pos", iupac(F.array(base("a1"), base("a2"))).alias("c"))
-    got = packed.by_place(at, ["locus", "sample", "pop"], "pos", "c")
-    return got.select("locus", "sample", "pop", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("?"))), "").alias("seq"))
+    one = at.select(*keys, "pos", iupac(F.array(base("a1"), base("a2"))).alias("c"))
+    letter = lambda i: F.coalesce(F.min(F.when(F.col("pos") == i, F.col("c"))), F.lit("?"))
+    return one.groupBy(*keys).agg(F.concat(*[letter(i) for i in range(4)]).alias("seq"))
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

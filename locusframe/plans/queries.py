@@ -142,13 +142,31 @@ def drop_samples_by_missing(spark, d):
     return sites.where(P.any_called()).select("site_id", P.n_called().cast("long").alias("n_called"))
 
 
-@query()
+def _in_turn(site_steps: tuple, sample_steps: tuple, max_missing: float, min_coverage: float) -> str:
+    """The filters in turn as a chain of steps: sites s1, s2, ... and samples k1, k2, ..."""
+    steps = ["s0 as (select distinct site_id from calls), k0 as (select unnest(range(44)) as i)"]
+    site = "s{n} as materialized (select s.site_id from s{p} s left join (select c.site_id, count(*) as n from calls c join k{q} k on k.i = c.sample_idx group by c.site_id) h on h.site_id = s.site_id where coalesce(n, 0) >= {v} * (select count(*) from k{q}))"
+    person = "k{n} as materialized (select k.i from k{p} k left join (select sample_idx, count(*) as n from calls where site_id in (select site_id from s{q}) group by sample_idx) h on h.sample_idx = k.i where 1 - coalesce(n, 0)::double / (select count(*) from s{q}) < {v})"
+    n = len(site_steps)
+    for i, (rate, limit) in enumerate(zip(site_steps, sample_steps)):
+        steps += [site.format(n=i + 1, p=i, q=i, v=rate), person.format(n=i + 1, p=i, q=i + 1, v=limit)]
+    steps += [person.format(n=n + 1, p=n, q=n, v=max_missing), site.format(n=n + 1, p=n, q=n + 1, v=min_coverage)]
+    return ", " + ",\n".join(steps) + f""" select s.site_id, count(k.i)::bigint as n_called, (select count(*) from k{n + 1})::bigint as n_samples
+from s{n + 1} s left join calls c on c.site_id = s.site_id left join k{n + 1} k on k.i = c.sample_idx group by s.site_id"""
+
+
+@query(_in_turn((0.2, 0.3, 0.4, 0.45), (0.9, 0.7, 0.6, 0.55), 0.52, 0.5))
 def iterative_filter(spark, d):
     sites, names = FI.iterative_filter(FX.packed_sites(spark, d), FX.names(), (0.2, 0.3, 0.4, 0.45), (0.9, 0.7, 0.6, 0.55), 0.52, 0.5)
     return sites.select("site_id", P.n_called().cast("long").alias("n_called"), F.lit(len(names)).cast("long").alias("n_samples"))
 
 
-@query()
+@query(""", deep as (select site_id from calls group by site_id having avg(case when dp > 0 then dp end) >= 10),
+m as materialized (select * from calls where site_id in (select site_id from deep) and dp between 6 and 500),
+s as materialized (select site_id from m group by site_id having sum(dosage) >= 3 and 2 * count(*) - sum(dosage) >= 3 and count(*) / 44.0::double >= 0.4),
+k as materialized (select range as i from range(44) left join (select sample_idx, count(*) as n from m where site_id in (select site_id from s) group by sample_idx) h on h.sample_idx = range
+  where 1 - coalesce(n, 0)::double / (select count(*) from s) < 0.65)
+select s.site_id, count(k.i)::bigint as n_called, (select count(*) from k)::bigint as n_samples from s left join m on m.site_id = s.site_id left join k on k.i = m.sample_idx group by s.site_id""")
 def strict_filter(spark, d):
     sites, names = FI.strict_filter(FX.packed_sites(spark, d), FX.names(), True, 0.4, 0.65, (6, 500), 10, 3)
     return sites.select("site_id", P.n_called().cast("long").alias("n_called"), F.lit(len(names)).cast("long").alias("n_samples"))
@@ -194,7 +212,18 @@ def filter_taglength(spark, d):
 @query(TAGS + """ select locus from tags t where not exists (select 1 from tags f where f.locus < t.locus
   and hamming(substr(f.seq, 6), substr(t.seq, 6)) <= 9)""")
 def filter_hamming(spark, d):
-    return FI.filter_hamming(FX.tags(spark, d)).select("locus")
+    """Each tag judged on the input."""
+    return FI.filter_hamming(FX.tags(spark, d), rule="input").select("locus")
+
+
+@query(TAGS + """, o as (select locus, substr(seq, 6) as seq, row_number() over (order by locus % 7 desc, locus) as i from tags),
+g(i, kept, loci) as (select 0, []::varchar[], []::bigint[] union all
+  select o.i, case when len(list_filter(kept, lambda k: hamming(k, o.seq) <= 9)) = 0 then list_append(kept, o.seq) else kept end,
+    case when len(list_filter(kept, lambda k: hamming(k, o.seq) <= 9)) = 0 then list_append(loci, o.locus) else loci end from g join o on o.i = g.i + 1)
+select unnest(loci) as locus from g where i = (select max(i) from o)""")
+def filter_hamming_in_order(spark, d):
+    """Tags in the order of a reproducibility; one goes if a tag that is kept is near."""
+    return FI.filter_hamming(FX.tags(spark, d).withColumn("rep_avg", (F.col("locus") % 7).cast("double"))).select("locus")
 
 
 @query(""", l as (select distinct locus, sample from calls where locus % 3 = 0 and sample <> 'ind2')
@@ -469,12 +498,34 @@ def genpofad(spark, d):
     return _rounded(PA.allele_set_distance(FX.calls(spark, d), names=FX.names()))
 
 
-@query(f""", l as (select x.locus, x.sample as a, y.sample as b, {POFAD} as v from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all)
-select a, b, round(avg(v), 10) as dist, count(*)::bigint as loci from l group by all""")
+MATCHES = "avg(case when x.dosage = y.dosage then 0.0::double when x.dosage = 1 or y.dosage = 1 then 0.25::double else 1.0::double end)"
+BY_LOCUS = """, l as (select x.locus, x.sample as a, y.sample as b, {v} as v from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all)
+select a, b, round(avg(v), 10) as dist, count(*)::bigint as loci from l group by all"""
+
+
+@query(f" select x.sample as a, y.sample as b, round({MATCHES}, 6) as dist from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all")
+def matchstates(spark, d):
+    return _rounded(PA.allele_set_distance(FX.calls(spark, d), kind=PA.MATCHSTATES, names=FX.names()))
+
+
+@query(BY_LOCUS.format(v=POFAD))
 def locus_averaged_distance(spark, d):
     return _rounded(PA.locus_averaged(FX.calls(spark, d), names=FX.names()), 10)
 
 
+@query(BY_LOCUS.format(v=MATCHES))
+def locus_averaged_matchstates(spark, d):
+    return _rounded(PA.locus_averaged(FX.calls(spark, d), "matchstates", FX.names()), 10)
+
+
+@query(""", size as (select locus, count(distinct site_id) as sites from calls group by locus),
+l as (select x.locus, x.sample as a, y.sample as b, sqrt(sum((x.dosage - y.dosage) ** 2)::double * any_value(sites) / count(*)) as v
+  from calls x join calls y on x.site_id = y.site_id and x.sample_idx < y.sample_idx join size on size.locus = x.locus group by all)
+select a, b, round(avg(v), 10) as dist, count(*)::bigint as loci from l group by all""")
+def locus_averaged_euclidean(spark, d):
+    return _rounded(PA.locus_averaged(FX.calls(spark, d), "euclidean", FX.names()), 10)
+
+
 @query(PAIRS + """, j as (select least(x.pop, y.pop) as pop_a, greatest(x.pop, y.pop) as pop_b, dist from pairs join samples x on x.sample = a join samples y on y.sample = b),
 z as (select pop, count(*) as size from samples group by pop)
 select pop_a, pop_b, count(*)::bigint as n, round(min(dist), 6) as least, round(avg(dist), 6) as mean, round(max(dist), 6) as greatest
@@ -587,7 +638,25 @@ def great_circle(spark, d):
     return _geo(spark, d).select("a", "b", F.round("km", 4).alias("km"))
 
 
-@query()
+def _vincenty(rounds: int = 12) -> str:
+    """The steps of the iteration on the ellipsoid, written one after the other."""
+    part = """sqrt((cos(p2) * sin(lam)) ** 2 + (cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(lam)) ** 2) as s, sin(p1) * sin(p2) + cos(p1) * cos(p2) * cos(lam) as c"""
+    angle = "select *, case when s > 0 then cos(p1) * cos(p2) * sin(lam) / s else 0 end as al"
+    more = "select *, 1 - al * al as c2, case when 1 - al * al > 1e-15 then c - 2 * sin(p1) * sin(p2) / (1 - al * al) else 0 end as mid"
+    k = "(fl / 16 * c2 * (4 + fl * (4 - 3 * c2)))"
+    at = "(select a, b, fl, p1, p2, diff, diff as lam from v)"
+    for _ in range(rounds):
+        inner = f"({more} from ({angle} from (select *, {part} from {at})))"
+        at = f"(select a, b, fl, p1, p2, diff, diff + (1 - {k}) * fl * al * (atan2(s, c) + {k} * s * (mid + {k} * c * (2 * mid * mid - 1))) as lam from {inner})"
+    last = f"({more} from ({angle} from (select *, {part} from {at})))"
+    return f""", v as (select x.a, x.b, 1 / 298.257223563::double as fl, atan((1 - 1 / 298.257223563::double) * tan(radians(y.lat))) as p1, atan((1 - 1 / 298.257223563::double) * tan(radians(z.lat))) as p2, radians(z.lon - y.lon) as diff
+  from pairs x join samples y on y.sample = x.a join samples z on z.sample = x.b),
+e as (select *, 6378.137::double * (1 - fl) as minor, c2 * (1 / ((1 - fl) * (1 - fl)) - 1) as u2 from {last}),
+f as (select *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) as big, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) as small from e)
+select a, b, round(minor * big * (atan2(s, c) - small * s * (mid + small / 4 * (c * (2 * mid * mid - 1) - small / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))), 4) as km from f"""
+
+
+@query(PAIRS + _vincenty())
 def geodesic(spark, d):
     return _geo(spark, d, True).select("a", "b", F.round("km", 4).alias("km"))
 
@@ -606,23 +675,66 @@ def ibd_regression(spark, d):
     return _rounded(I.ibd_regression(_geo(spark, d)))
 
 
+@query(KM + """, r as (select regr_slope(dist, km) as slope, regr_r2(dist, km) as r2, regr_count(dist, km) as n from geo), t as (select *, sqrt(r2 * (n - 2) / (1 - r2)) as t, (n - 2)::double as f from r),
+h as (select unnest(range(20001)) as i), dens as (select slope, n, t, f, sum((case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end) * (1 + (t * i / 20000) ** 2 / f) ** (-(f + 1) / 2)) as s from t, h group by all),
+area as (select slope, n, s * t / 60000 * exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) as half from dens)
+select round(slope, 6) as slope, n::bigint as n, round(1 - 2 * half, 6) as p from area""")
+def ibd_regression_p(spark, d):
+    """The p of the slope; in SQL by Simpson's rule over the density of Student's t."""
+    return _rounded(I.ibd_regression_p(_geo(spark, d)).select("slope", "n", "p"))
+
+
 @query(KM + ", z as (select bool_or(km = 0) as z from geo), lin as (select dist / (1 - dist) as dist, case when z then ln(km + 1) else ln(km) end as km from geo, z)" + IBD.format(t="lin"))
 def ibd_regression_linearised(spark, d):
     return _rounded(I.ibd_regression(I.linearised(_geo(spark, d))))
 
 
-@query()
+@query(KM + """, nm as (select name, row_number() over (order by name) - 1 as i from (select a as name from geo union select b from geo)),
+g2 as materialized (select least(p.i, q.i) as p, greatest(p.i, q.i) as q, dist as x, km as y from geo join nm p on p.name = a join nm q on q.name = b),
+put as materialized (select t, i, row_number() over (partition by t order by md5(concat_ws(':', '1', t::varchar, i::varchar))) - 1 as j from nm cross join (select unnest(range(199)) as t)),
+perm as (select u.t, least(u.i, v.i) as p, greatest(u.i, v.i) as q, y from g2 join put u on u.j = g2.p join put v on v.t = u.t and v.j = g2.q),
+r as (select t, corr(x, perm.y) as r from perm join g2 on g2.p = perm.p and g2.q = perm.q group by t), real as (select corr(x, y) as r from g2)
+select round((select r from real), 6) as r, round((count(*) filter (r >= (select r from real) - 1e-12) + 1) / 200.0::double, 6) as p, (select count(*) from nm)::bigint as n from r""")
 def mantel(spark, d):
     g = _geo(spark, d)
-    return _rounded(I.mantel(g.select("a", "b", "dist"), g.select("a", "b", F.col("km").alias("dist"))))
+    return _rounded(I.mantel(g.select("a", "b", "dist"), g.select("a", "b", F.col("km").alias("dist")), 199))
 
 
 @query()
 def pca(spark, d):
-    p = O.pca(FX.packed_sites(spark, d), FX.names(), 3)
+    p = O.pca(FX.planes(spark, d), FX.names(), 3)
     return p.select("sample", "axis", F.round(F.abs("score"), 4).alias("abs_score"), "percent")
 
 
+#: Power iteration in SQL: rows of the matrix of centred dosages times their turned ones, the greatest axes taken out one after the other.
+POWER = """, m as (select site_id, avg(dosage) as mean from calls group by site_id),
+x as materialized (select sample_idx as i, c.site_id, dosage - mean as v from calls c join m on m.site_id = c.site_id),
+g0 as materialized (select a.i as i, b.i as j, sum(a.v * b.v) / 44 as v from x a join x b on a.site_id = b.site_id group by a.i, b.i),
+full0 as materialized (select p.i, q.j, coalesce(v, 0) as v from (select unnest(range(44)) as i) p cross join (select unnest(range(44)) as j) q left join g0 on g0.i = p.i and g0.j = q.j),
+total as (select sum(v) as t from full0 where i = j),
+{steps}
+select axis::bigint as axis, round(100 * l / t, 1) as percent from ({axes}), total"""
+
+
+def _power(axes: int, rounds: int = 3000) -> str:
+    steps, out = [], []
+    for k in range(axes):
+        steps.append(f"""r{k} as materialized (select i, list(v order by j) as r from full{k} group by i), rows{k} as materialized (select list(r order by i) as g from r{k}),
+w{k} as materialized (with recursive p(n, v) as (select 0, list_transform(range(44), lambda i: 1.0::double + ((i * 7 + {k}) % 5) / 10.0::double)
+    union all select n + 1, list_transform(u, lambda e: e / sqrt(list_dot_product(u, u))) from (select n, list_transform(g, lambda r: list_dot_product(r, v)) as u from p, rows{k} where n < {rounds}))
+  select v, list_dot_product(v, list_transform(g, lambda r: list_dot_product(r, v))) as l from p, rows{k} where n = {rounds}),
+full{k + 1} as materialized (select i, j, full{k}.v - l * w{k}.v[i + 1] * w{k}.v[j + 1] as v from full{k}, w{k})""")
+        out.append(f"select {k + 1} as axis, l from w{k}")
+    return POWER.format(steps=",\n".join(steps), axes=" union all ".join(out))
+
+
+@query(_power(2))
+def pca_variance(spark, d):
+    """Shares of variance of the first two axes."""
+    p = O.pca(FX.planes(spark, d), FX.names(), 2)
+    return p.select(F.col("axis").cast("long").alias("axis"), "percent").distinct()
+
+
 # --- sequences -----------------------------------------------------------------------------------
 
 
@@ -780,6 +892,35 @@ def optimise(spark, d):
     return _rounded(SW.optimise(_swept(spark, d), FX.samples(spark, d), FX.reps(spark)))
 
 
+OPTIMISE = SWEPT + f""", o as (select * from sw where sample not in (select sample_b from reps)), left_ as (select * from samples where sample not in (select sample_b from reps)),
+sz as (select param, count(distinct locus) as loci, count(distinct site_id) as snps from o group by param),
+e as (select param, site_id, locus, count(*) as n, min(dosage) as lo, max(dosage) as hi from o group by all),
+l8 as (select param, count(distinct locus) as k from e where lo <> hi and n >= 0.7 * (select count(*) from left_) group by param),
+pz as (select pop, count(*) as size from left_ group by pop having count(*) >= 5),
+ep as (select param, pop, site_id, locus, count(*) as n, min(dosage) as lo, max(dosage) as hi from o where sample in (select sample from left_) group by all),
+lp as (select param, ep.pop, count(distinct locus) as k from ep join pz on pz.pop = ep.pop where lo <> hi and n >= 0.7 * size group by all),
+la as (select p.param, avg(coalesce(k, 0)) as k from (select distinct param from o) p cross join pz left join lp on lp.param = p.param and lp.pop = pz.pop group by p.param),
+ht as (select param, avg(h) as h from (select param, sample, avg((dosage = 1)::int) as h from o group by all) group by param),
+j as (select param, r.sample_a, r.sample_b, c.locus, c.site_id, max(case when c.sample = r.sample_a then dosage end) as da, max(case when c.sample = r.sample_b then dosage end) as db
+  from sw c join reps r on c.sample = r.sample_a or c.sample = r.sample_b group by all),
+l as (select param, sample_a, sample_b, locus, bool_or(da is not null) as ia, bool_or(db is not null) as ib, bool_or(da is distinct from db) as df,
+  count(*) filter (da is not null and db is not null) as nb, count(*) filter (da <> db) as nd from j group by all),
+er as (select param, avg(x) as locus_error, avg(y) as allele_error, avg(z) as snp_error from (select param, 100.0::double * count(*) filter (not (ia and ib)) / count(*) as x,
+  100.0::double * count(*) filter (ia and ib and df) / count(*) filter (ia and ib) as y, 100.0::double * sum(nd) / sum(nb) as z from l group by param, sample_a, sample_b) group by param),
+ds as (select x.param, x.sample as a, y.sample as b, {POFAD} as v from o x join o y on x.param = y.param and x.site_id = y.site_id and x.sample_idx < y.sample_idx group by all),
+w as (select param, avg(v) filter (p.pop = r.pop) as mw, avg(v) filter (p.pop <> r.pop) as mb from ds join left_ p on p.sample = a join left_ r on r.sample = b group by param)
+select sz.param, sz.loci::bigint as loci, sz.snps::bigint as snps, coalesce(l8.k, 0)::bigint as loci80, round(la.k, 6) as loci80_pop, round(locus_error, 6) as locus_error, round(allele_error, 6) as allele_error, round(snp_error, 6) as snp_error,
+  round(ht.h, 6) as snp_het, round(ht.h, 6) as seq_het, round(mw, 6) as mean_within, round(mb, 6) as mean_between
+from sz left join l8 on l8.param = sz.param left join la on la.param = sz.param left join ht on ht.param = sz.param left join er on er.param = sz.param left join w on w.param = sz.param"""
+
+
+@query(OPTIMISE)
+def optimise_table(spark, d):
+    """All figures of a sweep, one row for each parameter value."""
+    seqs = FX.sequences(spark, d, "param", _swept(spark, d))
+    return _rounded(SW.optimise_table(_swept(spark, d), seqs, FX.samples(spark, d), FX.reps(spark), 0.7))
+
+
 # --- text in and out -----------------------------------------------------------------------------
 
 
@@ -869,9 +1010,17 @@ def to_treemix(spark, d):
     return X.to_treemix(PO.allele_counts(PO.site_pop(FX.calls(spark, d)), pops), pops)
 
 
-@query()
+BEAGLE = """, sm as (select range as i from range(44)),
+lik as (select s.site_id, i, c.dosage, list_transform([0, 1, 2], lambda g: case when c.dosage is null then 1.0::double else 10.0::double ** -abs(g - c.dosage) end) as raw
+  from sites s cross join sm left join calls c on c.site_id = s.site_id and c.sample_idx = i where s.site_id in (select site_id from calls))
+select site_id as site_idx, concat_ws(chr(9), any_value(snp_id), any_value(ref), any_value(alt), string_agg(concat_ws(chr(9), printf('%.4f', raw[1] / t), printf('%.4f', raw[2] / t), printf('%.4f', raw[3] / t)), chr(9) order by i)) as line
+from (select *, list_sum(raw) as t from lik) join sites using (site_id) group by site_id"""
+
+
+@query(BEAGLE)
 def to_beagle(spark, d):
-    sites = V.parse_lines(FX.vcf_lines(spark, d).withColumnRenamed("site_id", "site_idx").withColumn("n", F.col("site_idx"))).withColumnRenamed("n", "site_idx")
+    """Likelihoods from PL of ten for each step between genotypes; a third each for a missing call."""
+    sites = V.parse_lines(FX.vcf_lines(spark, d).withColumnRenamed("site_id", "site_idx"))
     pl = lambda c: F.when(G.is_called(c["gt"]), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda g: F.abs(g - G.dosage(c["gt"])).cast("double") * 10))
     return X.to_beagle(sites.withColumn("calls", F.transform("calls", lambda c: c.withField("pl", pl(c)))))
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -84,25 +85,57 @@ def read_vcftools_tables(spark: SparkSession, prefix: str) -> tuple[DataFrame, D
     return indv, depth.join(miss, ["chrom", "pos"])
 
 
-def scrape_stats(spark: SparkSession, glob: str, samples: DataFrame | None = None) -> DataFrame:
-    """(param, key, sample, value) from assembly statistics files; the parameter is the file's name.
+def read_stats(spark: SparkSession, paths: str | list[str], param: str = r"clust_([^/_]+)") -> DataFrame:
+    """(param, file, section, name, column, value) of statistics files in sections: one row for each number.
 
-    Lines `name count flagged ...` of filters give key name (sample null): max_shared_het flagged,
-    total_filtered_loci, snps matrix size. Rows of per-sample tables give their numbers by place.
+    A line of # names a section. A line that begins with white space and whose first word is no number is the head of a
+    table: its words name the columns. A later line that has a name and one number more than the head, or as
+    many as it has words, is a row of the table. Lines `name: text` give the last number in brackets, or at their end, under no column. What is
+    above carries forward over a file's lines in their order, also where the file is read in several parts.
+    `param` is taken out of the path. Other lines are left out.
     """
-    rows = spark.read.text(glob).select(F.regexp_extract("_metadata.file_path", r"([^/]+)_stats[^/]*$", 1).alias("param"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("l"))
-    n = lambda rx: F.regexp_extract("l", rx, 1).try_cast("double")
-    keyed = rows.select("param", "l", F.explode(F.array(
-        F.struct(F.lit("max_shared_het").alias("key"), F.when(F.col("l").startswith("filtered_by_max_shared_het") | F.col("l").startswith("max_shared_het"), n(r"(\d+)")).alias("value")),
-        F.struct(F.lit("total_filtered_loci").alias("key"), F.when(F.col("l").startswith("total_filtered_loci"), n(r"(\d+)")).alias("value")),
-        F.struct(F.lit("snps_matrix_size").alias("key"), F.when(F.col("l").startswith("snps matrix size"), n(r"\(\d+, ?(\d+)\)")).alias("value")),
-    )).alias("x")).select("param", "x.key", F.lit(None).cast("string").alias("sample"), "x.value").where("value is not null")
-    if samples is None:
-        return keyed
-    f = F.split("l", " ")
-    per = rows.withColumn("f", f).where(F.size("f") > 1).join(F.broadcast(samples.select("sample")), F.get("f", F.lit(0)) == F.col("sample"))
-    per = per.select("param", "sample", F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("i", "v")).select("param", F.concat(F.lit("column_"), F.col("i")).alias("key"), "sample", F.col("v").try_cast("double").alias("value"))
-    return keyed.unionByName(per.where("value is not null"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    word = F.filter(F.split(F.trim("value"), r"\s+"), lambda w: w != "")
+    first = F.get(word, F.lit(0))
+    section = F.when(F.col("value").startswith("#"), F.trim(F.regexp_replace("value", "^#+", "")))
+    head = F.when(F.col("value").rlike(r"^\s+\S") & first.try_cast("double").isNull(), word)
+    # A section starts without a head, so that no table reaches into the next section.
+    mark = F.when(section.isNotNull(), F.array().cast("array<string>")).otherwise(head)
+    order = W.partitionBy("file").orderBy("_start", "_at").rowsBetween(W.unboundedPreceding, 0)
+    seen = lines.select("file", "value", "_start", "_at", word.alias("w"), section.alias("s"), mark.alias("h"))
+    seen = seen.withColumn("section", F.last("s", True).over(order)).withColumn("head", F.last("h", True).over(order)).where("s is null and h is null")
+    cells = F.slice("w", F.lit(2), F.size("w"))
+    names = F.when(F.size("head") == F.size("w"), F.slice("head", F.lit(2), F.size("head"))).when(F.size("head") == F.size("w") - 1, F.col("head"))
+    table = seen.where((F.size("w") > 1) & names.isNotNull() & (F.size("head") > 0)).select("file", "section", F.get("w", F.lit(0)).alias("name"), F.explode(F.arrays_zip(names.alias("c"), cells.alias("v"))).alias("x"))
+    table = table.select("file", "section", "name", F.col("x.c").alias("column"), F.col("x.v").try_cast("double").alias("value"))
+    number = F.coalesce(F.regexp_extract("value", r"\([^)]*?([-+0-9.eE]+)\s*\)", 1).try_cast("double"), F.regexp_extract("value", r"([-+0-9.eE]+)\s*$", 1).try_cast("double"))
+    plain = seen.where(F.col("value").rlike(r"^\S[^:]*:.*[0-9]")).select("file", "section", F.trim(F.regexp_extract("value", "^([^:]+):", 1)).alias("name"), F.lit(None).cast("string").alias("column"), number.alias("value"))
+    got = table.unionByName(plain).where("value is not null")
+    return got.select(F.regexp_extract("file", param, 1).alias("param"), "file", "section", "name", "column", "value")
+
+
+def assembly_summary(stats: DataFrame) -> DataFrame:
+    """One row per parameter: flagged and kept loci of the filter of shared heterozygosity, their quotient (paralogs), loci in all, and SNPs."""
+    row = lambda name, column: F.max(F.when((F.col("name") == name) & F.col("column").eqNullSafe(F.lit(column)), F.col("value")))
+    shared = F.col("name").contains("max_shared_het")
+    got = stats.groupBy("param").agg(
+        F.max(F.when(shared & (F.col("column") == "applied_order"), F.col("value"))).alias("flagged"), F.max(F.when(shared & (F.col("column") == "retained_loci"), F.col("value"))).alias("retained"),
+        row("total_filtered_loci", "retained_loci").alias("loci"), row("snps matrix size", None).alias("snps"),
+    )
+    return got.select("param", "flagged", "retained", (F.col("flagged") / F.nullif("retained", F.lit(0.0))).alias("paralogs"), "loci", "snps")
+
+
+def assembly_by_sample(stats: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """One row per parameter and sample: clusters, those over the number of alleles, their quotient (paralogs), heterozygosity and sequencing error, by the columns' names.
+
+    `samples` (sample): only these, where given.
+    """
+    at = lambda column: F.max(F.when(F.col("column") == column, F.col("value")))
+    known = stats.where(F.col("column").isin("clusters_total", "filtered_by_maxAlleles", "heterozygosity", "error_est"))
+    if samples is not None:
+        known = known.join(F.broadcast(samples.select(F.col("sample").alias("name")).distinct()), "name", "left_semi")
+    got = known.groupBy("param", F.col("name").alias("sample")).agg(at("clusters_total").alias("clusters"), at("filtered_by_maxAlleles").alias("over"), at("heterozygosity").alias("heterozygosity"), at("error_est").alias("error"))
+    return got.withColumn("paralogs", F.col("over") / F.nullif("clusters", F.lit(0.0)))
 
 
 def save_stage(df: DataFrame, path: str) -> DataFrame:

@@ -126,6 +126,12 @@ def test_vcftools_and_stats(spark, tmp_path):
     w("x.lmiss", "CHR\tPOS\tF_MISS\nc\t5\t0.5\n")
     indv, sites = T.read_vcftools_tables(spark, str(tmp_path / "x"))
     assert tuple(indv.first()) == ("a", 9.5, 0.25, 0.1) and tuple(sites.first()) == ("c", 5, 8.0, 0.5)
-    w("c90_stats.txt", "max_shared_het   5  3  88\ntotal_filtered_loci  1  0  120\nsnps matrix size: (12, 345), 3.1%\ns1  7 0.5\n")
-    got = {(r["param"], r["key"], r["sample"]): r["value"] for r in T.scrape_stats(spark, str(tmp_path / "c90_stats.txt"), spark.createDataFrame([("s1",)], "sample string")).collect()}
-    assert got["c90", "snps_matrix_size", None] == 345 and got["c90", "column_1", "s1"] == 0.5 and got["c90", "max_shared_het", None] == 5
+    (tmp_path / "clust_90").mkdir()
+    w("clust_90/run_stats.txt", "## The number of loci caught by each filter.\n   total_filters  applied_order  retained_loci\nfiltered_by_max_shared_het   5  3  88\ntotal_filtered_loci  1  0  120\n"
+      "\n## Alignment matrix statistics:\nsnps matrix size: (12, 345), 3.10% missing sites.\nno numbers: here\n")
+    w("clust_90/s5_stats.txt", "    state  clusters_total  filtered_by_maxAlleles  heterozygosity\ns1   5   200   50   0.5\ns2   5   0   0   nan\nbroken row\n")
+    stats = T.read_stats(spark, [str(tmp_path / "clust_90" / n) for n in ("run_stats.txt", "s5_stats.txt")])
+    assert tuple(T.assembly_summary(stats).first()) == ("90", 3.0, 88.0, 3 / 88, 120.0, 345.0)
+    got = {r["sample"]: r for r in T.assembly_by_sample(stats, spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample string")).collect()}
+    assert got["s1"]["paralogs"] == 0.25 and got["s1"]["heterozygosity"] == 0.5 and got["s2"]["paralogs"] is None and set(got) == {"s1", "s2"}
+    assert {r["section"] for r in stats.where("name = 'snps matrix size'").collect()} == {"Alignment matrix statistics:"}

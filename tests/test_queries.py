@@ -29,6 +29,11 @@ def test_same_rows(spark, db, name):
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
 
 
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE)))
+def test_others_run(spark, name):
+    assert Q.QUERIES[name](spark, SF).count() >= 0
+
+
 def test_pca(spark):
     p = Q.QUERIES["pca"](spark, SF).toPandas()
     assert p.groupby("axis").percent.nunique().eq(1).all() and p.groupby("axis").percent.first().is_monotonic_decreasing
