@@ -45,9 +45,11 @@ def smallest(df: DataFrame, n: int, key: Column, tie: Column) -> DataFrame:
     all_ = df.withColumn("_k", key.cast("long")).withColumn("_t", F.coalesce(tie.cast("long"), F.lit((1 << 63) - 1)))
     cut = all_.where("_k is not null")
     known = cut.count()
-    if known <= n:
-        rest = all_.where("_k is null")
-        return cut.drop("_k", "_t").unionByName(smallest(rest.drop("_k", "_t"), n - known, tie, tie) if known < n and rest.where("_t is not null").limit(1).count() and key is not tie else rest.drop("_k", "_t").limit(n - known))
+    if known == n:
+        return cut.drop("_k", "_t")
+    if known < n:  # all of these, and rows without a key by their tie
+        rest = all_.where("_k is null").withColumn("_k", F.col("_t"))
+        return cut.drop("_k", "_t").unionByName(smallest(rest.drop("_t"), n - known, F.col("_k"), F.lit(0)).drop("_k"))
     last, below, equal = kth_long(cut, F.col("_k"), n)
     if below + equal == n:
         return cut.where(F.col("_k") <= last).drop("_k", "_t")
