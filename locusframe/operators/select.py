@@ -49,6 +49,8 @@ def smallest(df: DataFrame, n: int, key: Column, tie: Column) -> DataFrame:
         return cut.drop("_k", "_t")
     if known < n:  # all of these, and rows without a key by their tie
         rest = all_.where("_k is null").withColumn("_k", F.col("_t"))
+        if not rest.limit(1).count():
+            return cut.drop("_k", "_t")
         return cut.drop("_k", "_t").unionByName(smallest(rest.drop("_t"), n - known, F.col("_k"), F.lit(0)).drop("_k"))
     last, below, equal = kth_long(cut, F.col("_k"), n)
     if below + equal == n:
