@@ -23,7 +23,11 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is clear: not `und`, and not below the least score."""
+    """Keeps documents whose language is clear: not `und`, and not below the least score.
+
+    Null and empty texts, and those without a letter, go; equal texts stay or go together, whatever their ids, null ones too. No
+    documents, or none with a label to learn from: no rows.
+    """
     found = identify(docs)
     return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
@@ -31,7 +35,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines kept elsewhere, short ones too; documents that lose lines and keep no word go; n_chars follows.
 
-    Rows equal in doc_id and text keep the same lines; null texts stay.
+    Rows equal in doc_id and text keep the same lines; null and empty texts stay. `docs` needs a column n_chars
+    besides doc_id and text. No documents: no rows.
     """
     left = dedup_lines(docs).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -59,7 +64,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their number of copies and their source's target."""
+    """Documents that the mix takes, with their number of copies and their source's target.
+
+    Null and empty texts have size 0; they come with their source's certain copies. Rows of one id are documents each, and equal
+    rows get equal copies. A null source is a source of its own, the last one. No documents: no rows. Columns of docs named
+    size, target or copies come out beside the added ones of that name.
+    """
     return mix(docs).where(F.col("_copies") > 0).select(*docs.columns, F.col("_size").alias("size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
