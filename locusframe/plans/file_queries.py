@@ -27,6 +27,12 @@ seqs4 as (select locus, sample, pop, concat(coalesce(max(code) filter (pos = 0),
   from coded group by all)"""
 SEQS = SEQS.split("\nseqs as (")[0] + "\nseqs" + SEQS.split("\nseqs4")[1]
 
+VCF_LINES = f""", has as (select distinct site_id from calls join sites using (site_id)), grid as (select site_id, i from has cross join range({FX.N_SAMPLES}) r(i)),
+cell as (select g.site_id, g.i, case when g.site_id % 2 = 1 then '|' else '/' end as sep, c.a1, c.a2, c.dp from grid g left join calls c on c.site_id = g.site_id and c.sample_idx = g.i),
+line as (select site_id, string_agg(coalesce(a1::varchar, '.') || sep || coalesce(a2::varchar, '.') || ':' || coalesce(dp::varchar, '.'), chr(9) order by i) as calls, sum(dp) as dp, count(dp) as ns from cell group by site_id)
+select (row_number() over (order by site_id) - 1)::bigint as site_id,
+  concat_ws(chr(9), locus, pos + 1, snp_id, ref, alt, '13', 'PASS', 'DP=' || dp::bigint || ';NS=' || ns, 'GT:DP', calls) as value from line join sites using (site_id)"""
+
 
 def _text(df: DataFrame) -> str:
     """Lines (value) written as files of text, and their path."""
@@ -35,11 +41,7 @@ def _text(df: DataFrame) -> str:
     return path
 
 
-@query(f""", has as (select distinct site_id from calls join sites using (site_id)), grid as (select site_id, i from has cross join range({FX.N_SAMPLES}) r(i)),
-cell as (select g.site_id, g.i, case when g.site_id % 2 = 1 then '|' else '/' end as sep, c.a1, c.a2, c.dp from grid g left join calls c on c.site_id = g.site_id and c.sample_idx = g.i),
-line as (select site_id, string_agg(coalesce(a1::varchar, '.') || sep || coalesce(a2::varchar, '.') || ':' || coalesce(dp::varchar, '.'), chr(9) order by i) as calls, sum(dp) as dp, count(dp) as ns from cell group by site_id)
-select (row_number() over (order by site_id) - 1)::bigint as site_id,
-  concat_ws(chr(9), locus, pos + 1, snp_id, ref, alt, '13', 'PASS', 'DP=' || dp::bigint || ';NS=' || ns, 'GT:DP', calls) as value from line join sites using (site_id)""")
+@query(VCF_LINES)
 def vcf_files(spark, d):
     """VCF files written, read, written from what was read, and read again: whole lines, numbered in file order."""
     first, second = shared_path(spark), shared_path(spark)
@@ -49,6 +51,14 @@ def vcf_files(spark, d):
     return V.to_lines(V.read_vcf(spark, second)[0], "site_id")
 
 
+@query(VCF_LINES)
+def vcf_block_files(spark, d):
+    """Block-compressed VCF files written, and read by a task for each 64 KB of them: whole lines, numbered in file order."""
+    path = shared_path(spark)
+    V.write_vcf(V.parse_lines(FX.vcf_lines(spark, d)), FX.names(), path, "site_id", compress=True)
+    return V.to_lines(V.read_vcf(spark, path, split=1 << 16)[0], "site_id")
+
+
 @query(" select sample, pop from samples")
 def sample_files(spark, d):
     path = shared_path(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import genotype as G
+from . import blocks
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -33,22 +34,30 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return head.withColumn("locus", F.col("chrom")).withColumn("calls", F.transform("raw", call))
 
 
-def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+def read_vcf(spark: SparkSession, path: str, split: int = blocks.SPLIT) -> tuple[DataFrame, list[str]]:
     """(packed sites, sample names). site_id numbers the rows in the order of the files and their lines.
 
-    Numbers come from the counts of the parts in which the files are read. Compressed files cannot be
-    split: their rows are dealt out after they were numbered.
+    Numbers come from the counts of the parts in which the files are read. Block-compressed files are
+    read by a task for each `split` of their bytes. Other compressed files, and those in file systems that
+    only Spark can open, are read by one task each; their rows are dealt out after they were numbered.
     """
     lines = spark.read.text(path)
+    files = lines.inputFiles()
+    in_blocks = blocks.is_compressed(files)
+    if in_blocks:
+        lines = blocks.read_lines(spark, files, split)
+        part = F.struct("file", "start")
+    else:
+        part = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     head = lines.where(F.col("value").startswith("#CHROM")).first()
     names = head["value"].split()[9:] if head else []
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     # A part of a file, and the place of a row in it: rows of a part are read in their order.
-    rows = rows.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select("value", part.alias("part"), F.monotonically_increasing_id().alias("at"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = sizes.select("part", "first", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each part of a file
     numbered = rows.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("at") - F.col("first")).alias("site_id"))
-    if path.endswith(".gz"):
+    if any(f.endswith((".gz", ".bgz")) for f in files) and not (in_blocks and blocks.has_blocks(files[0])):
         numbered = numbered.repartition(spark.sparkContext.defaultParallelism)
     return parse_lines(numbered), names
 
@@ -96,8 +105,8 @@ def to_lines(sites: DataFrame, *order: str) -> DataFrame:
     return sites.select(*order, line.alias("value")).orderBy(*order) if order else sites.select(line.alias("value"))
 
 
-def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta: tuple[str, ...] = ("##fileformat=VCFv4.2",)) -> None:
-    """A folder of text: the header, then the rows, by default in the order of site_id.
+def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta: tuple[str, ...] = ("##fileformat=VCFv4.2",), compress: bool = False) -> None:
+    """A folder of text, or of block-compressed text: the header, then the rows, by default in the order of site_id.
 
     Header and rows are dealt out by range together, so the header opens the first file and files sort
     in the order of their rows.
@@ -109,7 +118,11 @@ def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta
     for c in order:
         head = head.withColumn(c, F.lit(None).cast(sites.schema[c].dataType))
     rows = to_lines(sites, *order).withColumn("_h", F.lit(0).cast("long"))
-    head.unionByName(rows).orderBy("_h", *order).select("value").write.mode("overwrite").text(path)
+    lines = head.unionByName(rows).orderBy("_h", *order).select("value")
+    if compress:
+        blocks.write_lines(lines, path)
+    else:
+        lines.write.mode("overwrite").text(path)
 
 
 def add_pl(sites: DataFrame) -> DataFrame:
