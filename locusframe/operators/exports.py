@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from .filters import drop_autapomorphic
 from .packed import by_place
+from .stats import downsample, with_site_index
 
 
 def collect_by_sample(calls: DataFrame, code: Column, missing: str, samples: DataFrame, sites: DataFrame, sep: str = "", chunk: int = 2000) -> DataFrame:
@@ -72,6 +74,20 @@ def to_nexus(calls: DataFrame, samples: DataFrame, sites: DataFrame, fmt: str =
     return got.select("sample_idx", F.concat_ws("\t", "sample", "line").alias("line"))
 
 
+def nexus_sites(calls: DataFrame, variable: bool = True, shared: bool = False, n: int | None = None, order: Column | None = None) -> DataFrame:
+    """Numbered sites of a NEXUS matrix: those that vary, without autapomorphic ones (shared), and n of them at most.
+
+    The n are those of least `order` (longs; by default a hash), ties by site_id, and stay in the order of site_id.
+    """
+    by = calls.groupBy("site_id").agg((F.min(F.least("a1", "a2")) != F.max(F.greatest("a1", "a2"))).alias("varies"))
+    sites = by.where("varies").select("site_id") if variable else by.select("site_id")
+    if shared:
+        sites = sites.join(drop_autapomorphic(calls), "site_id", "left_semi")
+    if n is not None:
+        sites = downsample(sites, n, order)
+    return with_site_index(sites.select("site_id"), "site_id")
+
+
 def nexus_header(ntax: int, nchar: int, fmt: str = "snapp") -> list[str]:
     datatype = 'symbols="012" missing=?' if fmt == "snapp" else "datatype=DNA missing=? gap=-"
     return ["#NEXUS", "BEGIN DATA;", f"DIMENSIONS NTAX={ntax} NCHAR={nchar};", f"FORMAT {datatype};", "MATRIX"]

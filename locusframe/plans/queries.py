@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import measures as M
+from ..operators import diversity as DV
 from ..operators import exports as X
 from ..operators import filters as FI
 from ..operators import isolation as I
@@ -600,6 +601,47 @@ def autosomal_heterozygosity(spark, d):
     return _rounded(PO.autosomal_heterozygosity(FX.calls(spark, d).withColumn("pop", group), FX.samples(spark, d).withColumn("pop", group), 300))
 
 
+@query(""", few as (select sample, sample_idx % 15 as g from samples), z as (select g, case when g < 8 then 'A' else 'B' end as taxon, count(*) as size from few group by g),
+own as (select c.site_id, c.locus, c.dosage, few.g, taxon from calls c join few on c.sample = few.sample join z on z.g = few.g),
+v as (select taxon, site_id from own group by all having sum(dosage) > 0 and sum(dosage) < 2 * count(*)),
+s as (select g, taxon, locus, site_id, count(*) as n, avg((dosage = 1)::int) as ho, sum(dosage)::double / (2 * count(*)) as p from own semi join v using (taxon, site_id) group by all),
+a as (select taxon, count(distinct locus) as l, case taxon when 'A' then 300 else 200 end as inv from s group by taxon),
+f as (select s.*, 2 * p * (1 - p) as he, 2 * p * (1 - p) * 2 * n / (2 * n - 1) as uhe from s join z using (g) where n = size),
+one as (select g, locus, arg_min(ho, md5('1:' || site_id)) as ho, arg_min(uhe, md5('1:' || site_id)) as uhe from f where p > 0 and p < 1 group by g, locus),
+o as (select g, count(*) as k, avg(ho) as ho, sqrt(var_samp(ho) / count(*)) as hs, avg(uhe) as uhe, sqrt(var_samp(uhe) / count(*)) as us, avg(1 - ho / uhe) as fis, sqrt(var_samp(1 - ho / uhe) / count(*)) as fs from one group by g),
+t as (select f.g, any_value(f.taxon) as taxon, count(distinct f.locus) as loci, count(*) as snps, sum(ho) as ho, sum(ho * ho) as ho2, sum(he) as he, sum(he * he) as he2 from f group by f.g),
+m as (select t.*, snps + loci::double / l * inv as m from t join a using (taxon))
+select 'grp' || z.g as pop, size::bigint as samples, coalesce(loci, 0)::bigint as loci_auto, coalesce(snps, 0)::bigint as snps, round(m.ho / m, 6) as ho_auto, round(sqrt((ho2 - m.ho * m.ho / m) / (m - 1) / m), 6) as ho_auto_se,
+  round(m.he / m, 6) as he_auto, round(sqrt((he2 - m.he * m.he / m) / (m - 1) / m), 6) as he_auto_se, coalesce(k, 0)::bigint as unlinked_snps, round(o.ho, 6) as ho_snp, round(hs, 6) as ho_snp_se,
+  round(uhe, 6) as uhe_snp, round(us, 6) as uhe_snp_se, round(fis, 6) as fis, round(fs, 6) as fis_se from z left join m on m.g = z.g left join o on o.g = z.g""")
+def autosomal_table(spark, d):
+    """Table of populations with standard errors; small groups in two taxa, so that sites without a missing call exist."""
+    group = F.concat(F.lit("grp"), (F.col("sample_idx") % 15).cast("string"))
+    people = FX.samples(spark, d).withColumn("pop", group)
+    taxa = people.select("pop", F.when(F.col("sample_idx") % 15 < 8, "A").otherwise("B").alias("taxon")).distinct()
+    invariant = spark.createDataFrame([("A", 300), ("B", 200)], "taxon string, invariant long")
+    own = FX.calls(spark, d).drop("pop").join(people.select("sample", "pop"), "sample")
+    return _rounded(DV.autosomal_table(own, people, invariant, taxa))
+
+
+@query(""", z as (select pop, count(*) as size from samples group by pop), has as (select distinct c.pop, c.locus from calls c join sites using (site_id)),
+k as (select c.locus, c.site_id, s.pop, s.sample, dosage from calls c join sites using (site_id) join samples s on s.sample = c.sample),
+st as (select pop, locus, site_id, count(*) as m, avg((dosage = 1)::int) as ho, (1 - (sum(dosage) * (sum(dosage) - 1) + (2 * count(*) - sum(dosage)) * (2 * count(*) - sum(dosage) - 1))::double
+    / (2 * count(*) * (2 * count(*) - 1))) * 2 * count(*) / (2 * count(*) - 1) as pi, count(distinct dosage) > 1 or max((dosage = 1)::int) = 1 as v from k group by all),
+lo as (select pop, locus, count(distinct sample) as samples from k group by all),
+l as (select st.pop, st.locus, any_value(samples) as samples, count(*) filter (v) as poly, 100 * (1 - sum(m)::double / (4 * any_value(size))) as miss, sum(ho * m) / sum(m) as ho, sum(pi * m) / sum(m) as pi,
+  sum(case when pi > 0 then (pi - ho) / pi * m end) / sum(case when pi > 0 then m end) as fis from st join lo on lo.pop = st.pop and lo.locus = st.locus join z on z.pop = st.pop group by st.pop, st.locus),
+p as (select pop, sample, locus, count(*) as n, count(*) filter (dosage = 1) as h from k group by all),
+e as (select pop, sample, count(*) as loci, 4 * count(*) as sites, sum(h) as poly, sum(4 - n) as miss, sum(h::double / n) / count(*) as ho from p group by all),
+x as (select pop, avg(loci) as sl, avg(sites) as ss, avg(poly) as sp, 100 * avg(miss::double / sites) as sm, avg(ho) as sh, sqrt(var_samp(ho) / count(*)) as se from e group by pop)
+select l.pop, round(avg(samples), 6) as samples, count(*)::bigint as loci, (4 * count(*))::bigint as sites, sum(poly)::bigint as polymorphic, round(avg(miss), 6) as missing_percent, round(avg(ho), 6) as ho, round(sqrt(var_samp(ho) / count(ho)), 6) as ho_se,
+  round(avg(pi), 6) as pi, round(sqrt(var_samp(pi) / count(pi)), 6) as pi_se, round(avg(fis), 6) as fis, round(sqrt(var_samp(fis) / count(fis)), 6) as fis_se, round(any_value(sl), 6) as samples_loci, round(any_value(ss), 6) as samples_sites,
+  round(any_value(sp), 6) as samples_polymorphic, round(any_value(sm), 6) as samples_missing, round(any_value(sh), 6) as samples_ho, round(any_value(se), 6) as samples_ho_se from l join x on x.pop = l.pop group by l.pop""")
+def alignment_table(spark, d):
+    """Table of alignments by population."""
+    return _rounded(DV.alignment_table(FX.sequences(spark, d), FX.samples(spark, d)))
+
+
 @query(SP + PP + """, f as (select *, (a1 / (2 * n1) - a2 / (2 * n2)) ** 2 - h1 / (2 * n1) - h2 / (2 * n2) as num from
   (select *, a1 * (2 * n1 - a1) / (2 * n1 * (2 * n1 - 1)) as h1, a2 * (2 * n2 - a2) / (2 * n2 * (2 * n2 - 1)) as h2 from pp where n1 >= 2 and n2 >= 2))
 select pop_a, pop_b, count(*)::bigint as sites, round(sum(num) / sum(num + h1 + h2), 4) as fst from f group by all""")
@@ -973,6 +1015,17 @@ def to_nexus_splits(spark, d):
     return _rounded(X.to_nexus(*_few(spark, d), "splits"))
 
 
+@query(GRID + """, v as (select site_id from calls where site_id in (select site_id from sites) group by site_id having min(least(a1, a2)) <> max(greatest(a1, a2))),
+w as (select site_id, least(a1, a2) as lo, greatest(a1, a2) as hi, count(distinct pop) as p from calls group by all), shared as (select site_id from w group by site_id having count(*) > 2 or (count(*) = 2 and min(p) >= 2)),
+pick as (select site_id from v semi join shared using (site_id) order by ('0x' || substr(md5('1:' || site_id), 1, 8))::bigint, site_id limit 500)
+select sample_idx::bigint as sample_idx, concat(sample, chr(9), string_agg(coalesce(dosage::varchar, '?'), '' order by site_id)) as line from cell semi join pick using (site_id) group by sample_idx, sample""")
+def nexus_downsampled(spark, d):
+    """NEXUS rows of 500 sites that vary and are not autapomorphic."""
+    calls = FX.coded(spark, d)
+    order = F.conv(F.substring(F.md5(F.concat(F.lit("1:"), F.col("site_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    return _rounded(X.to_nexus(calls, FX.samples(spark, d), X.nexus_sites(calls, shared=True, n=500, order=order)))
+
+
 @query(GRID + f" select sample_idx::bigint as sample_idx, 0::bigint as hap, concat(sample, chr(9), string_agg({CODE}, '' order by site_id)) as line from cell group by sample_idx, sample")
 def to_svdquartets(spark, d):
     return _rounded(X.to_svdquartets(*_few(spark, d)))
