@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_map, in_map, materialize
+from .common import hash_map, in_map, materialize, release, small
 from .tokens import Words, slices
 
 #: Words of a window and of a minimiser.
@@ -18,6 +20,10 @@ BUCKET_ROWS = 4_000
 HOT_ROWS = 4_000
 #: Bits of the map of hot minimisers.
 HOT_BITS = 22
+#: A key with more super-k-mers than this after that is no bucket's: its windows are counted as rows, by 128-bit hashes.
+WIDE_ROWS = 16_000
+#: A window in more strings than this meets them by a broadcast, so that no task holds them all.
+WIDE_COPIES = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,6 +123,45 @@ def _repeated_spans(packed: list[bytes], weight: np.ndarray) -> list[tuple[int,
     return list(zip(row[lo].tolist(), (lo - first[row[lo]]).tolist(), (hi - first[row[hi]] + WINDOW - 1).tolist()))
 
 
+def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every window of packed strings as a row: 128 bits of its words' hashes and lengths, where it starts, and how many equal strings hold it."""
+    for pdf in batches:
+        packed = list(pdf.packed)
+        for a, b in slices(packed):
+            w = Words(packed[a:b], False)
+            total = len(w.hash)
+            if total < WINDOW:
+                continue
+            row = np.repeat(np.arange(b - a), np.diff(w.first))
+            n = total - WINDOW + 1
+            other = _mixed(w.hash ^ (w.end - w.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            for j in range(WINDOW):
+                h1 = h1 * np.uint64(0x9E3779B97F4A7C15) + w.hash[j : j + n]
+                h2 = h2 * np.uint64(0xC2B2AE3D27D4EB4F) + other[j : j + n]
+            at = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
+            i = row[at] + a
+            yield pd.DataFrame({
+                "key": pdf.key.to_numpy()[i], "string": pdf.string.to_numpy()[i], "n": pdf.n.to_numpy()[i], "at": (at - w.first[row[at]]).astype(np.int32),
+                "h1": _mixed(h1[at]).view(np.int64), "h2": _mixed(h2[at]).view(np.int64),
+            })
+
+
+def _wide_spans(strings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, string, a, b) of strings under keys too wide for a bucket, and the tables behind them.
+
+    Equal windows meet as partial sums, not as rows. The starts of a super-k-mer's windows are less than a
+    window apart, so those that occur twice or more make one span.
+    """
+    windows = materialize(strings.mapInPandas(_window_hashes, "key long, string long, n long, at int, h1 long, h2 long"))
+    twice = materialize(windows.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 1"))
+    common, _ = small(twice.where(F.col("rows") > WIDE_COPIES).select("h1", "h2"))
+    rest = twice.where(F.col("rows") <= WIDE_COPIES).select("h1", "h2")
+    met = windows.join(common, ["h1", "h2"], "left_semi").unionByName(windows.join(common, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"], "left_semi"))
+    spans = met.groupBy("key", "string").agg(F.min("at").alias("a"), (F.max("at") + (WINDOW - 1)).cast("int").alias("b"))
+    return spans, [windows, twice, common]
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Texts without the words covered by a window of `WINDOW` words that also starts elsewhere.
 
@@ -125,7 +170,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        fixed size, with false positives only, tells the tasks which. Minimisers with more than
        HOT_ROWS super-k-mers, known by another such map, are split by a second minimiser.
     2. Those super-k-mers travel as one packed string each. Equal strings are counted before they
-       meet their bucket, where sorting finds the windows that occur twice or more, exactly.
+       meet their bucket, where sorting finds the windows that occur twice or more, exactly. Under a
+       key with more than WIDE_ROWS of them even so, windows are counted as rows, by 128-bit hashes.
     3. The spans go back to the documents that hold the string; the others are not shuffled.
 
     Null or empty text: no words. Texts shorter than a window stay. Repeated rows are documents of
@@ -174,8 +220,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = materialize(src.mapInPandas(pack, "key long, packed binary, doc_id string, text_key long, start int").withColumn("string", F.xxhash64("packed")))
     repeated.destroy()
     hot.destroy()
+    release(counts)
+    wide, _ = small(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE_ROWS).select("key"))
     buckets = max(1, -(-found.count() // BUCKET_ROWS))
-    strings = found.groupBy("key", "string").agg(F.any_value("packed").alias("packed"), F.count(F.lit(1)).alias("n"))
+    equal = lambda rows: rows.groupBy("key", "string").agg(F.any_value("packed").alias("packed"), F.count(F.lit(1)).alias("n"))
+    strings = equal(found.join(wide, "key", "left_anti"))
 
     def spans(pdf: pd.DataFrame) -> pd.DataFrame:
         got = np.array(_repeated_spans(list(pdf.packed), pdf.n.to_numpy(np.float64)), np.int64).reshape(-1, 3)
@@ -183,9 +232,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": pdf.key.to_numpy()[i], "string": pdf.string.to_numpy()[i], "a": got[:, 1].astype(np.int32), "b": got[:, 2].astype(np.int32)})
 
     spanned = strings.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(spans, "key long, string long, a int, b int")
+    temporary = [found, wide]
+    if not wide.isEmpty():
+        more, tables = _wide_spans(equal(found.join(wide, "key", "left_semi")))
+        spanned, temporary = spanned.unionByName(more), temporary + tables
     cover = found.select("key", "string", "doc_id", "text_key", "start").join(spanned, ["key", "string"])
     by_doc = cover.select("doc_id", "text_key", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span")).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
     by_doc = materialize(by_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b")))
+    release(*temporary)
     # Documents without a span, by a map of fixed size, are cut where they lie; only the others meet their spans.
     spanned_docs = sc.broadcast(hash_map(by_doc, "_k", HOT_BITS + 3))
 

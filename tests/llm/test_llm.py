@@ -129,9 +129,10 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_ROWS, 2])
-def test_substring_dedup(docs, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ROWS", hot)
+@pytest.mark.parametrize("hot, wide, copies", [(substrings.HOT_ROWS, substrings.WIDE_ROWS, substrings.WIDE_COPIES), (2, substrings.WIDE_ROWS, 1), (2, 1, substrings.WIDE_COPIES), (2, 2, 2), (10**6, 0, 1)])
+def test_substring_dedup(docs, hot, wide, copies, monkeypatch):
+    for name, value in (("HOT_ROWS", hot), ("WIDE_ROWS", wide), ("WIDE_COPIES", copies)):
+        monkeypatch.setattr(substrings, name, value)
     data = corpus()
     texts = [WORD.findall(r[1] or "") for r in data]
     kept = removed(texts)
