@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..sources.sides import small_side
 from .filters import drop_autapomorphic
 from .packed import by_place
 from .stats import downsample, with_site_index
@@ -26,7 +27,7 @@ def collect_by_sample(calls: DataFrame, code: Column, missing: str, samples: Dat
     at = at.withColumn("block", F.floor(F.col("site_idx") / chunk)).withColumn("i", (F.col("site_idx") % chunk).cast("int"))
     blocks = by_place(at, ["sample_idx", "block"], "i", "code")
     widths = sites.groupBy(F.floor(F.col("site_idx") / chunk).alias("block")).agg(F.count(F.lit(1)).cast("int").alias("w"))
-    grid = samples.select("sample_idx", "sample").crossJoin(F.broadcast(widths))  # samples x blocks: dimensions, not calls
+    grid = samples.select("sample_idx", "sample").crossJoin(small_side(widths))  # samples x blocks: dimensions, not calls
     full = grid.join(blocks, ["sample_idx", "block"], "left")
     part = F.array_join(F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(missing))), sep)
     got = full.groupBy("sample_idx", "sample").agg(F.sort_array(F.collect_list(F.struct("block", part.alias("p")))).alias("ps"))
@@ -40,7 +41,7 @@ def to_structure(calls: DataFrame, samples: DataFrame, sites: DataFrame, fast: b
     """
     # Both alleles go through one transpose, as pairs of codes that the two lines then take apart.
     pair = F.concat((F.col("a1") + 1).cast("string"), F.lit("/"), (F.col("a2") + 1).cast("string"))
-    got = collect_by_sample(calls, pair, "-9/-9", samples, sites, "\t").join(F.broadcast(samples.select("sample_idx", "pop")), "sample_idx")
+    got = collect_by_sample(calls, pair, "-9/-9", samples, sites, "\t").join(small_side(samples.select("sample_idx", "pop")), "sample_idx")
     one = lambda i: F.regexp_replace("line", r"([-0-9]+)/([-0-9]+)", f"${i}")
     both = got.select("sample_idx", "sample", "pop", F.posexplode(F.array(one(1), one(2))).alias("hap", "line"))
     head = F.concat_ws("\t", *["pop"] * 5, "sample") if fast else F.concat_ws("\t", "sample", "pop")
@@ -70,7 +71,7 @@ def to_nexus(calls: DataFrame, samples: DataFrame, sites: DataFrame, fmt: str =
         code, missing = F.array_join(F.array_sort(F.array(base("a1"), base("a2"))), ""), "??"
     got = collect_by_sample(calls, code, missing, samples, sites)
     if rename is not None:
-        got = got.join(F.broadcast(rename), "sample", "left").withColumn("sample", F.coalesce("label", "sample"))
+        got = got.join(small_side(rename), "sample", "left").withColumn("sample", F.coalesce("label", "sample"))
     return got.select("sample_idx", F.concat_ws("\t", "sample", "line").alias("line"))
 
 
@@ -119,7 +120,7 @@ def taxon_sets(samples: DataFrame) -> DataFrame:
 def to_hyde(calls: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:
     """IUPAC rows ordered by taxon and name; ? for missing. The map file is sample and taxon."""
     got = collect_by_sample(calls, G.iupac(_bases()), "?", samples, sites)
-    return got.join(F.broadcast(samples.select("sample_idx", "pop")), "sample_idx").select("pop", "sample", F.concat_ws("\t", "sample", "line").alias("line"))
+    return got.join(small_side(samples.select("sample_idx", "pop")), "sample_idx").select("pop", "sample", F.concat_ws("\t", "sample", "line").alias("line"))
 
 
 def to_fasta(calls: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:

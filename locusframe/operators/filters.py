@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import packed as P
+from ..sources.sides import small_side
 from .stats import with_site_index
 
 
@@ -123,7 +124,7 @@ def select_loci(seqs: DataFrame, loci: DataFrame, exclude: DataFrame | None = No
 def complete_sites_in_pop(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """(pop, site_id) with every sample of the population called."""
     size = samples.groupBy("pop").agg(F.count(F.lit(1)).alias("size"))
-    have = calls.join(F.broadcast(samples.select("sample")), "sample", "left_semi").groupBy("pop", "site_id").agg(F.countDistinct("sample").alias("n"))
+    have = calls.join(small_side(samples.select("sample")), "sample", "left_semi").groupBy("pop", "site_id").agg(F.countDistinct("sample").alias("n"))
     return have.join(size, "pop").where("n = size").select("pop", "site_id")
 
 

@@ -15,13 +15,14 @@ from pyspark.sql.window import Window as W
 
 from ..functions import measures as M
 from ..sources.shared import written
+from ..sources.sides import small_side
 
 
 def with_km(pairs: DataFrame, places: DataFrame, ellipsoid: bool = False) -> DataFrame:
     """Pairs with the distance of their places (id, lat, lon); pairs without places are left out."""
     p = pairs
     for s in "ab":
-        p = p.join(F.broadcast(places.select(F.col("id").alias(s), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))), s)
+        p = p.join(small_side(places.select(F.col("id").alias(s), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))), s)
     km = (M.geodesic_km if ellipsoid else M.great_circle_km)(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return p.withColumn("km", km).drop("lat_a", "lon_a", "lat_b", "lon_b")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..sources.sides import small_side
 
 
 def by_place(df: DataFrame, keys: list[str], place: str, value: str | Column) -> DataFrame:
@@ -32,7 +33,7 @@ def to_long(sites: DataFrame, samples: DataFrame) -> DataFrame:
     """Long calls from packed sites; `samples` (sample_idx, sample, ...) is broadcast: one row per column of the matrix."""
     exploded = sites.select("site_id", "locus", "pos", F.posexplode("calls").alias("sample_idx", "c")).where(G.is_called(F.col("c.gt")))
     long = exploded.select("site_id", "locus", "pos", "sample_idx", F.get("c.gt", F.lit(0)).alias("a1"), F.get("c.gt", F.lit(1)).alias("a2"), G.dosage(F.col("c.gt")).alias("dosage"), F.col("c.dp").alias("dp"))
-    return long.join(F.broadcast(samples), "sample_idx")
+    return long.join(small_side(samples), "sample_idx")
 
 
 def called() -> Column:

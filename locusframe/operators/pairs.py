@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..sources.shared import written as _written
 from . import tiles
+from ..sources.sides import small_side
 from .tiles import Dosages, Table, set_table
 
 #: GENPOFAD of two sets of alleles, and MATCHSTATES: each allele of one is matched with its like in the other.
@@ -26,7 +27,7 @@ def places(calls: DataFrame, names: list[str] | None) -> tuple[DataFrame, list[s
     known = calls.where("sample is not null")
     people = [r["sample"] for r in known.groupBy("sample").agg(F.min("sample_idx").alias("i")).orderBy("i", "sample").collect()]
     at = calls.sparkSession.createDataFrame([(s, i) for i, s in enumerate(people)], "sample string, _place int")
-    return known.join(F.broadcast(at), "sample").withColumn("sample_idx", F.col("_place")).drop("_place"), people
+    return known.join(small_side(at), "sample").withColumn("sample_idx", F.col("_place")).drop("_place"), people
 
 
 def _named(sums: DataFrame, names: list[str]) -> DataFrame:
@@ -148,8 +149,8 @@ def mean_by_pop_pairs(pairs: DataFrame, samples: DataFrame, min_samples: int = 3
     """
     pop = samples.select("sample", "pop")
     big = samples.groupBy("pop").agg(F.count(F.lit(1)).alias("size"))
-    j = pairs.join(F.broadcast(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(F.broadcast(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
-    j = j.withColumn("pop_a", F.least("pa", "pb")).withColumn("pop_b", F.greatest("pa", "pb")).join(F.broadcast(big), F.col("pop_a") == F.col("pop"))
+    j = pairs.join(small_side(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(small_side(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
+    j = j.withColumn("pop_a", F.least("pa", "pb")).withColumn("pop_b", F.greatest("pa", "pb")).join(small_side(big), F.col("pop_a") == F.col("pop"))
     j = j.where((F.col("pop_a") != F.col("pop_b")) | (F.col("size") >= min_samples))
     return j.groupBy("pop_a", "pop_b").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("least"), F.avg("dist").alias("mean"), F.max("dist").alias("greatest"))
 

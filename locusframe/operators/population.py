@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sides import small_side
+
 
 def site_pop(calls: DataFrame) -> DataFrame:
     """n called, alt alleles, and counts of genotypes x0, x1, x2, per site and population."""
@@ -49,7 +51,7 @@ def basic_stats(sp: DataFrame, samples: DataFrame, n_sites: int) -> DataFrame:
     size = samples.groupBy("pop").agg(F.count(F.lit(1)).alias("samples"))
     means = [x for c in ("ho", "hs", "fis") for x in (F.avg(c).alias(c), _se(c).alias(f"{c}_se"))]
     got = nei(sp).groupBy("pop").agg(F.count(F.lit(1)).alias("snps"), F.sum("n").alias("calls"), *means)
-    return got.join(F.broadcast(size), "pop").withColumn("missing_percent", 100 * (1 - F.col("calls") / (F.col("samples") * n_sites))).drop("calls")
+    return got.join(small_side(size), "pop").withColumn("missing_percent", 100 * (1 - F.col("calls") / (F.col("samples") * n_sites))).drop("calls")
 
 
 def gene_diversity_normal(sp: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotype import replicate_base
+from ..sources.sides import small_side
 
 
 def replicate_pairs(samples: DataFrame, marker: str = "_R") -> DataFrame:
@@ -24,7 +25,7 @@ def replicate_pairs(samples: DataFrame, marker: str = "_R") -> DataFrame:
 def paired_calls(calls: DataFrame, reps: DataFrame, *by: str) -> DataFrame:
     """Both dosages of each replicate pair at each site that one of them has; null: missing."""
     long = reps.select("sample_a", "sample_b", F.explode(F.array(F.struct(F.col("sample_a").alias("sample"), F.lit(0).alias("side")), F.struct(F.col("sample_b").alias("sample"), F.lit(1).alias("side")))).alias("x")).select("sample_a", "sample_b", "x.*")
-    hit = calls.join(F.broadcast(long), "sample")
+    hit = calls.join(small_side(long), "sample")
     side = lambda i: F.max(F.when(F.col("side") == i, F.col("dosage")))
     return hit.groupBy(*by, "sample_a", "sample_b", "locus", "site_id").agg(side(0).alias("da"), side(1).alias("db"))
 
@@ -70,7 +71,7 @@ def ordered(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def rep_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Comparisons of replicate pairs, in whichever order either table has them."""
     own = ordered(reps.select(F.col("sample_a").alias("a"), F.col("sample_b").alias("b")))
-    return ordered(pairs).join(F.broadcast(own), ["a", "b"], "left_semi")
+    return ordered(pairs).join(small_side(own), ["a", "b"], "left_semi")
 
 
 def rep_distance_thresholds(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -94,9 +95,9 @@ def classify_pairs(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     """
     own = ordered(reps.select(F.col("sample_a").alias("a"), F.col("sample_b").alias("b"))).withColumn("is_rep", F.lit(True))
     names = reps.select(F.col("sample_a").alias("s")).union(reps.select("sample_b")).distinct()
-    p = ordered(pairs).join(F.broadcast(own), ["a", "b"], "left")
+    p = ordered(pairs).join(small_side(own), ["a", "b"], "left")
     for side in "ab":
-        p = p.join(F.broadcast(names.select(F.col("s").alias(side), F.lit(True).alias(f"in_{side}"))), side, "left")
+        p = p.join(small_side(names.select(F.col("s").alias(side), F.lit(True).alias(f"in_{side}"))), side, "left")
     both = F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False))
     kind = F.when(F.col("is_rep"), F.when(F.col("dist") > t, "rep_above").otherwise("rep_ok")).when(both & (F.col("dist") < t), "rep_below").when(F.col("dist") < t, "possible_clone").otherwise("high")
     return p.select("a", "b", "dist", kind.alias("class"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.sides import small_side
+
 
 def evanno(runs: DataFrame) -> DataFrame:
     """Evanno's table: mean and sample sd of the likelihood per K, L', |L''| and delta K.
@@ -35,9 +37,9 @@ def label_q(q: DataFrame, samples: DataFrame, order: DataFrame | None = None) ->
     `q`: row_idx, cluster, prop; `samples`: sample_idx, sample, pop. In the order of a list of names
     (ord, id), or by population and sample. Adds place.
     """
-    named = q.join(F.broadcast(samples), q["row_idx"] == samples["sample_idx"])
+    named = q.join(small_side(samples), q["row_idx"] == samples["sample_idx"])
     if order is not None:
-        named = named.join(F.broadcast(order), F.col("sample") == F.col("id")).withColumn("place", F.dense_rank().over(W.orderBy("ord")))
+        named = named.join(small_side(order), F.col("sample") == F.col("id")).withColumn("place", F.dense_rank().over(W.orderBy("ord")))
     else:
         named = named.withColumn("place", F.dense_rank().over(W.orderBy("pop", "sample")))
     return named.select("place", "sample", "pop", "cluster", "prop")

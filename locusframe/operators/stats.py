@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.sides import small_side
 from .select import quantiles, smallest
 
 
@@ -95,8 +96,8 @@ def paris80(calls: DataFrame, samples: DataFrame, by_pop: bool = False, share: f
     size = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     if by_pop:
         size = size.where(F.col("size") >= min_samples)
-    have = calls.join(F.broadcast(samples.select("sample")), "sample", "left_semi").groupBy("site_id", "locus", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("dosage").alias("lo"), F.max("dosage").alias("hi"))
-    have = have.join(F.broadcast(size), keys) if by_pop else have.crossJoin(F.broadcast(size))
+    have = calls.join(small_side(samples.select("sample")), "sample", "left_semi").groupBy("site_id", "locus", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("dosage").alias("lo"), F.max("dosage").alias("hi"))
+    have = have.join(small_side(size), keys) if by_pop else have.crossJoin(F.broadcast(size))
     return have.where((F.col("lo") != F.col("hi")) & (F.col("n") >= share * F.col("size"))).groupBy(*keys).agg(F.countDistinct("locus").alias("loci"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sides import small_side
 from .pairs import allele_set_distance
 from .replicates import replicate_errors
 from .stats import dataset_size, snp_heterozygosity, summary
@@ -34,13 +35,13 @@ def optimise(calls: DataFrame, samples: DataFrame, reps: DataFrame) -> DataFrame
 
     `calls` carries `param`. The second member of each replicate pair is left out of all of it.
     """
-    own = calls.join(F.broadcast(reps.select(F.col("sample_b").alias("sample"))), "sample", "left_anti")
-    left = samples.join(F.broadcast(reps.select(F.col("sample_b").alias("sample"))), "sample", "left_anti")
+    own = calls.join(small_side(reps.select(F.col("sample_b").alias("sample"))), "sample", "left_anti")
+    left = samples.join(small_side(reps.select(F.col("sample_b").alias("sample"))), "sample", "left_anti")
     size = dataset_size(own, "param")
     het = snp_heterozygosity(own, "param").groupBy("param").agg(F.avg("het").alias("mean_het"))
     pop = left.select("sample", "pop")
     d = allele_set_distance(own, "param")
-    d = d.join(F.broadcast(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(F.broadcast(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
+    d = d.join(small_side(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(small_side(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
     within = d.where("pa = pb").groupBy("param").agg(F.avg("dist").alias("mean_within"))
     return size.join(loci_80(own, left), "param", "left").join(het, "param").join(within, "param", "left").select("param", "loci", "snps", F.coalesce("loci80", F.lit(0)).alias("loci80"), "mean_het", "mean_within")
 
@@ -60,7 +61,7 @@ def optimise_table(calls: DataFrame, seqs: DataFrame, samples: DataFrame, reps:
     GENPOFAD of pairs of one population and of two; the sums of all values come from one pass over the sites. A figure
     that nothing gives is null, counts are 0.
     """
-    second = F.broadcast(reps.select(F.col("sample_b").alias("sample")))  # one row for each pair
+    second = small_side(reps.select(F.col("sample_b").alias("sample")))  # one row for each pair
     own, left, text = (df.join(second, "sample", "left_anti") for df in (calls, samples, seqs))
     errors = errors_by_param(calls, reps).groupBy("param").agg(*[F.avg(c).alias(c) for c in ("locus_error", "allele_error", "snp_error")])
     het = snp_heterozygosity(own, "param").groupBy("param").agg(F.avg("het").alias("snp_het"))
@@ -68,13 +69,13 @@ def optimise_table(calls: DataFrame, seqs: DataFrame, samples: DataFrame, reps:
     codes, known = F.length(F.regexp_replace(low, "[^kmrswybdhv]", "")), F.length(F.regexp_replace(low, "[?n-]", ""))
     seq = text.groupBy("param", "sample").agg((F.sum(codes) / F.nullif(F.sum(known), F.lit(0))).alias("h")).groupBy("param").agg(F.avg("h").alias("seq_het"))
     size = left.where("pop is not null").groupBy("pop").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_samples)
-    site = own.join(F.broadcast(left.select("sample")), "sample", "left_semi").groupBy("param", "pop", "site_id", "locus").agg(F.count(F.lit(1)).alias("n"), F.min("dosage").alias("lo"), F.max("dosage").alias("hi"))
-    good = site.join(F.broadcast(size), "pop").where((F.col("lo") != F.col("hi")) & (F.col("n") >= share * F.col("size")))
-    by_pop = own.select("param").distinct().crossJoin(F.broadcast(size.select("pop"))).join(good.groupBy("param", "pop").agg(F.countDistinct("locus").alias("l")), ["param", "pop"], "left")
+    site = own.join(small_side(left.select("sample")), "sample", "left_semi").groupBy("param", "pop", "site_id", "locus").agg(F.count(F.lit(1)).alias("n"), F.min("dosage").alias("lo"), F.max("dosage").alias("hi"))
+    good = site.join(small_side(size), "pop").where((F.col("lo") != F.col("hi")) & (F.col("n") >= share * F.col("size")))
+    by_pop = own.select("param").distinct().crossJoin(small_side(size.select("pop"))).join(good.groupBy("param", "pop").agg(F.countDistinct("locus").alias("l")), ["param", "pop"], "left")
     by_pop = by_pop.groupBy("param").agg(F.avg(F.coalesce("l", F.lit(0))).alias("loci80_pop"))
     pop = left.select("sample", "pop")
     d = allele_set_distance(own, "param")
-    d = d.join(F.broadcast(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(F.broadcast(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
+    d = d.join(small_side(pop.withColumnsRenamed({"sample": "a", "pop": "pa"})), "a").join(small_side(pop.withColumnsRenamed({"sample": "b", "pop": "pb"})), "b")
     dist = d.groupBy("param").agg(F.avg(F.when(F.col("pa") == F.col("pb"), F.col("dist"))).alias("mean_within"), F.avg(F.when(F.col("pa") != F.col("pb"), F.col("dist"))).alias("mean_between"))
     out = dataset_size(own, "param").drop("samples")
     for part in (loci_80(own, left, share), by_pop, errors, het, seq, dist):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .sides import small_side
+
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Pair table (a, b, dist) of a labelled space-delimited matrix: square or a triangle.
@@ -66,7 +68,7 @@ def read_dart(spark: SparkSession, snps: str, meta: str, allele_id: str = "Allel
     dosage = F.when((F.col("r") == 1) & (F.col("s") == 0), 0).when((F.col("r") == 1) & (F.col("s") == 1), 1).when((F.col("r") == 0) & (F.col("s") == 1), 2)
     coded = got.withColumn("dosage", dosage).where("dosage is not null")
     varies = coded.groupBy("snp").agg(F.countDistinct("dosage").alias("k")).where("k > 1").select("snp")
-    return coded.join(varies, "snp", "left_semi").join(F.broadcast(people), F.col("sample") == F.col("id")).select("snp", "sample", "pop", "lat", "lon", "dosage")
+    return coded.join(varies, "snp", "left_semi").join(small_side(people), F.col("sample") == F.col("id")).select("snp", "sample", "pop", "lat", "lon", "dosage")
 
 
 def _white(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +135,7 @@ def assembly_by_sample(stats: DataFrame, samples: DataFrame | None = None) -> Da
     at = lambda column: F.max(F.when(F.col("column") == column, F.col("value")))
     known = stats.where(F.col("column").isin("clusters_total", "filtered_by_maxAlleles", "heterozygosity", "error_est"))
     if samples is not None:
-        known = known.join(F.broadcast(samples.select(F.col("sample").alias("name")).distinct()), "name", "left_semi")
+        known = known.join(small_side(samples.select(F.col("sample").alias("name")).distinct()), "name", "left_semi")
     got = known.groupBy("param", F.col("name").alias("sample")).agg(at("clusters_total").alias("clusters"), at("filtered_by_maxAlleles").alias("over"), at("heterozygosity").alias("heterozygosity"), at("error_est").alias("error"))
     return got.withColumn("paralogs", F.col("over") / F.nullif("clusters", F.lit(0.0)))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import genotype as G
 from . import blocks
+from .sides import small_side
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -150,7 +151,7 @@ def require_samples(names: DataFrame, table: DataFrame) -> DataFrame:
     lost = names.join(table, "sample", "left_anti").limit(5).collect()
     if lost:
         raise ValueError("samples without an entry: " + ", ".join(r["sample"] for r in lost))
-    return names.join(F.broadcast(table), "sample")
+    return names.join(small_side(table), "sample")
 
 
 def unmatched(names: DataFrame, table: DataFrame) -> DataFrame:
