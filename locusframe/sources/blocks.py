@@ -244,10 +244,13 @@ class BlockLines(DataSource):
 
 def is_compressed(files: list[str]) -> bool:
     """Whether all are gzip by name, in file systems that tasks can open."""
-    if not files or not all(f.endswith((".gz", ".bgz")) for f in files):
-        return False
+    return bool(files) and all(f.endswith((".gz", ".bgz")) for f in files) and can_open(files[0])
+
+
+def can_open(uri: str) -> bool:
+    """Whether Arrow knows the file system of a URI."""
     try:
-        opened(files[0])
+        opened(uri)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return False
     return True

@@ -120,10 +120,10 @@ def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta
         head = head.withColumn(c, F.lit(None).cast(sites.schema[c].dataType))
     rows = to_lines(sites, *order).withColumn("_h", F.lit(0).cast("long"))
     lines = head.unionByName(rows).orderBy("_h", *order).select("value")
-    if compress:
+    if compress and blocks.can_open(path):
         blocks.write_lines(lines, path)
-    else:
-        lines.write.mode("overwrite").text(path)
+    else:  # where only Spark can open the folder, plain gzip
+        lines.write.mode("overwrite").text(path, compression="gzip" if compress else None)
 
 
 def add_pl(sites: DataFrame) -> DataFrame:
