@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from . import packed as P
 from ..sources.sides import small_side
+from .planes import Planes, from_calls
 from .stats import with_site_index
 
 
@@ -57,8 +59,16 @@ def _present_enough(sites: DataFrame, keep: list[int], limit: float) -> list[int
     return [i for i in keep if n and 1 - have.get(i, 0) / n < limit]
 
 
-def drop_samples_by_missing(sites: DataFrame, samples: list[str], limit: float) -> tuple[DataFrame, list[str]]:
-    """Packed sites without the samples whose share of missing calls is `limit` or more."""
+def drop_samples_by_missing(sites: DataFrame | Planes, samples: list[str], limit: float) -> tuple[DataFrame | Planes, list[str]]:
+    """Sites without the samples whose share of missing calls is `limit` or more.
+
+    Packed sites lose these columns. Planes are written once to the shared folder, counted, and lose these bits.
+    """
+    if isinstance(sites, Planes):
+        sites = replace(sites, sites=written(sites.sites))
+        have, n = sites.called_per_sample()
+        keep = [i for i in range(len(samples)) if n and 1 - have[i] / n < limit]
+        return sites.keep(keep), [samples[i] for i in keep]
     keep = _present_enough(sites, list(range(len(samples))), limit)
     return P.keep_columns(sites, keep), [samples[i] for i in keep]
 
@@ -84,12 +94,29 @@ def iterative_filter(
 def strict_filter(
     sites: DataFrame, samples: list[str], depth: bool = True, min_coverage: float = 0.9, max_missing: float = 0.4, dp: tuple[int, int] = (6, 500), mean_dp: float = 10, mac: int = 3
 ) -> tuple[DataFrame, list[str]]:
-    """One pass: with depth, mask calls by depth, then mean depth and allele counts; then rates."""
+    """One pass over packed sites: with depth, mask calls by depth, then mean depth and allele counts; then rates.
+
+    The sites are written once to the shared folder, so that their calls are not made anew for each predicate.
+    """
+    sites = written(sites)
     if depth:
         sites = P.mask_calls_by_depth(sites.where(P.min_mean_depth(mean_dp)), *dp).where(P.min_mac(mac))
     return drop_samples_by_missing(sites.where(P.min_call_rate(min_coverage)), samples, max_missing)
 
 
+def strict_filter_calls(
+    calls: DataFrame, samples: list[str], depth: bool = True, min_coverage: float = 0.9, max_missing: float = 0.4, dp: tuple[int, int] = (6, 500), mean_dp: float = 10, mac: int = 3, alleles: int = 2, unique: bool = False
+) -> tuple[Planes, list[str]]:
+    """`strict_filter` of long calls, whose `sample_idx` counts the samples: planes of the sites left. `alleles` and `unique`: see `from_calls`.
+
+    Masks are laid where planes are made; mean depths are those of all calls.
+    """
+    p = from_calls(calls, len(samples), alleles, unique, depth=dp if depth else None, all_depths=True)
+    if depth:
+        p = p.where(p.min_mean_depth(mean_dp) & p.min_mac(mac))
+    return drop_samples_by_missing(p.where(p.min_call_rate(min_coverage)), samples, max_missing)
+
+
 def union_ids(*lists: DataFrame) -> DataFrame:
     """Ids (id) that are in any of the lists, each once; null ids are left out. No list at all is an error."""
     return reduce(DataFrame.unionByName, [x.select("id") for x in lists]).where("id is not null").distinct()

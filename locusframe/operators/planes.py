@@ -246,12 +246,13 @@ def dosages(pdf: pd.DataFrame, n: int, planes: list[str], half: bool = True) ->
     return g.astype(np.int8)
 
 
-def from_calls(calls: DataFrame, n: int, alleles: int = 2, unique: bool = False, depth: tuple[int, int] | None = None) -> Planes:
+def from_calls(calls: DataFrame, n: int, alleles: int = 2, unique: bool = False, depth: tuple[int, int] | None = None, all_depths: bool = False) -> Planes:
     """Planes of long calls (site_id, locus, pos, sample_idx, a1, a2, dp) of n samples, by one aggregate.
 
     `unique`: no sample is called twice at a site. Else, of repeated calls, the least (alleles, then depth)
     stays, as in `packed.to_packed`; rows are brought together by site once for that. `depth`: calls
-    whose depth lies outside, or is missing, are missing calls; their sites stay, with the depths they have.
+    whose depth lies outside, or is missing, are missing calls; their sites stay, with the depths they have, or
+    (`all_depths`) with those of the calls before any went missing.
     An allele number of `alleles` or more is an error. Null sample places are left out.
     """
     w = n_words(n)
@@ -262,11 +263,11 @@ def from_calls(calls: DataFrame, n: int, alleles: int = 2, unique: bool = False,
     ok = F.coalesce(F.col("dp").between(*depth), F.lit(False)) if depth else F.lit(True)
     most = F.greatest("a1", "a2")
     a1, a2 = (F.when(ok, F.when(most >= alleles, F.raise_error(F.lit("an allele number without a plane")).cast("int")).otherwise(F.col(c))) for c in ("a1", "a2"))
-    rows = calls.select("site_id", "locus", "pos", F.floor(F.col("sample_idx") / 64).cast("int").alias("w"), _bit(F.col("sample_idx") % 64).alias("b"), a1.alias("a1"), a2.alias("a2"), "dp")
+    rows = calls.select("site_id", "locus", "pos", F.floor(F.col("sample_idx") / 64).cast("int").alias("w"), _bit(F.col("sample_idx") % 64).alias("b"), a1.alias("a1"), a2.alias("a2"), F.coalesce("a1", "a2").isNotNull().alias("known"), "dp")
     zero = F.lit(0).cast("long")
     called = F.col("a1").isNotNull() | F.col("a2").isNotNull()
     held = {f"p{a}": (F.col("a1") == a) | (F.col("a2") == a) for a in range(alleles)} | {"half": called & (F.col("a1").isNull() | F.col("a2").isNull())}
-    dp = F.when(called, F.col("dp"))
+    dp = F.when(F.col("known") if all_depths else called, F.col("dp"))
     if w <= UNROLLED:
         words = [F.bit_or(F.when((F.col("w") == i) & F.coalesce(c, F.lit(False)), F.col("b")).otherwise(zero)).alias(f"{name}_{i}") for name, c in held.items() for i in range(w)]
         got = rows.groupBy("site_id", "locus", "pos").agg(*words, *_depth_columns(dp))

@@ -169,8 +169,8 @@ k as materialized (select range as i from range(44) left join (select sample_idx
   where 1 - coalesce(n, 0)::double / (select count(*) from s) < 0.65)
 select s.site_id, count(k.i)::bigint as n_called, (select count(*) from k)::bigint as n_samples from s left join m on m.site_id = s.site_id left join k on k.i = m.sample_idx group by s.site_id""")
 def strict_filter(spark, d):
-    sites, names = FI.strict_filter(FX.packed_sites(spark, d), FX.names(), True, 0.4, 0.65, (6, 500), 10, 3)
-    return sites.select("site_id", P.n_called().cast("long").alias("n_called"), F.lit(len(names)).cast("long").alias("n_samples"))
+    p, names = FI.strict_filter_calls(FX.calls(spark, d), FX.names(), True, 0.4, 0.65, (6, 500), 10, 3, unique=True)
+    return p.sites.select("site_id", p.n_called().cast("long").alias("n_called"), F.lit(len(names)).cast("long").alias("n_samples"))
 
 
 @query(""" select site_id, count(*)::bigint as n_called from calls where pop not in ('pop1') and not contains(sample, '3') group by site_id""")

@@ -1,5 +1,6 @@
 """Planes of bits, tiles of samples, exact selection and iterations against plain Python."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -17,6 +18,7 @@ from locusframe.operators import planes as PL
 from locusframe.operators import select as SE
 from locusframe.operators import stats as S
 from locusframe.operators import tiles as TI
+from locusframe.plans import queries as Q
 
 CALLS = "site_id long, locus long, pos int, sample_idx int, sample string, a1 int, a2 int, dosage int, dp int"
 
@@ -260,3 +262,24 @@ def test_alignments_across_batches(spark):
             assert r["pi"] == (None if want is None else pytest.approx(want))
     rows = {r["locus"]: r for r in L.alignment_diversity(df, 7).collect()}
     assert rows[51]["missing_percent"] == 100 and rows[51]["ho"] is None and rows[50]["sites"] == 0 and rows[3]["samples"] == len({s for lo, s, _ in seqs if lo == 3})
+
+
+@pytest.mark.parametrize("depth", [True, False])
+def test_strict_filter_of_calls_equals_that_of_arrays(spark, depth):
+    n = 7
+    rows = [r for r in random_calls(80, n, seed=9, share=0.9) if r[3] or r[0] % 3]
+    names, calls = [f"s{i}" for i in range(n)], spark.createDataFrame(rows, CALLS)
+    rules = (depth, 0.3, 0.6 if depth else 0.3, (3, 80), 12, 2)
+    packed, kept = FI.strict_filter(P.to_packed(calls, n), names, *rules)
+    p, kept2 = FI.strict_filter_calls(calls, names, *rules)
+    assert kept == kept2 and 0 < len(kept) < n
+    got = {r["site_id"]: r["n"] for r in p.sites.select("site_id", p.n_called().alias("n")).collect()}
+    assert got == {r["site_id"]: r["n"] for r in packed.select("site_id", P.n_called().alias("n")).collect()} and 0 < len(got) <= 80
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["strict_filter"])
+def test_sample_filters_do_not_pack_arrays(spark, monkeypatch, name):
+    made = []
+    monkeypatch.setattr(P, "by_place", lambda *a: made.append(a) or pytest.fail("arrays of calls"))
+    assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and not made
