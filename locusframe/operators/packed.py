@@ -159,8 +159,11 @@ def any_depth() -> Column:
 
 def keep_columns(sites: DataFrame, idx: list[int]) -> DataFrame:
     """Packed sites with the samples of the given places only, in their order."""
-    keep = F.array(*map(F.lit, idx))
-    pick = lambda c: F.transform(keep, lambda i: F.get(c, i))
+    keep = F.array(*[F.lit(i).cast("int") for i in idx])
+    if idx == sorted(set(idx)):  # the column stands outside of the lambda, so its expression runs once and not once for each place
+        pick = lambda c: F.filter(c, lambda _, i: F.array_contains(keep, i))
+    else:
+        pick = lambda c: F.transform(keep, lambda i: F.get(c, i))
     return sites.withColumns({c: pick(c) for c in ("calls", "raw") if c in sites.columns})
 
 

@@ -139,8 +139,8 @@ s as (select sample_idx, count(*) as n from calls group by sample_idx),
 k as (select sample_idx from s, n where 1 - n.t::double * 0 - s.n::double / n.t < 0.48)
 select site_id, count(*)::bigint as n_called from calls where sample_idx in (select sample_idx from k) group by site_id""")
 def drop_samples_by_missing(spark, d):
-    sites, _ = FI.drop_samples_by_missing(FX.packed_sites(spark, d), FX.names(), 0.48)
-    return sites.where(P.any_called()).select("site_id", P.n_called().cast("long").alias("n_called"))
+    p, _ = FI.drop_samples_by_missing(FX.planes(spark, d), FX.names(), 0.48)
+    return p.sites.where(p.any_called()).select("site_id", p.n_called().cast("long").alias("n_called"))
 
 
 def _in_turn(site_steps: tuple, sample_steps: tuple, max_missing: float, min_coverage: float) -> str:

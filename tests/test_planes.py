@@ -264,6 +264,26 @@ def test_alignments_across_batches(spark):
     assert rows[51]["missing_percent"] == 100 and rows[51]["ho"] is None and rows[50]["sites"] == 0 and rows[3]["samples"] == len({s for lo, s, _ in seqs if lo == 3})
 
 
+def _missing_by_hand(rows, n, sites, limit):
+    have = [len({r[0] for r in rows if r[3] == i and r[0] in sites and (r[5] is not None or r[6] is not None)}) for i in range(n)]
+    return [i for i in range(n) if sites and 1 - have[i] / len(sites) < limit]
+
+
+@pytest.mark.parametrize("n", [6, 70])
+def test_samples_are_dropped_alike_from_planes_and_arrays(spark, n):
+    rows = [r for r in random_calls(40, n, seed=n + 1, share=0.8) if r[3] % 3 or r[0] % 2]
+    names, calls = [f"s{i}" for i in range(n)], spark.createDataFrame(rows, CALLS)
+    keep = _missing_by_hand(rows, n, {r[0] for r in rows}, 0.4)
+    assert 0 < len(keep) < n
+    packed, kept = FI.drop_samples_by_missing(P.to_packed(calls, n), names, 0.4)
+    planes, kept2 = FI.drop_samples_by_missing(PL.from_calls(calls, n), names, 0.4)
+    assert kept == kept2 == [names[i] for i in keep]
+    want = {s: sum(r[0] == s and r[3] in keep for r in rows) for s in {r[0] for r in rows}}
+    for got in (packed.select("site_id", P.n_called().alias("n")), planes.sites.select("site_id", planes.n_called().alias("n"))):
+        assert {r["site_id"]: r["n"] for r in got.collect()} == want
+    assert FI.drop_samples_by_missing(PL.from_calls(calls.where("false"), n), names, 0.4)[1] == []
+
+
 @pytest.mark.parametrize("depth", [True, False])
 def test_strict_filter_of_calls_equals_that_of_arrays(spark, depth):
     n = 7
@@ -277,8 +297,17 @@ def test_strict_filter_of_calls_equals_that_of_arrays(spark, depth):
     assert got == {r["site_id"]: r["n"] for r in packed.select("site_id", P.n_called().alias("n")).collect()} and 0 < len(got) <= 80
 
 
+def test_columns_are_kept_in_any_order_and_once_made(spark):
+    n = 160  # making the calls anew for each place kept took minutes
+    rows = random_calls(30, n, seed=2)
+    packed = P.to_packed(spark.createDataFrame(rows, CALLS), n)
+    full = {r["site_id"]: r["calls"] for r in packed.collect()}
+    for idx in (list(range(0, n, 2)), [5, 1, 9], [3, 3], []):
+        assert {r["site_id"]: r["calls"] for r in P.keep_columns(packed, idx).collect()} == {s: [c[i] for i in idx] for s, c in full.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["strict_filter"])
+@pytest.mark.parametrize("name", ["drop_samples_by_missing", "strict_filter"])
 def test_sample_filters_do_not_pack_arrays(spark, monkeypatch, name):
     made = []
     monkeypatch.setattr(P, "by_place", lambda *a: made.append(a) or pytest.fail("arrays of calls"))
