@@ -10,6 +10,8 @@ IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K",
     "ACG": "V", "ACT": "H", "AGT": "D", "CGT": "B", "ACGT": "N",
 }
+#: Usual texts of genotypes of two alleles, with their allele numbers: looked up, others are taken apart.
+USUAL_GT = {f"{a}{sep}{b}": [None if x == "." else int(x) for x in (a, b)] for sep in "/|" for a in "01." for b in "01."}
 HET_CODES = ("k", "m", "r", "s", "w", "y", "b", "d", "h", "v")
 
 
@@ -20,7 +22,19 @@ def _map(pairs: dict) -> Column:
 
 def parse_gt(call: Column) -> Column:
     """Allele numbers of a call such as 0|1:20; a dot is null. Phased and unphased read alike."""
-    return F.transform(F.split(F.translate(F.split(call, ":")[0], "|", "/"), "/"), lambda a: a.try_cast("int"))
+    return gt_alleles(F.substring_index(call, ":", 1))
+
+
+def gt_alleles(text: Column) -> Column:
+    """Allele numbers of the genotype of a call, the text before the first colon."""
+    number = lambda a: F.lit(a).cast("int")
+    usual = F.create_map(*[x for k, v in USUAL_GT.items() for x in (F.lit(k), F.array(*map(number, v)))])
+    return F.coalesce(F.try_element_at(usual, text), F.transform(F.split(F.translate(text, "|", "/"), "/"), lambda a: number_of(a, "int")))
+
+
+def number_of(text: Column, kind: str) -> Column:
+    """The number a text gives; a dot and what is no number are null. A cast that fails costs an exception, so dots, which are frequent, are not cast."""
+    return F.nullif(text, F.lit(".")).try_cast(kind)
 
 
 def is_called(gt: Column, rule: str = "any") -> Column:

@@ -26,7 +26,9 @@ def to_packed(calls: DataFrame, n_samples: int) -> DataFrame:
     """
     got = by_place(calls, ["site_id", "locus", "pos"], "sample_idx", F.struct(F.array("a1", "a2").alias("gt"), "dp"))
     empty = F.struct(F.array(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("gt"), F.lit(None).cast("int").alias("dp"))
-    return got.select("site_id", "locus", "pos", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty)).alias("calls"))
+    calls = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty))
+    # The map is named twice: named in the lambda alone, it would be put there and made anew for each sample.
+    return got.select("site_id", "locus", "pos", F.when(F.size("m") >= 0, calls).alias("calls"))
 
 
 def to_long(sites: DataFrame, samples: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import genotype as G
 from . import blocks
+from .shared import remove, shared_path
 from .sides import small_side
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -24,15 +25,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", r"\s+"))
     fmt = F.split(F.get("f", F.lit(8)), ":")
-    pl = lambda c: F.transform(F.split(G.format_field(c, F.col("format"), "PL"), ","), lambda x: x.try_cast("double"))
-    call = lambda c: F.struct(
-        G.parse_gt(c).alias("gt"), F.split(c, ":")[0].contains("|").alias("phased"), G.format_field(c, F.col("format"), "DP").try_cast("int").alias("dp"), pl(c).alias("pl")
-    )
+    # Places of fields are looked up once for each row, and a call is cut into its fields once.
+    field = lambda parts, place: F.when(F.col(place) > 0, F.get(parts, F.col(place) - 1))
+    pl = lambda parts: F.transform(F.split(field(parts, "_pl"), ","), lambda x: G.number_of(x, "double"))
+    gt = lambda parts: F.get(parts, F.lit(0))
+    call = lambda parts: F.struct(G.gt_alleles(gt(parts)).alias("gt"), gt(parts).contains("|").alias("phased"), G.number_of(field(parts, "_dp"), "int").alias("dp"), pl(parts).alias("pl"))
     at = lambda i: F.get("f", F.lit(i))
     keep = [c for c in lines.columns if c != "value"]
     head = rows.select(*keep, at(0).alias("chrom"), at(1).cast("long").alias("pos"), at(2).alias("snp_id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"), at(5).alias("qual"), at(6).alias("filter"),
                        F.str_to_map(at(7), F.lit(";"), F.lit("=")).alias("info"), at(7).alias("info_text"), fmt.alias("format"), F.slice("f", F.lit(10), F.size("f")).alias("raw"))
-    return head.withColumn("locus", F.col("chrom")).withColumn("calls", F.transform("raw", call))
+    placed = head.withColumns({f"_{k.lower()}": F.array_position("format", k).cast("int") for k in ("DP", "PL")})
+    parsed = F.transform(F.transform("raw", lambda c: F.split(c, ":")), call)
+    return placed.withColumn("locus", F.col("chrom")).withColumn("calls", parsed).drop("_dp", "_pl")
 
 
 def read_vcf(spark: SparkSession, path: str, split: int = blocks.SPLIT) -> tuple[DataFrame, list[str]]:
@@ -76,15 +80,15 @@ def require_ns(sites: DataFrame) -> DataFrame:
     return sites.withColumn("ns", F.coalesce(ns, F.raise_error(F.concat(F.lit("neither NS nor AN at "), "snp_id")).cast("int")))
 
 
-def to_lines(sites: DataFrame, *order: str) -> DataFrame:
-    """Rows of VCF text in the given order.
+def to_lines(sites: DataFrame, *order: str, sort: bool = True) -> DataFrame:
+    """Rows of VCF text in the given order; with `sort` off, next to the columns of the order, but as they come.
 
     Sites that were read (with raw and info_text) come out as they were, all fields of FORMAT and INFO
     in their order; of a call that was masked since, only the genotype becomes missing. Other sites get
     GT and DP. PL is written where FORMAT has it and the text had not. A missing depth is a dot.
     """
     sep = lambda c: F.when(F.coalesce(c["phased"], F.lit(False)), "|").otherwise("/")
-    gt = lambda c: F.regexp_replace(F.array_join(F.transform(c["gt"], lambda a: F.coalesce(a.cast("string"), F.lit("."))), "/"), "/", sep(c))
+    gt = lambda c: F.call_function("array_join", F.transform(c["gt"], lambda a: a.cast("string")), sep(c), F.lit("."))
     pl = lambda c: F.coalesce(F.array_join(F.transform(c["pl"], lambda x: x.cast("string")), ","), F.lit("."))
     has_pl = F.array_contains("format", "PL")
     if "raw" in sites.columns:
@@ -93,24 +97,27 @@ def to_lines(sites: DataFrame, *order: str) -> DataFrame:
         longer = lambda t: F.concat(fields(t), F.array_repeat(F.lit("."), F.greatest(F.lit(0), F.size("format") - 1 - F.size(fields(t)))))
         masked = lambda c, t: F.when(~G.is_called(c["gt"]) & G.is_called(G.parse_gt(t)), F.regexp_replace(t, r"^[^:]*", gt(c))).otherwise(t)
         new_pl = has_pl & ~F.col("_pl_read")
-        call = lambda c, i: F.when(new_pl, F.concat_ws(":", longer(masked(c, F.get("raw", i))), pl(c))).otherwise(masked(c, F.get("raw", i)))
+        with_pl = lambda c, i: F.concat_ws(":", longer(masked(c, F.get("raw", i))), pl(c))
         # PL was read if a call's text has as many fields as FORMAT.
         sites = sites.withColumn("_pl_read", F.coalesce(F.exists("raw", lambda t: F.size(F.split(t, ":")) >= F.size("format")), F.lit(False)))
-        calls, info, fmt = F.transform("calls", call), F.col("info_text"), F.array_join("format", ":")
+        calls = F.when(new_pl, F.transform("calls", with_pl)).otherwise(F.transform("calls", lambda c, i: masked(c, F.get("raw", i))))
+        info, fmt = F.col("info_text"), F.array_join("format", ":")
     else:
         call = lambda c: F.concat_ws(":", gt(c), F.coalesce(c["dp"].cast("string"), F.lit(".")), F.when(has_pl, pl(c)))
         info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
         calls, fmt = F.transform("calls", call), F.when(has_pl, "GT:DP:PL").otherwise("GT:DP")
     alleles = (F.get("alleles", F.lit(0)), F.array_join(F.slice("alleles", F.lit(2), F.size("alleles")), ","))
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "snp_id", *alleles, "qual", "filter", info, fmt, F.array_join(calls, "\t"))
-    return sites.select(*order, line.alias("value")).orderBy(*order) if order else sites.select(line.alias("value"))
+    lines = sites.select(*order, line.alias("value"))
+    return lines.orderBy(*order) if order and sort else lines
 
 
 def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta: tuple[str, ...] = ("##fileformat=VCFv4.2",), compress: bool = False) -> None:
     """A folder of text, or of block-compressed text: the header, then the rows, by default in the order of site_id.
 
     Header and rows are dealt out by range together, so the header opens the first file and files sort
-    in the order of their rows.
+    in the order of their rows. Sorting reads its input twice, so the rows are made once, in a table of the
+    shared folder that is removed at the end.
     """
     spark = sites.sparkSession
     order = order or (("site_id",) if "site_id" in sites.columns else ())
@@ -118,12 +125,15 @@ def write_vcf(sites: DataFrame, samples: list[str], path: str, *order: str, meta
     head = spark.createDataFrame(list(enumerate(top, -len(top))), "_h long, value string")
     for c in order:
         head = head.withColumn(c, F.lit(None).cast(sites.schema[c].dataType))
-    rows = to_lines(sites, *order).withColumn("_h", F.lit(0).cast("long"))
+    made, unsorted = to_lines(sites, *order, sort=False), shared_path(spark)
+    made.write.parquet(unsorted)
+    rows = spark.read.schema(made.schema).parquet(unsorted).withColumn("_h", F.lit(0).cast("long"))
     lines = head.unionByName(rows).orderBy("_h", *order).select("value")
     if compress and blocks.can_open(path):
         blocks.write_lines(lines, path)
     else:  # where only Spark can open the folder, plain gzip
         lines.write.mode("overwrite").text(path, compression="gzip" if compress else None)
+    remove(spark, unsorted)
 
 
 def add_pl(sites: DataFrame) -> DataFrame:

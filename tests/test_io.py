@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from locusframe.functions import genotype as G
 from locusframe.operators import packed as P
 from locusframe.operators import stats as S
 from locusframe.sources import sequences as SQ
@@ -135,3 +136,30 @@ def test_vcftools_and_stats(spark, tmp_path):
     got = {r["sample"]: r for r in T.assembly_by_sample(stats, spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample string")).collect()}
     assert got["s1"]["paralogs"] == 0.25 and got["s1"]["heterozygosity"] == 0.5 and got["s2"]["paralogs"] is None and set(got) == {"s1", "s2"}
     assert {r["section"] for r in stats.where("name = 'snps matrix size'").collect()} == {"Alignment matrix statistics:"}
+
+
+def test_rows_are_made_once_when_written(spark, monkeypatch, vcf, tmp_path):
+    """Sorting reads its input twice, so the rows stand in a table before; it is removed."""
+    sites, names = V.read_vcf(spark, vcf)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(V, "shared_path", lambda _: f"file://{tmp_path}/shared")
+    V.write_vcf(sites.withColumn("qual", F.udf(seen, "string")("qual")), names, str(tmp_path / "out"))
+    assert made.value == 3 and not (tmp_path / "shared").exists()
+    rows = [r for r in VCF.splitlines() if not r.startswith("#")]
+    got = V.to_lines(V.read_vcf(spark, str(tmp_path / "out"))[0], "site_id", sort=False)
+    assert sorted((r["site_id"], r["value"]) for r in got.collect()) == list(enumerate(rows))
+
+
+def test_usual_and_other_genotypes(spark):
+    texts = ["0/1", "1|0:5", "./.", ".|1", "2/1", "0", ".", "10|11:3", "0/1/1", "", "x/1"]
+    want = [[0, 1], [1, 0], [None, None], [None, 1], [2, 1], [0], [None], [10, 11], [0, 1, 1], [None], [None, 1]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["g"] for r in df.select(G.parse_gt(F.col("t")).alias("g")).collect()] == want
+    row = "c\t1\ts\tA\tT\t13\tPASS\tNS=1\tGT:DP:PL\t0/1:.:0,3,.\t1/1:x:.\t./.\t0|0:7"
+    calls = V.parse_lines(spark.createDataFrame([(row,)], "value string")).first()["calls"]
+    assert [(c["gt"], c["phased"], c["dp"], c["pl"]) for c in calls] == [([0, 1], False, None, [0, 3, None]), ([1, 1], False, None, [None]), ([None, None], False, None, None), ([0, 0], True, 7, None)]
