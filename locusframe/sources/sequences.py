@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A record's name that ends in its locus.
+MARK = r"^(.*) \[locus=([^\]]*)\]$"
+
 
 def read_loci(spark: SparkSession, path: str) -> DataFrame:
     """(locus, sample, ord, seq) of a .loci file: a locus ends at a line `//...|number|`.
@@ -32,15 +35,30 @@ def read_stacks_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(locus, sample, seq) of aligned FASTA files, one locus per file or folder `locus=...`; codes in lower case."""
-    r = _records(spark, path)
-    return r.select(F.when(F.col("folder") != "", F.col("folder")).otherwise(F.regexp_replace("file", r"\.[^.]*$", "")).alias("locus"), F.col("name").alias("sample"), F.lower("seq").alias("seq"))
+    """(locus, sample, seq) of aligned FASTA files; codes in lower case.
+
+    The locus is the one at the end of a record's name, as `write_fasta` writes it with `together`, else that of a folder
+    `locus=...`, else the file's name.
+    """
+    r = _records(spark, path).withColumn("marked", F.col("name").rlike(MARK))
+    place = F.when(F.col("folder") != "", F.col("folder")).otherwise(F.regexp_replace("file", r"\.[^.]*$", ""))
+    part = lambda i, other: F.when(F.col("marked"), F.regexp_extract("name", MARK, i)).otherwise(other)
+    return r.select(part(2, place).alias("locus"), part(1, F.col("name")).alias("sample"), F.lower("seq").alias("seq"))
+
 
+def write_fasta(seqs: DataFrame, path: str, consensus: DataFrame | None = None, together: bool = False) -> None:
+    """A folder of FASTA per locus; `consensus` (locus, seq) goes to one folder beside it, `<path>_consensus`.
 
-def write_fasta(seqs: DataFrame, path: str, consensus: DataFrame | None = None) -> None:
-    """A folder of FASTA per locus; `consensus` (locus, seq) goes to one folder beside it, `<path>_consensus`."""
+    `together`: a file for each task instead, with many loci, each whole and in one file, and names that end in the locus:
+    `>sample [locus=7]`. Meant for more than some thousand loci, as files are committed and listed one by one.
+    """
     if consensus is not None:
         consensus.select(F.concat(F.lit(">"), F.col("locus").cast("string"), F.lit("\n"), "seq").alias("value"), "locus").orderBy("locus").select("value").write.mode("overwrite").text(path.rstrip("/") + "_consensus")
+    if together:
+        locus = F.coalesce(F.col("locus").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))  # as the folder of null is named
+        record = F.concat(F.lit(">"), "sample", F.lit(" [locus="), locus, F.lit("]\n"), "seq")
+        seqs.select("locus", record.alias("value")).repartition("locus").sortWithinPartitions("locus", "value").select("value").write.mode("overwrite").text(path)
+        return
     seqs.select("locus", F.concat(F.lit(">"), "sample", F.lit("\n"), "seq").alias("value")).repartition("locus").sortWithinPartitions("locus", "value").write.mode("overwrite").partitionBy("locus").text(path)
 
 

@@ -163,3 +163,16 @@ def test_usual_and_other_genotypes(spark):
     row = "c\t1\ts\tA\tT\t13\tPASS\tNS=1\tGT:DP:PL\t0/1:.:0,3,.\t1/1:x:.\t./.\t0|0:7"
     calls = V.parse_lines(spark.createDataFrame([(row,)], "value string")).first()["calls"]
     assert [(c["gt"], c["phased"], c["dp"], c["pl"]) for c in calls] == [([0, 1], False, None, [0, 3, None]), ([1, 1], False, None, [None]), ([None, None], False, None, None), ([0, 0], True, 7, None)]
+
+
+def test_fasta_of_many_loci_together(spark, tmp_path):
+    """As many files as tasks, not as loci; a locus is whole in one of them; the same rows as from a folder per locus."""
+    rows = [(n, s, q) for n in range(60) for s, q in (("x y", "AC"), ("z[1]", "N?"))] + [(None, "x y", "GG")]
+    seqs = spark.createDataFrame(rows, "locus long, sample string, seq string")
+    SQ.write_fasta(seqs, str(tmp_path / "one"), together=True)
+    SQ.write_fasta(seqs, str(tmp_path / "many"))
+    files = sorted((tmp_path / "one").glob("part-*"))
+    assert len(files) <= 3 and files[0].read_text().startswith(">") and len(list((tmp_path / "many").glob("locus=*"))) == 61
+    assert all(sum(f"[locus={n}]" in f.read_text() for f in files) == 1 for n in range(60))
+    read = lambda name: sorted(tuple(r) for r in SQ.read_alignments(spark, str(tmp_path / name)).collect())
+    assert read("one") == read("many") == sorted(("__HIVE_DEFAULT_PARTITION__" if n is None else str(n), s, q.lower()) for n, s, q in rows)
