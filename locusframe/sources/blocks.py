@@ -28,6 +28,8 @@ HEAD = 256
 BATCH = 4 << 20
 #: Compressed bytes of a split.
 SPLIT = 32 << 20
+#: Splits up to which each has a task; of more, neighbours share one, up to `SPLIT` bytes.
+TASKS = 256
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,27 +157,41 @@ def split_lines(uri: str, start: int, end: int) -> Iterator[list[str]]:
 
 
 @dataclass
-class Split(InputPartition):
+class Split:
     file: str
     start: int
     end: int
 
 
+@dataclass
+class Run(InputPartition):
+    """Neighbouring splits that a task reads one after the other."""
+
+    splits: list[Split]
+
+
+def runs(splits: list[Split], split: int) -> list[list[Split]]:
+    """Splits of `split` bytes as the tasks read them, in their order."""
+    n = max(1, min(SPLIT // max(1, split), -(-len(splits) // TASKS)))
+    return [splits[i : i + n] for i in range(0, len(splits), n)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files, self.split = json.loads(options["files"]), int(options["split"])
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Run]:
         found = []
         for file in sorted(self.files):
             system, path = opened(file)
             found += [Split(file, a, a + self.split) for a in range(0, system.get_file_info(path).size or 0, self.split)]
-        return found or [Split("", 0, 0)]
+        return [Run(own) for own in runs(found, self.split)] or [Run([])]
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        for lines in split_lines(split.file, split.start, split.end) if split.file else ():
-            n = len(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([split.file] * n, pa.string()), pa.array([split.start] * n, pa.int64())], ["value", "file", "start"])
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
+        for split in run.splits:
+            for lines in split_lines(split.file, split.start, split.end):
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([split.file] * n, pa.string()), pa.array([split.start] * n, pa.int64())], ["value", "file", "start"])
 
 
 @dataclass
@@ -264,7 +280,8 @@ def has_blocks(file: str) -> bool:
 
 
 def read_lines(spark: SparkSession, files: list[str], split: int = SPLIT) -> DataFrame:
-    """value, file, start (of the split), a task for each split of a file. Gzip without blocks is one task a file.
+    """value, file, start (of the split), a task for each split of a file, or, of more than `TASKS`, for some that follow
+    each other, so that small splits don't cost a start of a worker each. Gzip without blocks is one split a file.
 
     Lines end with a line feed, or a carriage return and one. No files or empty ones: no rows. A file
     that ends inside a block raises an error.

@@ -43,7 +43,7 @@ def read_vcf(spark: SparkSession, path: str, split: int = blocks.SPLIT) -> tuple
     """(packed sites, sample names). site_id numbers the rows in the order of the files and their lines.
 
     Numbers come from the counts of the parts in which the files are read. Block-compressed files are
-    read by a task for each `split` of their bytes. Other compressed files, and those in file systems that
+    read in parts of `split` of their bytes, by a task each as far as `blocks.TASKS` goes. Other compressed files, and those in file systems that
     only Spark can open, are read by one task each; their rows are dealt out after they were numbered.
     """
     lines = spark.read.text(path)

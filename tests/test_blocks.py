@@ -93,3 +93,19 @@ def test_vcf_in_blocks(spark, tmp_path):
     V.write_vcf(got, names, out, compress=True)
     again, names3 = V.read_vcf(spark, out, split=64)
     assert names3 == names and order(again) == order(want)
+
+
+def test_many_small_splits_share_tasks(spark, monkeypatch, tmp_path):
+    splits = [B.Split("f", i * 64, (i + 1) * 64) for i in range(2000)]
+    own = B.runs(splits, 64)
+    assert len(own) <= B.TASKS and [s for run in own for s in run] == splits
+    assert all(len(run) == 1 for run in B.runs(splits, B.SPLIT)) and B.runs(splits[:256], 64) == [[s] for s in splits[:256]] and B.runs([], 64) == []
+    path = tmp_path / "x.vcf.gz"
+    rows = [f"RAD_{i}\t{i}\tl{i}\tA\tT\t13\tPASS\tNS=1\tGT:DP\t0/1:{i % 50}" for i in range(6000)]
+    head = "##fileformat=VCFv4.2\n" + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "s"]) + "\n"
+    path.write_bytes(blocked((head + "\n".join(rows) + "\n").encode(), iter(lambda: 300, None)))
+    size, split = os.path.getsize(path), 64
+    assert -(-size // split) > 2 * B.TASKS and B.read_lines(spark, [str(path)], split).rdd.getNumPartitions() <= B.TASKS
+    sites, names = V.read_vcf(spark, str(path), split=split)
+    got = V.to_lines(sites, "site_id", sort=False).collect()
+    assert names == ["s"] and sorted((r["site_id"], r["value"]) for r in got) == list(enumerate(rows))
